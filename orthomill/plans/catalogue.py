@@ -2,5 +2,253 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from ..functions import series
+from ..operators import basis as B
+from ..operators import losses, training
+from ..sources import files
+from . import oracle as O
+from .images import coefficients, cropped, kept_rows, padded, rounded, table, unit_vectors, vectors
+
+P3 = (0.1, 0.2, 0.3)
+P6 = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6)
+P8 = (*P6, 0.7, 0.8)
+RING3 = ((1, 2), (2, 3), (3, 1))
+RATIOS = (0.5, 0.8, 0.9, 0.95)
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+QFT = B.Basis.make("qft", 3, 3)
+FORWARD = {
+    "qft_forward": (QFT, O.transform(3, 3, "qft"), 8),
+    "wht_forward": (B.Basis.make("tebd", 3, 3), O.transform(3, 3, "wht"), 8),
+    "eqft_back": (B.Basis.make("eqft", 3, 3, P3, "back"), O.transform(3, 3, "qft", back=O.joint(P3, 3, 3, "u", "w")), 8),
+    "eqft_front": (B.Basis.make("eqft", 3, 3, P3, "front"), O.transform(3, 3, "qft", front=O.joint(P3, 3, 3, "r0", "c0")), 8),
+    "eqft_middle": (B.Basis.make("eqft", 3, 3, P3, "middle"), O.transform(3, 3, "qft", middle=O.joint(P3, 3, 3, "u", "c0")), 8),
+    "eqft_middle_4x2": (B.Basis.make("eqft", 4, 2, P3[:2], "middle"), O.transform(4, 2, "qft", back=O.joint(P3[:2], 4, 2, "u", "w")), 16),
+    "tebd_ring": (B.Basis.make("tebd", 3, 3, P6), O.transform(3, 3, "wht", back=O.pairs(P6[:3], RING3, "u") + " + " + O.pairs(P6[3:], RING3, "w")), 8),
+    "mera_2x4": (B.Basis.make("mera", 2, 4, P8), O.transform(2, 4, "wht", back=O.pairs(P8[:2], ((2, 1), (1, 2)), "u") + " + " + O.pairs(P8[2:], ((2, 3), (4, 1), (1, 2), (3, 4), (2, 4), (1, 3)), "w")), 4),
+}
+
+
+def _forward(basis):
+    return lambda spark, sf_dir: coefficients(basis.forward(vectors(spark, sf_dir), real=True), "vec_id")
+
+
+for _name, (_basis, _sql, _h) in FORWARD.items():
+    QUERIES[_name] = _forward(_basis)
+    SQL[_name] = O.with_pixels(_sql) + O.all_coefficients(_h)
+
+
+@query(O.with_pixels(O.transform(3, 3, "qft") + ", " + O.ranked(8)) + " SELECT vec_id, u + 1 + w * 8 AS idx, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM rk WHERE rn <= 6")
+def qft_topk(spark, sf_dir):
+    return kept_rows(B.largest(QFT.forward(vectors(spark, sf_dir), real=True), 6), "vec_id")
+
+
+@query(O.with_pixels(O.transform(3, 3, "qft") + ", " + O.ranked(8)) + " SELECT vec_id, u + 1 + w * 8 AS idx, CASE WHEN rn <= 6 THEN round(re, 6) + 0.0 ELSE 0 END AS re, CASE WHEN rn <= 6 THEN round(im, 6) + 0.0 ELSE 0 END AS im FROM rk")
+def topk_dense(spark, sf_dir):
+    return coefficients(B.truncated(QFT.forward(vectors(spark, sf_dir), real=True), 6, 64), "vec_id")
+
+
+@query(O.with_pixels(O.transform(3, 3, "qft") + ", sc AS (SELECT *, round(sqrt(re * re + im * im) * (2.0::DOUBLE - 0.5::DOUBLE * sqrt(pow(u + 1 - 4.5, 2) + pow(w + 1 - 4.5, 2)) / sqrt(24.5::DOUBLE)), 9) AS score FROM f), rk AS (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY score DESC) AS rn FROM sc)")
+       + " SELECT vec_id, u + 1 + w * 8 AS idx, round(score, 6) AS score FROM rk WHERE rn <= 6")
+def topk_freq_weighted(spark, sf_dir):
+    kept = B.weighted_largest(QFT.forward(vectors(spark, sf_dir), real=True), 3, 3, 6)
+    return kept.select("vec_id", F.explode("kept").alias("z")).select("vec_id", (F.col("z.lin") + 1).alias("idx"), F.round("z.score", 6).alias("score"))
+
+
+@query(O.with_pixels(O.transform(3, 3, "qft") + ", " + O.transform(3, 3, "inverse_qft", "b", "ff") .replace("bg AS (SELECT vec_id, lin % 8 AS r0, lin // 8 AS c0, re, im FROM ff)", "bg AS (SELECT vec_id, u AS r0, w AS c0, re, im FROM f)"))
+       + " SELECT px.vec_id, round(sqrt(sum(px.re * px.re)), 6) AS norm_in, round(sqrt(sum(f.re * f.re + f.im * f.im)), 6) AS norm_out, round(max(abs(px.re - b.re)), 6) + 0.0 AS worst"
+       " FROM px JOIN f ON px.vec_id = f.vec_id AND px.lin = f.u + 8 * f.w JOIN b ON px.vec_id = b.vec_id AND px.lin = b.u + 8 * b.w GROUP BY px.vec_id")
+def roundtrip_error(spark, sf_dir):
+    norm = "sqrt(aggregate({0}, 0D, (s, v) -> s + v * v))"
+    there = QFT.forward(vectors(spark, sf_dir).withColumn("x", F.col("re")), real=True)
+    there = there.withColumn("norm_out", F.expr("sqrt(aggregate(arrays_zip(re, im), 0D, (s, z) -> s + z.re * z.re + z.im * z.im))"))
+    back = QFT.inverse(there)
+    return back.select("vec_id", F.round(F.expr(norm.format("x")), 6).alias("norm_in"), F.round("norm_out", 6).alias("norm_out"), rounded(F.expr("array_max(zip_with(x, re, (a, b) -> abs(a - b)))")).alias("worst"))
+
+
+def _compressed(spark, sf_dir, images=vectors):
+    parts = [QFT.compress(images(spark, sf_dir), ratio=r).withColumn("ratio", F.lit(r)) for r in RATIOS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+RATIO_SQL = "ks AS (SELECT ratio, greatest(1, round_even(64 * (1.0::DOUBLE - ratio), 0)::INT) AS k FROM (VALUES (0.5::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE)) t(ratio))"
+
+
+@query(O.with_pixels(O.transform(3, 3, "qft") + ", " + O.ranked(8) + ", " + RATIO_SQL) + " SELECT vec_id, ratio, rn::INT AS place, u + 1 + w * 8 AS idx, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM rk JOIN ks ON rn <= k")
+def compress_ratio(spark, sf_dir):
+    rows = _compressed(spark, sf_dir).select("vec_id", "ratio", F.posexplode(F.arrays_zip("indices", "values_real", "values_imag")).alias("at", "z"))
+    return rows.select("vec_id", "ratio", (F.col("at") + 1).alias("place"), F.col("z.indices").alias("idx"), rounded(F.col("z.values_real")).alias("re"), rounded(F.col("z.values_imag")).alias("im"))
+
+
+@query(O.with_pixels(O.transform(3, 3, "qft") + ", " + O.ranked(8)) + " SELECT vec_id, count(*)::INT AS kept_count, round(sum(abs(re) + abs(im)), 6) AS weight FROM rk WHERE rn <= 10 GROUP BY vec_id")
+def compress_k(spark, sf_dir):
+    low = QFT.compress(vectors(spark, sf_dir), k=10)
+    return low.select("vec_id", F.size("indices").alias("kept_count"), F.round(F.expr("aggregate(arrays_zip(values_real, values_imag), 0D, (s, z) -> s + abs(z.values_real) + abs(z.values_imag))"), 6).alias("weight"))
+
+
+@query(f"WITH {RATIO_SQL} SELECT vec_id, ratio, 64 AS total, k AS kept_count, 1 - k / 64.0::DOUBLE AS kept_ratio, round(8 * 64 / (20 * k + 100)::DOUBLE, 9) AS storage_ratio FROM embeddings, ks")
+def compression_stats(spark, sf_dir):
+    stats = B.compression_stats(_compressed(spark, sf_dir).withColumnRenamed("ratio", "asked"))
+    return stats.select("vec_id", F.col("asked").alias("ratio"), "total", "kept_count", F.col("ratio").alias("kept_ratio"), F.round("storage_ratio", 9).alias("storage_ratio"))
+
+
+def _recovered(spark, sf_dir):
+    images = unit_vectors(spark, sf_dir).withColumn("x", F.col("re"))
+    parts = [QFT.recover(QFT.compress(images, ratio=r)).withColumn("ratio", F.lit(r)) for r in RATIOS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return losses.picture_metrics(out, "x", "re")
+
+
+RECOVERED_SQL = (
+    O.with_pixels(O.transform(3, 3, "qft") + ", " + O.ranked(8) + ", " + RATIO_SQL
+                  + ", low AS (SELECT vec_id * 4 + CASE ratio WHEN 0.5 THEN 0 WHEN 0.8 THEN 1 WHEN 0.9 THEN 2 ELSE 3 END AS vec_id, (u + 8 * w)::BIGINT AS lin, CASE WHEN rn <= k THEN re ELSE 0 END AS re, CASE WHEN rn <= k THEN im ELSE 0 END AS im FROM rk, ks), "
+                  + O.transform(3, 3, "inverse_qft", "b", "low")
+                  + ", err AS (SELECT b.vec_id // 4 AS vec_id, CASE b.vec_id % 4 WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.8::DOUBLE WHEN 2 THEN 0.9::DOUBLE ELSE 0.95::DOUBLE END AS ratio, v.label, avg(pow(v.v - greatest(0, least(1, b.re)), 2)) AS mse"
+                  " FROM b JOIN v ON v.vec_id = b.vec_id // 4 AND v.lin = b.u + 8 * b.w GROUP BY ALL), q AS (SELECT *, 10 * log10(1 / mse) AS psnr FROM err)", O.UNIT)
+)
+
+
+@query(RECOVERED_SQL + " SELECT label, ratio, round(avg(mse), 6) AS avg_mse, round(stddev_samp(mse), 6) AS std_mse, round(avg(psnr), 5) AS avg_psnr, round(stddev_samp(psnr), 5) AS std_psnr FROM q GROUP BY label, ratio")
+def recover_metrics_by_label(spark, sf_dir):
+    out = losses.metric_summary(_recovered(spark, sf_dir), "label", "ratio")
+    return out.select("label", "ratio", *[F.round(c, 6 if "mse" in c else 5).alias(c) for c in ("avg_mse", "std_mse", "avg_psnr", "std_psnr")])
+
+
+@query(RECOVERED_SQL + ", m AS (SELECT ratio, label, avg(psnr) AS p FROM q GROUP BY 1, 2) SELECT ratio, arg_max(label, round(p, 6)) AS best_label, round(max(p), 5) AS best_psnr, round(max(p) - min(p), 5) AS gain FROM m GROUP BY ratio")
+def best_label_by_ratio(spark, sf_dir):
+    means = _recovered(spark, sf_dir).groupBy("ratio", "label").agg(F.avg("psnr").alias("p"))
+    return means.groupBy("ratio").agg(F.max_by("label", F.round("p", 6)).alias("best_label"), F.round(F.max("p"), 5).alias("best_psnr"), F.round(F.max("p") - F.min("p"), 5).alias("gain"))
+
+
+@query(O.with_pixels(O.transform(3, 3, "fft") + ", " + O.ranked(8)) + " SELECT vec_id, u + 1 + w * 8 AS idx, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM rk WHERE rn <= 6")
+def fft_baseline(spark, sf_dir):
+    return kept_rows(B.largest(B.apply_steps(vectors(spark, sf_dir), B.classical_steps(3, 3), 3, 3, im=None), 6), "vec_id")
+
+
+@query(O.with_pixels(O.transform(3, 3, "qft")) + " SELECT vec_id, round(sum(sqrt(re * re + im * im)), 6) AS loss FROM f GROUP BY vec_id")
+def l1_loss(spark, sf_dir):
+    return losses.l1_loss(vectors(spark, sf_dir), QFT).select("vec_id", F.round("loss", 6).alias("loss"))
+
+
+MSE_SQL = O.with_pixels(O.transform(3, 3, "qft") + ", " + O.ranked(8) + ", l AS (SELECT vec_id, greatest(0, sum(CASE WHEN rn > 6 THEN re * re + im * im ELSE 0 END)) AS loss FROM rk GROUP BY vec_id)")
+
+
+@query(MSE_SQL + " SELECT vec_id, round(loss, 6) AS loss FROM l")
+def mse_loss(spark, sf_dir):
+    return losses.mse_loss(vectors(spark, sf_dir), QFT, 6).select("vec_id", F.round("loss", 6).alias("loss"))
+
+
+@query(MSE_SQL + " SELECT label, round(avg(loss), 6) AS loss, count(*) AS n FROM l JOIN (SELECT DISTINCT vec_id, label FROM v) USING (vec_id) GROUP BY label")
+def batch_loss(spark, sf_dir):
+    return losses.batch_loss(losses.mse_loss(vectors(spark, sf_dir), QFT, 6), "label").select("label", F.round("loss", 6).alias("loss"), "n")
+
+
+SPLIT_SQL = "WITH o AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings), s AS (SELECT *, least(greatest(round_even(n * 0.2::DOUBLE, 0), 0), n - 1)::BIGINT AS n_val FROM o)"
+
+
+def _split(spark, sf_dir):
+    at = W.partitionBy("label").orderBy("vec_id")
+    o = vectors(spark, sf_dir).select("vec_id", "label", F.row_number().over(at).alias("rn"), F.count(F.lit(1)).over(W.partitionBy("label")).alias("n"))
+    return o.withColumn("n_val", F.least(F.greatest(F.rint(F.col("n") * 0.2), F.lit(0.0)), F.col("n") - 1.0).cast("long"))
+
+
+@query(SPLIT_SQL + " SELECT vec_id, label, rn <= n_val AS validation FROM s")
+def validation_split(spark, sf_dir):
+    return _split(spark, sf_dir).select("vec_id", "label", (F.col("rn") <= F.col("n_val")).alias("validation"))
+
+
+@query(SPLIT_SQL + " SELECT label, (rn - n_val - 1) // 16 AS batch, count(*) AS n, min(vec_id) AS first_id FROM s WHERE rn > n_val GROUP BY 1, 2")
+def minibatches(spark, sf_dir):
+    rows = _split(spark, sf_dir).filter("rn > n_val").withColumn("batch", F.expr("(rn - n_val - 1) div 16"))
+    return rows.groupBy("label", "batch").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first_id"))
+
+
+@query("WITH s AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS step FROM embeddings) SELECT vec_id, round(CASE WHEN step <= 5 THEN 0.01::DOUBLE * (step / 5.0) ELSE 0.001::DOUBLE + 0.5 * (0.01::DOUBLE - 0.001::DOUBLE) * (1 + cos(pi() * ((step - 5) / 95.0))) END, 9) AS rate FROM s")
+def lr_schedule(spark, sf_dir):
+    steps = vectors(spark, sf_dir).select("vec_id", F.row_number().over(W.partitionBy("label").orderBy("vec_id")).alias("step"))
+    return steps.select("vec_id", F.round(series.learning_rate(F.col("step"), 100), 9).alias("rate"))
+
+
+@query("WITH s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id) SELECT user_id, len(v) AS n, round(list_reduce(v, lambda a, x: 0.6::DOUBLE * a + 0.4::DOUBLE * x), 6) AS last FROM s")
+def ema_smooth(spark, sf_dir):
+    ordered = table(spark, sf_dir, "events").groupBy("user_id").agg(F.expr("transform(array_sort(collect_list(struct(ts, event_id, value))), x -> x.value)").alias("v"))
+    return ordered.select("user_id", F.size("v").cast("long").alias("n"), F.round(F.element_at(series.ema(F.col("v"), 0.6), -1), 6).alias("last"))
+
+
+@query("WITH p AS (SELECT vec_id, [embedding[i]::DOUBLE for i in range(1, 9)] AS g FROM embeddings) SELECT vec_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM (SELECT vec_id, (0.6::DOUBLE * g[2] - 0.8::DOUBLE * g[1]) * -0.8::DOUBLE AS x, (0.6::DOUBLE * g[2] - 0.8::DOUBLE * g[1]) * 0.6::DOUBLE AS y FROM p)")
+def project_phase(spark, sf_dir):
+    """Gradients from the vectors' first two numbers, projected at the unit phase 0.6 + 0.8i."""
+    g = vectors(spark, sf_dir).selectExpr("vec_id", "re[0] AS gr", "re[1] AS gi")
+    x, y = training.project_phase_columns(F.lit(0.6), F.lit(0.8), F.col("gr"), F.col("gi"))
+    return g.select("vec_id", rounded(x).alias("x"), rounded(y).alias("y"))
+
+
+@query("WITH g AS (SELECT vec_id, (0.6::DOUBLE * embedding[2]::DOUBLE - 0.8::DOUBLE * embedding[1]::DOUBLE) AS s FROM embeddings), t AS (SELECT vec_id, 0.6::DOUBLE - 0.1::DOUBLE * (s * -0.8::DOUBLE) AS a, 0.8::DOUBLE - 0.1::DOUBLE * (s * 0.6::DOUBLE) AS b FROM g) SELECT vec_id, round(a / sqrt(a * a + b * b), 6) AS x, round(b / sqrt(a * a + b * b), 6) AS y FROM t")
+def retract_phase(spark, sf_dir):
+    """A step of 0.1 against the projected gradient, taken back onto the unit circle."""
+    g = vectors(spark, sf_dir).selectExpr("vec_id", "re[0] AS gr", "re[1] AS gi")
+    x, y = training.project_phase_columns(F.lit(0.6), F.lit(0.8), F.col("gr"), F.col("gi"))
+    a, b = training.retract_phase_columns(F.lit(0.6), F.lit(0.8), -x, -y, 0.1)
+    return g.select("vec_id", F.round(a, 6).alias("x"), F.round(b, 6).alias("y"))
+
+
+@query(O.VECTORS.replace("SELECT vec_id, label,", "SELECT vec_id,", 1).join(["WITH v AS (", ") SELECT vec_id, lin % 8 + 4 + 1 + 16 * (lin // 8 + 4) AS idx16, lin + 1 AS idx, round(v, 6) + 0.0 AS v FROM v"]))
+def pad_crop(spark, sf_dir):
+    """Centre in a frame of twice the size, then cut the centre out again: where each value stood and what it is."""
+    big = padded(vectors(spark, sf_dir), 8, 8, 16, 16).withColumn("big", F.col("re"))
+    small = cropped(big, 16, 16, 8, 8).select("vec_id", "big", F.posexplode("re").alias("lin", "v"))
+    at = F.expr("cast(lin % 8 + 4 + 16 * (lin div 8 + 4) as int)")
+    return small.select("vec_id", (at + 1).alias("idx16"), (F.col("lin") + 1).alias("idx"), rounded(F.get("big", at)).alias("v"))
+
+
+HEAT = "SELECT 0 AS vec_id, (day(ts) - 1 + {top} + 32 * (hour(ts) + {left})) AS lin, count(*)::DOUBLE AS v FROM events GROUP BY 2"
+
+
+@query("WITH px AS (SELECT 0 AS vec_id, (day(ts) - 1 + 1 + 32 * (hour(ts) + 4))::BIGINT AS lin, count(*)::DOUBLE AS re, 0.0::DOUBLE AS im FROM events GROUP BY 2), " + O.transform(5, 5, "wht") + " SELECT u + 1 + w * 32 AS idx, round(re, 6) + 0.0 AS re FROM f")
+def event_heatmap_wht(spark, sf_dir):
+    """Events by day of the month and hour, centred in 32 x 32, in the Walsh-Hadamard basis."""
+    cells = table(spark, sf_dir, "events").groupBy(F.expr("day(ts) - 1 + 1 + 32 * (hour(ts) + 4)").alias("lin")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    # at most 1,024 cells, so one row holds the picture
+    image = cells.agg(F.map_from_entries(F.collect_list(F.struct("lin", "v"))).alias("cells")).select(F.expr(B.let("q", {"cells": "cells"}, "transform(sequence(0, 1023), i -> coalesce(try_element_at(q.cells, i), 0D))")).alias("re"))
+    out = B.Basis.make("tebd", 5, 5).forward(image, real=True)
+    return out.select(F.posexplode("re").alias("lin", "v")).select((F.col("lin") + 1).alias("idx"), rounded(F.col("v")).alias("re"))
+
+
+@query(O.with_pixels(O.transform(3, 3, "qft")) + " SELECT vec_id, u + 1 + w * 8 AS idx, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM f")
+def qft_kernel_join(spark, sf_dir):
+    """The same transform on coordinate rows, by joining pixels with kernel rows: for images too large for one row."""
+    return training.kernel_join(vectors(spark, sf_dir), QFT)
+
+
+@query()
+def json_roundtrip(spark, sf_dir):
+    """Compressed images written as JSON, read back with the declared schema, and recovered."""
+    low = QFT.compress(vectors(spark, sf_dir), ratio=0.5)
+    return QFT.recover(files.roundtrip(low)).select("vec_id", F.transform("re", lambda v: rounded(v)).alias("re"))
+
+
+@query()
+def train_qft(spark, sf_dir):
+    """Training history of gates fitted to the vectors: epoch, training and validation loss."""
+    result = training.train(vectors(spark, sf_dir), "qft", 3, 3, epochs=3, id_col="vec_id")
+    return result.history_frame(spark)
