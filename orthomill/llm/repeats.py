@@ -6,12 +6,15 @@ Both substring operators share these steps; a window is ``length`` consecutive u
    is the window's anchor (winnowing with windows of ``length - k + 1`` grams), so equal
    windows have the same anchor at the same place. The windows of one anchor start at
    consecutive places and together span the anchor's context.
-2. Occurrences of an anchor meet. Equal contexts fold into one row with a count, so copies of
-   a passage never meet pair by pair; within a task only the first two of them travel.
+2. Occurrences of an anchor meet; of one task only the first two need to, as the others are
+   known to have company. Equal contexts fold into one row with a count, so copies of a
+   passage never meet pair by pair.
 3. Extension. Contexts of an anchor that differ are compared: each is extended to the left
    and the right of the anchor as far as windows reach, all against all at once, by the
    hashes of its windows. Windows that stand in two contexts, or in a context that occurs
-   twice, are repeats; touching ones merge into maximal repeats.
+   twice, are repeats; touching ones merge into maximal repeats. An anchor with more than
+   ``HOT_CONTEXTS`` different contexts is never gathered in one task: its windows are counted
+   by an aggregate instead.
 4. The repeats go back to their documents, which lose the units they cover.
 
 Rows are known by their id and the hash of their text, so repeated rows, repeated ids and
@@ -117,11 +120,13 @@ def encoded(column) -> list[bytes]:
     return [t.as_py().encode("utf-8", "surrogatepass") for t in column]
 
 
+#: Contexts of one anchor that are compared in one task; a context has less than 2 * length units.
+HOT_CONTEXTS = 2_000
 OCCURRENCE = "anchor long, ctx long, reach int, k1 long, k2 long, place int"
 
 
 def occurrences(keyed_docs: DataFrame, unit: str, length: int, k: int) -> DataFrame:
-    """Anchors with their documents. ``meet`` is where a row must go: its anchor, or anywhere if two equal contexts of the task go there already."""
+    """Anchors with their documents. ``meet`` is where a row must go: its anchor, or anywhere if two of the task go there already."""
     names = ["anchor", "ctx", "reach", "k1", "k2", "place", "known", "meet"]
 
     def run(batches):
@@ -136,7 +141,7 @@ def occurrences(keyed_docs: DataFrame, unit: str, length: int, k: int) -> DataFr
                 if len(seen) > 600_000:
                     seen.clear()
                 known = np.zeros(len(owner), bool)
-                for i, key in enumerate(zip(anchor.tolist(), ctx.tolist())):
+                for i, key in enumerate(anchor.tolist()):
                     n = seen[key] = seen.get(key, 0) + 1
                     known[i] = n > 2
                 spread = mix(k2[lo:hi][owner].view(np.uint64) ^ place.astype(np.uint64)).view(np.int64)
@@ -165,8 +170,8 @@ def contexts(keyed_docs: DataFrame, wanted: DataFrame, unit: str, length: int) -
     return joined.mapInArrow(run, "anchor long, ctx long, reach int, n long, body binary")
 
 
-def repeated_in_group(anchor: np.ndarray, reach: np.ndarray, bodies: list[bytes], unit: str, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows found in two contexts, as (context number, first, last) runs of window numbers."""
+def window_keys(anchor: np.ndarray, reach: np.ndarray, bodies: list[bytes], unit: str, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window of every context: the context's number, the window's, and a hash of anchor, place and content."""
     if unit == "byte":
         raw = np.frombuffer(b"".join(bodies), np.uint8)
         units, size = BYTE_HASH[raw], np.array([len(x) for x in bodies])
@@ -179,6 +184,12 @@ def repeated_in_group(anchor: np.ndarray, reach: np.ndarray, bodies: list[bytes]
     start = np.repeat(np.cumsum(size) - size, number) + step
     with np.errstate(over="ignore"):
         key = Runs(units).of(start, start + length) + mix(anchor.view(np.uint64)[which] + ((reach >> 16)[which] - step).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+    return which, step, key
+
+
+def repeated_in_group(anchor: np.ndarray, reach: np.ndarray, bodies: list[bytes], unit: str, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows found in two contexts, as (context number, first, last) runs of window numbers."""
+    which, step, key = window_keys(anchor, reach, bodies, unit, length)
     order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     twice = np.zeros(len(key), bool)
@@ -226,6 +237,21 @@ def extended(bodies: DataFrame, unit: str, length: int, group=None, budget: int
     return dealt.mapInArrow(run, "anchor long, ctx long, reach int, runs array<int>")
 
 
+def counted(bodies: DataFrame, unit: str, length: int) -> DataFrame:
+    """The result of ``extended`` for anchors with very many contexts: windows meet by anchor and content in an aggregate."""
+    names = ["anchor", "ctx", "reach", "n", "step", "window"]
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                which, step, key = window_keys(b.column(0).to_numpy(), b.column(2).to_numpy().astype(np.int64), b.column(4).to_pylist(), unit, length)
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(which)) for c in range(4)], pa.array(step.astype(np.int32)), pa.array(key.view(np.int64))], names)
+
+    windows = materialize(bodies.dropDuplicates(["anchor", "ctx", "reach"]).mapInArrow(run, "anchor long, ctx long, reach int, n long, step int, window long"))
+    twice = windows.groupBy("anchor", "window").count().filter("count > 1").select("anchor", "window")
+    return windows.filter("n = 1").join(twice, ["anchor", "window"]).select("anchor", "ctx", "reach", F.array("step", "step").alias("runs"))
+
+
 def covered_documents(docs: DataFrame, unit: str, length: int, k: int, id_col="doc_id", text_col="text", group=None) -> DataFrame:
     """doc_id, text and ``spans``: the repeated stretches [start, stop, ...] in units, null if none."""
     source = keyed(docs, id_col, text_col)
@@ -233,9 +259,16 @@ def covered_documents(docs: DataFrame, unit: str, length: int, k: int, id_col="d
     met = F.count(F.lit(1)).over(W.partitionBy("meet"))
     common = materialize(seen.withColumn("met", met).filter("met > 1 or known").select("anchor", "ctx", "reach", "k1", "k2", "place"))
     folded = materialize(common.groupBy("anchor", "ctx", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place")).alias("rep")))
-    several = folded.groupBy("anchor").count().filter("count > 1").select("anchor")
-    wanted = folded.join(several, "anchor", "left_semi").select("anchor", "ctx", "reach", "n", "rep.*")
-    partly = extended(contexts(source, wanted, unit, length), unit, length, group)
+    several = materialize(folded.groupBy("anchor").count().filter("count > 1"))
+
+    def around(anchors: DataFrame) -> DataFrame:
+        wanted = folded.join(anchors.select("anchor"), "anchor", "left_semi").select("anchor", "ctx", "reach", "n", "rep.*")
+        return contexts(source, wanted, unit, length)
+
+    partly = extended(around(several.filter(F.col("count") <= HOT_CONTEXTS)), unit, length, group)
+    hot = several.filter(F.col("count") > HOT_CONTEXTS)
+    if not hot.isEmpty():
+        partly = partly.unionByName(counted(around(hot), unit, length))
     windows = F.shiftright("reach", 16) - F.col("reach").bitwiseAND(0xFFFF)
     whole = folded.filter("n > 1").select("anchor", "ctx", "reach", F.array(F.lit(0), windows).alias("runs"))
     found = common.join(whole.unionByName(partly), ["anchor", "ctx", "reach"])

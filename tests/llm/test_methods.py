@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import __spark_entry__ as registry
-from orthomill.llm import common, media, near_dup, packing, pii, quality_rules, repeats, suffix_dedup
+from orthomill.llm import common, media, near_dup, packing, pii, quality_rules, repeats, substring_dedup, suffix_dedup
 from orthomill.llm.components import connected_components
 
 
@@ -192,6 +192,17 @@ def test_anchors_cover_every_window():
     assert starts == [(o, s) for o, n in ((0, 300), (2, 580)) for s in range(n - 34)] and (far - near < 30).all()
 
 
+@pytest.mark.parametrize("remove,unit", [(substring_dedup.remove_repeated_words, "word"), (suffix_dedup.remove_repeated_bytes, "byte")])
+def test_hot_anchors_give_the_same_result(spark, monkeypatch, remove, unit):
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(250)]
+    rows = [(i, " ".join([f"a{rng.random()}" for _ in range(rng.randrange(40))] + passage[rng.randrange(9) :] + [f"b{rng.randrange(3)}" for _ in range(rng.randrange(60))])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, remove(docs).collect()))
+    monkeypatch.setattr(repeats, "HOT_CONTEXTS", 1)
+    assert sorted(map(tuple, remove(docs).collect())) == want and sum(r[2] for r in want) > 1000
+
+
 def test_word_hash_cache_is_bounded():
     cache = common.WordHashes(10)
     hashes, counts = common.word_hashes([b" ".join(b"w%d" % i for i in range(50)), b"w1 w2"], cache)
