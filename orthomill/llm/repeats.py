@@ -12,8 +12,8 @@ Both substring operators share these steps; a window is ``length`` consecutive u
 3. Extension. Contexts of an anchor that differ are compared: each is extended to the left
    and the right of the anchor as far as windows reach, all against all at once, by the
    hashes of its windows. Windows that stand in two contexts, or in a context that occurs
-   twice, are repeats; touching ones merge into maximal repeats. An anchor with more than
-   ``HOT_CONTEXTS`` different contexts is never gathered in one task: its windows are counted
+   twice, are repeats; touching ones merge into maximal repeats. An anchor whose different
+   contexts may exceed ``GROUP_BYTES`` is never gathered in one task: its windows are counted
    by an aggregate instead.
 4. The repeats go back to their documents, which lose the units they cover.
 
@@ -120,8 +120,8 @@ def encoded(column) -> list[bytes]:
     return [t.as_py().encode("utf-8", "surrogatepass") for t in column]
 
 
-#: Contexts of one anchor that are compared in one task; a context has less than 2 * length units.
-HOT_CONTEXTS = 2_000
+#: Bytes of contexts that are compared together in one task; a context has less than 2 * length units.
+GROUP_BYTES = 6_000_000
 OCCURRENCE = "anchor long, ctx long, reach int, k1 long, k2 long, place int"
 
 
@@ -203,12 +203,12 @@ def repeated_in_group(anchor: np.ndarray, reach: np.ndarray, bodies: list[bytes]
     return which[a], step[a], step[b]
 
 
-def extended(bodies: DataFrame, unit: str, length: int, group=None, budget: int = 6_000_000) -> DataFrame:
+def extended(bodies: DataFrame, unit: str, length: int, group=None) -> DataFrame:
     """Repeated windows of contexts that occur once, as runs counted from the context's start.
 
-    Rows are sorted by anchor; whole groups are taken together up to ``budget`` bytes.
+    Rows are sorted by anchor; whole groups are taken together up to ``GROUP_BYTES``.
     """
-    compare = group or repeated_in_group
+    compare, budget = group or repeated_in_group, GROUP_BYTES
     names = ["anchor", "ctx", "reach", "runs"]
 
     def work(rows):
@@ -259,14 +259,15 @@ def covered_documents(docs: DataFrame, unit: str, length: int, k: int, id_col="d
     met = F.count(F.lit(1)).over(W.partitionBy("meet"))
     common = materialize(seen.withColumn("met", met).filter("met > 1 or known").select("anchor", "ctx", "reach", "k1", "k2", "place"))
     folded = materialize(common.groupBy("anchor", "ctx", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place")).alias("rep")))
+    most = GROUP_BYTES // (2 * length * (1 if unit == "byte" else 8))
     several = materialize(folded.groupBy("anchor").count().filter("count > 1"))
 
     def around(anchors: DataFrame) -> DataFrame:
         wanted = folded.join(anchors.select("anchor"), "anchor", "left_semi").select("anchor", "ctx", "reach", "n", "rep.*")
         return contexts(source, wanted, unit, length)
 
-    partly = extended(around(several.filter(F.col("count") <= HOT_CONTEXTS)), unit, length, group)
-    hot = several.filter(F.col("count") > HOT_CONTEXTS)
+    partly = extended(around(several.filter(F.col("count") <= most)), unit, length, group)
+    hot = several.filter(F.col("count") > most)
     if not hot.isEmpty():
         partly = partly.unionByName(counted(around(hot), unit, length))
     windows = F.shiftright("reach", 16) - F.col("reach").bitwiseAND(0xFFFF)

@@ -199,7 +199,7 @@ def test_hot_anchors_give_the_same_result(spark, monkeypatch, remove, unit):
     rows = [(i, " ".join([f"a{rng.random()}" for _ in range(rng.randrange(40))] + passage[rng.randrange(9) :] + [f"b{rng.randrange(3)}" for _ in range(rng.randrange(60))])) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(map(tuple, remove(docs).collect()))
-    monkeypatch.setattr(repeats, "HOT_CONTEXTS", 1)
+    monkeypatch.setattr(repeats, "GROUP_BYTES", 900)
     assert sorted(map(tuple, remove(docs).collect())) == want and sum(r[2] for r in want) > 1000
 
 
