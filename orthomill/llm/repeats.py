@@ -120,8 +120,8 @@ def encoded(column) -> list[bytes]:
     return [t.as_py().encode("utf-8", "surrogatepass") for t in column]
 
 
-#: Bytes of contexts that are compared together in one task; a context has less than 2 * length units.
-GROUP_BYTES = 6_000_000
+#: Bytes of contexts that a task takes together, and that one anchor may have in a task; a context has less than 2 * length units.
+BATCH_BYTES, GROUP_BYTES = 6_000_000, 16_000_000
 OCCURRENCE = "anchor long, ctx long, reach int, k1 long, k2 long, place int"
 
 
@@ -170,21 +170,27 @@ def contexts(keyed_docs: DataFrame, wanted: DataFrame, unit: str, length: int) -
     return joined.mapInArrow(run, "anchor long, ctx long, reach int, n long, body binary")
 
 
+def in_slices(bodies: list[bytes], limit: int = 1_000_000):
+    """(start, stop) of slices of the contexts of about ``limit`` bytes, so that their hashes take little memory."""
+    return chunks_by_bytes(bodies, limit)
+
+
 def window_keys(anchor: np.ndarray, reach: np.ndarray, bodies: list[bytes], unit: str, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every window of every context: the context's number, the window's, and a hash of anchor, place and content."""
-    if unit == "byte":
-        raw = np.frombuffer(b"".join(bodies), np.uint8)
-        units, size = BYTE_HASH[raw], np.array([len(x) for x in bodies])
-    else:
-        units = np.frombuffer(b"".join(bodies), np.uint64)
-        size = np.array([len(x) // 8 for x in bodies])
-    number = size - length + 1
-    which = np.repeat(np.arange(len(bodies)), number)
-    step = np.arange(len(which)) - np.repeat(np.cumsum(number) - number, number)
-    start = np.repeat(np.cumsum(size) - size, number) + step
-    with np.errstate(over="ignore"):
-        key = Runs(units).of(start, start + length) + mix(anchor.view(np.uint64)[which] + ((reach >> 16)[which] - step).astype(np.uint64) * U64(0x9E3779B97F4A7C15))
-    return which, step, key
+    parts = []
+    for lo, hi in in_slices(bodies):
+        raw = b"".join(bodies[lo:hi])
+        units = BYTE_HASH[np.frombuffer(raw, np.uint8)] if unit == "byte" else np.frombuffer(raw, np.uint64)
+        size = np.array([len(x) for x in bodies[lo:hi]]) // (1 if unit == "byte" else 8)
+        number = size - length + 1
+        which = np.repeat(np.arange(hi - lo), number)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(number) - number, number)
+        start = np.repeat(np.cumsum(size) - size, number) + step
+        with np.errstate(over="ignore"):
+            place = ((reach[lo:hi] >> 16)[which] - step).astype(np.uint64) * U64(0x9E3779B97F4A7C15)
+            key = Runs(units).of(start, start + length) + mix(anchor[lo:hi].view(np.uint64)[which] + place)
+        parts.append(((which + lo).astype(np.int32), step.astype(np.int32), key))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def repeated_in_group(anchor: np.ndarray, reach: np.ndarray, bodies: list[bytes], unit: str, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,9 +212,9 @@ def repeated_in_group(anchor: np.ndarray, reach: np.ndarray, bodies: list[bytes]
 def extended(bodies: DataFrame, unit: str, length: int, group=None) -> DataFrame:
     """Repeated windows of contexts that occur once, as runs counted from the context's start.
 
-    Rows are sorted by anchor; whole groups are taken together up to ``GROUP_BYTES``.
+    Rows are sorted by anchor; whole groups are taken together up to ``BATCH_BYTES``.
     """
-    compare, budget = group or repeated_in_group, GROUP_BYTES
+    compare, budget = group or repeated_in_group, min(BATCH_BYTES, GROUP_BYTES)
     names = ["anchor", "ctx", "reach", "runs"]
 
     def work(rows):

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import U64, mix, table
-from .repeats import BYTE_HASH, Runs, covered_documents, repeated_in_group, without_repeats
+from .repeats import BYTE_HASH, Runs, covered_documents, in_slices, repeated_in_group, without_repeats
 
 BLOCK = 64
 
@@ -88,19 +88,21 @@ def suffix_array(text: list[int]) -> list[int]:
 
 def by_suffix_groups(anchor: np.ndarray, reach: np.ndarray, bodies: list[bytes], unit: str, length: int):
     """``repeated_in_group`` on the anchor intervals of the suffix array of all contexts."""
-    units = BYTE_HASH[np.frombuffer(b"".join(bodies), np.uint8)]
     size = np.array([len(x) for x in bodies])
-    runs = Runs(units)
-    right = np.cumsum(size) - size + (reach >> 16)  # where each anchor stands
-    blocks = (np.cumsum(size) - right) // BLOCK
+    far = reach >> 16  # how far into its context each anchor stands
+    blocks = (size - far) // BLOCK
     owner = np.repeat(np.arange(len(bodies)), blocks)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    begin = np.repeat(right, blocks) + step * BLOCK
-    content = runs.of(begin, begin + BLOCK) | U64(1)  # blocks are odd, anchors even: they never share a symbol
+    content = []
+    for lo, hi in in_slices(bodies):
+        runs = Runs(BYTE_HASH[np.frombuffer(b"".join(bodies[lo:hi]), np.uint8)])
+        mine = (owner >= lo) & (owner < hi)
+        begin = (np.cumsum(size[lo:hi]) - size[lo:hi] + far[lo:hi])[owner[mine] - lo] + step[mine] * BLOCK
+        content.append(runs.of(begin, begin + BLOCK) | U64(1))  # blocks are odd, anchors even: they never share a symbol
     symbols = np.zeros(int((blocks + 2).sum()), U64)
     head = np.cumsum(blocks + 2) - (blocks + 2)
     symbols[head] = mix(anchor.view(np.uint64)) & ~U64(1) | U64(2)
-    symbols[np.repeat(head, blocks) + 1 + step] = content
+    symbols[np.repeat(head, blocks) + 1 + step] = np.concatenate(content)
     _, rank = np.unique(symbols, return_inverse=True)  # separators are 0 and rank lowest
     suffixes = np.array(suffix_array([*(rank + 1).tolist(), 0]))
     at_head = np.full(len(symbols) + 1, -1)
