@@ -12,9 +12,9 @@ Both substring operators share these steps; a window is ``length`` consecutive u
 3. Extension. Contexts of an anchor that differ are compared: each is extended to the left
    and the right of the anchor as far as windows reach, all against all at once, by the
    hashes of its windows. Windows that stand in two contexts, or in a context that occurs
-   twice, are repeats; touching ones merge into maximal repeats. An anchor whose different
-   contexts may exceed ``GROUP_BYTES`` is never gathered in one task: its windows are counted
-   by an aggregate instead.
+   twice, are repeats; touching ones merge into maximal repeats. An anchor with more than
+   ``HOT_CONTEXTS`` different contexts is never gathered in one task: its windows are dealt
+   out and counted by content instead.
 4. The repeats go back to their documents, which lose the units they cover.
 
 Rows are known by their id and the hash of their text, so repeated rows, repeated ids and
@@ -120,8 +120,8 @@ def encoded(column) -> list[bytes]:
     return [t.as_py().encode("utf-8", "surrogatepass") for t in column]
 
 
-#: Bytes of contexts that a task takes together, and that one anchor may have in a task; a context has less than 2 * length units.
-BATCH_BYTES, GROUP_BYTES = 6_000_000, 16_000_000
+#: Bytes of contexts that a task takes together, and contexts one anchor may have there; each has less than 2 * length units.
+BATCH_BYTES, HOT_CONTEXTS = 6_000_000, 2_000
 OCCURRENCE = "anchor long, ctx long, reach int, k1 long, k2 long, place int"
 
 
@@ -214,7 +214,7 @@ def extended(bodies: DataFrame, unit: str, length: int, group=None) -> DataFrame
 
     Rows are sorted by anchor; whole groups are taken together up to ``BATCH_BYTES``.
     """
-    compare, budget = group or repeated_in_group, min(BATCH_BYTES, GROUP_BYTES)
+    compare, budget = group or repeated_in_group, BATCH_BYTES
     names = ["anchor", "ctx", "reach", "runs"]
 
     def work(rows):
@@ -244,7 +244,7 @@ def extended(bodies: DataFrame, unit: str, length: int, group=None) -> DataFrame
 
 
 def counted(bodies: DataFrame, unit: str, length: int) -> DataFrame:
-    """The result of ``extended`` for anchors with very many contexts: windows meet by anchor and content in an aggregate."""
+    """The result of ``extended`` for anchors with very many contexts: windows meet by anchor and content, as rows without their texts."""
     names = ["anchor", "ctx", "reach", "n", "step", "window"]
 
     def run(batches):
@@ -253,9 +253,9 @@ def counted(bodies: DataFrame, unit: str, length: int) -> DataFrame:
                 which, step, key = window_keys(b.column(0).to_numpy(), b.column(2).to_numpy().astype(np.int64), b.column(4).to_pylist(), unit, length)
                 yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(which)) for c in range(4)], pa.array(step.astype(np.int32)), pa.array(key.view(np.int64))], names)
 
-    windows = materialize(bodies.dropDuplicates(["anchor", "ctx", "reach"]).mapInArrow(run, "anchor long, ctx long, reach int, n long, step int, window long"))
-    twice = windows.groupBy("anchor", "window").count().filter("count > 1").select("anchor", "window")
-    return windows.filter("n = 1").join(twice, ["anchor", "window"]).select("anchor", "ctx", "reach", F.array("step", "step").alias("runs"))
+    windows = bodies.dropDuplicates(["anchor", "ctx", "reach"]).mapInArrow(run, "anchor long, ctx long, reach int, n long, step int, window long")
+    twice = F.count(F.lit(1)).over(W.partitionBy("anchor", "window"))
+    return windows.withColumn("twice", twice).filter("n = 1 and twice > 1").select("anchor", "ctx", "reach", F.array("step", "step").alias("runs"))
 
 
 def covered_documents(docs: DataFrame, unit: str, length: int, k: int, id_col="doc_id", text_col="text", group=None) -> DataFrame:
@@ -265,15 +265,14 @@ def covered_documents(docs: DataFrame, unit: str, length: int, k: int, id_col="d
     met = F.count(F.lit(1)).over(W.partitionBy("meet"))
     common = materialize(seen.withColumn("met", met).filter("met > 1 or known").select("anchor", "ctx", "reach", "k1", "k2", "place"))
     folded = materialize(common.groupBy("anchor", "ctx", "reach").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "place")).alias("rep")))
-    most = GROUP_BYTES // (2 * length * (1 if unit == "byte" else 8))
     several = materialize(folded.groupBy("anchor").count().filter("count > 1"))
 
     def around(anchors: DataFrame) -> DataFrame:
         wanted = folded.join(anchors.select("anchor"), "anchor", "left_semi").select("anchor", "ctx", "reach", "n", "rep.*")
         return contexts(source, wanted, unit, length)
 
-    partly = extended(around(several.filter(F.col("count") <= most)), unit, length, group)
-    hot = several.filter(F.col("count") > most)
+    partly = extended(around(several.filter(F.col("count") <= HOT_CONTEXTS)), unit, length, group)
+    hot = several.filter(F.col("count") > HOT_CONTEXTS)
     if not hot.isEmpty():
         partly = partly.unionByName(counted(around(hot), unit, length))
     windows = F.shiftright("reach", 16) - F.col("reach").bitwiseAND(0xFFFF)
