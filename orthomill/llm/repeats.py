@@ -244,18 +244,32 @@ def extended(bodies: DataFrame, unit: str, length: int, group=None) -> DataFrame
 
 
 def counted(bodies: DataFrame, unit: str, length: int) -> DataFrame:
-    """The result of ``extended`` for anchors with very many contexts: windows meet by anchor and content, as rows without their texts."""
-    names = ["anchor", "ctx", "reach", "n", "step", "window"]
+    """The result of ``extended`` for anchors with very many contexts: windows meet by anchor and content, as rows without their texts.
+
+    A window may stand in nearly all contexts of its anchor. As with occurrences, only a task's
+    first two rows of a window go to where it meets; later ones are known to repeat and go anywhere.
+    """
+    names = ["anchor", "ctx", "reach", "n", "step", "meet", "known"]
 
     def run(batches):
+        seen: dict[int, int] = {}
         for b in batches:
-            if b.num_rows:
-                which, step, key = window_keys(b.column(0).to_numpy(), b.column(2).to_numpy().astype(np.int64), b.column(4).to_pylist(), unit, length)
-                yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(which)) for c in range(4)], pa.array(step.astype(np.int32)), pa.array(key.view(np.int64))], names)
-
-    windows = bodies.dropDuplicates(["anchor", "ctx", "reach"]).mapInArrow(run, "anchor long, ctx long, reach int, n long, step int, window long")
-    twice = F.count(F.lit(1)).over(W.partitionBy("anchor", "window"))
-    return windows.withColumn("twice", twice).filter("n = 1 and twice > 1").select("anchor", "ctx", "reach", F.array("step", "step").alias("runs"))
+            if not b.num_rows:
+                continue
+            which, step, key = window_keys(b.column(0).to_numpy(), b.column(2).to_numpy().astype(np.int64), b.column(4).to_pylist(), unit, length)
+            if len(seen) > 600_000:
+                seen.clear()
+            known = np.zeros(len(key), bool)
+            for i, k in enumerate(key.tolist()):
+                n = seen[k] = seen.get(k, 0) + 1
+                known[i] = n > 2
+            spread = mix(b.column(1).to_numpy().view(np.uint64)[which] + step.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(which)) for c in range(4)], pa.array(step), pa.array(np.where(known, spread, key).view(np.int64)), pa.array(known)], names)
+
+    windows = bodies.dropDuplicates(["anchor", "ctx", "reach"]).mapInArrow(run, "anchor long, ctx long, reach int, n long, step int, meet long, known boolean")
+    met = F.count(F.lit(1)).over(W.partitionBy("meet"))
+    # an unknown row that meets a spread one by chance would need equal 64-bit hashes
+    return windows.withColumn("met", met).filter("n = 1 and (met > 1 or known)").select("anchor", "ctx", "reach", F.array("step", "step").alias("runs"))
 
 
 def covered_documents(docs: DataFrame, unit: str, length: int, k: int, id_col="doc_id", text_col="text", group=None) -> DataFrame:
