@@ -2,8 +2,8 @@
 
 The driver holds the gates (a few hundred numbers). A step is one Spark job: every task adds
 up loss and gradient of its images, and an aggregate by gate entry adds the tasks' sums, so
-what reaches the driver has the size of the gates. Line-search candidates are evaluated in
-one job together.
+what reaches the driver has the size of the gates. A line search takes two jobs at most: the
+full step, then all shorter ones together.
 
 Behaviour: moments of Adam last over steps; without validation rows the last gates are
 returned, else the best; patience counts from the second epoch on and equal loss is no
@@ -147,10 +147,11 @@ class Optimizer:
         if self.kind == "gd":
             sizes = [rate * self.shrink**j for j in range(self.tries)]
             tried = [moved([-t for t in tangent], a) for a in sizes]
-            results = losses_of(tried)
-            for new, a, value in zip(tried, sizes, results):
-                if value <= loss - self.armijo * a * norm**2:
-                    return new, norm
+            # the full step mostly does; the shorter ones are evaluated together, in a second job
+            for part in (slice(0, 1), slice(1, None)):
+                for new, a, value in zip(tried[part], sizes[part], losses_of(tried[part]) if tried[part] else []):
+                    if value <= loss - self.armijo * a * norm**2:
+                        return new, norm
             return tried[-1], norm
         self.steps += 1
         if not self.first:
@@ -179,15 +180,21 @@ def optimize(images: DataFrame, basis: Basis, optimizer: Optimizer, loss: str =
     """Full-batch optimisation; the losses before each step, and the last."""
     qubits, gates, trace = basis.m + basis.n, list(basis.gates), []
     k = max(1, round(0.1 * basis.size)) if k is None else k
-    losses_of = lambda c: evaluate(images, c, qubits, loss, k)[0]
-    for _ in range(max_iter):
-        (value,), grads = evaluate(images, [gates], qubits, loss, k, gradient=True)
-        trace.append(float(value))
-        new, norm = optimizer.step(gates, grads, optimizer.rate, value, losses_of)
-        if norm < tol or not math.isfinite(norm):
-            break
-        gates = new
-    trace.append(float(losses_of([gates])[0]))
+    rows = images.select("re").persist()
+    losses_of = lambda c: evaluate(rows, c, qubits, loss, k)[0]
+    try:
+        for _ in range(max_iter):
+            (value,), grads = evaluate(rows, [gates], qubits, loss, k, gradient=True)
+            trace.append(float(value))
+            if not grads:
+                break
+            new, norm = optimizer.step(gates, grads, optimizer.rate, value, losses_of)
+            if norm < tol or not math.isfinite(norm):
+                break
+            gates = new
+        trace.append(float(losses_of([gates])[0]))
+    finally:
+        rows.unpersist()
     return Basis(basis.family, basis.m, basis.n, tuple(gates), basis.position), trace
 
 

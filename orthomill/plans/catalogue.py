@@ -10,7 +10,7 @@ from ..operators import basis as B
 from ..operators import losses, training
 from ..sources import files
 from . import oracle as O
-from .images import coefficients, cropped, kept_rows, padded, rounded, table, unit_vectors, vectors
+from .images import coefficients, cropped, kept_rows, mosaics, padded, rounded, table, unit_vectors, vectors
 
 P3 = (0.1, 0.2, 0.3)
 P6 = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6)
@@ -252,3 +252,30 @@ def train_qft(spark, sf_dir):
     """Training history of gates fitted to the vectors: epoch, training and validation loss."""
     result = training.train(vectors(spark, sf_dir), "qft", 3, 3, epochs=3, id_col="vec_id")
     return result.history_frame(spark)
+
+
+@query("SELECT vec_id // 64 AS img_id, count(*) AS columns, round(sum(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v::DOUBLE))), 6) AS energy, round(sum(list_sum(embedding[1:2]::DOUBLE[])), 6) + 0.0 AS top FROM embeddings GROUP BY 1")
+def mosaic_energy(spark, sf_dir):
+    """Pictures of 64 vectors: how many columns they have, their energy, and the sum of their two top rows."""
+    images = mosaics(vectors(spark, sf_dir))
+    energy, top = F.expr("aggregate(re, 0D, (s, v) -> s + v * v)"), F.expr("aggregate(filter(re, (v, i) -> i % 64 < 2), 0D, (s, v) -> s + v)")
+    columns = F.expr("cast(size(filter(sequence(0, 63), c -> exists(slice(re, 64 * c + 1, 64), v -> v <> 0))) as long)")
+    return images.select("img_id", columns.alias("columns"), F.round(energy, 6).alias("energy"), rounded(top).alias("top"))
+
+
+def _fitted(spark, sf_dir, kind: str, rate: float):
+    optimizer = training.Optimizer(kind=kind, rate=rate)
+    _, trace = training.optimize(mosaics(vectors(spark, sf_dir)), B.Basis.make("qft", 6, 6), optimizer, k=409, max_iter=10, tol=0.0)
+    return spark.createDataFrame([(i, loss) for i, loss in enumerate(trace)], "step int, loss double")
+
+
+@query()
+def adam_64x64(spark, sf_dir):
+    """Losses of ten full-batch Adam steps on pictures of 64 x 64, 409 coefficients kept."""
+    return _fitted(spark, sf_dir, "adam", 0.001)
+
+
+@query()
+def gd_64x64(spark, sf_dir):
+    """Losses of ten full-batch gradient steps with Armijo search on the same pictures."""
+    return _fitted(spark, sf_dir, "gd", 0.01)

@@ -51,3 +51,14 @@ def cropped(df: DataFrame, h: int, w: int, to_h: int, to_w: int) -> DataFrame:
     """The centre of larger column-major images."""
     top, left = (h - to_h) // 2, (w - to_w) // 2
     return df.withColumn("re", F.expr(let("q", {"re": "re"}, f"transform(sequence(0, {to_h * to_w - 1}), p -> q.re[cast(p % {to_h} + {top} + {h} * (p div {to_h} + {left}) as int)])")))
+
+
+def mosaics(df: DataFrame, side: int = 64) -> DataFrame:
+    """Images of ``side`` vectors each, one vector a column in order of id; missing columns at the end are zeros.
+
+    Images are dealt evenly over the cluster, as what follows is bound by computation.
+    """
+    spread = df.select(F.expr(f"vec_id div {side}").alias("img_id"), "vec_id", "re").repartition(df.sparkSession.sparkContext.defaultParallelism, "img_id")
+    # a group has at most ``side`` vectors
+    stacked = spread.groupBy("img_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "re"))), lambda x: x["re"])).alias("re"))
+    return stacked.select("img_id", F.concat("re", F.array_repeat(F.lit(0.0), F.lit(side * side) - F.size("re"))).alias("re"))

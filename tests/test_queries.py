@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as registry
 from orthomill.operators.basis import Basis
 from orthomill.plans import catalogue
-from orthomill.plans.images import vectors
+from orthomill.plans.images import mosaics, vectors
 from orthomill.sources import files
 from orthomill.streaming.compress import compress_stream
 
@@ -65,6 +65,18 @@ def test_training_query(spark, sf):
     assert list(out["epoch"]) == [1, 2, 3] and out["train_loss"].map(math.isfinite).all()
 
 
+@pytest.mark.parametrize("name", ["adam_64x64", "gd_64x64"])
+def test_large_pictures_are_fitted(spark, sf, name):
+    trace = catalogue.QUERIES[name](spark, sf).orderBy("step").toPandas()["loss"].to_numpy()
+    assert len(trace) == 11 and trace[-1] < trace[0]
+    # the untrained basis is an inverse Fourier transform of pixels in bit-reversed order
+    x = np.stack(mosaics(vectors(spark, sf)).toPandas()["re"]).reshape(-1, 64, 64)
+    turned = [int(f"{i:06b}"[::-1], 2) for i in range(64)]
+    x = x[:, turned][:, :, turned]
+    power = np.sort(np.abs(np.fft.ifft2(x, norm="ortho").reshape(len(x), -1)) ** 2, axis=1)
+    assert trace[0] == pytest.approx(power[:, :-409].sum(axis=1).mean())
+
+
 def test_stream_compresses(spark, sf):
     folder = tempfile.mkdtemp()
     vectors(spark, sf).limit(20).write.parquet(folder + "/in")
