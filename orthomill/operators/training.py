@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.series import learning_rate_at
+from ..sources.files import save_checkpoint
 from .basis import Basis
 from .circuits import Gate
 from .manifolds import MANIFOLDS, transport
@@ -175,6 +176,14 @@ class Trained:
         rows = [(e, t, None if math.isinf(v) else v) for e, t, v in self.epochs]
         return spark.createDataFrame(rows, "epoch int, train_loss double, val_loss double")
 
+    def steps_frame(self, spark: SparkSession, alpha: float = 0.6) -> DataFrame:
+        """What a plot of the steps shows: each step's loss and its moving average."""
+        rows, smooth = [], None
+        for step, epoch, batch, loss in self.steps:
+            smooth = loss if smooth is None else alpha * smooth + (1 - alpha) * loss
+            rows.append((step, epoch, batch, loss, smooth))
+        return spark.createDataFrame(rows, "step int, epoch int, batch int, loss double, smoothed double")
+
 
 def optimize(images: DataFrame, basis: Basis, optimizer: Optimizer, loss: str = "mse", k: int | None = None, max_iter: int = 100, tol: float = 1e-6) -> tuple[Basis, list[float]]:
     """Full-batch optimisation; the losses before each step, and the last."""
@@ -199,8 +208,15 @@ def optimize(images: DataFrame, basis: Basis, optimizer: Optimizer, loss: str =
 
 
 def train(images: DataFrame, family: str, m: int, n: int, epochs: int = 3, split: float = 0.2, batches: int = 2, patience: int = 2, loss: str = "mse", k: int | None = None,
-          phases=None, position: str = "back", optimizer: Optimizer | None = None, peak: float = 0.01, final: float = 0.001, warmup: float = 0.05, id_col: str = "img_id", seed: int = 42) -> Trained:
+          phases=None, position: str = "back", optimizer: Optimizer | None = None, peak: float = 0.01, final: float = 0.001, warmup: float = 0.05, id_col: str = "img_id", seed: int = 42,
+          checkpoint_dir: str | None = None, checkpoint_every: int = 0) -> Trained:
+    """Fit a basis to images. Ring and hierarchy start from small random phases unless some are given.
+
+    Every ``checkpoint_every`` steps the history and basis so far are saved in ``checkpoint_dir``.
+    """
     start = Basis.make(family, m, n, phases, position)
+    if phases is None and family in ("tebd", "mera"):
+        start = Basis.make(family, m, n, tuple(0.1 * np.random.default_rng(seed).standard_normal(len(start.phases))), position)
     k = max(1, round(0.1 * start.size)) if k is None else k
     optimizer = optimizer or Optimizer()
     share = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(10_000))
@@ -220,6 +236,8 @@ def train(images: DataFrame, family: str, m: int, n: int, epochs: int = 3, split
                 gates, _ = optimizer.step(gates, grads, rate, value, lambda c, part=part: evaluate(part, c, m + n, loss, k)[0])
                 means.append(float(value))
                 steps.append((done, epoch, batch + 1, float(value)))
+                if checkpoint_dir and checkpoint_every and done % checkpoint_every == 0:
+                    save_checkpoint(Trained(Basis(family, m, n, tuple(gates), position), log, steps), checkpoint_dir, done, family)
             value = float(evaluate(held, [gates], m + n, loss, k)[0][0])
             log.append((epoch, float(np.mean(means)) if means else math.inf, value))
             if value < best_loss:

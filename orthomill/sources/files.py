@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import tempfile
 import uuid
 import warnings
@@ -84,5 +85,12 @@ def roundtrip(df: DataFrame) -> DataFrame:
     return read_compressed(spark, write_compressed(df, f"{shared.rstrip('/')}/compressed-{uuid.uuid4().hex}"))
 
 
+def save_checkpoint(trained, folder: str, step: int, name: str) -> tuple[str, str]:
+    """History and basis so far, under names by step; small files of the driver."""
+    os.makedirs(folder, exist_ok=True)
+    history, basis = (os.path.join(folder, n) for n in checkpoint_names(step))
+    return save_history(trained, history, name), save_basis(trained.basis, basis)
+
+
 def checkpoint_names(step: int) -> tuple[str, str]:
     return f"step{step:04d}_loss.json", f"step{step:04d}_basis.json"

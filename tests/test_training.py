@@ -5,6 +5,7 @@ from orthomill.functions.series import learning_rate_at, validation_count
 from orthomill.operators import manifolds, training
 from orthomill.operators.basis import Basis
 from orthomill.operators.circuits import Gate
+from orthomill.sources import files
 
 
 @pytest.mark.parametrize("loss", ["l1", "mse"])
@@ -61,3 +62,13 @@ def test_optimizer_lowers_loss_and_stays_on_manifold(spark, kind):
 def test_train_without_validation_returns_last_gates(spark):
     out = training.train(images(spark, 12), "tebd", 2, 2, epochs=1, split=0.0, batches=1)
     assert len(out.epochs) == 1 and np.isinf(out.epochs[0][2]) and not out.basis == Basis.make("tebd", 2, 2)
+
+
+def test_checkpoints_and_steps(spark, tmp_path):
+    out = training.train(images(spark, 12), "mera", 2, 2, epochs=2, batches=2, checkpoint_dir=str(tmp_path / "c"), checkpoint_every=2)
+    assert sorted(f.name for f in (tmp_path / "c").iterdir()) == sorted(n for s in (2, 4) for n in files.checkpoint_names(s))
+    assert len(files.load_history(str(tmp_path / "c" / "step0004_loss.json"))["step_losses"]) == 4
+    again = files.load_basis(str(tmp_path / "c" / "step0002_basis.json"))
+    assert again.family == "mera" and any(abs(p) > 1e-3 for p in again.phases)
+    steps = out.steps_frame(spark).orderBy("step").toPandas()
+    assert steps["smoothed"][0] == steps["loss"][0] and steps["smoothed"][1] == pytest.approx(0.6 * steps["loss"][0] + 0.4 * steps["loss"][1])
