@@ -19,8 +19,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id."""
-    gone = near_dup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
+    """One document of each near-duplicate group stays: the one with the smallest id. Links start at similarity 0.8."""
+    gone = near_dup.near_duplicates(docs, percent=80).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
