@@ -52,18 +52,23 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, max_ep
     return final.select("source", "rank", "rows", "source_size", target.cast("double").alias("target"))
 
 
-def sized_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed="mix") -> DataFrame:
-    """doc_id, source, size in words, and a 60-bit hash-random key."""
+def sized_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed="mix", row_col=None) -> DataFrame:
+    """doc_id, source, size in words, a 60-bit hash-random key, and the row's number where ``row_col`` has one."""
     ident = F.col(id_col)
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), ident.cast("string"))), 1, 15), 16, 10).cast("long")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(ident.alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
+    number = [F.col(row_col).alias("row")] if row_col else []
+    return docs.select(ident.alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *number)
 
 
 def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, share: float = 1.5,
-                max_epochs: float = 2.0, seed: str = "mix", range_rows: int = 4096) -> DataFrame:
-    """doc_id, source, size, source_size, target, before (words of the source ahead in key order), epochs, taken."""
-    sized = materialize(sized_documents(docs, id_col, text_col, source_col, seed))
+                max_epochs: float = 2.0, seed: str = "mix", range_rows: int = 4096, row_col: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, before (words of the source ahead in key order), epochs, part, taken.
+
+    With ``row_col``, unique row numbers, also row; it decides between rows of the same id and size.
+    """
+    sized = materialize(sized_documents(docs, id_col, text_col, source_col, seed, row_col))
+    number = ["row"] if row_col else []
     targets = source_targets(sized, weights, share, max_epochs)
     # one row per source: hashed joins with AQE; small source tables are broadcast by size
     ranges = F.ceil(F.col("rows") / F.lit(range_rows))
@@ -72,7 +77,7 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     sums = keyed.groupBy("rank", "range").agg(F.sum("size").alias("range_size"))
     ahead = W.partitionBy("rank").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(F.col("rank").alias("r_rank"), F.col("range").alias("r_range"), F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("range_start"))
-    inside = W.partitionBy("rank", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("rank", "range").orderBy("key", "doc_id", "size", *number).rowsBetween(W.unboundedPreceding, -1)
     placed = keyed.join(starts, (F.col("rank") == F.col("r_rank")) & (F.col("range") == F.col("r_range")))
     placed = placed.withColumn("before", F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.rint("target").cast("long")
@@ -80,14 +85,19 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     rest = budget - epochs * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
     return placed.select("doc_id", "source", "size", "source_size", "target", "before", epochs.alias("epochs"), part.cast("long").alias("part"),
-                         (epochs * F.col("size") + part).cast("long").alias("taken"))
+                         (epochs * F.col("size") + part).cast("long").alias("taken"), *number)
 
 
 def mixed_rows(docs: DataFrame, **kwargs) -> DataFrame:
-    """The mix as rows of ``docs``: one copy per epoch, and the part that the budget's cut leaves of one document."""
+    """The mix as rows of ``docs``: one copy per epoch, and the part that the budget's cut leaves of one document.
+
+    Rows are numbered and written first, so that each meets its own row of the mix, whatever its id.
+    """
     named = docs.columns
-    mixed = mix_sources(docs, **kwargs).filter("taken > 0").select(F.col("doc_id").alias("_mix_id"), F.col("size").alias("_mix_size"), F.col("epochs").alias("_mix_epochs"), F.col("part").alias("_mix_part")).distinct()
-    joined = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_mix_id"]))
+    numbered = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()))
+    mixed = mix_sources(numbered, row_col="_mix_row", **kwargs).filter("taken > 0")
+    mixed = mixed.select(F.col("row").alias("_mix_row"), F.col("size").alias("_mix_size"), F.col("epochs").alias("_mix_epochs"), F.col("part").alias("_mix_part"))
+    joined = numbered.join(mixed, "_mix_row")
     whole = F.sequence(F.lit(1), (F.col("_mix_epochs") + (F.col("_mix_part") > 0).cast("long")).cast("int"))
     copies = joined.select("*", F.explode(whole).alias("_mix_copy"))
     words = F.regexp_extract_all(F.col("text"), F.lit("(" + WORD + ")"), F.lit(1))

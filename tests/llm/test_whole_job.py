@@ -1,6 +1,9 @@
 """Cases in which an operator or stage once did less than its whole job."""
 
+import collections
+
 import corpus_pipeline
+from orthomill.llm import mixing
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -13,3 +16,17 @@ def test_pipeline_links_from_similarity_080(spark):
     assert 0.80 < similarity(sets[0], sets[1]) < 0.85 and all(similarity(s, sets[2]) < 0.80 for s in sets[:2])
     docs = spark.createDataFrame([(i, " ".join(t), "en", "a", 1) for i, t in enumerate(texts)], SCHEMA)
     assert sorted(r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()) == [0, 2]
+
+
+def test_rows_with_repeated_and_null_ids_are_mixed_one_by_one(spark):
+    ids = [None] * 12 + [7] * 12 + list(range(100, 112))
+    rows = [(i, " ".join(f"r{n}w{w}" for w in range(5 + n % 9)), "en", "abc"[n % 3], n) for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    budget, words, of_row = {}, collections.Counter(), collections.Counter()
+    for r in mixing.mix_sources(docs).select("source", "target").distinct().collect():
+        budget[r.source] = round(r.target)
+    for r in mixing.mixed_rows(docs).collect():
+        words[r.source] += len(r.text.split())
+        of_row[r.text.split("w")[0], r.source] += len(r.text.split())
+    assert words == budget
+    assert all(of_row[f"r{n}", s] <= 2 * len(text.split()) for n, (_, text, _, s, _) in enumerate(rows))
