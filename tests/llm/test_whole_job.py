@@ -2,8 +2,12 @@
 
 import collections
 
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 import corpus_pipeline
-from orthomill.llm import mixing
+from orthomill.llm import mixing, pii
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -30,3 +34,21 @@ def test_rows_with_repeated_and_null_ids_are_mixed_one_by_one(spark):
         of_row[r.text.split("w")[0], r.source] += len(r.text.split())
     assert words == budget
     assert all(of_row[f"r{n}", s] <= 2 * len(text.split()) for n, (_, text, _, s, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("hidden", ["bob{@}example.com", "bob<@>example.com", "bob [ @ ] example.com", "bob { at } example.com", "bob < at > example.com", "bob [\tat\t] example.com", "bob(\t@ )example.com", "10{.}0{.}0{.}1", "10[ . ]0[ . ]0[ . ]1",
+                                    "five five five oh oh five five oh five five", "john @ example.com", "john @ mail.example.com", "john @ mail.example dot com"])
+def test_disguises_pass_the_gate(hidden):
+    text = f"write: {hidden}, now"
+    assert [text[a:b] for a, _, b in pii.find_spans(text)[1]] == [hidden]
+
+
+SIGNS = [*"ab1.-+,é[](){}<>@\t \n", " ", " ", "at", "AT", "dot", "Dot", " at ", " @ ", " dot ", "com", "one", "oh", "Six", "fİve", "ſeven", "а", "１", "\u200b"]
+
+
+@settings(max_examples=3000, deadline=None)
+@given(st.lists(st.sampled_from(SIGNS), max_size=14).map("".join))
+def test_gate_is_open_whenever_a_text_changes(text):
+    patterns = (pii.ODD, pii.BRACKET_AT, pii.BRACKET_DOT, pii.SPACED, pii.SPELLED_RUN)
+    assert pii.disguised(text) == any(p.search(text) for p in patterns)
+    assert pii.disguised(text) or pii.normalise(text).text == text
