@@ -4,9 +4,10 @@ Four detectors (email, ip, card, phone) run on the source text. Where a text sho
 disguise, transducers rewrite it: look-alike letters and digits, zero-width characters,
 bracketed or spaced "at" and "dot", and runs of spelled digits. Every character of the
 rewritten tape remembers the source range it came from, so a match on the tape maps to
-source offsets. Such spans are added where they overlap no span of the source text.
+source offsets. Such spans are added where they reach beyond every span of the source text;
+spans of the source text that they overlap stay in the list.
 
-Defined results: null and empty texts have no spans; spans of one kind never overlap;
+Defined results: null and empty texts have no spans; base spans of one kind never overlap;
 offsets count code points, ends exclusive; every input row gives one row, repeated rows
 included; an empty table gives an empty result; other columns are not read.
 """
@@ -147,7 +148,7 @@ def find_spans(text: str | None) -> tuple[list, list]:
     tape, added = normalise(text), []
     for start, kind, end in detect(tape.text):
         a, b = tape.starts[start], tape.ends[end - 1]
-        if text[a:b] != tape.text[start:end] and not any(a < e and s < b for s, _, e in base):
+        if text[a:b] != tape.text[start:end] and not any(s <= a and b <= e for s, _, e in base):
             added.append((a, kind, b))
     return base, sorted(base + added)
 
@@ -157,11 +158,11 @@ def listed(spans) -> str:
 
 
 def masked(text: str | None) -> str | None:
-    """The text with every span replaced by its kind; overlapping spans become one."""
+    """The text with every span replaced by its kind; overlapping spans become one, of the kind that starts first, the longest of those."""
     if not text:
         return text
     out, last = [], 0
-    for a, kind, b in find_spans(text)[1]:
+    for a, kind, b in sorted(find_spans(text)[1], key=lambda s: (s[0], -s[2])):
         if a >= last:
             out += [text[last:a], f"[{KINDS[kind].upper()}]"]
         last = max(last, b)

@@ -52,3 +52,12 @@ def test_gate_is_open_whenever_a_text_changes(text):
     patterns = (pii.ODD, pii.BRACKET_AT, pii.BRACKET_DOT, pii.SPACED, pii.SPELLED_RUN)
     assert pii.disguised(text) == any(p.search(text) for p in patterns)
     assert pii.disguised(text) or pii.normalise(text).text == text
+
+
+def test_disguises_around_base_spans_are_added():
+    cases = {"john (dot) smith@example.com": "smith@example.com", "bob@mail.example [dot] com": "bob@mail.example", "4111 1111 1111 1111 (at) shop.example": "4111 1111 1111 1111"}
+    for text, inner in cases.items():
+        base, spans = pii.find_spans(f"to {text}.")
+        assert inner in [text[a - 3 : b - 3] for a, _, b in base] and set(base) < set(spans)
+    assert pii.masked("to john (dot) smith@example.com, bob@mail.example [dot] com, a@b.co, 4111 1111 1111 1111 (at) shop.example.") == "to [EMAIL], [EMAIL], [EMAIL], [CARD]."
+    assert pii.find_spans("x@exаmple.com y@b.co")[1] == [(0, 0, 13), (14, 0, 20)]
