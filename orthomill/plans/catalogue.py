@@ -191,8 +191,8 @@ def lr_schedule(spark, sf_dir):
 
 @query("WITH s AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id) SELECT user_id, len(v) AS n, round(list_reduce(v, lambda a, x: 0.6::DOUBLE * a + 0.4::DOUBLE * x), 6) AS last FROM s")
 def ema_smooth(spark, sf_dir):
-    ordered = table(spark, sf_dir, "events").groupBy("user_id").agg(F.expr("transform(array_sort(collect_list(struct(ts, event_id, value))), x -> x.value)").alias("v"))
-    return ordered.select("user_id", F.size("v").cast("long").alias("n"), F.round(F.element_at(series.ema(F.col("v"), 0.6), -1), 6).alias("last"))
+    last = series.ema_last(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value", 0.6)
+    return last.select("user_id", "n", F.round("last", 6).alias("last"))
 
 
 @query("WITH p AS (SELECT vec_id, [embedding[i]::DOUBLE for i in range(1, 9)] AS g FROM embeddings) SELECT vec_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM (SELECT vec_id, (0.6::DOUBLE * g[2] - 0.8::DOUBLE * g[1]) * -0.8::DOUBLE AS x, (0.6::DOUBLE * g[2] - 0.8::DOUBLE * g[1]) * 0.6::DOUBLE AS y FROM p)")
