@@ -9,12 +9,12 @@ Both substring operators share these steps; a window is ``length`` consecutive u
 2. Occurrences of an anchor meet; of one task only the first two need to, as the others are
    known to have company. Equal contexts fold into one row with a count, so copies of a
    passage never meet pair by pair.
-3. Extension. Contexts of an anchor that differ are compared: each is extended to the left
-   and the right of the anchor as far as windows reach, all against all at once, by the
-   hashes of its windows. Windows that stand in two contexts, or in a context that occurs
-   twice, are repeats; touching ones merge into maximal repeats. An anchor with more than
-   ``HOT_CONTEXTS`` different contexts is never gathered in one task: its windows are dealt
-   out and counted by content instead.
+3. Extension. Contexts of an anchor that differ are sorted by what stands from the anchor on
+   and by what stands before it. Neighbours in these orders are extended from the anchor both
+   ways, unit by unit, and joining them by falling length gives each context's maximal repeats;
+   those of ``length`` units or more count. A context that occurs twice is a repeat as a whole.
+   An anchor with more than ``HOT_CONTEXTS`` different contexts is never gathered in one task:
+   its windows are dealt out and counted by content instead.
 4. The repeats go back to their documents, which lose the units they cover.
 
 Rows are known by their id and the hash of their text, so repeated rows, repeated ids and
@@ -24,6 +24,7 @@ null ids are handled: equal rows count as occurrences of each other.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect
 
 import numpy as np
 import pyarrow as pa
@@ -193,34 +194,120 @@ def window_keys(anchor: np.ndarray, reach: np.ndarray, bodies: list[bytes], unit
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def repeated_in_group(anchor: np.ndarray, reach: np.ndarray, bodies: list[bytes], unit: str, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows found in two contexts, as (context number, first, last) runs of window numbers."""
-    which, step, key = window_keys(anchor, reach, bodies, unit, length)
-    order = np.argsort(key)
-    same = key[order][1:] == key[order][:-1]
-    twice = np.zeros(len(key), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    hit = np.flatnonzero(twice)
-    if not len(hit):
-        return hit, hit, hit
-    cut = np.flatnonzero((np.diff(hit) != 1) | (np.diff(which[hit]) != 0))
-    a, b = hit[np.concatenate([[0], cut + 1])], hit[np.concatenate([cut, [len(hit) - 1]])]
-    return which[a], step[a], step[b]
+def padded(units: np.ndarray, start: np.ndarray, size: np.ndarray, step: int) -> np.ndarray:
+    """A row per context: ``size`` units from ``start`` on, forwards or backwards, and zeros after them."""
+    at = np.arange(int(size.max(initial=0)))
+    return np.where(at < size[:, None], units[np.clip(start[:, None] + step * at, 0, max(0, len(units) - 1))], units.dtype.type(0))
 
 
-def extended(bodies: DataFrame, unit: str, length: int, group=None) -> DataFrame:
+def sorted_order(group: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """For each side, its rows in order of group and content; a row that another begins with comes first."""
+    out = []
+    for rows, size in sides:
+        keys = np.ascontiguousarray(np.column_stack([group.astype(np.uint64), rows.astype(np.uint64), size.astype(np.uint64)]).astype(">u8"))
+        out.append(np.argsort(keys.view(f"V{keys.shape[1] * 8}").ravel(), kind="stable"))
+    return out
+
+
+def common_lengths(order: np.ndarray, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many units each row in order shares with the one before it."""
+    a, b = order[:-1], order[1:]
+    differ = np.column_stack([rows[a] != rows[b], np.ones(len(a), bool)])
+    return np.concatenate([[0], np.minimum(differ.argmax(axis=1), np.minimum(size[a], size[b]))])
+
+
+def least_of_range(values: list[int]):
+    """A function (a, b) -> min(values[a + 1 .. b]) for a < b."""
+    levels = [values]
+    while 2 << len(levels) - 1 <= len(values):
+        half, last = 1 << len(levels) - 1, levels[-1]
+        levels.append(list(map(min, last[:-half], last[half:])))
+
+    def least(a: int, b: int) -> int:
+        k = (b - a).bit_length() - 1
+        return min(levels[k][a + 1], levels[k][b + 1 - (1 << k)])
+
+    return least
+
+
+def maximal_repeats(right: list[int], left_rank: list[int], left: list[int], length: int) -> list[tuple[int, int, int]]:
+    """(member, units to the left, units from the anchor on) of repeats of at least ``length`` units, the maximal ones among them.
+
+    Members of one anchor are in order of what stands from the anchor on; ``right`` is what each
+    shares with the one before it, ``left`` the same for the order by what stands before the
+    anchor, read backwards, in which member i has place ``left_rank[i]``. Runs of members join at
+    falling ``right``. When two join, a member can only gain from its neighbours by left place in
+    the other run: others share less to the left, and no more to the right. The smaller run's
+    places are put into the larger one's, so m members take about m log(m) steps, never m * m.
+    """
+    least, member = least_of_range(left), {place: i for i, place in enumerate(left_rank)}
+    run, places = list(range(len(right))), [[x] for x in left_rank]
+    reach, found = max(left, default=0), []
+    for at in sorted(range(1, len(right)), key=lambda i: -right[i]):
+        share = right[at]
+        if share + reach < length:
+            break
+        small, large = run[at - 1], run[at]
+        if len(places[small]) > len(places[large]):
+            small, large = large, small
+        into = places[large]
+        for place in places[small]:
+            i = bisect(into, place)
+            for other in into[max(0, i - 1) : i + 1]:
+                back = least(min(place, other), max(place, other))
+                if back + share >= length:
+                    found += [(member[place], back, share), (member[other], back, share)]
+        for place in places[small]:
+            run[member[place]] = large
+        places[large] = sorted(into + places[small])
+        places[small] = []
+    return found
+
+
+def repeated_in_group(anchor: np.ndarray, reach: np.ndarray, bodies: list[bytes], unit: str, length: int, orders=sorted_order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal repeats among the contexts of each anchor, as (context number, first, last) runs of window numbers.
+
+    Equal anchors stand together. Each context is extended from its anchor both ways against
+    those next to it in order; ``orders`` sorts the contexts by what stands on either side.
+    """
+    raw = b"".join(bodies)
+    units = np.frombuffer(raw, np.uint8 if unit == "byte" else np.uint64)
+    size = np.array([len(x) for x in bodies], np.int64) // units.itemsize
+    far, base = reach >> 16, np.cumsum(size) - size
+    group = np.cumsum(np.concatenate([[0], anchor[1:] != anchor[:-1]])).astype(np.int64)
+    sides = [(padded(units, base + far, size - far, 1), size - far), (padded(units, base + far - 1, far, -1), far)]
+    by_right, by_left = orders(group, sides)
+    right, left = (common_lengths(o, *side) for o, side in zip((by_right, by_left), sides))
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    members = np.diff(np.append(start, len(group)))
+    left_place = np.empty(len(group), np.int64)
+    left_place[by_left] = np.arange(len(group))
+    # both orders keep groups together, in the same places
+    two = start[members == 2] + 1
+    two = two[right[two] + left[two] >= length]
+    found = [(np.repeat(by_right[two], 2), np.repeat(left[two], 2), np.repeat(right[two], 2))]
+    found[0][0][1::2] = by_right[two - 1]
+    for a, n in zip(start[members > 2].tolist(), members[members > 2].tolist()):
+        hits = maximal_repeats(right[a : a + n].tolist(), (left_place[by_right[a : a + n]] - a).tolist(), left[a : a + n].tolist(), length)
+        if hits:
+            i, back, share = np.array(sorted(set(hits))).T
+            found.append((by_right[a + i], back, share))
+    which, back, share = (np.concatenate(x) for x in zip(*found))
+    return which, far[which] - back, far[which] + share - length
+
+
+def extended(bodies: DataFrame, unit: str, length: int, orders=sorted_order) -> DataFrame:
     """Repeated windows of contexts that occur once, as runs counted from the context's start.
 
     Rows are sorted by anchor; whole groups are taken together up to ``BATCH_BYTES``.
     """
-    compare, budget = group or repeated_in_group, BATCH_BYTES
+    budget = BATCH_BYTES
     names = ["anchor", "ctx", "reach", "runs"]
 
     def work(rows):
         rows = [r for i, r in enumerate(rows) if not i or r[:3] != rows[i - 1][:3]]  # the same row of a repeated document
         anchor, reach = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        which, first, last = compare(anchor, reach, [r[4] for r in rows], unit, length)
+        which, first, last = repeated_in_group(anchor, reach, [r[4] for r in rows], unit, length, orders)
         runs: dict[int, list[int]] = {}
         for w, a, b in zip(which.tolist(), first.tolist(), last.tolist()):
             if rows[w][3] == 1:
@@ -272,7 +359,7 @@ def counted(bodies: DataFrame, unit: str, length: int) -> DataFrame:
     return windows.withColumn("met", met).filter("n = 1 and (met > 1 or known)").select("anchor", "ctx", "reach", F.array("step", "step").alias("runs"))
 
 
-def covered_documents(docs: DataFrame, unit: str, length: int, k: int, id_col="doc_id", text_col="text", group=None) -> DataFrame:
+def covered_documents(docs: DataFrame, unit: str, length: int, k: int, id_col="doc_id", text_col="text", orders=sorted_order) -> DataFrame:
     """doc_id, text and ``spans``: the repeated stretches [start, stop, ...] in units, null if none."""
     source = keyed(docs, id_col, text_col)
     seen = occurrences(source, unit, length, k)
@@ -285,7 +372,7 @@ def covered_documents(docs: DataFrame, unit: str, length: int, k: int, id_col="d
         wanted = folded.join(anchors.select("anchor"), "anchor", "left_semi").select("anchor", "ctx", "reach", "n", "rep.*")
         return contexts(source, wanted, unit, length)
 
-    partly = extended(around(several.filter(F.col("count") <= HOT_CONTEXTS)), unit, length, group)
+    partly = extended(around(several.filter(F.col("count") <= HOT_CONTEXTS)), unit, length, orders)
     hot = several.filter(F.col("count") > HOT_CONTEXTS)
     if not hot.isEmpty():
         partly = partly.unionByName(counted(around(hot), unit, length))

@@ -1,14 +1,16 @@
 """Substring dedup on bytes, with suffix groups from linear grouping construction.
 
 Seeds and contexts come from ``repeats``. In each task the contexts of many anchors form one
-text of symbols: an anchor's symbol, then a symbol for each 64-byte block to its right, then
-a separator. ``suffix_array`` sorts it by grouping: groups of suffixes, which share their
-Lyndon prefix, are processed in descending order, each suffix passes its rank to the previous
-smaller one, and a second pass emits the order inside the groups; nothing is renamed or
-solved recursively. Suffixes that begin with one anchor's symbol are neighbours in it, sorted
-by how they go on; these intervals are the copy groups, whose windows of ``window`` bytes are
-then compared exactly. Sorting every byte's suffix that way in Python would cost several
-microseconds a byte; sorted are anchors and blocks of contexts that differ.
+text of symbols: for either side of a context its anchor's symbol, then a symbol for each
+64-byte block away from the anchor, in byte order, and a separator. ``suffix_array`` sorts it by
+grouping: groups of suffixes, which share their Lyndon prefix, are processed in descending
+order, each suffix passes its rank to the previous smaller one, and a second pass emits the
+order inside the groups; nothing is renamed or solved recursively. The suffixes that begin with
+an anchor's symbol are its contexts in order; the bytes that neighbours share, to the right and
+to the left, decide which strings of ``window`` bytes are repeats (``maximal_repeats``). Blocks
+keep the text short, as Python takes several microseconds a symbol; shared lengths are
+compared byte by byte. Only anchors with more than ``repeats.HOT_CONTEXTS`` different contexts
+have their windows counted by content instead.
 
 Defined results: null texts are empty; texts shorter than a window lose nothing; overlapping
 copies inside one document count; equal rows remove each other's bytes; cuts may fall inside
@@ -21,8 +23,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import U64, mix, table
-from .repeats import BYTE_HASH, Runs, covered_documents, in_slices, repeated_in_group, without_repeats
+from .common import table
+from .repeats import covered_documents, without_repeats
 
 BLOCK = 64
 
@@ -86,38 +88,26 @@ def suffix_array(text: list[int]) -> list[int]:
     return out
 
 
-def by_suffix_groups(anchor: np.ndarray, reach: np.ndarray, bodies: list[bytes], unit: str, length: int):
-    """``repeated_in_group`` on the anchor intervals of the suffix array of all contexts."""
-    size = np.array([len(x) for x in bodies])
-    far = reach >> 16  # how far into its context each anchor stands
-    blocks = (size - far) // BLOCK
-    owner = np.repeat(np.arange(len(bodies)), blocks)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    content = []
-    for lo, hi in in_slices(bodies):
-        runs = Runs(BYTE_HASH[np.frombuffer(b"".join(bodies[lo:hi]), np.uint8)])
-        mine = (owner >= lo) & (owner < hi)
-        begin = (np.cumsum(size[lo:hi]) - size[lo:hi] + far[lo:hi])[owner[mine] - lo] + step[mine] * BLOCK
-        content.append(runs.of(begin, begin + BLOCK) | U64(1))  # blocks are odd, anchors even: they never share a symbol
-    symbols = np.zeros(int((blocks + 2).sum()), U64)
-    head = np.cumsum(blocks + 2) - (blocks + 2)
-    symbols[head] = mix(anchor.view(np.uint64)) & ~U64(1) | U64(2)
-    symbols[np.repeat(head, blocks) + 1 + step] = np.concatenate(content)
-    _, rank = np.unique(symbols, return_inverse=True)  # separators are 0 and rank lowest
-    suffixes = np.array(suffix_array([*(rank + 1).tolist(), 0]))
-    at_head = np.full(len(symbols) + 1, -1)
-    at_head[head] = np.arange(len(bodies))
-    sorted_contexts = at_head[suffixes]
-    sorted_contexts = sorted_contexts[sorted_contexts >= 0]
-    first = anchor[sorted_contexts]
-    interval = np.cumsum(np.concatenate([[0], first[1:] != first[:-1]])).astype(np.int64)
-    which, a, b = repeated_in_group(interval, reach[sorted_contexts], [bodies[i] for i in sorted_contexts], unit, length)
-    return sorted_contexts[which] if len(which) else which, a, b
+def suffix_order(group: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """``repeats.sorted_order`` from one suffix array of the blocks of both sides of all contexts."""
+    blocks = [[row[i : min(i + BLOCK, n)] for i in range(0, n, BLOCK)] for rows, size in sides for row, n in zip(map(bytes, rows), size.tolist())]
+    groups = int(group.max(initial=-1)) + 1
+    # 0 ends the text and 1 a context; then the anchors, a symbol for each and side, and the blocks in byte order
+    symbol = {block: i for i, block in enumerate(sorted({b for row in blocks for b in row}), 2 + groups * len(sides))}
+    text, heads = [], []
+    for i, row in enumerate(blocks):
+        side, context = divmod(i, len(group))
+        heads.append(len(text))
+        text += [2 + side * groups + int(group[context]), *map(symbol.__getitem__, row), 1]
+    number = np.full(len(text) + 1, -1)
+    number[heads] = np.arange(len(blocks))
+    found = number[np.array(suffix_array([*text, 0]))]
+    return list(found[found >= 0].reshape(len(sides), -1) % max(1, len(group)))
 
 
 def remove_repeated_bytes(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 400, seed: int = 24, texts: bool = False) -> DataFrame:
     """doc_id, n, n_removed, n_spans, kept_sha256 and optionally the kept text (broken characters dropped)."""
-    return without_repeats(covered_documents(docs, "byte", window, seed, id_col, text_col, by_suffix_groups), "byte", window, texts)
+    return without_repeats(covered_documents(docs, "byte", window, seed, id_col, text_col, suffix_order), "byte", window, texts)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
