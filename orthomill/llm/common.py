@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors and the driver share; a temporary one only where the session names none."""
+    """Folder all executors and the driver share; where the session names none, a temporary one if all run in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _UNSET_DIR:
         _UNSET_DIR[app] = "file://" + tempfile.mkdtemp(prefix="spark-orthomill-")
@@ -36,6 +39,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*written: DataFrame) -> None:
+    """Delete tables of ``materialize`` that no later step reads, their lost tasks included."""
+    for df in written:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+        if path is not None and path.getName().startswith("orthomill-"):
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,6 +55,12 @@ def text_or_empty(col) -> F.Column:
     return F.coalesce(col.cast("string"), F.lit(""))
 
 
+def sampled(ident, n: int, sample: int):
+    """Whether a row's id is among about ``sample`` of ``n`` ids: all of them, or those with a small hash."""
+    share = 1_000_000 if n <= sample else 1_000_000 * sample // n
+    return F.pmod(F.xxhash64(F.lit("sample"), ident), F.lit(1_000_000)) < share
+
+
 class WordHashes(dict):
     """word bytes -> 64-bit hash, remembered; forgets everything once ``limit`` words are held."""
 

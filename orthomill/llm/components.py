@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -13,7 +13,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Every round lets each node's root hook onto the smallest root next to it and then shortens
     the pointers, so chains need a logarithmic number of rounds. All steps are partial
-    aggregates and equi-joins; a node with very many edges is aggregated before the shuffle.
+    aggregates and equi-joins of written tables, one side of which has a row per node, so adaptive
+    execution can split a root or node that very many rows have; each round's tables go after it.
     Null ends and loops are ignored; repeated edges change nothing.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null and u <> v")
@@ -31,6 +32,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         hooks = materialize(open_edges.groupBy("node").agg(F.min("hook").alias("hook")))
         flat = jumped.join(up.filter("root <> upper").select(F.col("root").alias("r2")), F.col("root") == F.col("r2"), "left_semi").isEmpty()
         if hooks.isEmpty() and flat:
+            discard(pairs, roots, hooks)
             return jumped
-        roots = materialize(jumped.join(hooks, "node", "left").select("node", F.least("root", F.coalesce("hook", "root")).alias("root")))
+        before, roots = roots, materialize(jumped.join(hooks, "node", "left").select("node", F.least("root", F.coalesce("hook", "root")).alias("root")))
+        discard(before, jumped, hooks)
     raise RuntimeError("components did not settle")

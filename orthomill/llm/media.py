@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import table, text_or_empty
 
 WIDTH, ROWS = 64, 1024
-GRAY = bytes(v for i in range(256) for v in (i, i, i))
+#: Colour i has 8 levels of red and green, in its highest and next three bits, and 4 of blue, in its lowest two.
+PALETTE = bytes(v for i in range(256) for v in ((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 85))
 
 
 @lru_cache(maxsize=16)
@@ -126,7 +127,7 @@ def lzw_decode(data: bytes, bits: int, limit: int) -> bytes:
     return b"".join(out)[:limit]
 
 
-def write_gif(frames: list[dict], width: int, height: int, palette: bytes = GRAY) -> bytes:
+def write_gif(frames: list[dict], width: int, height: int, palette: bytes = PALETTE) -> bytes:
     """frames: dicts with indices, width, height and optionally left, top, delay, disposal, transparent, palette."""
     bits = max(1, (len(palette) // 3 - 1).bit_length())
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0x80 | 7 << 4 | bits - 1, 0, 0), palette.ljust(3 << bits, b"\0")]
@@ -239,11 +240,7 @@ def media_frames(media: DataFrame, id_col="doc_id", media_col="media") -> DataFr
     def run(batches):
         for b in batches:
             for i, m in enumerate(b.column(1)):  # a batch per file: frames may be large
-                width, height, frames = read_gif(m.as_py() or b"")
-                rows, at = [], 0
-                for n, (f, rgba) in enumerate(zip(frames, compose(width, height, frames))):
-                    rows.append((n, at, f["delay"] * 10, width, height, rgba.tobytes(), histogram(rgba)))
-                    at += f["delay"] * 10
+                rows = [(*row[:5], row[5].tobytes(), row[6]) for row in timed_frames(*read_gif(m.as_py() or b""))]
                 cols = list(zip(*rows)) or [()] * 7
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(rows), pa.int32())), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names)
 
@@ -251,26 +248,34 @@ def media_frames(media: DataFrame, id_col="doc_id", media_col="media") -> DataFr
 
 
 def as_gif(payload: bytes) -> bytes:
-    """A payload of a multiple of 64 bytes as the samples of 64 pixel wide grey frames."""
+    """A payload of a multiple of 64 bytes as the samples of 64 pixel wide frames."""
     step = WIDTH * ROWS
     parts = [payload[i : i + step] for i in range(0, len(payload), step)]
     return write_gif([{"indices": p, "width": WIDTH, "height": len(p) // WIDTH} for p in parts], WIDTH, len(parts[0]) // WIDTH)
 
 
-def digest(text: str | None) -> tuple:
+def payload_of(text: str | None) -> tuple[bytes, int]:
+    """The text's bytes, filled up with zeros to a positive multiple of 64, and how many are the text's."""
     data = (text or "").encode("utf-8", "surrogatepass")
-    payload = data + b"\0" * (-len(data) % WIDTH or (0 if data else WIDTH))
+    return data + b"\0" * (-len(data) % WIDTH or (0 if data else WIDTH)), len(data)
+
+
+def timed_frames(width: int, height: int, frames: list[dict]):
+    """(number, start in ms, duration in ms, width, height, composed RGBA, colour histogram) of each frame."""
+    at = 0
+    for n, (f, rgba) in enumerate(zip(frames, compose(width, height, frames))):
+        yield n, at, f["delay"] * 10, width, height, rgba, histogram(rgba)
+        at += f["delay"] * 10
+
+
+def digest(text: str | None) -> tuple:
+    """What the stored form of a text holds; the feature lists its frames: start+duration in ms and pixels by colour cell."""
+    payload, n = payload_of(text)
     media = as_gif(payload)
     width, height, frames = read_gif(media)
     back = b"".join(f["indices"] for f in frames)
-    # the histogram of the composed pictures: later frames may leave rows of earlier ones on show
-    shown, grey, left = np.zeros(4, np.int64), np.zeros((height, width), np.uint8), 0
-    for f in frames:
-        grey[: f["height"]] = np.frombuffer(f["palette"], np.uint8)[::3][np.frombuffer(f["indices"], np.uint8)].reshape(f["height"], f["width"])
-        shown += np.bincount((grey >> 6).ravel(), minlength=4)
-        left += f["delay"] * 10
-    feature = f"{width}x{height};frames={len(frames)};ms={left};grey=" + "/".join(map(str, shown))
-    return len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    shown = [f"{at}+{ms}:" + ",".join(f"{cell}={pixels}" for cell, pixels in enumerate(cells) if pixels) for _, at, ms, _, _, _, cells in timed_frames(width, height, frames)]
+    return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{width}x{height};" + ";".join(shown)
 
 
 def stored_texts(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -286,5 +291,36 @@ def stored_texts(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
     return src.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def text_media(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """doc_id and media: each whole text as a GIF."""
+    src = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([as_gif(payload_of(t.as_py())[0]) for t in b.column(1)], pa.binary())], ["doc_id", "media"])
+
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, media binary")
+
+
+def gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame of every stored text with its time, and the pixels it shows by colour cell (a row per cell that has any)."""
+    frames = media_frames(text_media(table(spark, sf_dir, "documents"))).select("doc_id", "frame", "start_ms", "duration_ms", "width", "height", F.posexplode("histogram").alias("cell", "pixels"))
+    return frames.filter("pixels > 0")
+
+
+#: A pixel shows its frame's sample, or where the last frame has no row the one before it. Cells follow from the palette's rule.
+GIF_FRAMES_SQL = """
+WITH p AS (SELECT doc_id, CASE WHEN octet_length(b) = 0 THEN repeat('00', 64) ELSE hex(b) || repeat('00', ((64 - octet_length(b) % 64) % 64)::INT) END AS x
+           FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)),
+n AS (SELECT doc_id, x, (length(x) // 2)::BIGINT AS n, least(65536, length(x) // 2)::BIGINT AS area FROM p),
+f AS (SELECT doc_id, x, n, area, unnest(range(0, (n + 65535) // 65536)) AS frame FROM n),
+q AS (SELECT doc_id, frame, area, x, n, unnest(range(0, area)) AS pos FROM f),
+v AS (SELECT doc_id, frame, area, ('0x' || substr(x, (2 * (CASE WHEN 65536 * frame + pos < n THEN 65536 * frame + pos ELSE 65536 * (frame - 1) + pos END) + 1)::BIGINT, 2))::INT AS i FROM q)
+SELECT doc_id, frame::INT AS frame, frame * 40 AS start_ms, 40::BIGINT AS duration_ms, 64 AS width, (area // 64)::INT AS height,
+       (((i >> 5) * 255 // 7 >> 6) * 16 + (((i >> 2) & 7) * 255 // 7 >> 6) * 4 + ((i & 3) * 85 >> 6))::INT AS cell, count(*)::BIGINT AS pixels
+FROM v GROUP BY doc_id, frame, area, cell
+"""
+
+
 def op10_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_texts(table(spark, sf_dir, "documents"))

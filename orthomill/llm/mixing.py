@@ -1,6 +1,6 @@
 """Mix sources to target weights with DataFrame functions only.
 
-Each document gets a hash-random key. Keys cut every source into ranges of about
+Each document gets a hash-random key of its id and text. Keys cut every source into ranges of about
 ``range_rows`` documents; token counts are summed per range, ranges are prefix-summed,
 and inside a range a window adds the documents before it, so no task holds a source.
 The cut falls exactly on each source's budget: whole epochs first, then documents in key
@@ -8,8 +8,9 @@ order, the last one in part.
 
 Defined results: null or blank texts have size 0 and nothing is taken from them; a null
 source is a source of its own and comes last; sources without words get target 0; an
-empty table gives an empty result; repeated rows are separate documents; other columns
-of the input, whatever their names, are not read.
+empty table gives an empty result; repeated rows are separate documents, and so are rows of
+one or no id; between equal rows any order will do, as they are the same; other columns of
+the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -53,10 +54,10 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = 1.5, max_ep
 
 
 def sized_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", seed="mix", row_col=None) -> DataFrame:
-    """doc_id, source, size in words, a 60-bit hash-random key, and the row's number where ``row_col`` has one."""
-    ident = F.col(id_col)
-    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), ident.cast("string"))), 1, 15), 16, 10).cast("long")
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    """doc_id, source, size in words, a 60-bit hash-random key of id and text, and the row's number where ``row_col`` has one."""
+    ident, text = F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), ident.cast("string"), F.md5(text))), 1, 15), 16, 10).cast("long")
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
     number = [F.col(row_col).alias("row")] if row_col else []
     return docs.select(ident.alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"), *number)
 
@@ -65,21 +66,24 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
                 max_epochs: float = 2.0, seed: str = "mix", range_rows: int = 4096, row_col: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, before (words of the source ahead in key order), epochs, part, taken.
 
-    With ``row_col``, unique row numbers, also row; it decides between rows of the same id and size.
+    With ``row_col``, unique row numbers, also row; it decides between rows of the same id and text.
+    Rows without words have nothing to order: they pass by the windows, with before 0.
     """
     sized = materialize(sized_documents(docs, id_col, text_col, source_col, seed, row_col))
     number = ["row"] if row_col else []
     targets = source_targets(sized, weights, share, max_epochs)
     # one row per source: hashed joins with AQE; small source tables are broadcast by size
     ranges = F.ceil(F.col("rows") / F.lit(range_rows))
-    keyed = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
-    keyed = keyed.withColumn("range", F.floor(F.col("key") / F.lit(float(1 << 60)) * ranges).cast("long"))
+    known = sized.join(targets, sized["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    keyed = known.filter("size > 0").withColumn("range", F.floor(F.col("key") / F.lit(float(1 << 60)) * ranges).cast("long"))
     sums = keyed.groupBy("rank", "range").agg(F.sum("size").alias("range_size"))
     ahead = W.partitionBy("rank").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(F.col("rank").alias("r_rank"), F.col("range").alias("r_range"), F.coalesce(F.sum("range_size").over(ahead), F.lit(0)).alias("range_start"))
     inside = W.partitionBy("rank", "range").orderBy("key", "doc_id", "size", *number).rowsBetween(W.unboundedPreceding, -1)
     placed = keyed.join(starts, (F.col("rank") == F.col("r_rank")) & (F.col("range") == F.col("r_range")))
     placed = placed.withColumn("before", F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    names = ["doc_id", "source", "size", "source_size", "target", "before", *number]
+    placed = placed.select(*names).unionByName(known.filter("size = 0").withColumn("before", F.lit(0).cast("long")).select(*names))
     budget = F.rint("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size")
@@ -91,19 +95,20 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
 def mixed_rows(docs: DataFrame, **kwargs) -> DataFrame:
     """The mix as rows of ``docs``: one copy per epoch, and the part that the budget's cut leaves of one document.
 
-    Rows are numbered and written first, so that each meets its own row of the mix, whatever its id.
+    Rows are numbered and written first, so that each meets its own row of the mix, whatever its
+    id; they travel as one struct, so columns of any name are safe.
     """
-    named = docs.columns
-    numbered = materialize(docs.withColumn("_mix_row", F.monotonically_increasing_id()))
-    mixed = mix_sources(numbered, row_col="_mix_row", **kwargs).filter("taken > 0")
-    mixed = mixed.select(F.col("row").alias("_mix_row"), F.col("size").alias("_mix_size"), F.col("epochs").alias("_mix_epochs"), F.col("part").alias("_mix_part"))
-    joined = numbered.join(mixed, "_mix_row")
-    whole = F.sequence(F.lit(1), (F.col("_mix_epochs") + (F.col("_mix_part") > 0).cast("long")).cast("int"))
-    copies = joined.select("*", F.explode(whole).alias("_mix_copy"))
-    words = F.regexp_extract_all(F.col("text"), F.lit("(" + WORD + ")"), F.lit(1))
-    cut = (F.col("_mix_copy") > F.col("_mix_epochs")) & (F.col("_mix_part") < F.col("_mix_size"))
-    text = F.when(cut, F.array_join(F.slice(words, 1, F.col("_mix_part").cast("int")), " ")).otherwise(F.col("text"))
-    return copies.select(*[(text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col(c)).alias(c) for c in named])
+    numbered = materialize(docs.select(F.struct(*docs.columns).alias("given"), F.monotonically_increasing_id().alias("row")))
+    plain = numbered.select(*[F.col("given").getField(kwargs.get(f"{c}_col", d)).alias(c) for c, d in (("id", "doc_id"), ("text", "text"), ("source", "source"))], "row")
+    mixed = mix_sources(plain, "id", "text", "source", row_col="row", **{k: v for k, v in kwargs.items() if not k.endswith("_col")}).filter("taken > 0")
+    joined = numbered.join(mixed.select("row", "size", "epochs", "part"), "row")
+    copies = joined.select("given", "size", "epochs", "part", F.explode(F.sequence(F.lit(1), (F.col("epochs") + (F.col("part") > 0).cast("long")).cast("int"))).alias("copy"))
+    text_col = kwargs.get("text_col", "text")
+    given = lambda c: F.col("given").getField(c)
+    words = F.regexp_extract_all(given(text_col), F.lit("(" + WORD + ")"), F.lit(1))
+    cut = (F.col("copy") > F.col("epochs")) & (F.col("part") < F.col("size"))
+    text = F.when(cut, F.array_join(F.slice(words, 1, F.col("part").cast("int")), " ")).otherwise(given(text_col))
+    return copies.select(*[(text if c == text_col else F.length(text).cast("long") if c == "n_chars" else given(c)).alias(c) for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +118,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP8_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('mix:' || doc_id::VARCHAR), 1, 15))::BIGINT AS key FROM documents),
+         ('0x' || substr(md5('mix:' || doc_id::VARCHAR || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS key FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sized GROUP BY source),
 w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight FROM per),
 b AS (SELECT *, sum(source_size) OVER () AS all_size, sum(weight) OVER () AS all_weight,

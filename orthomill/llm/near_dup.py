@@ -7,7 +7,7 @@
    soon as every place holds a value below the next level (early stopping).
 2. Texts with the same set fold into one class at once, so copies never multiply.
 3. Bands of signature places meet in buckets; a bucket links its members to its smallest
-   class only, never pair by pair. Buckets chain into candidate clusters.
+   class only (in two steps, part by part), never pair by pair. Buckets chain into candidate clusters.
 4. Inside a cluster all full sets are compared exactly: a 0/1 matrix of the shingles that two
    or more texts have, times its transpose, gives all intersections. Large clusters are cut
    into blocks by hash and pairs of blocks are compared, so a task holds two blocks at most.
@@ -27,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import U64, WordHashes, chunks_by_bytes, grams, materialize, mix, table, word_hashes
 from .components import connected_components
@@ -34,6 +35,7 @@ from .components import connected_components
 PLACES, ROWS = 96, 4
 #: Chance to miss a pair at similarity s with b bands of r places: (1 - s ** r) ** b, 2e-8 at 0.85 (24 bands of 4).
 BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
+BUCKET_PARTS = 64
 
 
 def shingle_sets(texts: list[bytes], k: int, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -207,9 +209,11 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k: int =
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
     # classes of equal sets; the smallest id stands for its class
     classes = materialize(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    keys = classes.select("rep", "n", F.explode("bands").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).filter("hub < last").select("key", "hub")
-    candidates = keys.join(hubs, "key").filter("rep <> hub").select("rep", "hub").distinct()
+    # a bucket's members link to the smallest of their part of it, and the parts' smallest ones to the bucket's, so a hot bucket is spread
+    keys = classes.select("rep", F.explode("bands").alias("key")).withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(BUCKET_PARTS)))
+    parts = keys.select("rep", "key", F.min("rep").over(W.partitionBy("key", "part")).alias("hub"))
+    heads = parts.filter("rep = hub").select("rep", F.min("rep").over(W.partitionBy("key")).alias("hub"))
+    candidates = parts.select("rep", "hub").unionByName(heads).filter("rep <> hub").distinct()
     clusters = connected_components(candidates, "rep", "hub")
     sized = clusters.join(classes.select(F.col("rep").alias("node"), "n"), "node")
     totals = sized.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
@@ -219,7 +223,9 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k: int =
     links = verified_links(full_sets(texts.join(members, "doc_id"), k), percent)
     groups = connected_components(links).select(F.col("node").alias("rep"), F.col("root").alias("group"))
     named = classes.select("d1", "d2", "rep").join(groups, "rep", "left").select("d1", "d2", F.coalesce("group", "rep").alias("group"))
-    placed = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("d1")).alias("d1"), F.when(F.col("n_shingles") > 0, F.col("d2")).alias("d2")).join(named, ["d1", "d2"], "left")
+    # texts without shingles are in no class, so they don't meet in the join
+    placed = signed.filter("n_shingles > 0").select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left").select("doc_id", "n_shingles", "group")
+    placed = placed.unionByName(signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("group")))
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("group", "doc_id"))
     return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

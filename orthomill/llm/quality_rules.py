@@ -1,13 +1,16 @@
 """Quality rules with risk-controlled cutoffs.
 
-Every rule measures how junk-like a text is. Per stratum (language) and rule, each grid
-cutoff is tested on the labelled good documents: the hypothesis "it rejects more than
-``alpha / rules`` of them" is refuted if the exact binomial lower tail is at most
-``delta / tests``, where ``tests`` counts all strata, rules and grid cutoffs (Bonferroni).
-Among the proven cutoffs the one with the largest gap between rejected bad and rejected
-good documents is taken, the loosest on ties; without a proven or useful one the rule
-stays off in that stratum. By the union bound at most ``alpha`` of a stratum's good
-documents are falsely rejected, with confidence ``1 - delta``.
+Every rule measures how junk-like a text is. Labelled rows are dealt into two parts by a hash
+of their id. In each stratum (language) the first part orders the tightening steps: starting
+with all rules off, the rule whose next grid cell has the most bad documents for its good
+ones lowers its cutoff. Along this fixed path the second part, the holdout, tests step by step the
+hypothesis "more than ``alpha`` of the good documents are rejected by all rules together": it is
+refuted if the exact binomial lower tail is at most ``delta / strata``. The first step that isn't
+refuted ends the tests (fixed-sequence testing needs no correction for the steps; strata are
+corrected by Bonferroni). So with confidence ``1 - delta`` at most ``alpha`` of the good documents
+of every stratum are falsely rejected, whichever proven step is taken. Taken is the one
+whose share of bad documents, less ``price`` times its share of good ones, is largest in the holdout, the
+earliest on ties; without a proven or useful step all rules stay off in that stratum.
 
 Defined results: null and blank texts have no words and fail the base rule; a null
 stratum is a stratum of its own; unlabelled or null labels are not used; without labels
@@ -91,41 +94,77 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
 
 
-def choose_cutoff(good: list[int], bad: list[int], alpha: float, level: float) -> float | None:
-    """``good[c]`` and ``bad[c]``: documents whose ratio lies in grid cell c. The cutoff is a cell's lower edge."""
+def tightening_path(cells: dict[str, dict[int, tuple[int, int]]], grid: int) -> list[tuple[str, int]]:
+    """(rule, grid cell) steps: each lowers that rule's cutoff to the cell. ``cells`` has (bad, good) documents by rule and cell.
+
+    A rule's next cell is its highest one below its cutoff that has documents; cell 0 is never rejected.
+    """
+    left = {r: sorted((c for c in cells.get(r, ()) if c), reverse=True) for r in RULES}
+    path = []
+    while any(left.values()):
+        # the most bad documents for each good one; RULES decides between equal ones
+        rule = min((r for r in RULES if left[r]), key=lambda r: (-(cells[r][left[r][0]][0] + 0.5) / (cells[r][left[r][0]][1] + 0.5), RULES.index(r)))
+        path.append((rule, left[rule].pop(0)))
+    return path
+
+
+def proven_step(good: list[int], bad: list[int], alpha: float, level: float, price: float) -> int:
+    """How many steps of a path are taken. ``good[i]`` and ``bad[i]``: holdout documents that step i + 1 rejects first; the last entries, those that none does."""
     n_good, n_bad = sum(good), sum(bad)
-    best, cutoff = 0.0, None
+    best, steps = 0.0, 0
     over_good = over_bad = 0
-    for cell in range(len(good) - 1, 0, -1):
-        over_good += good[cell]
-        over_bad += bad[cell]
+    for i in range(len(good) - 1):
+        over_good += good[i]
+        over_bad += bad[i]
         if not n_good or binomial_tail(over_good, n_good, alpha) > level:
-            break  # more rejections only raise the tail
-        gap = over_bad / max(n_bad, 1) - over_good / n_good
-        if gap > best + 1e-12:
-            best, cutoff = gap, cell / len(good)
-    return cutoff
-
-
-def calibrate(measures: DataFrame, labels: DataFrame, id_col="doc_id", label_col="quality", alpha: float = 0.05, delta: float = 0.05, grid: int = GRID) -> DataFrame:
-    """stratum, and for each rule its proven cutoff or null."""
-    labelled = measures.join(labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("good")).filter("good in (0, 1)").dropDuplicates(["doc_id"]), "doc_id")
-    cells = labelled.select("stratum", "good", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.least(F.floor(F.col(r) * grid), F.lit(grid - 1)).cast("int").alias("cell")) for r in RULES])).alias("x"))
-    counted = cells.groupBy("stratum", "x.rule", "x.cell", "good").count()  # at most rules * grid * 2 rows a stratum
-    strata = max(1, counted.agg(F.count_distinct("stratum")).first()[0])
-    level = delta / (strata * len(RULES) * (grid - 1))
+            break
+        worth = over_bad / max(n_bad, 1) - price * over_good / n_good
+        if worth > best + 1e-12:
+            best, steps = worth, i + 1
+    return steps
+
+
+def calibrate(measures: DataFrame, labels: DataFrame, id_col="doc_id", label_col="quality", alpha: float = 0.02, delta: float = 0.05, grid: int = GRID, price: float = 5.0) -> DataFrame:
+    """stratum, and for each rule its proven cutoff or null. Only counts by stratum, rule, cell or step are grouped."""
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("good")).filter("good in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
+    cell = lambda r: F.least(F.floor(F.col(r) * grid), F.lit(grid - 1)).cast("int")
+    places = F.array(*[F.struct(F.lit(r).alias("rule"), cell(r).alias("cell")) for r in RULES])
+    held = F.pmod(F.xxhash64(F.lit("holdout"), "doc_id"), F.lit(2)) == 1
+    labelled = materialize(measures.join(known, "doc_id").select("doc_id", "stratum", "good", held.alias("held"), places.alias("places")))
+    strata = max(1, labelled.agg(F.count_distinct("stratum")).first()[0])
+    counted = labelled.filter("not held").select("stratum", "good", F.explode("places").alias("x")).groupBy("stratum", "x.rule", "x.cell", "good").count()
+
+    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+        cells: dict = {}
+        for rule, at, good, n in zip(pdf["rule"], pdf["cell"], pdf["good"], pdf["count"]):
+            bad_good = cells.setdefault(rule, {}).setdefault(at, [0, 0])
+            bad_good[good] += int(n)
+        path = tightening_path(cells, grid)
+        return pd.DataFrame({"stratum": pdf["stratum"].iloc[0], "rule": [r for r, _ in path], "cutoff_cell": [c for _, c in path], "step": range(1, len(path) + 1)})
+
+    # at most rules * grid rows a stratum
+    paths = materialize(counted.groupBy("stratum").applyInPandas(order, "stratum string, rule string, cutoff_cell int, step int"))
+    # the first step that rejects a document: the first one that takes one of its rules down to its cell or below;
+    # documents of the same cells are counted first, so the join sees each combination once
+    same = labelled.filter("held").groupBy("stratum", "good", "places").agg(F.count(F.lit(1)).alias("n"))
+    numbered = same.select("stratum", "good", "places", "n", F.explode("places").alias("x")).select("stratum", "good", "places", "n", "x.*")
+    reached = numbered.join(paths.withColumnRenamed("stratum", "of").withColumnRenamed("rule", "by"), (F.col("stratum") == F.col("of")) & (F.col("rule") == F.col("by")) & (F.col("cutoff_cell") <= F.col("cell")), "left")
+    first = reached.groupBy("stratum", "good", "places", "n").agg(F.min("step").alias("step"))
+    tested = first.groupBy("stratum", "good", "step").agg(F.sum("n").alias("count"))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        split = {g: [0] * grid for g in (0, 1)}
-        for cell, good, n in zip(pdf["cell"], pdf["good"], pdf["count"]):
-            split[good][cell] += int(n)
-        return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "rule": [pdf["rule"].iloc[0]], "cutoff": [choose_cutoff(split[1], split[0], alpha / len(RULES), level)]})
-
-    chosen = counted.groupBy("stratum", "rule").applyInPandas(choose, "stratum string, rule string, cutoff double")
+        last = int(pdf["step"].max()) if pdf["step"].notna().any() else 0
+        split = {g: [0] * (last + 1) for g in (0, 1)}
+        for good, step, n in zip(pdf["good"], pdf["step"], pdf["count"]):
+            split[good][last if pd.isna(step) else int(step) - 1] += int(n)
+        return pd.DataFrame({"stratum": [pdf["stratum"].iloc[0]], "steps": [proven_step(split[1], split[0], alpha, delta / strata, price)]})
+
+    taken = tested.groupBy("stratum").applyInPandas(choose, "stratum string, steps int")
+    chosen = paths.join(taken, "stratum").filter("step <= steps").groupBy("stratum", "rule").agg((F.min("cutoff_cell") / F.lit(float(grid))).alias("cutoff"))
     return chosen.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", stratum_col="lang", label_col="quality", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", stratum_col="lang", label_col="quality", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
     measures = materialize(text_measures(docs, id_col, text_col, stratum_col))
     cutoffs = calibrate(measures, labels, id_col, label_col, alpha, delta)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality_model": quality_model.op9_quality_model,
     "op10_gif": media.op10_gif,
+    "gif_frames": media.gif_frames,
 }
 
-ORACLE_SQL = {"op8_mixing": mixing.OP8_SQL}
+ORACLE_SQL = {"op8_mixing": mixing.OP8_SQL, "gif_frames": media.GIF_FRAMES_SQL}

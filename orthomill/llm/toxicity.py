@@ -5,8 +5,10 @@ it. On the training rows every gram gets its log-count ratio between toxic and o
 the grams that tell the classes apart best are kept, scaled by that ratio, and a ridge
 logistic model is fitted on them. All documents are scored where they are read.
 
-Training uses at most ``sample`` labelled rows, the first by a hash of their id, whose
-``crc32(id) mod 5`` is not 0; scoring reads the text only.
+Training uses about ``sample`` labelled ids whose ``crc32(id) mod 5`` is not 0 (all, or those
+whose hash lies in a share of all hashes; of different labels of an id the largest counts), and the ``features`` grams that tell their classes apart best
+(at most 65,536; equal ones by bucket number); so what reaches the driver has a bound
+of ``sample`` rows of two bytes a gram. Scoring covers all rows and reads the text only.
 
 Defined results: null and empty texts have no grams and score as the intercept; null labels
 are not used; without both classes in the labels every score is the share of toxic ones (0.5 without labels); repeated
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, sampled, table
 from .linear import fit_sparse, sigmoid
 
 BITS = 18
@@ -46,11 +48,12 @@ def held_out(id_col):
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> DataFrame:
-    """doc_id, text, label of at most ``sample`` training rows; so few ids that they are broadcast."""
+    """doc_id, text, label of about ``sample`` training ids, a row each (the least text of a repeated id); so few that the ids are broadcast."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
-    chosen = known.filter(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = known.filter(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
+    chosen = known.filter(sampled(F.col("doc_id"), known.count(), sample))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(texts.join(F.broadcast(chosen), "doc_id"))
+    return materialize(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")))
 
 
 def gram_counts(training: DataFrame) -> DataFrame:
@@ -90,11 +93,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
 
     def run(batches):
         for b in batches:
-            rows = [np.unique(c[c >= 0]).astype(np.int32) for c in (column[gram_buckets(t.as_py())] for t in b.column(0))]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.list_(pa.int32()))], ["label", "grams"])
+            rows = [np.unique(c[c >= 0]).astype("<u2").tobytes() for c in (column[gram_buckets(t.as_py())] for t in b.column(0))]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(rows, pa.binary())], ["label", "grams"])
 
-    fitted = training.select("text", "label").mapInArrow(run, "label int, grams array<int>").orderBy("label", "grams").toPandas()
-    w, intercept = fit_sparse([np.asarray(g, np.int64) for g in fitted["grams"]], fitted["label"].to_numpy(float), ratio)
+    fitted = training.select("text", "label").mapInArrow(run, "label int, grams binary").toPandas()
+    fitted = sorted(zip(fitted["label"], map(bytes, fitted["grams"])))  # sums don't depend on the order in which tasks end
+    w, intercept = fit_sparse([np.frombuffer(g, "<u2").astype(np.int64) for _, g in fitted], np.array([y for y, _ in fitted], float), ratio)
     weights[bucket] = w
     return weights, intercept
 

@@ -25,7 +25,7 @@ ROWS = [
     (10, "a" * 3000, "en", "z", 3000), (11, PASSAGE + " " + PASSAGE, "fr", "", 9), (None, "no id here " + PASSAGE, "en", "a", 3), (12, "é" * 900 + "x" + "é" * 900, "fr", "b", None),
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHES = ["k1", "k2", "anchor", "ctx", "n", "spans", "cluster", "size", "rank", "d1", "bands", "score", "key", "range", "row", "piece", "label", "kept", "stratum", "rep", "root", "taken", "epochs", "_view_x"]
+CLASHES = ["k1", "k2", "anchor", "ctx", "n", "spans", "cluster", "size", "rank", "d1", "bands", "score", "key", "range", "row", "piece", "label", "kept", "stratum", "rep", "root", "taken", "epochs", "_view_0", "_mix_copy", "_mix_epochs", "given", "copy", "part", "grams", "slots", "meta", "held", "places", "group", "hub", "first", "none", "media", "id"]
 
 
 @pytest.fixture(scope="module")
@@ -185,18 +185,26 @@ def test_toxicity(docs, none, labels):
 
 def test_quality_model(docs, none, labels):
     model = quality_model.fit(docs, labels)
-    assert quality_model.scored(docs, model).count() == len(ROWS) and quality_model.scored(none, quality_model.fit(none, labels)).count() == 0
-    assert quality_model.keep_good(docs, model).columns == docs.columns
+    views = quality_model.with_views(docs)
+    assert model is not None and quality_model.scored(views, model).count() == len(ROWS) and quality_model.fit(none, labels) is None
+    assert quality_model.scored(quality_model.with_views(none), model).count() == 0
+    scores = {(r.doc_id, round(r.score, 9)) for r in quality_model.scored(views, model).collect() if r.doc_id == 7}
+    assert len(scores) == 1  # equal rows score alike
+    kept = quality_model.keep_good(docs, model)
+    assert kept.columns == docs.columns and kept.count() == quality_model.scored(views, model).filter("kept").count()
     assert quality_model.keep_good(docs, None).count() == len(ROWS)
 
 
-def test_pipeline_stages(spark, docs, none, sf):
+def test_pipeline_on_edge_cases(spark, docs, none, sf):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_dup", "pii", "mixing", "packing"]
-    for given in (docs, none):
+    for given, least in ((docs, 3), (none, 0)):
         now = given
         for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
             now = stage(spark, now, sf)
             if i + 1 < len(corpus_pipeline.STAGES):
                 assert now.columns == given.columns
                 now = corpus_pipeline.materialize(now)
-        assert now.count() >= 0
+                assert now.count() >= least
+                if least:
+                    assert {v for c in CLASHES for r in now.select(c).distinct().collect() for v in r} == {"clash"}
+        assert (now.count() > 0) == bool(least)

@@ -177,10 +177,54 @@ def test_disguises_map_back():
 def test_binomial_tail_and_cutoff():
     for k, n, p in [(0, 10, 0.1), (3, 40, 0.2), (10, 10, 0.5)]:
         assert quality_rules.binomial_tail(k, n, p) == pytest.approx(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
-    good, bad = [990, 8, 2, 0], [5, 5, 40, 50]
-    cut = quality_rules.choose_cutoff(good, bad, 0.02, 0.001)
-    assert cut == 0.5  # two of a thousand are rejected there; ten would not be proven
-    assert quality_rules.choose_cutoff([10, 0, 0, 0], bad, 0.02, 0.001) is None
+    # of each step, the documents that it rejects first; 950 of a thousand good ones are never rejected
+    good, bad = [0, 2, 8, 40, 950], [50, 40, 5, 5, 0]
+    assert quality_rules.proven_step(good, bad, 0.02, 0.02, 10.0) == 2  # the third step's gain is not worth its price, the fourth is not proven
+    assert quality_rules.proven_step(good, bad, 0.02, 0.02, 0.0) == 3
+    assert quality_rules.proven_step([0, 10], [5, 5], 0.02, 0.01, 5.0) == 0 and quality_rules.proven_step([0], [9], 0.02, 0.01, 5.0) == 0
+    cells = {"upper_ratio": {0: (0, 90), 5: (1, 4), 9: (8, 0)}, "bang_ratio": {0: (0, 90), 3: (3, 0)}}
+    assert quality_rules.tightening_path(cells, 64) == [("upper_ratio", 9), ("bang_ratio", 3), ("upper_ratio", 5)]
+
+
+def test_rules_keep_their_promise(spark):
+    """kept against a plain computation of path, holdout and verdict, and the false rejections that it allows."""
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(1600):
+        good = rng.random() < 0.75
+        words = [f"w{rng.randrange(3000)}" for _ in range(60)]
+        for _ in range(rng.randrange(0, 3) if good else rng.randrange(0, 30)):
+            words[rng.randrange(60)] = rng.choice(["YES!", "###", "NOW"])
+        rows.append((i, " ".join(words), "xy"[i % 2]))
+        labels.append((i, int(good)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    held = {r.doc_id for r in known.filter("pmod(xxhash64('holdout', doc_id), 2L) = 1").collect()}
+    grid, want, good_of = quality_rules.GRID, {}, dict(labels)
+    cell = {i: {r: min(grid - 1, int(v * grid)) for r, v in zip(quality_rules.RULES, quality_rules.measure(t)[5:])} for i, t, _ in rows}
+    for lang in "xy":
+        mine = [i for i, _, s in rows if s == lang]
+        cells = {}
+        for i in mine:
+            if i not in held:
+                for r, c in cell[i].items():
+                    cells.setdefault(r, {}).setdefault(c, [0, 0])[good_of[i]] += 1
+        path = quality_rules.tightening_path(cells, grid)
+        tested, cut, best, proven = [i for i in mine if i in held], {}, (0.0, {}), True
+        n = [sum(good_of[i] == g for i in tested) for g in (0, 1)]
+        for rule, c in path:
+            cut[rule] = c
+            gone = [sum(good_of[i] == g and any(cell[i][r] >= at for r, at in cut.items()) for i in tested) for g in (0, 1)]
+            tail = sum(comb(n[1], j) * 0.02**j * 0.98 ** (n[1] - j) for j in range(gone[1] + 1))
+            proven = proven and tail <= 0.05 / 2
+            worth = gone[0] / n[0] - 5 * gone[1] / n[1]
+            if proven and worth > best[0] + 1e-12:
+                best = (worth, dict(cut))
+        assert best[1]
+        want |= {i: not any(cell[i][r] >= at for r, at in best[1].items()) for i in mine}
+    got = {r.doc_id: r.kept for r in quality_rules.judge(docs, known).filter("not base_failed").collect()}
+    assert len(got) > 1500 and all(want[i] == k for i, k in got.items())
+    rejected = [i for i, k in got.items() if not k]
+    assert sum(1 - good_of[i] for i in rejected) > 100 and sum(good_of[i] for i in rejected) <= 0.02 * sum(good_of.values())
 
 
 def test_anchors_cover_every_window():
@@ -203,12 +247,95 @@ def test_hot_anchors_give_the_same_result(spark, monkeypatch, remove, unit):
     assert sorted(map(tuple, remove(docs).collect())) == want and sum(r[2] for r in want) > 1000
 
 
+@pytest.mark.parametrize("unit,length,orders", [("byte", 20, repeats.sorted_order), ("word", 9, repeats.sorted_order), ("byte", 20, suffix_dedup.suffix_order), ("byte", 130, suffix_dedup.suffix_order)])
+def test_maximal_repeats_cover_what_all_pairs_do(unit, length, orders):
+    rng = random.Random(length)
+    for _ in range(40):
+        anchor, reach, bodies = [], [], []
+        for g in range(rng.randrange(1, 6)):
+            base, seen = [rng.randrange(3) for _ in range(2 * length)], set()
+            for _ in range(rng.choice([1, 2, 2, 3, 5, 40])):
+                x = list(base)
+                for _ in range(rng.randrange(4)):
+                    x[rng.randrange(len(x))] = rng.randrange(5)
+                far = rng.randrange(0, length - 3)
+                part = x[length - far : 2 * length - rng.randrange(0, far + 1)]
+                body = bytes(part) if unit == "byte" else np.array(part, np.uint64).tobytes()
+                if (body, far) not in seen:
+                    seen.add((body, far))
+                    anchor, reach, bodies = [*anchor, g], [*reach, far << 16], [*bodies, body]
+        size = 1 if unit == "byte" else 8
+        windows = [[(a, (r >> 16) - s, b[s * size : (s + length) * size]) for s in range(len(b) // size - length + 1)] for a, r, b in zip(anchor, reach, bodies)]
+        seen = collections.Counter(w for ws in windows for w in set(ws))
+        got = [[False] * len(ws) for ws in windows]
+        for i, a, b in zip(*repeats.repeated_in_group(np.array(anchor), np.array(reach), bodies, unit, length, orders)):
+            got[i][a : b + 1] = [True] * (b + 1 - a)
+        assert got == [[seen[w] > 1 for w in ws] for ws in windows]
+
+
+def test_the_suffix_array_decides(monkeypatch):
+    """With its suffixes in another order, repeats are missed."""
+    bodies = [bytes([i % 7] * 30) + b"anchor" + bytes([i % 5] * 40) for i in range(35)]
+    given = (np.zeros(35, np.int64), np.full(35, 30 << 16), bodies, "byte", 40)
+    right = set(zip(*map(np.ndarray.tolist, repeats.repeated_in_group(*given, suffix_dedup.suffix_order))))
+    sort = suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda text: random.Random(1).sample(sort(text), len(text)))
+    try:
+        wrong = set(zip(*map(np.ndarray.tolist, repeats.repeated_in_group(*given, suffix_dedup.suffix_order))))
+    except (IndexError, KeyError, ValueError):
+        wrong = set()
+    assert {w for w, _, _ in right} == set(range(35)) and wrong != right
+
+
 def test_word_hash_cache_is_bounded():
     cache = common.WordHashes(10)
     hashes, counts = common.word_hashes([b" ".join(b"w%d" % i for i in range(50)), b"w1 w2"], cache)
     assert len(cache) <= 10 and list(counts) == [50, 2] and hashes[1] == hashes[50]
 
 
+def plain_lzw(data, bits, n):
+    """A reader of LZW codes as they are described, one code at a time."""
+    out, at, width, table, last = [], 0, bits + 1, [], None
+    number = int.from_bytes(data, "little")
+    while True:
+        code = number >> at & (1 << width) - 1
+        at += width
+        if code == 1 << bits:
+            table, width, last = [bytes([i]) for i in range(1 << bits)] + [b"", b""], bits + 1, None
+            continue
+        if code == (1 << bits) + 1:
+            return b"".join(out)[:n]
+        entry = table[code] if code < len(table) else last + last[:1]
+        out.append(entry)
+        if last is not None and len(table) < 4096:
+            table.append(last + entry[:1])
+        last = entry
+        if len(table) == 1 << width and width < 12:
+            width += 1
+
+
+@pytest.mark.parametrize("text", ["", "abc", "the cat " * 900, "é😀x" * 3000])
+def test_stored_texts_by_a_plain_reader(text):
+    payload, n = media.payload_of(text)
+    data = media.as_gif(payload)
+    assert len(text.encode()) == n and data[:6] == b"GIF89a"
+    at, shown = 13 + 768, []
+    while data[at : at + 1] == b"\x21":
+        delay = struct.unpack("<H", data[at + 4 : at + 6])[0]
+        at += 8
+        w, h = struct.unpack("<HH", data[at + 5 : at + 9])
+        at, body = at + 11, b""
+        while data[at]:
+            body += data[at + 1 : at + 1 + data[at]]
+            at += 1 + data[at]
+        at += 1
+        shown.append((delay * 10, plain_lzw(body, 8, w * h)))
+    assert b"".join(x for _, x in shown) == payload
+    cells = [collections.Counter(((i >> 5) * 255 // 7 >> 6) * 16 + ((i >> 2 & 7) * 255 // 7 >> 6) * 4 + ((i & 3) * 85 >> 6) for i in x) for _, x in shown[:1]]
+    first = media.digest(text)[6].split(";")[1]
+    assert first == "0+40:" + ",".join(f"{c}={k}" for c, k in sorted(cells[0].items()))
+
+
 def test_registered_names():
     names = registry.queries()
     assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11)) and "pipeline" in names
