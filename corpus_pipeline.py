@@ -8,6 +8,7 @@ read again as the next stage's input, so a lost executor costs one stage at most
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from orthomill.llm import mixing, near_dup, packing, pii, quality_model
 from orthomill.llm.common import materialize, table
@@ -19,9 +20,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one with the smallest id. Links start at similarity 0.8."""
-    gone = near_dup.near_duplicates(docs, percent=80).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate group stays: the one with the smallest id, null ids last. Links start at similarity 0.8.
+
+    Rows are numbered and written first, so equal rows under one id, or none, are duplicates like
+    any others; they travel as one struct, so columns of any name are safe.
+    """
+    numbered = materialize(docs.select(F.struct(*docs.columns).alias("given"), F.monotonically_increasing_id().alias("row")))
+    given = lambda c: F.col("given").getField(c)
+    groups = near_dup.near_duplicates(numbered.select("row", given("text").alias("text")), "row", percent=80)
+    placed = numbered.select("row", given("doc_id").alias("doc_id")).join(groups.select(F.col("doc_id").alias("row"), "component_id"), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    kept = placed.groupBy("component_id").agg(first).select(F.col("first.row").alias("row"))
+    return numbered.join(kept, "row", "left_semi").select("given.*")
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
