@@ -1,8 +1,12 @@
-"""Bases: circuits as column expressions over array images, and the compressed form.
+"""Bases: circuits as steps over array images, and the compressed form.
 
 An image is a row with ``re`` (and ``im``) arrays of 2^(m+n) doubles in column-major order.
-Transforms, selection of the largest coefficients and recovery are expressions within the
-row: they need no shuffle and run where the images are read, whatever their number.
+Transforms, selection of the largest coefficients and recovery run where the images are read,
+as one pass over Arrow batches: a batch of images times the circuit's two small matrices. They
+need no shuffle, whatever the number of images, and hold a few million values at a time. Images
+too large for one row are transformed as rows of coordinates by ``coordinates.transform``.
+
+Null images stay null; an image of another size than the basis's is an error.
 """
 
 from __future__ import annotations
@@ -12,8 +16,10 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import circuits
 
@@ -21,15 +27,8 @@ NAMES = {"qft": "QFT", "eqft": "Entangled QFT", "tebd": "TEBD", "mera": "MERA"}
 TYPES = {"qft": "QFTBasis", "eqft": "EntangledQFTBasis", "tebd": "TEBDBasis", "mera": "MERABasis"}
 
 
-def _literal(values) -> str:
-    return "array(" + ",".join(f"{float(v)!r}D" for v in values) + ")"
-
-
-def _product(kernel: str, values: str, width: int, height: int, rows: bool, size: int) -> str:
-    """SQL for one real matrix product along the rows' or the columns' index."""
-    if rows:
-        return f"transform(sequence(0,{size - 1}), p -> aggregate(sequence(0,{height - 1}), 0D, (a, r) -> a + {kernel}[(p % {height}) * {height} + r] * {values}[r + {height} * (p div {height})]))"
-    return f"transform(sequence(0,{size - 1}), p -> aggregate(sequence(0,{width - 1}), 0D, (a, c) -> a + {kernel}[(p div {height}) * {width} + c] * {values}[p % {height} + {height} * c]))"
+#: Values of a slice of a batch, so that memory stays bounded for large images.
+SLICE_VALUES = 2_000_000
 
 
 def let(name: str, values: dict[str, str], body: str) -> str:
@@ -42,31 +41,77 @@ def let(name: str, values: dict[str, str], body: str) -> str:
     return f"transform(array(named_struct({fields})), {name} -> {body})[0]"
 
 
-def apply_steps(df: DataFrame, steps, m: int, n: int, re: str = "re", im: str | None = "im") -> DataFrame:
-    """Replace ``re`` and ``im`` by the result of ("row" | "col", matrix) and ("mask", matrix) steps."""
-    height, width, size = 2**m, 2**n, 2 ** (m + n)
-    others = [c for c in df.columns if c not in ("re", "im")]
-    state, real = {"re": re, "im": im or f"array_repeat(0D, {size})"}, im is None
-    body = None
-    for i, (kind, matrix) in reversed(list(enumerate(steps))):
-        z = f"z{i}"
-        flat = matrix.flatten(order="F") if kind == "mask" else matrix.flatten(order="C")
-        kr, ki = _literal(flat.real), _literal(flat.imag)
-        plain = np.abs(flat.imag).max() == 0
-        if kind == "mask":
-            part = lambda k, v: f"zip_with({k}, {v}, (a, b) -> a * b)"
-        else:
-            part = lambda k, v, rows=kind == "row": _product(k, v, width, height, rows, size)
-        join = lambda a, b, sign: f"zip_with({a}, {b}, (a, b) -> a {sign} b)"
-        if real and i == 0:
-            new = {"re": part(kr, f"{z}.re"), "im": f"{z}.im" if plain else part(ki, f"{z}.re")}
-        elif plain:
-            new = {"re": part(kr, f"{z}.re"), "im": part(kr, f"{z}.im")}
-        else:
-            new = {"re": join(part(kr, f"{z}.re"), part(ki, f"{z}.im"), "-"), "im": join(part(ki, f"{z}.re"), part(kr, f"{z}.im"), "+")}
-        after = f"named_struct('re', {new['re']}, 'im', {new['im']})" if body is None else let(f"z{i + 1}", new, body)
-        body = after
-    return df.select(*others, F.expr(let("z0", state, body)).alias("z")).select(*others, "z.re", "z.im")
+def matrix_of(column: pa.Array, size: int) -> np.ndarray:
+    """A row per list; lists of another length are an error."""
+    values = column.flatten().to_numpy()
+    if len(values) != len(column) * size or (len(column) and (np.diff(column.offsets.to_numpy()) != size).any()):
+        raise ValueError(f"an image of this basis has {size} values")
+    return values.reshape(len(column), size)
+
+
+def lists_of(matrix: np.ndarray, kind=None) -> pa.Array:
+    n, size = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * size + 1, size) if size else np.zeros(n + 1), pa.int32()), pa.array(np.ascontiguousarray(matrix).ravel(), kind))
+
+
+def map_images(df: DataFrame, inputs: list[str], outputs: str, size: int, work, drop=("re", "im")) -> DataFrame:
+    """``df`` without ``drop``, with the columns ``outputs`` (DDL) that ``work`` makes of the arrays ``inputs``.
+
+    ``work`` gets the columns of some rows as Arrow arrays without nulls and returns Arrow
+    arrays; where an input is null, so are the outputs.
+    """
+    added = T.StructType.fromDDL(outputs)
+    others = [c for c in df.columns if c not in drop and c not in added.fieldNames()]
+    schema, names = df.select(*others).schema, [*others, *added.fieldNames()]
+    for f in added.fields:
+        schema = schema.add(f)
+    step = max(1, SLICE_VALUES // size)
+    src = df.select(*others, *[F.col(c).alias(f"_in{i}") for i, c in enumerate(inputs)])
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                taken = part.columns[len(others) :]
+                known = np.ones(part.num_rows, bool)
+                for c in taken:
+                    known &= c.is_valid().to_numpy(zero_copy_only=False)
+                if known.all():
+                    made = work(*taken)
+                else:
+                    where = pa.array(np.where(known, np.cumsum(known) - 1, 0), pa.int64(), mask=~known)
+                    made = [x.take(where) for x in work(*[c.filter(pa.array(known)) for c in taken])]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], *made], names)
+
+    return src.mapInArrow(run, schema)
+
+
+def run_steps(x: np.ndarray, steps) -> np.ndarray:
+    """("row" | "col", matrix) and ("mask", matrix) steps on images indexed [image, column, row]."""
+    for kind, k in steps:
+        k = k.real if np.iscomplexobj(k) and not k.imag.any() else k
+        x = x @ k.T if kind == "row" else k @ x if kind == "col" else x * k.T
+    return x
+
+
+def images_of(re: pa.Array, im: pa.Array | None, m: int, n: int) -> np.ndarray:
+    x = matrix_of(re, 2 ** (m + n))
+    return (x if im is None else x + 1j * matrix_of(im, 2 ** (m + n))).reshape(-1, 2**n, 2**m)
+
+
+def flat(x: np.ndarray) -> np.ndarray:
+    """Images as rows of complex numbers in column-major order."""
+    return x.reshape(len(x), int(np.prod(x.shape[1:]))).astype(complex, copy=False)
+
+
+def apply_steps(df: DataFrame, steps, m: int, n: int, im: str | None = "im") -> DataFrame:
+    """Replace ``re`` and ``im`` by the result of the steps; ``im=None`` says that images are real."""
+
+    def work(re, im=None):
+        y = flat(run_steps(images_of(re, im, m, n), steps))
+        return [lists_of(y.real), lists_of(y.imag)]
+
+    return map_images(df, ["re", im] if im else ["re"], "re array<double>, im array<double>", 2 ** (m + n), work)
 
 
 def keep_count(total: int, ratio: float) -> int:
@@ -76,38 +121,84 @@ def keep_count(total: int, ratio: float) -> int:
     return max(1, round(total * (1.0 - ratio)))
 
 
-def ranked(re: str = "re", im: str = "im") -> str:
-    """SQL: coefficients by falling size, then rising place. Sizes are rounded, as mirror coefficients of real images tie."""
-    return let("q", {"re": re, "im": im}, "array_sort(transform(q.re, (v, i) -> named_struct('k', -round(sqrt(v * v + q.im[i] * q.im[i]), 9), 'lin', i, 're', v, 'im', q.im[i])))")
+def ranking(sizes: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest of each row, largest first, the lowest place first among equal ones."""
+    return np.argsort(-sizes, axis=1, kind="stable")[:, :k]
+
+
+def sizes_of(y: np.ndarray) -> np.ndarray:
+    """Rounded, as mirror coefficients of real images tie."""
+    return np.round(np.sqrt(y.real**2 + y.imag**2), 9)
+
+
+KEPT = "kept array<struct<lin: int, re: double, im: double>>"
 
 
-def largest(df: DataFrame, k: int) -> DataFrame:
-    """Adds ``kept``: the k largest coefficients as (k, lin, re, im), largest first."""
+def kept_lists(y: np.ndarray, places: np.ndarray) -> pa.Array:
+    chosen = np.take_along_axis(y, places, axis=1)
+    fields = [pa.array(places.astype(np.int32).ravel()), pa.array(np.ascontiguousarray(chosen.real).ravel()), pa.array(np.ascontiguousarray(chosen.imag).ravel())]
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, places.size + 1, places.shape[1]), pa.int32()), pa.StructArray.from_arrays(fields, ["lin", "re", "im"]))
+
+
+def largest_after(images: DataFrame, steps, m: int, n: int, k: int, im: str | None = None, whole: bool = False) -> DataFrame:
+    """Transform and rank in one pass: adds ``kept``, the k largest coefficients as (lin, re, im), largest first.
+
+    With ``whole`` all coefficients stay as ``re`` and ``im``.
+    """
     if k < 1:
         raise ValueError("at least one coefficient must be kept")
-    return df.withColumn("kept", F.expr(f"slice({ranked()}, 1, {int(k)})"))
+
+    def work(re, im=None):
+        y = flat(run_steps(images_of(re, im, m, n), steps))
+        kept = kept_lists(y, ranking(sizes_of(y), k))
+        return [lists_of(y.real), lists_of(y.imag), kept] if whole else [kept]
+
+    return map_images(images, ["re", im] if im else ["re"], ("re array<double>, im array<double>, " if whole else "") + KEPT, 2 ** (m + n), work)
+
+
+def largest(df: DataFrame, k: int, size: int) -> DataFrame:
+    """Adds ``kept`` to coefficients: the k largest ones as (lin, re, im), largest first."""
+    if k < 1:
+        raise ValueError("at least one coefficient must be kept")
+
+    def work(re, im):
+        y = matrix_of(re, size) + 1j * matrix_of(im, size)
+        return [re, im, kept_lists(y, ranking(sizes_of(y), k))]
+
+    return map_images(df, ["re", "im"], f"re array<double>, im array<double>, {KEPT}", size, work)
 
 
 def truncated(df: DataFrame, k: int, size: int) -> DataFrame:
     """All but the k largest coefficients set to zero."""
     if k >= size:
         return df
-    others = [c for c in df.columns if c not in ("re", "im")]
-    zero = lambda c: f"transform(q.{c}, (v, i) -> if(array_contains(q.places, i), v, 0D))"
-    places = f"transform(slice({ranked()}, 1, {int(k)}), x -> x.lin)"
-    both = let("q", {"re": "re", "im": "im", "places": places}, f"named_struct('re', {zero('re')}, 'im', {zero('im')})")
-    return df.select(*others, F.expr(both).alias("z")).select(*others, "z.re", "z.im")
+
+    def work(re, im):
+        y = matrix_of(re, size) + 1j * matrix_of(im, size)
+        places, out = ranking(sizes_of(y), k), np.zeros_like(y)
+        np.put_along_axis(out, places, np.take_along_axis(y, places, axis=1), axis=1)
+        return [lists_of(out.real), lists_of(out.imag)]
+
+    return map_images(df, ["re", "im"], "re array<double>, im array<double>", size, work)
 
 
 def weighted_largest(df: DataFrame, m: int, n: int, k: int) -> DataFrame:
     """The alternative rule: sizes weighted towards the centre; all that reach the k-th score stay, ties included."""
-    h, w = 2**m, 2**n
-    far = math.sqrt(((h - 1) / 2) ** 2 + ((w - 1) / 2) ** 2)
-    weight = f"(2D - 0.5D * sqrt(pow(i % {h} + 1 - {(h + 1) / 2}D, 2) + pow(i div {h} + 1 - {(w + 1) / 2}D, 2)) / {far!r}D)"
-    scores = f"transform(q.re, (v, i) -> round(sqrt(v * v + q.im[i] * q.im[i]) * {weight}, 9))"
-    cut = "filter(transform(s.scores, (x, i) -> named_struct('lin', i, 'score', x, 're', q.re[i], 'im', q.im[i])), x -> x.score >= s.cut)"
-    with_cut = let("t", {"scores": scores}, let("s", {"scores": "t.scores", "cut": f"reverse(array_sort(t.scores))[{k - 1}]"}, cut))
-    return df.withColumn("kept", F.expr(let("q", {"re": "re", "im": "im"}, with_cut)))
+    h, w, size = 2**m, 2**n, 2 ** (m + n)
+    place = np.arange(size)
+    far = np.sqrt((place % h + 1 - (h + 1) / 2) ** 2 + (place // h + 1 - (w + 1) / 2) ** 2)
+    weight = 2.0 - 0.5 * far / math.sqrt(((h - 1) / 2) ** 2 + ((w - 1) / 2) ** 2) if size > 1 else np.full(1, 2.0)
+
+    def work(re, im):
+        y = matrix_of(re, size) + 1j * matrix_of(im, size)
+        scores = np.round(np.sqrt(y.real**2 + y.imag**2) * weight, 9)
+        stays = scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        at = np.nonzero(stays)
+        fields = [pa.array(at[1].astype(np.int32)), pa.array(scores[at]), pa.array(y.real[at]), pa.array(y.imag[at])]
+        ends = np.concatenate([[0], np.cumsum(stays.sum(axis=1))])
+        return [re, im, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, ["lin", "score", "re", "im"]))]
+
+    return map_images(df, ["re", "im"], "re array<double>, im array<double>, kept array<struct<lin: int, score: double, re: double, im: double>>", size, work)
 
 
 @dataclass(frozen=True, eq=False)
@@ -206,22 +297,40 @@ class Basis:
     def compress(self, images: DataFrame, ratio: float | None = 0.9, k: int | None = None, real: bool = True) -> DataFrame:
         """One sparse row per image: 1-based column-major indices, largest coefficient first."""
         count = keep_count(self.size, ratio) if k is None else min(k, self.size)
-        kept = largest(self.forward(images, real), count)
-        others = [c for c in images.columns if c not in ("re", "im")]
+        return self._sparse(largest_after(images, self.steps(), self.m, self.n, count, None if real else "im"))
+
+    def compress_ratios(self, images: DataFrame, ratios, real: bool = True) -> DataFrame:
+        """``compress`` at several ratios, a row for each image and ratio, from one transform and one ranking."""
+        counts = F.explode(F.array(*[F.struct(F.lit(float(r)).alias("ratio"), F.lit(keep_count(self.size, r)).alias("k")) for r in ratios]))
+        kept = largest_after(images, self.steps(), self.m, self.n, max(keep_count(self.size, r) for r in ratios), None if real else "im")
+        each = kept.withColumn("_at", counts).withColumn("kept", F.slice("kept", 1, F.col("_at.k"))).withColumn("ratio", F.col("_at.ratio"))
+        return self._sparse(each.drop("_at"))
+
+    def _sparse(self, kept: DataFrame) -> DataFrame:
         h, w = self.image_size
+        others = [c for c in kept.columns if c not in ("kept", "re", "im")]
+        at = F.transform("kept", lambda x: x["lin"] + 1)
         return kept.select(
-            *others, F.expr("transform(kept, x -> x.lin + 1)").alias("indices"), F.expr("transform(kept, x -> x.re)").alias("values_real"), F.expr("transform(kept, x -> x.im)").alias("values_imag"),
+            *others, at.alias("indices"), F.col("kept.re").alias("values_real"), F.col("kept.im").alias("values_imag"),
             F.lit(h).alias("original_height"), F.lit(w).alias("original_width"), F.lit(self.basis_hash()).alias("basis_hash"),
         )
 
     def recover(self, compressed: DataFrame, verify_hash: bool = True) -> DataFrame:
         """Images again, from the kept coefficients; the real part is the picture."""
-        others = [c for c in compressed.columns if c not in ("indices", "values_real", "values_imag", "original_height", "original_width", "basis_hash")]
         if verify_hash:
             wrong = F.raise_error(F.lit("the image was compressed with another basis"))
             compressed = compressed.withColumn("values_real", F.when(F.col("basis_hash") == self.basis_hash(), F.col("values_real")).otherwise(wrong.cast("array<double>")))
-        scatter = lambda v: F.expr(let("q", {"at": f"map_from_arrays(indices, {v})"}, f"transform(sequence(1, {self.size}), i -> coalesce(try_element_at(q.at, i), 0D))"))
-        return self.inverse(compressed.select(*others, scatter("values_real").alias("re"), scatter("values_imag").alias("im")))
+        m, n, size, steps = self.m, self.n, self.size, self.steps(inverse=True)
+
+        def work(at, re, im):
+            owner, place = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy())), at.flatten().to_numpy() - 1
+            x = np.zeros((len(at), size), complex)
+            x[owner, place] = re.flatten().to_numpy() + 1j * im.flatten().to_numpy()
+            y = flat(run_steps(x.reshape(-1, 2**n, 2**m), steps))
+            return [lists_of(y.real), lists_of(y.imag)]
+
+        sparse = ["indices", "values_real", "values_imag"]
+        return map_images(compressed, sparse, "re array<double>, im array<double>", size, work, (*sparse, "original_height", "original_width", "basis_hash", "version", "num_coefficients", "compression_ratio"))
 
 
 def compression_stats(compressed: DataFrame) -> DataFrame:
@@ -235,3 +344,21 @@ def classical_steps(m: int, n: int, inverse: bool = False) -> list[tuple[str, np
     sign = 1 if inverse else -1
     dft = lambda size: np.exp(sign * 2j * np.pi * (np.outer(np.arange(size), np.arange(size)) % size) / size) / np.sqrt(size)
     return [("row", dft(2**m)), ("col", dft(2**n))]
+
+
+def cosine_steps(m: int, n: int, inverse: bool = False) -> list[tuple[str, np.ndarray]]:
+    """The orthonormal cosine transform (type 2), as a baseline."""
+
+    def dct(size: int) -> np.ndarray:
+        k = np.sqrt(2 / size) * np.cos(np.pi * np.outer(np.arange(size), 2 * np.arange(size) + 1) / (2 * size))
+        k[0] /= math.sqrt(2)
+        return k.T if inverse else k
+
+    return [("row", dct(2**m)), ("col", dct(2**n))]
+
+
+def baseline_recovered(images: DataFrame, m: int, n: int, ratio: float, kind: str = "fft") -> DataFrame:
+    """Images from the coefficients that a fixed transform ("fft" or "dct") keeps at a ratio; the real part is the picture."""
+    steps = {"fft": classical_steps, "dct": cosine_steps}[kind]
+    low = truncated(apply_steps(images, steps(m, n), m, n, im=None), keep_count(2 ** (m + n), ratio), 2 ** (m + n))
+    return apply_steps(low, steps(m, n, inverse=True), m, n)

@@ -116,6 +116,12 @@ def run_gates(gates: list[Gate], x: np.ndarray, qubits: int) -> np.ndarray:
     return state.reshape(x.shape, order="F")
 
 
+def mask_place(gates: list[Gate]) -> str:
+    """Where the entangling gates stand; "back" if there are none."""
+    joins = [i for i, g in enumerate(gates) if g.entangling]
+    return "back" if not joins or joins[-1] == len(gates) - 1 else "front" if joins[0] == 0 else "middle"
+
+
 def separated(gates: list[Gate], m: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, str]:
     """R, C, the entangling mask (2^m x 2^n) or None, and its place: front, middle or back."""
     rows = [g for g in gates if not g.entangling and max(g.qubits) <= m]
@@ -125,5 +131,4 @@ def separated(gates: list[Gate], m: int, n: int) -> tuple[np.ndarray, np.ndarray
     if not joins:
         return r, c, None, "back"
     mask = run_gates([gates[i] for i in joins], np.ones((2 ** (m + n), 1)), m + n).reshape(2**m, 2**n, order="F")
-    place = "front" if joins[0] == 0 else "back" if joins[-1] == len(gates) - 1 else "middle"
-    return r, c, mask, place
+    return r, c, mask, mask_place(gates)

@@ -7,8 +7,11 @@ full step, then all shorter ones together.
 
 Behaviour: moments of Adam last over steps; without validation rows the last gates are
 returned, else the best; patience counts from the second epoch on and equal loss is no
-improvement; a last, shorter batch weighs as much as a full one. Rows go to the validation
-part and to batches by a hash of their id, so no global numbering is needed.
+improvement; a last, shorter batch weighs as much as a full one. By default rows go to the
+validation part and to batches by a hash of their id, so no global numbering is needed. With
+``batch_size`` the parts are exact: rows are numbered in the order of a seeded hash, the
+first ``validation_count`` are held out, and every epoch cuts the others, in an order of its
+own, into batches of that size, the last one shorter.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from ..functions.series import learning_rate_at
+from ..functions.series import learning_rate_at, validation_count
 from ..sources.files import save_checkpoint
 from .basis import Basis
+from .losses import LOSSES
 from .circuits import Gate
 from .manifolds import MANIFOLDS, transport
 
@@ -39,19 +44,6 @@ def retract_phase_columns(zr: Column, zi: Column, xr: Column, xi: Column, alpha:
     return a / size, b / size
 
 
-def kernel_join(images: DataFrame, basis: Basis) -> DataFrame:
-    """Forward transform on coordinate rows: two joins with kernel rows, each summed by image and place."""
-    spark, h = images.sparkSession, 2**basis.m
-    (_, r), (_, c) = [s for s in basis.steps() if s[0] != "mask"]
-    rows = lambda k: spark.createDataFrame([(y, x, float(k[y, x].real), float(k[y, x].imag)) for y in range(len(k)) for x in range(len(k))], "y int, x int, kr double, ki double")
-    px = images.select("vec_id", F.posexplode("re").alias("lin", "re")).select("vec_id", (F.col("lin") % h).alias("x"), F.expr(f"lin div {h}").cast("int").alias("c0"), "re", F.lit(0.0).alias("im"))
-    product = [F.sum(F.expr("re * kr - im * ki")).alias("re"), F.sum(F.expr("re * ki + im * kr")).alias("im")]
-    half = px.join(F.broadcast(rows(r)), "x").groupBy("vec_id", F.col("y").alias("u"), F.col("c0").alias("x")).agg(*product)  # 4^m kernel rows
-    full = half.join(F.broadcast(rows(c)), "x").groupBy("vec_id", "u", F.col("y").alias("w")).agg(*product)
-    clean = lambda v: F.round(v, 6) + F.lit(0.0)
-    return full.select("vec_id", (F.col("u") + 1 + F.col("w") * h).alias("idx"), clean(F.col("re")).alias("re"), clean(F.col("im")).alias("im"))
-
-
 def keep_mask(y: np.ndarray, k: int) -> np.ndarray:
     """1 for the k largest entries of each column, lowest place first among ties."""
     if k >= len(y):
@@ -91,6 +83,8 @@ def loss_and_gradient(gates: list[Gate], x: np.ndarray, qubits: int, loss: str,
 
 def evaluate(images: DataFrame, candidates: list[list[Gate]], qubits: int, loss: str, k: int, gradient: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
     """Mean loss of each candidate, and the mean gradient of the first, in one job."""
+    if loss not in LOSSES:
+        raise ValueError(f"unknown loss {loss!r}; there are {', '.join(LOSSES)}")
 
     def run(batches):
         n, sums = 0, [0.0] * len(candidates)
@@ -185,6 +179,27 @@ class Trained:
         return spark.createDataFrame(rows, "step int, epoch int, batch int, loss double, smoothed double")
 
 
+def compare(spark: SparkSession, runs: dict[str, Trained], loss: str = "both") -> DataFrame:
+    """What a comparison of runs shows: name, epoch, kind ("train" or "validation") and loss."""
+    if loss not in ("train", "validation", "both"):
+        raise ValueError("loss must be train, validation or both")
+    out = None
+    for name, run in runs.items():
+        each = run.history_frame(spark).select(F.lit(name).alias("name"), "epoch", F.explode(F.create_map(F.lit("train"), "train_loss", F.lit("validation"), "val_loss")).alias("kind", "loss"))
+        out = each if out is None else out.unionByName(each)
+    return out if loss == "both" else out.filter(F.col("kind") == loss)
+
+
+def compare_steps(spark: SparkSession, runs: dict[str, Trained], alpha: float = 0.6, columns: int = 3) -> DataFrame:
+    """Steps of several runs, and each run's place in a grid of at most ``columns`` columns."""
+    out = None
+    for i, (name, run) in enumerate(runs.items()):
+        wide = min(columns, len(runs))
+        each = run.steps_frame(spark, alpha).select(F.lit(name).alias("name"), F.lit(i // wide).alias("grid_row"), F.lit(i % wide).alias("grid_column"), "step", "epoch", "loss", "smoothed")
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
 def optimize(images: DataFrame, basis: Basis, optimizer: Optimizer, loss: str = "mse", k: int | None = None, max_iter: int = 100, tol: float = 1e-6) -> tuple[Basis, list[float]]:
     """Full-batch optimisation; the losses before each step, and the last."""
     qubits, gates, trace = basis.m + basis.n, list(basis.gates), []
@@ -207,9 +222,19 @@ def optimize(images: DataFrame, basis: Basis, optimizer: Optimizer, loss: str =
     return Basis(basis.family, basis.m, basis.n, tuple(gates), basis.position), trace
 
 
+def numbered(rows: DataFrame, id_col: str, seed: int, name: str) -> DataFrame:
+    """Adds ``name``: 0, 1, 2, ... in the order of a seeded hash of the id, by ranges of hashes, so no task numbers all rows."""
+    key = F.xxhash64(F.lit(seed), F.col(id_col))
+    dealt = rows.withColumn("_key", key).withColumn("_range", F.shiftright("_key", 52))  # at most 4,096 ranges
+    order = W.partitionBy("_range").orderBy("_key", id_col)
+    before = rows.select(F.shiftright(key, 52).alias("_range")).groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    starts = before.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return dealt.join(starts, "_range").withColumn(name, F.col("_start") + F.row_number().over(order) - 1).drop("_key", "_range", "_start")
+
+
 def train(images: DataFrame, family: str, m: int, n: int, epochs: int = 3, split: float = 0.2, batches: int = 2, patience: int = 2, loss: str = "mse", k: int | None = None,
           phases=None, position: str = "back", optimizer: Optimizer | None = None, peak: float = 0.01, final: float = 0.001, warmup: float = 0.05, id_col: str = "img_id", seed: int = 42,
-          checkpoint_dir: str | None = None, checkpoint_every: int = 0) -> Trained:
+          checkpoint_dir: str | None = None, checkpoint_every: int = 0, batch_size: int | None = None) -> Trained:
     """Fit a basis to images. Ring and hierarchy start from small random phases unless some are given.
 
     Every ``checkpoint_every`` steps the history and basis so far are saved in ``checkpoint_dir``.
@@ -219,15 +244,25 @@ def train(images: DataFrame, family: str, m: int, n: int, epochs: int = 3, split
         start = Basis.make(family, m, n, tuple(0.1 * np.random.default_rng(seed).standard_normal(len(start.phases))), position)
     k = max(1, round(0.1 * start.size)) if k is None else k
     optimizer = optimizer or Optimizer()
-    share = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(10_000))
-    rows = images.select(id_col, "re", (share < int(split * 10_000)).alias("held")).persist()
+    if batch_size is None:
+        share = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(10_000))
+        rows = images.select(id_col, "re", (share < int(split * 10_000)).alias("held")).persist()
+        part_of = lambda training, epoch: training.withColumn("batch", F.pmod(F.xxhash64(F.lit(seed + epoch), F.col(id_col)), F.lit(batches)))
+    else:
+        total = images.count()
+        n_held = validation_count(total, split)
+        n_training = max(1, total - n_held)
+        batch_size = min(max(1, batch_size), n_training)
+        batches = -(-n_training // batch_size)
+        rows = numbered(images.select(id_col, "re"), id_col, seed, "at").select(id_col, "re", (F.col("at") < n_held).alias("held")).persist()
+        part_of = lambda training, epoch: numbered(training, id_col, seed + epoch, "at").withColumn("batch", F.expr(f"at div {batch_size}"))
     try:
         training, held = rows.filter("not held"), rows.filter("held")
         gates, best, best_loss, waited, log, steps, done = list(start.gates), list(start.gates), math.inf, 0, [], [], 0
         for epoch in range(1, epochs + 1):
-            means = []
+            means, shuffled = [], part_of(training, epoch)
             for batch in range(batches):
-                part = training.filter(F.pmod(F.xxhash64(F.lit(seed + epoch), F.col(id_col)), F.lit(batches)) == batch)
+                part = shuffled.filter(F.col("batch") == batch)
                 (value,), grads = evaluate(part, [gates], m + n, loss, k, gradient=True)
                 if not grads:
                     continue

@@ -7,10 +7,10 @@ from pyspark.sql.window import Window as W
 
 from ..functions import series
 from ..operators import basis as B
-from ..operators import losses, training
+from ..operators import coordinates, losses, training
 from ..sources import files
 from . import oracle as O
-from .images import coefficients, cropped, kept_rows, mosaics, padded, rounded, table, unit_vectors, vectors
+from .images import coefficients, cropped, kept_rows, mosaics, padded, pixels, rounded, table, unit_vectors, vectors
 
 P3 = (0.1, 0.2, 0.3)
 P6 = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6)
@@ -55,7 +55,7 @@ for _name, (_basis, _sql, _h) in FORWARD.items():
 
 @query(O.with_pixels(O.transform(3, 3, "qft") + ", " + O.ranked(8)) + " SELECT vec_id, u + 1 + w * 8 AS idx, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM rk WHERE rn <= 6")
 def qft_topk(spark, sf_dir):
-    return kept_rows(B.largest(QFT.forward(vectors(spark, sf_dir), real=True), 6), "vec_id")
+    return kept_rows(B.largest_after(vectors(spark, sf_dir), QFT.steps(), 3, 3, 6), "vec_id")
 
 
 @query(O.with_pixels(O.transform(3, 3, "qft") + ", " + O.ranked(8)) + " SELECT vec_id, u + 1 + w * 8 AS idx, CASE WHEN rn <= 6 THEN round(re, 6) + 0.0 ELSE 0 END AS re, CASE WHEN rn <= 6 THEN round(im, 6) + 0.0 ELSE 0 END AS im FROM rk")
@@ -67,7 +67,7 @@ def topk_dense(spark, sf_dir):
        + " SELECT vec_id, u + 1 + w * 8 AS idx, round(score, 6) AS score FROM rk WHERE rn <= 6")
 def topk_freq_weighted(spark, sf_dir):
     kept = B.weighted_largest(QFT.forward(vectors(spark, sf_dir), real=True), 3, 3, 6)
-    return kept.select("vec_id", F.explode("kept").alias("z")).select("vec_id", (F.col("z.lin") + 1).alias("idx"), F.round("z.score", 6).alias("score"))
+    return kept.select("vec_id", F.inline("kept")).select("vec_id", (F.col("lin") + 1).alias("idx"), F.round("score", 6).alias("score"))
 
 
 @query(O.with_pixels(O.transform(3, 3, "qft") + ", " + O.transform(3, 3, "inverse_qft", "b", "ff") .replace("bg AS (SELECT vec_id, lin % 8 AS r0, lin // 8 AS c0, re, im FROM ff)", "bg AS (SELECT vec_id, u AS r0, w AS c0, re, im FROM f)"))
@@ -82,11 +82,7 @@ def roundtrip_error(spark, sf_dir):
 
 
 def _compressed(spark, sf_dir, images=vectors):
-    parts = [QFT.compress(images(spark, sf_dir), ratio=r).withColumn("ratio", F.lit(r)) for r in RATIOS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return QFT.compress_ratios(images(spark, sf_dir), RATIOS)
 
 
 RATIO_SQL = "ks AS (SELECT ratio, greatest(1, round_even(64 * (1.0::DOUBLE - ratio), 0)::INT) AS k FROM (VALUES (0.5::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE)) t(ratio))"
@@ -112,11 +108,7 @@ def compression_stats(spark, sf_dir):
 
 def _recovered(spark, sf_dir):
     images = unit_vectors(spark, sf_dir).withColumn("x", F.col("re"))
-    parts = [QFT.recover(QFT.compress(images, ratio=r)).withColumn("ratio", F.lit(r)) for r in RATIOS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return losses.picture_metrics(out, "x", "re")
+    return losses.picture_metrics(QFT.recover(QFT.compress_ratios(images, RATIOS)), "x", "re")
 
 
 RECOVERED_SQL = (
@@ -142,7 +134,7 @@ def best_label_by_ratio(spark, sf_dir):
 
 @query(O.with_pixels(O.transform(3, 3, "fft") + ", " + O.ranked(8)) + " SELECT vec_id, u + 1 + w * 8 AS idx, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM rk WHERE rn <= 6")
 def fft_baseline(spark, sf_dir):
-    return kept_rows(B.largest(B.apply_steps(vectors(spark, sf_dir), B.classical_steps(3, 3), 3, 3, im=None), 6), "vec_id")
+    return kept_rows(B.largest_after(vectors(spark, sf_dir), B.classical_steps(3, 3), 3, 3, 6), "vec_id")
 
 
 @query(O.with_pixels(O.transform(3, 3, "qft")) + " SELECT vec_id, round(sum(sqrt(re * re + im * im)), 6) AS loss FROM f GROUP BY vec_id")
@@ -234,17 +226,119 @@ def event_heatmap_wht(spark, sf_dir):
     return out.select(F.posexplode("re").alias("lin", "v")).select((F.col("lin") + 1).alias("idx"), rounded(F.col("v")).alias("re"))
 
 
-@query(O.with_pixels(O.transform(3, 3, "qft")) + " SELECT vec_id, u + 1 + w * 8 AS idx, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM f")
-def qft_kernel_join(spark, sf_dir):
-    """The same transform on coordinate rows, by joining pixels with kernel rows: for images too large for one row."""
-    return training.kernel_join(vectors(spark, sf_dir), QFT)
+def _by_coordinates(basis):
+    def run(spark, sf_dir):
+        out = coordinates.transform(pixels(vectors(spark, sf_dir), "vec_id"), basis)
+        return out.select(F.col("id").alias("vec_id"), (F.col("lin") + 1).alias("idx"), rounded(F.col("re")).alias("re"), rounded(F.col("im")).alias("im"))
 
+    return run
 
-@query()
+
+# the same transforms on coordinate rows, for images too large for one row
+for _name, _like in (("qft_kernel_join", "qft_forward"), ("eqft_coordinates", "eqft_middle"), ("mera_coordinates", "mera_2x4")):
+    QUERIES[_name] = _by_coordinates(FORWARD[_like][0])
+    SQL[_name] = SQL[_like]
+
+
+HALF_SQL = O.with_pixels(O.transform(3, 3, "qft") + ", " + O.ranked(8) + ", low AS (SELECT vec_id, (u + 8 * w)::BIGINT AS lin, CASE WHEN rn <= 32 THEN re ELSE 0 END AS re, CASE WHEN rn <= 32 THEN im ELSE 0 END AS im FROM rk), " + O.transform(3, 3, "inverse_qft", "b", "low"))
+
+
+@query(HALF_SQL + " SELECT vec_id, u + 1 + w * 8 AS idx, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM b")
 def json_roundtrip(spark, sf_dir):
     """Compressed images written as JSON, read back with the declared schema, and recovered."""
-    low = QFT.compress(vectors(spark, sf_dir), ratio=0.5)
-    return QFT.recover(files.roundtrip(low)).select("vec_id", F.transform("re", lambda v: rounded(v)).alias("re"))
+    return coefficients(QFT.recover(files.roundtrip(QFT.compress(vectors(spark, sf_dir), ratio=0.5))), "vec_id")
+
+
+@query("WITH p AS (SELECT l_returnflag AS flag, (l_partkey % 64 + 64 * (l_suppkey % 64))::BIGINT AS lin, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), g AS (SELECT flag, dense_rank() OVER (ORDER BY flag) AS vec_id, lin, v FROM p), names AS (SELECT DISTINCT vec_id, flag FROM g), px AS (SELECT vec_id, lin, v AS re, 0.0::DOUBLE AS im FROM g), "
+       + O.transform(6, 6, "wht") + ", " + O.ranked(64) + " SELECT flag, rn::INT AS place, u + 1 + w * 64 AS idx, round(re, 6) + 0.0 AS re FROM rk JOIN names USING (vec_id) WHERE rn <= 41")
+def lineitem_map_wht(spark, sf_dir):
+    """Quantities by part and supplier, a 64 x 64 picture for each return flag: a hundredth of the Walsh-Hadamard coefficients."""
+    cells = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", F.expr("cast(l_partkey % 64 + 64 * (l_suppkey % 64) as int)").alias("lin")).agg(F.sum("l_quantity").alias("v"))
+    # at most 4,096 cells a flag
+    images = cells.groupBy("l_returnflag").agg(F.map_from_entries(F.collect_list(F.struct("lin", "v"))).alias("cells"))
+    images = images.select(F.col("l_returnflag").alias("flag"), F.expr(B.let("q", {"cells": "cells"}, "transform(sequence(0, 4095), i -> coalesce(try_element_at(q.cells, i), 0D))")).alias("re"))
+    kept = B.largest_after(images, B.Basis.make("tebd", 6, 6).steps(), 6, 6, 41)
+    return kept.select("flag", F.posexplode("kept").alias("at", "z")).select("flag", (F.col("at") + 1).alias("place"), (F.col("z.lin") + 1).alias("idx"), rounded(F.col("z.re")).alias("re"))
+
+
+@query("WITH p AS (SELECT l_returnflag AS flag, l_orderkey % 512 AS r, l_partkey % 512 AS c, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT flag, round(sum(v * v), 3) AS energy, round(sum(v) / 512, 6) AS mean FROM p GROUP BY flag")
+def lineitem_map_512(spark, sf_dir):
+    """512 x 512 pictures as coordinate rows: the Fourier coefficients' energy, which is the pictures', and the constant one."""
+    cells = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("id"), F.expr("l_orderkey % 512 + 512 * (l_partkey % 512)").alias("lin")).agg(F.sum("l_quantity").alias("re"))
+    out = coordinates.transform(cells.select("id", "lin", "re", F.lit(0.0).alias("im")), B.Basis.make("qft", 9, 9))
+    energy = F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im"))
+    return out.groupBy(F.col("id").alias("flag")).agg(F.round(energy, 3).alias("energy"), F.round(F.sum(F.when(F.col("lin") == 0, F.col("re"))), 6).alias("mean"))
+
+
+def _recovered_sql(kind: str) -> str:
+    """Error of pictures recovered from a fifth of the coefficients of a fixed transform, by picture."""
+    return (O.with_pixels(O.transform(3, 3, kind, f"{kind}f") + ", " + O.ranked(8, f"{kind}f", f"{kind}rk") + f", {kind}low AS (SELECT vec_id, (u + 8 * w)::BIGINT AS lin, CASE WHEN rn <= 13 THEN re ELSE 0 END AS re, CASE WHEN rn <= 13 THEN im ELSE 0 END AS im FROM {kind}rk), "
+                          + O.transform(3, 3, f"inverse_{kind}", f"{kind}b", f"{kind}low"), O.UNIT)
+            + f" SELECT '{kind}' AS basis, b.vec_id, avg(pow(v.v - greatest(0, least(1, b.re)), 2)) AS mse FROM {kind}b b JOIN v ON v.vec_id = b.vec_id AND v.lin = b.u + 8 * b.w GROUP BY b.vec_id")
+
+
+def _baselines(spark, sf_dir):
+    images = unit_vectors(spark, sf_dir).withColumn("x", F.col("re"))
+    each = [losses.picture_metrics(B.baseline_recovered(images, 3, 3, 0.8, kind), "x", "re").select(F.lit(kind).alias("basis"), "vec_id", "mse", "psnr") for kind in ("fft", "dct")]
+    return losses.metric_summary(each[0].unionByName(each[1]).withColumn("ratio", F.lit(0.8)), "basis", "ratio")
+
+
+_BASELINE_SQL = f"WITH e AS (({_recovered_sql('fft')}) UNION ALL ({_recovered_sql('dct')})), m AS (SELECT basis, avg(mse) AS avg_mse, stddev_samp(mse) AS std_mse, avg(10 * log10(1 / mse)) AS avg_psnr, stddev_samp(10 * log10(1 / mse)) AS std_psnr FROM e GROUP BY basis)"
+
+
+@query(_BASELINE_SQL + " SELECT basis, 0.8::DOUBLE AS ratio, round(avg_mse, 6) AS avg_mse, round(std_mse, 6) AS std_mse, round(avg_psnr, 5) AS avg_psnr, round(std_psnr, 5) AS std_psnr FROM m")
+def fixed_baselines(spark, sf_dir):
+    """Pictures recovered from a fifth of their Fourier or cosine coefficients."""
+    out = _baselines(spark, sf_dir)
+    return out.select("basis", "ratio", *[F.round(c, 6 if "mse" in c else 5).alias(c) for c in ("avg_mse", "std_mse", "avg_psnr", "std_psnr")])
+
+
+@query(_BASELINE_SQL + " SELECT 0.8::DOUBLE AS ratio, 'dct' AS basis, round(100 * (1 - d.avg_mse / f.avg_mse), 4) AS mse_percent, round(d.avg_psnr - f.avg_psnr, 5) AS psnr_gain FROM m d, m f WHERE d.basis = 'dct' AND f.basis = 'fft'")
+def gain_over_fft(spark, sf_dir):
+    """The cosine baseline against the Fourier one: fall of the error in percent, gain in decibels."""
+    out = losses.improvements(_baselines(spark, sf_dir), "fft", ["ratio"])
+    return out.select("ratio", "basis", F.round("mse_percent", 4).alias("mse_percent"), F.round("psnr_gain", 5).alias("psnr_gain"))
+
+
+@query(RECOVERED_SQL + " SELECT label, " + ", ".join(f"round(avg(psnr) FILTER (ratio = {r}), 5) AS p{int(100 * r)}" for r in RATIOS) + " FROM q GROUP BY label")
+def psnr_report(spark, sf_dir):
+    """A table of mean signal-to-noise ratios: a row per label, a column per ratio."""
+    summary = losses.metric_summary(_recovered(spark, sf_dir), "label", "ratio").withColumn("at", F.concat(F.lit("p"), F.rint(F.col("ratio") * 100).cast("int")))
+    return losses.report(summary.withColumn("p", F.round("avg_psnr", 5)), "p", "label", "at")
+
+
+_SSIM_SQL = (RECOVERED_SQL + ", z AS (SELECT b.vec_id // 4 AS vec_id, b.vec_id % 4 AS part, v.label, b.u, b.w, greatest(0, least(1, v.v)) AS x, greatest(0, least(1, b.re)) AS y FROM b JOIN v ON v.vec_id = b.vec_id // 4 AND v.lin = b.u + 8 * b.w),"
+             " s AS (SELECT vec_id, part, label, i, j, avg(x) AS mx, avg(y) AS my, avg(x * x) - avg(x) * avg(x) AS vx, avg(y * y) - avg(y) * avg(y) AS vy, avg(x * y) - avg(x) * avg(y) AS vxy FROM z, range(0, 2) a(i), range(0, 2) c(j) WHERE u BETWEEN i AND i + 6 AND w BETWEEN j AND j + 6 GROUP BY ALL),"
+             " t AS (SELECT label, part, (2 * mx * my + 0.0001::DOUBLE) * (2 * vxy + 0.0009::DOUBLE) / ((mx * mx + my * my + 0.0001::DOUBLE) * (vx + vy + 0.0009::DOUBLE)) AS one FROM s)"
+             " SELECT label, CASE part WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 0.8::DOUBLE WHEN 2 THEN 0.9::DOUBLE ELSE 0.95::DOUBLE END AS ratio, round(avg(one), 6) AS ssim FROM t GROUP BY label, part")
+
+
+@query(_SSIM_SQL)
+def ssim_by_label(spark, sf_dir):
+    """Mean structural similarity of recovered pictures."""
+    both = losses.similarity(_recovered(spark, sf_dir), "x", "re", 8, 8)
+    return both.groupBy("label", "ratio").agg(F.round(F.avg("ssim"), 6).alias("ssim"))
+
+
+FIRST_LOSS = "SELECT 0 AS step, round(avg(l), 6) AS loss FROM (SELECT vec_id, {what} AS l FROM {source} GROUP BY vec_id)"
+
+
+def _before_training(spark, images, basis, loss, k):
+    _, trace = training.optimize(images, basis, training.Optimizer(), loss=loss, k=k, max_iter=0)
+    return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(trace)], "step int, loss double")
+
+
+@query(O.with_pixels(O.transform(3, 3, "qft")) + " " + FIRST_LOSS.format(what="sum(sqrt(re * re + im * im))", source="f"))
+def loss_before_training_l1(spark, sf_dir):
+    """What the trainer measures before its first step: the mean L1 loss of all vectors."""
+    return _before_training(spark, vectors(spark, sf_dir), QFT, "l1", 6)
+
+
+@query("WITH px AS (SELECT vec_id // 64 AS vec_id, (p - 1 + 64 * (vec_id % 64))::BIGINT AS lin, embedding[p]::DOUBLE AS re, 0.0::DOUBLE AS im FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS p FROM embeddings)), "
+       + O.transform(6, 6, "qft") + ", " + O.ranked(64) + " " + FIRST_LOSS.format(what="sum(CASE WHEN rn > 409 THEN re * re + im * im ELSE 0 END)", source="rk"))
+def loss_before_training_64x64(spark, sf_dir):
+    """The same for pictures of 64 x 64: the squared error with 409 coefficients, where adam_64x64 and gd_64x64 start."""
+    return _before_training(spark, mosaics(vectors(spark, sf_dir)), B.Basis.make("qft", 6, 6), "mse", 409)
 
 
 @query()

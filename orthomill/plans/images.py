@@ -33,9 +33,14 @@ def coefficients(df: DataFrame, *keys: str) -> DataFrame:
     return at.select(*keys, (F.col("lin") + 1).alias("idx"), rounded(F.col("z.re")).alias("re"), rounded(F.col("z.im")).alias("im"))
 
 
+def pixels(df: DataFrame, key: str) -> DataFrame:
+    """Images as rows of (id, lin, re, im)."""
+    return df.select(F.col(key).alias("id"), F.posexplode("re").alias("lin", "re"), F.lit(0.0).alias("im")).select("id", F.col("lin").cast("long").alias("lin"), "re", "im")
+
+
 def kept_rows(df: DataFrame, *keys: str) -> DataFrame:
-    at = df.select(*keys, F.posexplode("kept").alias("place", "z"))
-    return at.select(*keys, (F.col("z.lin") + 1).alias("idx"), rounded(F.col("z.re")).alias("re"), rounded(F.col("z.im")).alias("im"))
+    at = df.select(*keys, F.inline("kept"))
+    return at.select(*keys, (F.col("lin") + 1).alias("idx"), rounded(F.col("re")).alias("re"), rounded(F.col("im")).alias("im"))
 
 
 def padded(df: DataFrame, h: int, w: int, to_h: int, to_w: int) -> DataFrame:
@@ -62,3 +67,31 @@ def mosaics(df: DataFrame, side: int = 64) -> DataFrame:
     # a group has at most ``side`` vectors
     stacked = spread.groupBy("img_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "re"))), lambda x: x["re"])).alias("re"))
     return stacked.select("img_id", F.concat("re", F.array_repeat(F.lit(0.0), F.lit(side * side) - F.size("re"))).alias("re"))
+
+
+def grey(r, g, b):
+    """Luma of red, green and blue columns."""
+    return 0.299 * r + 0.587 * g + 0.114 * b
+
+
+def chosen(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows, the first in the order of a seeded hash of the key."""
+    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+
+
+def synthetic(spark: SparkSession, n: int, m: int, n_bits: int, seed: int = 42) -> DataFrame:
+    """Made-up pictures in [0, 1]: a gradient, a disc whose place depends on the number, and noise."""
+    h, w = 2**m, 2**n_bits
+    r, c = f"(p % {h} / {h}D)", f"(p div {h} / {w}D)"
+    noise = f"(pmod(xxhash64({seed}, img_id, p), 2001) / 1000D - 1)"
+    disc = f"if(pow({r} - (0.25 + 0.5 * pmod(img_id * 37, 100) / 100D), 2) + pow({c} - (0.25 + 0.5 * pmod(img_id * 61, 100) / 100D), 2) < 0.02, 0.4D, 0D)"
+    value = f"greatest(0D, least(1D, 0.5 * {r} + 0.3 * {c} + {disc} + 0.05 * {noise}))"
+    return spark.range(n).withColumnRenamed("id", "img_id").withColumn("re", F.expr(f"transform(sequence(0, {h * w - 1}), p -> {value})"))
+
+
+def gaussian(spark: SparkSession, n: int, m: int, n_bits: int, seed: int = 42) -> DataFrame:
+    """Random complex pictures; a row's numbers depend on its number and the seed only."""
+    size = 2 ** (m + n_bits)
+    uniform = lambda salt: f"((pmod(xxhash64({seed}, {salt}, img_id, p), 9007199254740992) + 0.5D) / 9007199254740992D)"
+    part = lambda turn: F.expr(f"transform(sequence(0, {size - 1}), p -> sqrt(-ln({uniform(1)})) * {turn}(2 * pi() * {uniform(2)}))")
+    return spark.range(n).withColumnRenamed("id", "img_id").select("img_id", part("cos").alias("re"), part("sin").alias("im"))

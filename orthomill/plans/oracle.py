@@ -18,6 +18,11 @@ def kernel(kind: str, bits: int) -> str:
     n = 2**bits
     if kind == "wht":
         return f"SELECT a.i AS y, b.i AS x, (CASE WHEN bit_count(a.i & b.i) % 2 = 0 THEN 1 ELSE -1 END) / sqrt({n}.0) AS kr, 0.0::DOUBLE AS ki FROM range(0, {n}) a(i), range(0, {n}) b(i)"
+    if kind.endswith("dct"):
+        y, x = ("b.i", "a.i") if kind.startswith("inverse") else ("a.i", "b.i")
+        return f"SELECT a.i AS y, b.i AS x, cos(pi() * {y} * (2 * {x} + 1) / {2 * n}.0) * sqrt(2.0::DOUBLE / {n}) / CASE WHEN {y} = 0 THEN sqrt(2.0::DOUBLE) ELSE 1 END AS kr, 0.0::DOUBLE AS ki FROM range(0, {n}) a(i), range(0, {n}) b(i)"
+    if kind == "inverse_fft":
+        return f"SELECT a.i AS y, b.i AS x, cos(2 * pi() * ((a.i * b.i) % {n}) / {n}.0) / sqrt({n}.0) AS kr, sin(2 * pi() * ((a.i * b.i) % {n}) / {n}.0) / sqrt({n}.0) AS ki FROM range(0, {n}) a(i), range(0, {n}) b(i)"
     x, sign = (reverse("b.i", bits), "") if kind.endswith("qft") else ("b.i", "-")
     if kind.startswith("inverse"):
         # the conjugate transpose: rows are places in the image

@@ -72,3 +72,43 @@ def test_checkpoints_and_steps(spark, tmp_path):
     assert again.family == "mera" and any(abs(p) > 1e-3 for p in again.phases)
     steps = out.steps_frame(spark).orderBy("step").toPandas()
     assert steps["smoothed"][0] == steps["loss"][0] and steps["smoothed"][1] == pytest.approx(0.6 * steps["loss"][0] + 0.4 * steps["loss"][1])
+
+
+def test_unknown_losses_are_errors(spark):
+    with pytest.raises(ValueError, match="unknown loss"):
+        training.optimize(images(spark, 3), Basis.make("qft", 2, 2), training.Optimizer(), loss="L1", max_iter=1)
+    with pytest.raises(ValueError, match="unknown loss"):
+        training.train(images(spark, 3), "qft", 2, 2, epochs=1, loss="huber")
+
+
+@pytest.mark.parametrize("n,size,batches", [(12, 4, 3), (12, 99, 1), (12, 0, 10), (3, 2, 1)])
+def test_batch_size_gives_exact_parts(spark, n, size, batches):
+    """A fifth of the rows, rounded, is held out; the others are cut into batches of the size, clamped to what there is."""
+    out = training.train(images(spark, n), "qft", 2, 2, epochs=2, split=0.2, batch_size=size)
+    assert len(out.steps) == 2 * batches and [s[2] for s in out.steps[:batches]] == list(range(1, batches + 1))
+    held = validation_count(n, 0.2)
+    assert np.isinf(out.epochs[0][2]) == (held == 0)
+
+
+def test_rows_are_numbered_without_gaps(spark):
+    got = training.numbered(spark.range(1000), "id", 7, "at").toPandas().sort_values("at")
+    assert got["at"].tolist() == list(range(1000)) and got["id"].tolist() != sorted(got["id"])
+    other = training.numbered(spark.range(1000).repartition(5), "id", 7, "at").toPandas().sort_values("at")
+    assert other["id"].tolist() == got["id"].tolist() != training.numbered(spark.range(1000), "id", 8, "at").toPandas().sort_values("at")["id"].tolist()
+
+
+def test_runs_are_compared(spark, tmp_path):
+    runs = {f: training.train(images(spark, 12), f, 2, 2, epochs=2, split=0.25, batch_size=5) for f in ("qft", "tebd")}
+    both = training.compare(spark, runs).toPandas()
+    assert sorted(map(tuple, both[["name", "epoch", "kind"]].to_numpy().tolist())) == sorted((f, e, k) for f in runs for e in (1, 2) for k in ("train", "validation"))
+    assert set(training.compare(spark, runs, "train").toPandas()["kind"]) == {"train"}
+    with pytest.raises(ValueError):
+        training.compare(spark, runs, "all")
+    grid = training.compare_steps(spark, runs, columns=1).toPandas()
+    assert set(map(tuple, grid[["name", "grid_row", "grid_column"]].to_numpy().tolist())) == {("qft", 0, 0), ("tebd", 1, 0)} and len(grid) == 8
+    for name, run in runs.items():
+        files.save_history(run, str(tmp_path / f"{name}.json"), name)
+    epochs, steps = files.read_histories(spark, str(tmp_path))
+    assert epochs.count() == 4 and steps.count() == 8
+    row = epochs.filter("basis_name = 'qft' and epoch = 1").first()
+    assert (row.train_loss, row.val_loss) == pytest.approx(runs["qft"].epochs[0][1:])
