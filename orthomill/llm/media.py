@@ -314,8 +314,9 @@ WITH p AS (SELECT doc_id, CASE WHEN octet_length(b) = 0 THEN repeat('00', 64) EL
            FROM (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents)),
 n AS (SELECT doc_id, x, (length(x) // 2)::BIGINT AS n, least(65536, length(x) // 2)::BIGINT AS area FROM p),
 f AS (SELECT doc_id, x, n, area, unnest(range(0, (n + 65535) // 65536)) AS frame FROM n),
-q AS (SELECT doc_id, frame, area, x, n, unnest(range(0, area)) AS pos FROM f),
-v AS (SELECT doc_id, frame, area, ('0x' || substr(x, (2 * (CASE WHEN 65536 * frame + pos < n THEN 65536 * frame + pos ELSE 65536 * (frame - 1) + pos END) + 1)::BIGINT, 2))::INT AS i FROM q)
+q AS (SELECT *, unnest(range(0, area // 64)) AS line FROM f),
+r AS (SELECT doc_id, frame, area, substr(x, (128 * (CASE WHEN 1024 * frame + line < n // 64 THEN 1024 * frame + line ELSE 1024 * (frame - 1) + line END) + 1)::BIGINT, 128) AS h FROM q),
+v AS (SELECT doc_id, frame, area, ('0x' || substr(h, (2 * p + 1)::BIGINT, 2))::INT AS i FROM r, range(0, 64) t(p))
 SELECT doc_id, frame::INT AS frame, frame * 40 AS start_ms, 40::BIGINT AS duration_ms, 64 AS width, (area // 64)::INT AS height,
        (((i >> 5) * 255 // 7 >> 6) * 16 + (((i >> 2) & 7) * 255 // 7 >> 6) * 4 + ((i & 3) * 85 >> 6))::INT AS cell, count(*)::BIGINT AS pixels
 FROM v GROUP BY doc_id, frame, area, cell
