@@ -2,8 +2,9 @@
 
 The driver holds the gates (a few hundred numbers). A step is one Spark job: every task adds
 up loss and gradient of its images, and an aggregate by gate entry adds the tasks' sums, so
-what reaches the driver has the size of the gates. A line search takes two jobs at most: the
-full step, then all shorter ones together.
+what reaches the driver has the size of the gates. A line search takes three jobs at most: the
+full step, then shorter ones, several together. Images of at most ``ONE_TASK_VALUES`` values in all
+are fitted in one task by the same code.
 
 Behaviour: moments of Adam last over steps; without validation rows the last gates are
 returned, else the best; patience counts from the second epoch on and equal loss is no
@@ -17,6 +18,7 @@ own, into batches of that size, the last one shorter.
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.series import learning_rate_at, validation_count
 from ..sources.files import save_checkpoint
-from .basis import Basis
+from .basis import Basis, matrix_of
 from .losses import LOSSES
 from .circuits import Gate
 from .manifolds import MANIFOLDS, transport
@@ -45,40 +47,77 @@ def retract_phase_columns(zr: Column, zi: Column, xr: Column, xi: Column, alpha:
 
 
 def keep_mask(y: np.ndarray, k: int) -> np.ndarray:
-    """1 for the k largest entries of each column, lowest place first among ties."""
+    """True for the k largest entries of each column, lowest place first among ties."""
     if k >= len(y):
-        return np.ones(y.shape)
-    order = np.argsort(-np.round(np.abs(y), 12), axis=0, kind="stable")[:k]
-    mask = np.zeros(y.shape)
-    np.put_along_axis(mask, order, 1.0, axis=0)
-    return mask
+        return np.ones(y.shape, bool)
+    size = np.round(np.abs(y), 12)
+    least = -np.partition(-size, k - 1, axis=0)[k - 1]
+    above, equal = size > least, size == least
+    return above | equal & (np.cumsum(equal, axis=0) <= k - above.sum(axis=0))
+
+
+def by_bits(values: np.ndarray, qubits: tuple[int, int]) -> np.ndarray:
+    """A view of values by place with an axis each for the higher and the lower of two qubits (axes 1 and 3)."""
+    low, high = sorted(q - 1 for q in qubits)
+    return values.reshape(-1, 2, 1 << high - low - 1, 2, 1 << low)
+
+
+def blocks_of(gates: list[Gate], qubits: int) -> list[tuple[int | None, list[int], np.ndarray]]:
+    """Runs of phase gates as one diagonal (None, their numbers, 2^qubits factors); each other gate alone (its qubit from 0, number, matrix)."""
+    out = []
+    for i, g in enumerate(gates):
+        if g.role == "h":
+            out.append((g.qubits[0] - 1, [i], g.matrix))
+            continue
+        if not out or out[-1][0] is not None:
+            out.append((None, [], np.ones((1 << qubits, 1), complex)))
+        out[-1][1].append(i)
+        view = by_bits(out[-1][2], g.qubits)
+        view *= (g.matrix if g.qubits[0] > g.qubits[1] else g.matrix.T)[None, :, None, :, None]
+    return out
+
+
+def mixed(matrix: np.ndarray, state: np.ndarray, qubit: int) -> np.ndarray:
+    """A 2x2 matrix applied along one qubit of (2^qubits, images) states."""
+    pair = state.reshape(-1, 2, state.shape[1] << qubit)
+    matrix = matrix if matrix.imag.any() else matrix.real
+    out, part = np.empty_like(pair), np.empty_like(pair[:, 0])
+    for i in (0, 1):
+        np.multiply(pair[:, 0], matrix[i, 0], out=out[:, i])
+        np.multiply(pair[:, 1], matrix[i, 1], out=part)
+        out[:, i] += part
+    return out.reshape(state.shape)
 
 
 def loss_and_gradient(gates: list[Gate], x: np.ndarray, qubits: int, loss: str, k: int, gradient: bool = True):
     """Summed loss over the columns of ``x`` and its gradient by gate (dL/dRe + i dL/dIm)."""
-    state = x.astype(complex).reshape([2] * qubits + [-1], order="F")
-    for g in gates:
-        state = g.apply(state)
-    y = state.reshape(x.shape, order="F")
+    state, blocks = np.ascontiguousarray(x, complex), blocks_of(gates, qubits)
+    for qubit, _, block in blocks:
+        state = block * state if qubit is None else mixed(block, state, qubit)
     if loss == "l1":
-        size = np.abs(y)
-        total, bar = float(size.sum()), np.where(size > 0, y / np.where(size > 0, size, 1), 0)
+        size = np.abs(state)
+        total, bar = float(size.sum()), np.where(size > 0, state / np.where(size > 0, size, 1), 0)
     else:
-        mask = keep_mask(y, k)
-        total = float((np.abs(x) ** 2).sum() - (mask * np.abs(y) ** 2).sum())
-        bar = -2 * mask * y
+        kept = np.where(keep_mask(state, k), state, 0)
+        total = float((np.abs(x) ** 2).sum() - (np.abs(kept) ** 2).sum())
+        bar = -2 * kept
     if not gradient:
         return total, []
-    bar, grads = bar.reshape(state.shape, order="F"), []
-    for g in reversed(gates):
-        back = Gate(g.role, g.qubits, g.matrix.conj().T if g.role == "h" else g.matrix.conj(), g.entangling)
-        state = back.apply(state)  # gates stay on their manifolds, so their adjoints undo them
-        axes = [q - 1 for q in g.qubits]
-        a = np.moveaxis(state, axes, range(len(axes))).reshape([2] * len(axes) + [-1])
-        b = np.moveaxis(bar, axes, range(len(axes))).reshape([2] * len(axes) + [-1])
-        grads.append(b @ a.conj().T if g.role == "h" else (a.conj() * b).sum(-1))
-        bar = back.apply(bar)
-    return total, grads[::-1]
+    grads = [np.zeros((2, 2), complex)] * len(gates)
+    for qubit, numbers, block in reversed(blocks):  # gates stay on their manifolds, so their adjoints undo them
+        if qubit is None:
+            each = np.einsum("ij,ij->i", state.conj(), bar)  # by place; unit phases of the run's other gates cancel out
+            for i in numbers:
+                sums = by_bits(each, gates[i].qubits).sum(axis=(0, 2, 4))
+                grads[i] = (sums if gates[i].qubits[0] > gates[i].qubits[1] else sums.T) * gates[i].matrix
+            back = block.conj()
+            state, bar = back * state, back * bar
+        else:
+            state = mixed(block.conj().T, state, qubit)
+            a, b = state.conj().reshape(-1, 2, state.shape[1] << qubit), bar.reshape(-1, 2, bar.shape[1] << qubit)
+            grads[numbers[0]] = np.array([[np.einsum("ij,ij->", b[:, i], a[:, j]) for j in (0, 1)] for i in (0, 1)])
+            bar = mixed(block.conj().T, bar, qubit)
+    return total, grads
 
 
 def evaluate(images: DataFrame, candidates: list[list[Gate]], qubits: int, loss: str, k: int, gradient: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -90,7 +129,7 @@ def evaluate(images: DataFrame, candidates: list[list[Gate]], qubits: int, loss:
         n, sums = 0, [0.0] * len(candidates)
         grad = np.zeros((len(candidates[0]), 2, 2), complex)
         for b in batches:
-            x = np.stack(b.column(0).to_numpy(zero_copy_only=False)).T if b.num_rows else np.zeros((2**qubits, 0))
+            x = matrix_of(b.column(0), 2**qubits).T
             n += b.num_rows
             for i, gates in enumerate(candidates):
                 total, g = loss_and_gradient(gates, x, qubits, loss, k, gradient and not i)
@@ -142,8 +181,8 @@ class Optimizer:
         if self.kind == "gd":
             sizes = [rate * self.shrink**j for j in range(self.tries)]
             tried = [moved([-t for t in tangent], a) for a in sizes]
-            # the full step mostly does; the shorter ones are evaluated together, in a second job
-            for part in (slice(0, 1), slice(1, None)):
+            # the full step mostly does, or one not much shorter; those of a part are evaluated together, in one job
+            for part in (slice(0, 1), slice(1, 4), slice(4, None)):
                 for new, a, value in zip(tried[part], sizes[part], losses_of(tried[part]) if tried[part] else []):
                     if value <= loss - self.armijo * a * norm**2:
                         return new, norm
@@ -200,23 +239,55 @@ def compare_steps(spark: SparkSession, runs: dict[str, Trained], alpha: float =
     return out
 
 
+def descend(gates: list[Gate], optimizer: Optimizer, measure, max_iter: int, tol: float) -> tuple[list[Gate], list[float]]:
+    """The last gates, and the losses before each step and after the last. ``measure(candidates, gradient)`` gives mean losses and the first's gradient."""
+    trace = []
+    for _ in range(max_iter):
+        (value,), grads = measure([gates], True)
+        trace.append(float(value))
+        if not grads:
+            break
+        new, norm = optimizer.step(gates, grads, optimizer.rate, value, lambda c: measure(c, False)[0])
+        if norm < tol or not math.isfinite(norm):
+            break
+        gates = new
+    return gates, [*trace, float(measure([gates], False)[0][0])]
+
+
+#: Up to so many values, all steps run in one task: a job a step would take longer than the steps.
+ONE_TASK_VALUES = 100_000
+
+
+def descend_in_task(rows: DataFrame, gates: list[Gate], optimizer: Optimizer, qubits: int, loss: str, k: int, max_iter: int, tol: float):
+    """``descend`` on a few images, in one task."""
+
+    def run(batches):
+        x = np.concatenate([np.zeros((0, 2**qubits)), *[matrix_of(b.column(0), 2**qubits) for b in batches]]).T
+
+        def measure(candidates, gradient):
+            each = [loss_and_gradient(c, x, qubits, loss, k, gradient and not i) for i, c in enumerate(candidates)]
+            return np.array([t for t, _ in each]) / x.shape[1], [g / x.shape[1] for g in each[0][1]]
+
+        result = pickle.dumps((*descend(gates, optimizer, measure, max_iter, tol), optimizer))
+        yield pa.RecordBatch.from_arrays([pa.array([result], pa.binary())], ["result"])
+
+    return pickle.loads(rows.coalesce(1).mapInArrow(run, "result binary").first()[0])
+
+
 def optimize(images: DataFrame, basis: Basis, optimizer: Optimizer, loss: str = "mse", k: int | None = None, max_iter: int = 100, tol: float = 1e-6) -> tuple[Basis, list[float]]:
     """Full-batch optimisation; the losses before each step, and the last."""
-    qubits, gates, trace = basis.m + basis.n, list(basis.gates), []
+    if loss not in LOSSES:
+        raise ValueError(f"unknown loss {loss!r}; there are {', '.join(LOSSES)}")
+    qubits, gates = basis.m + basis.n, list(basis.gates)
     k = max(1, round(0.1 * basis.size)) if k is None else k
-    rows = images.select("re").persist()
-    losses_of = lambda c: evaluate(rows, c, qubits, loss, k)[0]
+    rows = images.select("re").filter("re is not null").persist()
     try:
-        for _ in range(max_iter):
-            (value,), grads = evaluate(rows, [gates], qubits, loss, k, gradient=True)
-            trace.append(float(value))
-            if not grads:
-                break
-            new, norm = optimizer.step(gates, grads, optimizer.rate, value, losses_of)
-            if norm < tol or not math.isfinite(norm):
-                break
-            gates = new
-        trace.append(float(losses_of([gates])[0]))
+        n = rows.count()
+        if 0 < n * basis.size <= ONE_TASK_VALUES:
+            gates, trace, done = descend_in_task(rows, gates, optimizer, qubits, loss, k, max_iter, tol)
+            optimizer.__dict__.update(done.__dict__)
+        else:
+            gates, trace = descend(gates, optimizer, lambda c, gradient: evaluate(rows, c, qubits, loss, k, gradient), max_iter, tol)
     finally:
         rows.unpersist()
     return Basis(basis.family, basis.m, basis.n, tuple(gates), basis.position), trace

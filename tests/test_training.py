@@ -112,3 +112,19 @@ def test_runs_are_compared(spark, tmp_path):
     assert epochs.count() == 4 and steps.count() == 8
     row = epochs.filter("basis_name = 'qft' and epoch = 1").first()
     assert (row.train_loss, row.val_loss) == pytest.approx(runs["qft"].epochs[0][1:])
+
+
+@pytest.mark.parametrize("kind", ["gd", "adam"])
+def test_one_task_or_a_job_a_step_give_the_same(spark, monkeypatch, kind):
+    runs = []
+    for limit in (10**6, 0):
+        monkeypatch.setattr(training, "ONE_TASK_VALUES", limit)
+        optimizer = training.Optimizer(kind, rate=0.05)
+        basis, trace = training.optimize(images(spark, 9), Basis.make("eqft", 2, 2, (0.2, 0.4)), optimizer, k=3, max_iter=4)
+        runs.append((trace, np.array(basis.tensors), optimizer.steps, np.array(optimizer.first)))
+    assert all(np.allclose(a, b) for a, b in zip(*runs)) and len(runs[0][0]) == 5
+
+
+def test_kept_entries_are_the_lowest_of_equal_ones():
+    y = np.array([[1, 2j, 0], [-1, 2, 0], [1j, 1, 0], [3, 2, 0]])
+    assert training.keep_mask(y, 2).astype(int).T.tolist() == [[1, 0, 0, 1], [1, 1, 0, 0], [1, 1, 0, 0]]
