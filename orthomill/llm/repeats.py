@@ -14,7 +14,8 @@ Both substring operators share these steps; a window is ``length`` consecutive u
    ways, unit by unit, and joining them by falling length gives each context's maximal repeats;
    those of ``length`` units or more count. A context that occurs twice is a repeat as a whole.
    An anchor with more than ``HOT_CONTEXTS`` different contexts is never gathered in one task:
-   its windows are dealt out and counted by content instead.
+   its contexts are cut in halves and dealt by what the windows of a half have in common, until
+   groups are small (``narrowed``).
 4. The repeats go back to their documents, which lose the units they cover.
 
 Rows are known by their id and the hash of their text, so repeated rows, repeated ids and
@@ -28,6 +29,7 @@ from bisect import bisect
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -171,29 +173,6 @@ def contexts(keyed_docs: DataFrame, wanted: DataFrame, unit: str, length: int) -
     return joined.mapInArrow(run, "anchor long, ctx long, reach int, n long, body binary")
 
 
-def in_slices(bodies: list[bytes], limit: int = 1_000_000):
-    """(start, stop) of slices of the contexts of about ``limit`` bytes, so that their hashes take little memory."""
-    return chunks_by_bytes(bodies, limit)
-
-
-def window_keys(anchor: np.ndarray, reach: np.ndarray, bodies: list[bytes], unit: str, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window of every context: the context's number, the window's, and a hash of anchor, place and content."""
-    parts = []
-    for lo, hi in in_slices(bodies):
-        raw = b"".join(bodies[lo:hi])
-        units = BYTE_HASH[np.frombuffer(raw, np.uint8)] if unit == "byte" else np.frombuffer(raw, np.uint64)
-        size = np.array([len(x) for x in bodies[lo:hi]]) // (1 if unit == "byte" else 8)
-        number = size - length + 1
-        which = np.repeat(np.arange(hi - lo), number)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(number) - number, number)
-        start = np.repeat(np.cumsum(size) - size, number) + step
-        with np.errstate(over="ignore"):
-            place = ((reach[lo:hi] >> 16)[which] - step).astype(np.uint64) * U64(0x9E3779B97F4A7C15)
-            key = Runs(units).of(start, start + length) + mix(anchor[lo:hi].view(np.uint64)[which] + place)
-        parts.append(((which + lo).astype(np.int32), step.astype(np.int32), key))
-    return tuple(np.concatenate(x) for x in zip(*parts))
-
-
 def padded(units: np.ndarray, start: np.ndarray, size: np.ndarray, step: int) -> np.ndarray:
     """A row per context: ``size`` units from ``start`` on, forwards or backwards, and zeros after them."""
     at = np.arange(int(size.max(initial=0)))
@@ -296,23 +275,31 @@ def repeated_in_group(anchor: np.ndarray, reach: np.ndarray, bodies: list[bytes]
     return which, far[which] - back, far[which] + share - length
 
 
-def extended(bodies: DataFrame, unit: str, length: int, orders=sorted_order) -> DataFrame:
+FOUND = "anchor long, ctx long, reach int, runs array<int>"
+
+
+def extended(members: DataFrame, unit: str, length: int, orders=sorted_order) -> DataFrame:
     """Repeated windows of contexts that occur once, as runs counted from the context's start.
 
-    Rows are sorted by anchor; whole groups are taken together up to ``BATCH_BYTES``.
+    ``members`` has a group, the part of its context that a row stands for (``span``, as in
+    ``reach``) with its units, how often that part occurs, and the context. Rows are sorted by
+    group; whole groups are taken together up to ``BATCH_BYTES``.
     """
     budget = BATCH_BYTES
     names = ["anchor", "ctx", "reach", "runs"]
 
     def work(rows):
-        rows = [r for i, r in enumerate(rows) if not i or r[:3] != rows[i - 1][:3]]  # the same row of a repeated document
-        anchor, reach = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        which, first, last = repeated_in_group(anchor, reach, [r[4] for r in rows], unit, length, orders)
+        # the same row of a repeated document goes
+        rows = [r for i, r in enumerate(rows) if not i or (r[0], *r[4:]) != (rows[i - 1][0], *rows[i - 1][4:])]
+        group, span = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        which, first, last = repeated_in_group(group, span, [r[3] for r in rows], unit, length, orders)
         runs: dict[int, list[int]] = {}
         for w, a, b in zip(which.tolist(), first.tolist(), last.tolist()):
-            if rows[w][3] == 1:
-                runs.setdefault(w, []).extend((a, b))
-        return pa.RecordBatch.from_arrays([*[pa.array([rows[w][c] for w in runs], k) for c, k in ((0, pa.int64()), (1, pa.int64()), (2, pa.int32()))], pa.array(list(runs.values()), pa.list_(pa.int32()))], names)
+            _, part, n, _, _, _, reach = rows[w]
+            if n == 1:
+                skipped = (reach >> 16) - (part >> 16)
+                runs.setdefault(w, []).extend((a + skipped, b + skipped))
+        return pa.RecordBatch.from_arrays([*[pa.array([rows[w][c] for w in runs], k) for c, k in ((4, pa.int64()), (5, pa.int64()), (6, pa.int32()))], pa.array(list(runs.values()), pa.list_(pa.int32()))], names)
 
     def run(batches):
         held, size = [], 0
@@ -322,41 +309,68 @@ def extended(bodies: DataFrame, unit: str, length: int, orders=sorted_order) ->
                     yield work(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[3])
         if held:
             yield work(held)
 
-    dealt = bodies.repartition("anchor").sortWithinPartitions("anchor", "ctx", "reach")
-    return dealt.mapInArrow(run, "anchor long, ctx long, reach int, runs array<int>")
+    dealt = members.select("g", "span", "n", "body", "anchor", "ctx", "reach").repartition("g").sortWithinPartitions("g", "anchor", "ctx", "reach")
+    return dealt.mapInArrow(run, FOUND)
 
 
-def counted(bodies: DataFrame, unit: str, length: int) -> DataFrame:
-    """The result of ``extended`` for anchors with very many contexts: windows meet by anchor and content, as rows without their texts.
+def halved(rows: DataFrame, unit: str, length: int, width: int) -> DataFrame:
+    """Each row's windows in parts of ``width`` places, by how far before the anchor they start.
 
-    A window may stand in nearly all contexts of its anchor. As with occurrences, only a task's
-    first two rows of a window go to where it meets; later ones are known to repeat and go anywhere.
+    All windows of a part hold the same ``length - width + 1`` units around the anchor; rows that
+    differ there can share none of them. So g becomes a hash of those units; h1 and h2 are
+    128 bits of all units of the part.
     """
-    names = ["anchor", "ctx", "reach", "n", "step", "meet", "known"]
+    size = 1 if unit == "byte" else 8
+    names = ["g", "span", "h1", "h2", "n", "body", "anchor", "ctx", "reach"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
 
     def run(batches):
-        seen: dict[int, int] = {}
         for b in batches:
-            if not b.num_rows:
-                continue
-            which, step, key = window_keys(b.column(0).to_numpy(), b.column(2).to_numpy().astype(np.int64), b.column(4).to_pylist(), unit, length)
-            if len(seen) > 600_000:
-                seen.clear()
-            known = np.zeros(len(key), bool)
-            for i, k in enumerate(key.tolist()):
-                n = seen[k] = seen.get(k, 0) + 1
-                known[i] = n > 2
-            spread = mix(b.column(1).to_numpy().view(np.uint64)[which] + step.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([*[b.column(c).take(pa.array(which)) for c in range(4)], pa.array(step), pa.array(np.where(known, spread, key).view(np.int64)), pa.array(known)], names)
-
-    windows = bodies.dropDuplicates(["anchor", "ctx", "reach"]).mapInArrow(run, "anchor long, ctx long, reach int, n long, step int, meet long, known boolean")
-    met = F.count(F.lit(1)).over(W.partitionBy("meet"))
-    # an unknown row that meets a spread one by chance would need equal 64-bit hashes
-    return windows.withColumn("met", met).filter("n = 1 and (met > 1 or known)").select("anchor", "ctx", "reach", F.array("step", "step").alias("runs"))
+            out = []
+            for g, span, n, body, *ids in zip(*[c.to_pylist() for c in b.columns]):
+                far, near = span >> 16, span & 0xFFFF
+                for part in range(near // width, far // width + 1):
+                    lo, hi = max(near, part * width), min(far, (part + 1) * width - 1)
+                    cut = body[(far - hi) * size : (far - lo + length) * size]
+                    common = cut[(hi - part * width) * size : (hi + length - (part + 1) * width + 1) * size]
+                    key, h = xxhash.xxh3_64_intdigest(common, (g + part) % (1 << 64)), xxhash.xxh3_128_intdigest(cut)
+                    out.append((signed(key), hi << 16 | lo, signed(h >> 64), signed(h % (1 << 64)), n, cut, *ids))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 9, kinds)], names)
+
+    return rows.select("g", "span", "n", "body", "anchor", "ctx", "reach").mapInArrow(run, "g long, span int, h1 long, h2 long, n long, body binary, anchor long, ctx long, reach int")
+
+
+def narrowed(members: DataFrame, unit: str, length: int, orders=sorted_order) -> DataFrame:
+    """The result of ``extended`` for groups with very many contexts, in rounds that halve the contexts.
+
+    A round cuts every context into two ranges of windows and groups each by what its windows have
+    in common; parts that became equal fold into one with a count, so what a passage's many
+    surroundings share is soon one row. Groups that are small then go to ``extended``. In the last
+    round a part is one window and a group one content, so the rounds end.
+    """
+    rows, found, width = members.dropDuplicates(["anchor", "ctx", "reach"]), None, 1 << (length - 1).bit_length()
+    part = ["g", "span", "h1", "h2"]
+    while width > 1:
+        width //= 2
+        parts = materialize(halved(rows, unit, length, width))
+        folded = materialize(parts.groupBy(*part).agg(F.sum("n").alias("total"), F.min(F.struct("anchor", "ctx", "reach", "body")).alias("one")))
+        sizes = materialize(folded.groupBy("g").count().filter("count > 1"))
+        # written tables on both sides: adaptive execution can split a part or group that very many rows have
+        twice = parts.filter("n = 1").join(folded.filter("total > 1").select(*part), part, "left_semi")
+        edge = lambda c: F.shiftright("reach", 16) - c
+        whole = twice.select("anchor", "ctx", "reach", F.array(edge(F.shiftright("span", 16)), edge(F.col("span").bitwiseAND(0xFFFF))).alias("runs"))
+        again = folded.join(sizes, "g").select("g", "span", F.col("total").alias("n"), "one.*", "count")
+        found = whole if found is None else found.unionByName(whole)
+        found = found.unionByName(extended(again.filter(F.col("count") <= HOT_CONTEXTS), unit, length, orders))
+        rows = again.filter(F.col("count") > HOT_CONTEXTS)
+        if rows.isEmpty():
+            break
+    return found
 
 
 def covered_documents(docs: DataFrame, unit: str, length: int, k: int, id_col="doc_id", text_col="text", orders=sorted_order) -> DataFrame:
@@ -370,12 +384,12 @@ def covered_documents(docs: DataFrame, unit: str, length: int, k: int, id_col="d
 
     def around(anchors: DataFrame) -> DataFrame:
         wanted = folded.join(anchors.select("anchor"), "anchor", "left_semi").select("anchor", "ctx", "reach", "n", "rep.*")
-        return contexts(source, wanted, unit, length)
+        return contexts(source, wanted, unit, length).withColumns({"g": F.col("anchor"), "span": F.col("reach")})
 
     partly = extended(around(several.filter(F.col("count") <= HOT_CONTEXTS)), unit, length, orders)
     hot = several.filter(F.col("count") > HOT_CONTEXTS)
     if not hot.isEmpty():
-        partly = partly.unionByName(counted(around(hot), unit, length))
+        partly = partly.unionByName(narrowed(around(hot), unit, length, orders))
     windows = F.shiftright("reach", 16) - F.col("reach").bitwiseAND(0xFFFF)
     whole = folded.filter("n > 1").select("anchor", "ctx", "reach", F.array(F.lit(0), windows).alias("runs"))
     found = common.join(whole.unionByName(partly), ["anchor", "ctx", "reach"])

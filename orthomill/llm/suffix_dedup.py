@@ -9,8 +9,8 @@ order inside the groups; nothing is renamed or solved recursively. The suffixes
 an anchor's symbol are its contexts in order; the bytes that neighbours share, to the right and
 to the left, decide which strings of ``window`` bytes are repeats (``maximal_repeats``). Blocks
 keep the text short, as Python takes several microseconds a symbol; shared lengths are
-compared byte by byte. Only anchors with more than ``repeats.HOT_CONTEXTS`` different contexts
-have their windows counted by content instead.
+compared byte by byte. Anchors with very many contexts are narrowed down first (``repeats.narrowed``),
+their parts are sorted the same way.
 
 Defined results: null texts are empty; texts shorter than a window lose nothing; overlapping
 copies inside one document count; equal rows remove each other's bytes; cuts may fall inside

@@ -243,8 +243,9 @@ def test_hot_anchors_give_the_same_result(spark, monkeypatch, remove, unit):
     rows = [(i, " ".join([f"a{rng.random()}" for _ in range(rng.randrange(40))] + passage[rng.randrange(9) :] + [f"b{rng.randrange(3)}" for _ in range(rng.randrange(60))])) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(map(tuple, remove(docs).collect()))
-    monkeypatch.setattr(repeats, "HOT_CONTEXTS", 1)
-    assert sorted(map(tuple, remove(docs).collect())) == want and sum(r[2] for r in want) > 1000
+    for limit in (1, 9):  # all by parts that became equal, or small groups after some rounds
+        monkeypatch.setattr(repeats, "HOT_CONTEXTS", limit)
+        assert sorted(map(tuple, remove(docs).collect())) == want and sum(r[2] for r in want) > 1000
 
 
 @pytest.mark.parametrize("unit,length,orders", [("byte", 20, repeats.sorted_order), ("word", 9, repeats.sorted_order), ("byte", 20, suffix_dedup.suffix_order), ("byte", 130, suffix_dedup.suffix_order)])
