@@ -5,7 +5,8 @@ rows are shuffled, evenly by hash, and every partition packs its pieces online w
 bounded space: a fixed number of open bins, found through a bitset keyed by free space.
 A piece goes to the open bin with the least sufficient room; if none has room a new bin
 opens, and when too many are open the fullest closes. Rows are sorted by a hash before
-packing, so a task that runs again gives the same sequences.
+packing, so a task that runs again gives the same sequences; of each stretch of ``STRETCH`` rows
+the longest come first.
 
 Defined results: a null or empty text is its end id alone; a document of at most
 ``capacity`` ids is never cut; a longer one is cut from the end into full pieces, so only
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 END_ID = 0
+#: Pieces that arrive together, the longest first: short ones then find bins that long ones left room in.
+STRETCH = 2048
 
 
 @lru_cache(maxsize=2)
@@ -131,9 +134,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col="doc_id", text_co
     def run(batches):
         task, bins = TaskContext.get().partitionId(), BestFit(capacity, max_open)
         for b in batches:
-            placed = [bins.put(n) for n in b.column("length").to_pylist()]
-            cols = [b.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([task << 40 | x for x, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())], schema.fieldNames())
+            lengths, stretch = b.column("length").to_numpy(), np.arange(b.num_rows) // STRETCH
+            order = np.lexsort((-lengths, stretch))
+            placed = np.array([bins.put(n) for n in lengths[order].tolist()], np.int64).reshape(-1, 2)
+            cols = [b.column(c).take(pa.array(order)) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(placed[:, 0] | task << 40), pa.array(placed[:, 1])], schema.fieldNames())
 
     return dealt.mapInArrow(run, schema)
 

@@ -136,6 +136,12 @@ def test_best_fit_keeps_few_bins_open_and_wastes_little():
     assert sum(fill.values()) / (100 * len(fill)) > 0.93
 
 
+def test_few_sequences_are_used(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = packing.pack(docs).select("length", "sequence_id").collect()
+    assert len({r.sequence_id for r in rows}) <= 1.02 * sum(r.length for r in rows) / 2048 + 1
+
+
 def test_tokens_equal_the_tokenizer_library():
     from tokenizers import Tokenizer
 
