@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import series
 from ..operators import basis as B
-from ..operators import coordinates, losses, training
+from ..operators import circuits, coordinates, losses, manifolds, training
 from ..sources import files
 from . import oracle as O
 from .images import coefficients, cropped, kept_rows, mosaics, padded, pixels, rounded, table, unit_vectors, vectors
@@ -373,3 +375,105 @@ def adam_64x64(spark, sf_dir):
 def gd_64x64(spark, sf_dir):
     """Losses of ten full-batch gradient steps with Armijo search on the same pictures."""
     return _fitted(spark, sf_dir, "gd", 0.01)
+
+
+UNITARY = np.array([[0.6, 0.8j], [0.8j, 0.6]])
+_ENTRY = ", ".join(f"m{i}{j}{p} double" for i, j in O.ENTRIES for p in "ri")
+_U, _G = O.fixed(UNITARY.tolist()), O.matrix("g")
+_TANGENT = "WITH " + O.GRADIENTS + ", " + O.step("a", "g", "h", O.times(O.adjoint(_U), _G)) + ", " + O.step("b", "a", "s", O.skew(O.matrix("h"))) + ", " + O.step("c", "b", "p", O.times(_U, O.matrix("s")))
+
+
+def _matrices(spark, sf_dir, work):
+    """A row per vector with the entries of ``work`` of its first eight numbers as a complex 2x2 matrix."""
+
+    def run(re):
+        m = np.ascontiguousarray(B.matrix_of(re, 64)[:, :8]).view(complex).reshape(-1, 2, 2)
+        out = work(m)
+        return [pa.array(np.round(v, 6) + 0.0) for i, j in O.ENTRIES for v in (out[:, i, j].real, out[:, i, j].imag)]
+
+    return B.map_images(vectors(spark, sf_dir), ["re"], _ENTRY, 64, run, ("re", "label"))
+
+
+@query(_TANGENT + O.rounded_matrix("p", "c"))
+def project_unitary(spark, sf_dir):
+    """Gradients projected onto the tangent space at a unitary matrix."""
+    return _matrices(spark, sf_dir, lambda g: manifolds.Unitary.project(UNITARY, g))
+
+
+@query(_TANGENT + ", " + O.step("d", "c", "w", O.times(O.matrix("p"), O.adjoint(_U))) + ", " + O.step("e", "d", "v", O.skew(O.matrix("w")))
+       + ", " + O.step("f", "e", "l", [[tuple(f"{int(i == j and p == 0)} - 0.05::DOUBLE * {O.matrix('v')[i][j][p]}" for p in (0, 1)) for j in (0, 1)] for i in (0, 1)])
+       + ", " + O.step("k", "f", "r", [[tuple(f"{int(i == j and p == 0)} + 0.05::DOUBLE * {O.matrix('v')[i][j][p]}" for p in (0, 1)) for j in (0, 1)] for i in (0, 1)])
+       + ", " + O.inverted("n", "k", "q", O.matrix("l")) + ", " + O.step("o", "n", "y", O.times(O.matrix("r"), _U)) + ", " + O.step("z", "o", "x", O.times(O.matrix("q"), O.matrix("y"))) + O.rounded_matrix("x", "z"))
+def retract_unitary(spark, sf_dir):
+    """A step of 0.1 along the projected gradient, taken back by the Cayley transform."""
+    return _matrices(spark, sf_dir, lambda g: manifolds.Unitary.retract(UNITARY, manifolds.Unitary.project(UNITARY, g), 0.1))
+
+
+@query("WITH " + O.GRADIENTS + ", " + O.inverted("a", "g", "q", _G) + " SELECT vec_id, " + ", ".join(f"round({x}, 3) + 0.0 AS m{i}{j}{p}" for i, j in O.ENTRIES for p, x in zip("ri", O.times(_G, O.matrix("q"))[i][j])) + " FROM a")
+def inverse_times_matrix(spark, sf_dir):
+    """Each matrix times its closed-form inverse."""
+    return _matrices(spark, sf_dir, lambda g: np.round(g @ manifolds.inverse2(g), 3))
+
+
+@query("WITH " + O.GRADIENTS + " SELECT vec_id, sqrt(g00r * g00r + g00i * g00i + g01r * g01r + g01i * g01i) > 0 AS rotated, "
+       "abs(g00r * g00r + g00i * g00i + g01r * g01r + g01i * g01i - 1) <= 1e-6 AND abs(g10r * g10r + g10i * g10i + g11r * g11r + g11i * g11i - 1) <= 1e-6 AS plain FROM g")
+def unitary_check(spark, sf_dir):
+    """Whether a matrix built as a rotation from the first row is unitary, and whether the numbers as they are happen to be."""
+
+    def run(re):
+        m = np.ascontiguousarray(B.matrix_of(re, 64)[:, :8]).view(complex).reshape(-1, 2, 2)
+        a, b = (m[:, 0] / np.linalg.norm(m[:, 0], axis=1, keepdims=True)).T
+        turned = np.stack([np.stack([a, b], -1), np.stack([-b.conj(), a.conj()], -1)], -2)
+        return [pa.array([manifolds.is_unitary(x) for x in y]) for y in (turned, m)]
+
+    return B.map_images(vectors(spark, sf_dir), ["re"], "rotated boolean, plain boolean", 64, run, ("re", "label"))
+
+
+def _phase_step(kind, rate):
+    z = 0.6 + 0.8j
+    gate = [circuits.Gate("phase", (1, 2), np.full((2, 2), z))]
+
+    def one(g):
+        off = lambda m: float((np.abs(m - g) ** 2).sum())
+        new, _ = training.Optimizer(kind, rate).step(gate, [2 * (gate[0].matrix - g)], rate, off(gate[0].matrix), lambda c: [off(x[0].matrix) for x in c])
+        return new[0].matrix
+
+    return lambda m: np.array([one(g) for g in m]).reshape(-1, 2, 2)
+
+
+_PHASES = ("WITH e AS (SELECT vec_id, k, embedding[2 * k + 1]::DOUBLE AS gr, embedding[2 * k + 2]::DOUBLE AS gi FROM embeddings, range(0, 4) t(k)),"
+           " s AS (SELECT *, 0.6::DOUBLE * 2 * (0.8::DOUBLE - gi) - 0.8::DOUBLE * 2 * (0.6::DOUBLE - gr) AS s FROM e)")
+_BY_ENTRY = ", ".join(f"round(max(CASE WHEN k = {2 * i + j} THEN {'xy'[p]} END), 6) + 0.0 AS m{i}{j}{'ri'[p]}" for i, j in O.ENTRIES for p in (0, 1))
+
+
+@query(_PHASES + ", m AS (SELECT vec_id, k, 0.6::DOUBLE + 0.1::DOUBLE * 0.8::DOUBLE * s / (abs(s) + 1e-8::DOUBLE) AS a, 0.8::DOUBLE - 0.1::DOUBLE * 0.6::DOUBLE * s / (abs(s) + 1e-8::DOUBLE) AS b FROM s), "
+       "n AS (SELECT vec_id, k, a / sqrt(a * a + b * b) AS x, b / sqrt(a * a + b * b) AS y FROM m) SELECT vec_id, " + _BY_ENTRY + " FROM n GROUP BY vec_id")
+def adam_phase_step(spark, sf_dir):
+    """The first Adam step of unit phases towards each vector's numbers."""
+    return _matrices(spark, sf_dir, _phase_step("adam", 0.1))
+
+
+@query(_PHASES + ", m AS (SELECT *, pow(0.5::DOUBLE, j) AS step, 0.6::DOUBLE + pow(0.5::DOUBLE, j) * 0.8::DOUBLE * s AS a, 0.8::DOUBLE - pow(0.5::DOUBLE, j) * 0.6::DOUBLE * s AS b FROM s, range(0, 10) t(j)), "
+       "n AS (SELECT *, a / sqrt(a * a + b * b) AS x, b / sqrt(a * a + b * b) AS y FROM m), "
+       "f AS (SELECT vec_id, j, step, sum(pow(x - gr, 2) + pow(y - gi, 2)) AS f, sum(pow(0.6::DOUBLE - gr, 2) + pow(0.8::DOUBLE - gi, 2)) AS f0, sum(s * s) AS norm2 FROM n GROUP BY vec_id, j, step), "
+       "c AS (SELECT vec_id, coalesce(min(j) FILTER (f <= f0 - 1e-4::DOUBLE * step * norm2), 9) AS j FROM f GROUP BY vec_id) SELECT vec_id, " + _BY_ENTRY + " FROM n JOIN c USING (vec_id, j) GROUP BY vec_id")
+def armijo_phase_step(spark, sf_dir):
+    """A gradient step of unit phases towards each vector's numbers, halved until the loss falls enough."""
+    return _matrices(spark, sf_dir, _phase_step("gd", 1.0))
+
+
+@query(O.with_pixels(O.transform(3, 3, "qft") + ", " + O.ranked(8)) + " SELECT vec_id, u + 1 + w * 8 AS idx, round(CASE WHEN rn <= 6 THEN -2 * re ELSE 0 END, 6) + 0.0 AS re, round(CASE WHEN rn <= 6 THEN -2 * im ELSE 0 END, 6) + 0.0 AS im FROM rk")
+def mse_gradient(spark, sf_dir):
+    """The squared error's gradient by coefficient: minus twice the kept ones, as the selection counts as fixed."""
+    kept = B.truncated(QFT.forward(vectors(spark, sf_dir), real=True), 6, 64)
+    return coefficients(kept.withColumns({"re": F.transform("re", lambda v: -2 * v), "im": F.transform("im", lambda v: -2 * v)}), "vec_id")
+
+
+@query(O.with_pixels(O.transform(3, 3, "qft") + ", l AS (SELECT vec_id, sum(sqrt(re * re + im * im)) AS loss FROM f GROUP BY vec_id), o AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings)")
+       + " SELECT label, round(avg(loss) FILTER (rn <= least(greatest(round_even(n * 0.2::DOUBLE, 0), 0), n - 1)), 6) AS validation, round(avg(loss) FILTER (rn > least(greatest(round_even(n * 0.2::DOUBLE, 0), 0), n - 1)), 6) AS training FROM l JOIN o USING (vec_id) GROUP BY label")
+def validation_loss(spark, sf_dir):
+    """Mean L1 loss of the held-out and of the other rows of each label."""
+    held = _split(spark, sf_dir).select("vec_id", (F.col("rn") <= F.col("n_val")).alias("held"))
+    rows = losses.l1_loss(vectors(spark, sf_dir), QFT).join(held, "vec_id")
+    means = losses.batch_loss(rows, "label", "held").groupBy("label")
+    return means.agg(*[F.round(F.max(F.when(F.col("held") == held, F.col("loss"))), 6).alias(name) for held, name in ((True, "validation"), (False, "training"))])

@@ -76,3 +76,52 @@ def all_coefficients(h: int) -> str:
 
 def ranked(h: int, source: str = "f", tag: str = "rk") -> str:
     return f"{tag} AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(sqrt(re * re + im * im), 9) DESC, w * {h} + u) AS rn FROM {source})"
+
+
+ENTRIES = [(i, j) for i in (0, 1) for j in (0, 1)]
+
+
+def matrix(prefix: str) -> list:
+    """A 2x2 complex matrix as pairs of column names."""
+    return [[(f"{prefix}{i}{j}r", f"{prefix}{i}{j}i") for j in (0, 1)] for i in (0, 1)]
+
+
+def fixed(values) -> list:
+    return [[(f"{complex(v).real!r}::DOUBLE", f"{complex(v).imag!r}::DOUBLE") for v in row] for row in values]
+
+
+def times(a, b) -> list:
+    term = lambda x, y: (f"({x[0]} * {y[0]} - {x[1]} * {y[1]})", f"({x[0]} * {y[1]} + {x[1]} * {y[0]})")
+    return [[tuple(" + ".join(p) for p in zip(*[term(a[i][k], b[k][j]) for k in (0, 1)])) for j in (0, 1)] for i in (0, 1)]
+
+
+def adjoint(a) -> list:
+    return [[(a[j][i][0], f"-({a[j][i][1]})") for j in (0, 1)] for i in (0, 1)]
+
+
+def skew(a) -> list:
+    b = adjoint(a)
+    return [[tuple(f"(({x}) - ({y})) / 2" for x, y in zip(a[i][j], b[i][j])) for j in (0, 1)] for i in (0, 1)]
+
+
+def step(name: str, source: str, prefix: str, values) -> str:
+    """A CTE that adds the matrix ``values`` to ``source`` as columns."""
+    return f"{name} AS (SELECT *, " + ", ".join(f"{values[i][j][p]} AS {prefix}{i}{j}{'ri'[p]}" for i, j in ENTRIES for p in (0, 1)) + f" FROM {source})"
+
+
+def inverted(name: str, source: str, prefix: str, a) -> str:
+    """CTEs that add the inverse of ``a``, whose entries are columns."""
+    det = f"{name}d AS (SELECT *, " + ", ".join(f"{x} AS {prefix}d{p}" for x, p in zip((
+        f"{a[0][0][0]} * {a[1][1][0]} - {a[0][0][1]} * {a[1][1][1]} - {a[0][1][0]} * {a[1][0][0]} + {a[0][1][1]} * {a[1][0][1]}",
+        f"{a[0][0][0]} * {a[1][1][1]} + {a[0][0][1]} * {a[1][1][0]} - {a[0][1][0]} * {a[1][0][1]} - {a[0][1][1]} * {a[1][0][0]}"), "ri")) + f" FROM {source})"
+    over = lambda x, sign: (f"{sign}({x[0]} * {prefix}dr + {x[1]} * {prefix}di) / ({prefix}dr * {prefix}dr + {prefix}di * {prefix}di)", f"{sign}({x[1]} * {prefix}dr - {x[0]} * {prefix}di) / ({prefix}dr * {prefix}dr + {prefix}di * {prefix}di)")
+    values = [[over(a[1][1], ""), over(a[0][1], "-")], [over(a[1][0], "-"), over(a[0][0], "")]]
+    return det + ", " + step(name, f"{name}d", prefix, values)
+
+
+def rounded_matrix(prefix: str, source: str) -> str:
+    return " SELECT vec_id, " + ", ".join(f"round({prefix}{i}{j}{p}, 6) + 0.0 AS m{i}{j}{p}" for i, j in ENTRIES for p in "ri") + f" FROM {source}"
+
+
+#: The first eight numbers of each vector as a matrix, by rows.
+GRADIENTS = "g AS (SELECT vec_id, " + ", ".join(f"embedding[{4 * i + 2 * j + k + 1}]::DOUBLE AS g{i}{j}{'ri'[k]}" for i, j in ENTRIES for k in (0, 1)) + " FROM embeddings)"
