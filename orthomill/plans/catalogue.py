@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from ..functions import series
 from ..operators import basis as B
 from ..operators import circuits, coordinates, losses, manifolds, training
 from ..sources import files
+from ..streaming.compress import compress_stream
 from . import oracle as O
 from .images import coefficients, cropped, kept_rows, mosaics, padded, pixels, rounded, table, unit_vectors, vectors
 
@@ -477,3 +481,47 @@ def validation_loss(spark, sf_dir):
     rows = losses.l1_loss(vectors(spark, sf_dir), QFT).join(held, "vec_id")
     means = losses.batch_loss(rows, "label", "held").groupBy("label")
     return means.agg(*[F.round(F.max(F.when(F.col("held") == held, F.col("loss"))), 6).alias(name) for held, name in ((True, "validation"), (False, "training"))])
+
+
+def _by_gates(basis):
+    """The circuit gate by gate, in the order of its list, instead of by its two matrices."""
+
+    def run(re):
+        y = circuits.run_gates(list(basis.gates), B.matrix_of(re, basis.size).T, basis.m + basis.n).T
+        return [B.lists_of(y.real), B.lists_of(y.imag)]
+
+    return lambda spark, sf_dir: coefficients(B.map_images(vectors(spark, sf_dir), ["re"], "re array<double>, im array<double>", basis.size, run), "vec_id")
+
+
+def _from_json(basis):
+    """The forward transform of a basis that was written as a JSON document and read back."""
+    return lambda spark, sf_dir: _forward(files.dict_to_basis(json.loads(json.dumps(files.basis_to_dict(basis)))))(spark, sf_dir)
+
+
+for _family, _like in (("qft", "qft_forward"), ("eqft", "eqft_middle"), ("tebd", "tebd_ring"), ("mera", "mera_2x4")):
+    QUERIES[f"{_family}_by_gates"], QUERIES[f"{_family}_from_json"] = _by_gates(FORWARD[_like][0]), _from_json(FORWARD[_like][0])
+    SQL[f"{_family}_by_gates"] = SQL[f"{_family}_from_json"] = SQL[_like]
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE, 6) + 0.0 AS re0, round(embedding[2]::DOUBLE * cos(0.1::DOUBLE * label), 6) + 0.0 AS re1, round(embedding[2]::DOUBLE * sin(0.1::DOUBLE * label), 6) + 0.0 AS im1 FROM embeddings")
+def entanglement_gate(spark, sf_dir):
+    """The diagonal gate diag(1, e^(i phi)) on each vector's first two numbers, phi a tenth of its label."""
+    gates = np.array([circuits.entanglement_gate(0.1 * label) for label in range(10)])
+
+    def run(re, label):
+        out = np.einsum("nij,nj->ni", gates[label.to_numpy()], B.matrix_of(re, 64)[:, :2])
+        return [pa.array(np.round(v, 6) + 0.0) for v in (out[:, 0].real, out[:, 1].real, out[:, 1].imag)]
+
+    return B.map_images(vectors(spark, sf_dir), ["re", "label"], "re0 double, re1 double, im1 double", 64, run, ("re", "label"))
+
+
+@query(O.with_pixels(O.transform(3, 3, "qft") + ", " + O.ranked(8)) + " SELECT vec_id, rn::INT AS place, u + 1 + w * 8 AS idx, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM rk WHERE rn <= 6")
+def stream_compress(spark, sf_dir):
+    """The vectors read as a stream, compressed at ratio 0.9 and written as they arrive; the written rows."""
+    shared = files.shared_folder(spark)
+    given = spark.readStream.schema(table(spark, sf_dir, "embeddings").schema).parquet(f"{sf_dir}/embeddings.parquet*")  # a pattern, as a stream does not read a single file
+    low = compress_stream(given.select("vec_id", F.col("embedding").cast("array<double>").alias("re")), QFT)
+    out, log = (f"{shared}/stream-{uuid.uuid4().hex}" for _ in range(2))
+    low.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(low.schema).parquet(out).select("vec_id", F.posexplode(F.arrays_zip("indices", "values_real", "values_imag")).alias("place", "z"))
+    return rows.select("vec_id", (F.col("place") + 1).alias("place"), F.col("z.indices").alias("idx"), rounded(F.col("z.values_real")).alias("re"), rounded(F.col("z.values_imag")).alias("im"))

@@ -109,15 +109,19 @@ def read_compressed(spark: SparkSession, path: str, keys: str = "vec_id long, la
     return df
 
 
-def roundtrip(df: DataFrame) -> DataFrame:
-    """Write to the shared folder as JSON and read back with the declared schema."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared folder; without one a local session gets a temporary folder, a cluster an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="spark-orthomill-")
-    return read_compressed(spark, write_compressed(df, f"{shared.rstrip('/')}/compressed-{uuid.uuid4().hex}"))
+    return shared.rstrip("/")
+
+
+def roundtrip(df: DataFrame) -> DataFrame:
+    """Write to the shared folder as JSON and read back with the declared schema."""
+    return read_compressed(df.sparkSession, write_compressed(df, f"{shared_folder(df.sparkSession)}/compressed-{uuid.uuid4().hex}"))
 
 
 def save_checkpoint(trained, folder: str, step: int, name: str) -> tuple[str, str]:
