@@ -124,7 +124,7 @@ def encoded(column) -> list[bytes]:
 
 
 #: Bytes of contexts that a task takes together, and contexts one anchor may have there; each has less than 2 * length units.
-BATCH_BYTES, HOT_CONTEXTS = 6_000_000, 2_000
+BATCH_BYTES, HOT_CONTEXTS = 3_000_000, 2_000
 OCCURRENCE = "anchor long, ctx long, reach int, k1 long, k2 long, place int"
 
 
@@ -141,7 +141,7 @@ def occurrences(keyed_docs: DataFrame, unit: str, length: int, k: int) -> DataFr
                 owner, anchor, ctx, place, far, near = find_anchors(*units_of(texts[lo:hi], unit, cache), length, k)
                 if not len(owner):
                     continue
-                if len(seen) > 600_000:
+                if len(seen) > 400_000:
                     seen.clear()
                 known = np.zeros(len(owner), bool)
                 for i, key in enumerate(anchor.tolist()):
@@ -175,8 +175,10 @@ def contexts(keyed_docs: DataFrame, wanted: DataFrame, unit: str, length: int) -
 
 def padded(units: np.ndarray, start: np.ndarray, size: np.ndarray, step: int) -> np.ndarray:
     """A row per context: ``size`` units from ``start`` on, forwards or backwards, and zeros after them."""
-    at = np.arange(int(size.max(initial=0)))
-    return np.where(at < size[:, None], units[np.clip(start[:, None] + step * at, 0, max(0, len(units) - 1))], units.dtype.type(0))
+    out = np.zeros((len(size), int(size.max(initial=0))), units.dtype)
+    for row, a, n in zip(out, start.tolist(), size.tolist()):
+        row[:n] = units[a : a + n] if step > 0 else units[a - n + 1 : a + 1][::-1]
+    return out
 
 
 def sorted_order(group: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
@@ -243,8 +245,8 @@ def maximal_repeats(right: list[int], left_rank: list[int], left: list[int], len
     return found
 
 
-def repeated_in_group(anchor: np.ndarray, reach: np.ndarray, bodies: list[bytes], unit: str, length: int, orders=sorted_order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal repeats among the contexts of each anchor, as (context number, first, last) runs of window numbers.
+def repeated_in_group(anchor: np.ndarray, reach: np.ndarray, bodies: list[bytes], unit: str, least: int, orders=sorted_order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal repeats of at least ``least`` units among the contexts of each anchor: context number, units before the anchor, units from it on.
 
     Equal anchors stand together. Each context is extended from its anchor both ways against
     those next to it in order; ``orders`` sorts the contexts by what stands on either side.
@@ -263,43 +265,45 @@ def repeated_in_group(anchor: np.ndarray, reach: np.ndarray, bodies: list[bytes]
     left_place[by_left] = np.arange(len(group))
     # both orders keep groups together, in the same places
     two = start[members == 2] + 1
-    two = two[right[two] + left[two] >= length]
+    two = two[right[two] + left[two] >= least]
     found = [(np.repeat(by_right[two], 2), np.repeat(left[two], 2), np.repeat(right[two], 2))]
     found[0][0][1::2] = by_right[two - 1]
     for a, n in zip(start[members > 2].tolist(), members[members > 2].tolist()):
-        hits = maximal_repeats(right[a : a + n].tolist(), (left_place[by_right[a : a + n]] - a).tolist(), left[a : a + n].tolist(), length)
+        hits = maximal_repeats(right[a : a + n].tolist(), (left_place[by_right[a : a + n]] - a).tolist(), left[a : a + n].tolist(), least)
         if hits:
             i, back, share = np.array(sorted(set(hits))).T
             found.append((by_right[a + i], back, share))
-    which, back, share = (np.concatenate(x) for x in zip(*found))
-    return which, far[which] - back, far[which] + share - length
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
-FOUND = "anchor long, ctx long, reach int, runs array<int>"
+FOUND = "anchor long, ctx long, reach int, runs array<int>, longest int"
 
 
-def extended(members: DataFrame, unit: str, length: int, orders=sorted_order) -> DataFrame:
-    """Repeated windows of contexts that occur once, as runs counted from the context's start.
+def extended(members: DataFrame, unit: str, length: int, report: int, orders=sorted_order) -> DataFrame:
+    """Repeated windows of contexts that occur once, as runs counted from the context's start, and their longest repeat of at least ``report`` units.
 
     ``members`` has a group, the part of its context that a row stands for (``span``, as in
     ``reach``) with its units, how often that part occurs, and the context. Rows are sorted by
     group; whole groups are taken together up to ``BATCH_BYTES``.
     """
     budget = BATCH_BYTES
-    names = ["anchor", "ctx", "reach", "runs"]
+    names = ["anchor", "ctx", "reach", "runs", "longest"]
 
     def work(rows):
         # the same row of a repeated document goes
         rows = [r for i, r in enumerate(rows) if not i or (r[0], *r[4:]) != (rows[i - 1][0], *rows[i - 1][4:])]
         group, span = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
-        which, first, last = repeated_in_group(group, span, [r[3] for r in rows], unit, length, orders)
         runs: dict[int, list[int]] = {}
-        for w, a, b in zip(which.tolist(), first.tolist(), last.tolist()):
-            _, part, n, _, _, _, reach = rows[w]
-            if n == 1:
-                skipped = (reach >> 16) - (part >> 16)
-                runs.setdefault(w, []).extend((a + skipped, b + skipped))
-        return pa.RecordBatch.from_arrays([*[pa.array([rows[w][c] for w in runs], k) for c, k in ((4, pa.int64()), (5, pa.int64()), (6, pa.int32()))], pa.array(list(runs.values()), pa.list_(pa.int32()))], names)
+        longest: dict[int, int] = {}
+        for w, back, share in zip(*map(np.ndarray.tolist, repeated_in_group(group, span, [r[3] for r in rows], unit, report, orders))):
+            far = rows[w][6] >> 16  # of the whole context, where the windows are counted
+            if rows[w][2] > 1:
+                continue
+            longest[w] = max(longest.get(w, 0), back + share)
+            if back + share >= length:
+                runs.setdefault(w, []).extend((far - back, far + share - length))
+        columns = [pa.array([rows[w][c] for w in longest], k) for c, k in ((4, pa.int64()), (5, pa.int64()), (6, pa.int32()))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([runs.get(w, []) for w in longest], pa.list_(pa.int32())), pa.array(list(longest.values()), pa.int32())], names)
 
     def run(batches):
         held, size = [], 0
@@ -345,7 +349,7 @@ def halved(rows: DataFrame, unit: str, length: int, width: int) -> DataFrame:
     return rows.select("g", "span", "n", "body", "anchor", "ctx", "reach").mapInArrow(run, "g long, span int, h1 long, h2 long, n long, body binary, anchor long, ctx long, reach int")
 
 
-def narrowed(members: DataFrame, unit: str, length: int, orders=sorted_order) -> DataFrame:
+def narrowed(members: DataFrame, unit: str, length: int, report: int, orders=sorted_order) -> DataFrame:
     """The result of ``extended`` for groups with very many contexts, in rounds that halve the contexts.
 
     A round cuts every context into two ranges of windows and groups each by what its windows have
@@ -363,18 +367,28 @@ def narrowed(members: DataFrame, unit: str, length: int, orders=sorted_order) ->
         # written tables on both sides: adaptive execution can split a part or group that very many rows have
         twice = parts.filter("n = 1").join(folded.filter("total > 1").select(*part), part, "left_semi")
         edge = lambda c: F.shiftright("reach", 16) - c
-        whole = twice.select("anchor", "ctx", "reach", F.array(edge(F.shiftright("span", 16)), edge(F.col("span").bitwiseAND(0xFFFF))).alias("runs"))
+        far, near = F.shiftright("span", 16), F.col("span").bitwiseAND(0xFFFF)
+        whole = twice.select("anchor", "ctx", "reach", F.array(edge(far), edge(near)).alias("runs"), (far - near + length).alias("longest"))
         again = folded.join(sizes, "g").select("g", "span", F.col("total").alias("n"), "one.*", "count")
         found = whole if found is None else found.unionByName(whole)
-        found = found.unionByName(extended(again.filter(F.col("count") <= HOT_CONTEXTS), unit, length, orders))
+        found = found.unionByName(extended(again.filter(F.col("count") <= HOT_CONTEXTS), unit, length, report, orders))
         rows = again.filter(F.col("count") > HOT_CONTEXTS)
         if rows.isEmpty():
             break
+        if length - width + 1 >= report:  # what a group's rows have in common is a repeat, too short perhaps to count
+            alike = parts.join(sizes.filter(F.col("count") > HOT_CONTEXTS).select("g"), "g", "left_semi")
+            found = found.unionByName(alike.select("anchor", "ctx", "reach", F.array().cast("array<int>").alias("runs"), F.lit(length - width + 1).alias("longest")))
     return found
 
 
-def covered_documents(docs: DataFrame, unit: str, length: int, k: int, id_col="doc_id", text_col="text", orders=sorted_order) -> DataFrame:
-    """doc_id, text and ``spans``: the repeated stretches [start, stop, ...] in units, null if none."""
+def covered_documents(docs: DataFrame, unit: str, length: int, k: int, id_col="doc_id", text_col="text", orders=sorted_order, report: int | None = None) -> DataFrame:
+    """doc_id, text, ``spans``: the repeated stretches [start, stop, ...] in units, null if none, and ``longest``.
+
+    ``longest`` is the longest repeat found around the document's anchors, if it has ``report`` units (``length``
+    by default) or more. Repeats of ``length`` are always found; shorter ones if an anchor of the
+    windows around lies in them (of hot anchors only those that a round's groups have in common), and longer ones count as far as their anchor's context goes.
+    """
+    report = report or length
     source = keyed(docs, id_col, text_col)
     seen = occurrences(source, unit, length, k)
     met = F.count(F.lit(1)).over(W.partitionBy("meet"))
@@ -386,16 +400,17 @@ def covered_documents(docs: DataFrame, unit: str, length: int, k: int, id_col="d
         wanted = folded.join(anchors.select("anchor"), "anchor", "left_semi").select("anchor", "ctx", "reach", "n", "rep.*")
         return contexts(source, wanted, unit, length).withColumns({"g": F.col("anchor"), "span": F.col("reach")})
 
-    partly = extended(around(several.filter(F.col("count") <= HOT_CONTEXTS)), unit, length, orders)
+    partly = extended(around(several.filter(F.col("count") <= HOT_CONTEXTS)), unit, length, report, orders)
     hot = several.filter(F.col("count") > HOT_CONTEXTS)
     if not hot.isEmpty():
-        partly = partly.unionByName(narrowed(around(hot), unit, length, orders))
+        partly = partly.unionByName(narrowed(around(hot), unit, length, report, orders))
     windows = F.shiftright("reach", 16) - F.col("reach").bitwiseAND(0xFFFF)
-    whole = folded.filter("n > 1").select("anchor", "ctx", "reach", F.array(F.lit(0), windows).alias("runs"))
+    whole = folded.filter("n > 1").select("anchor", "ctx", "reach", F.array(F.lit(0), windows).alias("runs"), (windows + length).alias("longest"))
     found = common.join(whole.unionByName(partly), ["anchor", "ctx", "reach"])
-    spans = found.select("k1", "k2", F.struct((F.col("place") - F.shiftright("reach", 16)).alias("start"), "runs").alias("span"))
-    per_doc = spans.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
-    return source.join(per_doc.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    span = F.struct((F.col("place") - F.shiftright("reach", 16)).alias("start"), "runs")
+    spans = found.select("k1", "k2", F.when(F.size("runs") > 0, span).alias("span"), "longest")
+    per_doc = spans.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"), F.max("longest").alias("longest"))
+    return source.join(per_doc.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "spans", "longest")
 
 
 def covered_mask(n: int, spans, length: int) -> np.ndarray:
@@ -411,14 +426,14 @@ def covered_mask(n: int, spans, length: int) -> np.ndarray:
 
 
 def without_repeats(covered: DataFrame, unit: str, length: int, texts: bool = False) -> DataFrame:
-    """doc_id, n, n_removed, n_spans, kept_sha256, and the kept text itself if ``texts``."""
+    """doc_id, n, n_removed, n_spans, longest, kept_sha256, and the kept text itself if ``texts``."""
     kind = covered.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n", "n_removed", "n_spans", "kept_sha256", *["kept"] * texts]
+    names = ["doc_id", "n", "n_removed", "n_spans", "longest", "kept_sha256", *["kept"] * texts]
 
     def run(batches):
         for b in batches:
             rows = []
-            for text, spans in zip(b.column(1), b.column(2)):
+            for text, spans, longest in zip(b.column(1), b.column(2), b.column(3)):
                 data = text.as_py().encode("utf-8", "surrogatepass")
                 pieces = data.split() if unit == "word" else data
                 gone = covered_mask(len(pieces), spans.values if spans.is_valid else None, length)
@@ -427,8 +442,8 @@ def without_repeats(covered: DataFrame, unit: str, length: int, texts: bool = Fa
                 else:
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if gone.any() else data
                 edges = int(np.count_nonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1))
-                rows.append((len(pieces), int(gone.sum()), edges, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "ignore")] * texts))
+                rows.append((len(pieces), int(gone.sum()), edges, longest.as_py() or 0, hashlib.sha256(kept).hexdigest(), *[kept.decode("utf-8", "ignore")] * texts))
             cols = list(zip(*rows)) or [()] * (len(names) - 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64() if i < 3 else pa.string()) for i, c in enumerate(cols)]], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, pa.int64() if i < 4 else pa.string()) for i, c in enumerate(cols)]], names)
 
-    return covered.mapInArrow(run, f"doc_id {kind}, n long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts)
+    return covered.mapInArrow(run, f"doc_id {kind}, n long, n_removed long, n_spans long, longest long, kept_sha256 string" + ", kept string" * texts)

@@ -14,7 +14,7 @@ from .repeats import covered_documents, without_repeats
 
 
 def remove_repeated_words(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 35, seed: int = 6, texts: bool = False) -> DataFrame:
-    """doc_id, n, n_removed, n_spans, kept_sha256 and optionally the kept words joined by spaces."""
+    """doc_id, n, n_removed, n_spans, longest, kept_sha256 and optionally the kept words joined by spaces."""
     return without_repeats(covered_documents(docs, "word", window, seed, id_col, text_col), "word", window, texts)
 
 

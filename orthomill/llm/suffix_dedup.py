@@ -105,10 +105,13 @@ def suffix_order(group: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]])
     return list(found[found >= 0].reshape(len(sides), -1) % max(1, len(group)))
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 400, seed: int = 24, texts: bool = False) -> DataFrame:
-    """doc_id, n, n_removed, n_spans, kept_sha256 and optionally the kept text (broken characters dropped)."""
-    return without_repeats(covered_documents(docs, "byte", window, seed, id_col, text_col, suffix_order), "byte", window, texts)
+def remove_repeated_bytes(docs: DataFrame, id_col="doc_id", text_col="text", window: int = 400, seed: int = 24, report: int = 256, texts: bool = False) -> DataFrame:
+    """doc_id, n, n_removed, n_spans, longest, kept_sha256 and optionally the kept text (broken characters dropped).
+
+    ``longest`` tells of repeats of ``report`` bytes or more, also of those too short to go (``repeats.covered_documents``).
+    """
+    return without_repeats(covered_documents(docs, "byte", window, seed, id_col, text_col, suffix_order, report), "byte", window, texts)
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_bytes(table(spark, sf_dir, "documents")).selectExpr("doc_id", "n AS n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return remove_repeated_bytes(table(spark, sf_dir, "documents")).selectExpr("doc_id", "n AS n_bytes", "n_removed", "n_spans", "kept_sha256", "longest AS longest_repeat")

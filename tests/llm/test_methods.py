@@ -275,8 +275,9 @@ def test_maximal_repeats_cover_what_all_pairs_do(unit, length, orders):
         windows = [[(a, (r >> 16) - s, b[s * size : (s + length) * size]) for s in range(len(b) // size - length + 1)] for a, r, b in zip(anchor, reach, bodies)]
         seen = collections.Counter(w for ws in windows for w in set(ws))
         got = [[False] * len(ws) for ws in windows]
-        for i, a, b in zip(*repeats.repeated_in_group(np.array(anchor), np.array(reach), bodies, unit, length, orders)):
-            got[i][a : b + 1] = [True] * (b + 1 - a)
+        for i, back, share in zip(*map(np.ndarray.tolist, repeats.repeated_in_group(np.array(anchor), np.array(reach), bodies, unit, length, orders))):
+            far = reach[i] >> 16
+            got[i][far - back : far + share - length + 1] = [True] * (back + share - length + 1)
         assert got == [[seen[w] > 1 for w in ws] for ws in windows]
 
 
@@ -294,6 +295,19 @@ def test_the_suffix_array_decides(monkeypatch):
     assert {w for w, _, _ in right} == set(range(35)) and wrong != right
 
 
+def test_repeats_too_short_to_go_are_told(spark, monkeypatch):
+    """A passage of 330 bytes in many documents stays, but longest tells of it, of hot anchors at least sometimes; documents of their own have none."""
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choices("abcdefghij ", k=n))
+    passage = letters(330)
+    docs = spark.createDataFrame([(i, letters(500) + (passage if i < 30 else letters(330)) + letters(500)) for i in range(60)], "doc_id long, text string")
+    for hot in (2000, 5):
+        monkeypatch.setattr(repeats, "HOT_CONTEXTS", hot)
+        rows = suffix_dedup.remove_repeated_bytes(docs).collect()
+        assert all(r.n_removed == 0 for r in rows) and all(r.longest == 0 for r in rows if r.doc_id >= 30)
+        assert all(hot == 5 and r.longest == 0 or 256 <= r.longest <= 340 for r in rows if r.doc_id < 30)
+
+
 def test_word_hash_cache_is_bounded():
     cache = common.WordHashes(10)
     hashes, counts = common.word_hashes([b" ".join(b"w%d" % i for i in range(50)), b"w1 w2"], cache)
