@@ -36,7 +36,7 @@ from .common import discard, materialize, sampled, table
 from .linear import apply_dense, fit_dense, sigmoid
 from .quality_rules import RULES, measure
 
-GRAM_BITS = 10
+GRAM_BITS = 9
 META_SLOTS, LENGTH_BINS = 1024, 16
 #: Bins of the text's other features: a bin each for 0 and for each doubling of a ratio's 64ths, and for each doubling of the word count.
 RATIO_BINS, COUNT_BINS = 8, 24

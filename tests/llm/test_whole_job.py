@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import zlib
 
@@ -11,9 +12,10 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orthomill.llm import mixing, near_dup, packing, pii, quality_model, toxicity
+from orthomill.llm import common, mixing, near_dup, packing, pii, quality_model, toxicity
 from test_methods import plain_spans
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -240,7 +242,7 @@ def test_quality_model_counts_and_held_out_rows(spark, small_corpus):
     for r in docs.collect():
         if r.doc_id in given and zlib.crc32(str(r.doc_id).encode()) % 10 >= 4 and given[r.doc_id] == 1:
             data = r.text.encode()
-            at = [(((a * 0x01000193 + b) * 0x01000193 + c) * 0x9E3779B1 % 2**32) >> 22 for a, b, c in zip(data, data[1:], data[2:])]
+            at = [(((a * 0x01000193 + b) * 0x01000193 + c) * 0x9E3779B1 % 2**32) >> 32 - quality_model.GRAM_BITS for a, b, c in zip(data, data[1:], data[2:])]
             shares = {g: -(-n * 255 // max(collections.Counter(at).values())) for g, n in collections.Counter(at).items()}
             for g, n in shares.items():
                 good[g] += n / sum(shares.values())
@@ -274,3 +276,30 @@ def test_hot_buckets_and_blank_texts(spark):
     rows = [(i, " ".join(base[:99] + [f"x{i}"])) for i in range(150)] + [(1000 + i, "") for i in range(150)] + [(2000, "quite another text of six words")]
     got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i] == 0 for i in range(150)) and all(got[1000 + i] == 1000 + i for i in range(150)) and got[2000] == 2000
+
+
+def test_samples_are_bounded_and_the_same_again(spark):
+    few, many = (spark.range(n).filter(common.sampled(F.col("id"), n, 1000)) for n in (900, 40_000))
+    assert few.count() == 900 and 850 < many.count() < 1150
+    assert sorted(r.id for r in many.collect()) == sorted(r.id for r in spark.range(40_000).repartition(7).filter(common.sampled(F.col("id"), 40_000, 1000)).collect())
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: None)
+
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "none"
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Session)
+
+
+def test_written_tables_go_when_discarded(spark):
+    kept, gone = common.materialize(spark.range(5)), common.materialize(spark.range(5))
+    path = gone.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    common.discard(gone)
+    assert not os.path.exists(path) and kept.count() == 5
+    common.discard(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))  # not one of materialize()
+    assert os.path.exists("/root/testdata/sf0.001/region.parquet")
