@@ -6,56 +6,29 @@
    less than independent ones. Level j deals rank j of all elements at once; a text stops as
    soon as every place holds a value below the next level (early stopping).
 2. Texts with the same set fold into one class at once, so copies never multiply.
-3. Bands of signature places meet in buckets; a bucket links its members to its smallest
-   class only (in two steps, part by part), never pair by pair. Buckets chain into candidate clusters.
-4. Inside a cluster all full sets are compared exactly: a 0/1 matrix of the shingles that two
-   or more texts have, times its transpose, gives all intersections. Large clusters are cut
-   into blocks by hash and pairs of blocks are compared, so a task holds two blocks at most.
-   Each comparison returns a spanning forest of its links, not the pairs.
-5. The links' connected components, folded back to all members, are the groups.
+3. Bands of signature places meet in buckets, whose pairs are the candidates; ``linking`` decides
+   them on full sets by hubs and components, so a bucket of near copies costs a pair per member.
+4. The links' connected components, folded back to all members, are the groups.
 
 Defined results: null and blank texts have no shingles and are linked with nothing; a text
 of fewer than ``k`` words has one shingle, its whole word sequence; a null id is never
-linked and its component is null and it is kept; repeated rows give repeated results;
-an empty table gives an empty result; other columns are not read.
+linked and its component is null and it is kept; repeated rows give repeated results; rows of
+one id with different texts are rows of their own; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from .common import U64, WordHashes, chunks_by_bytes, grams, materialize, mix, table, word_hashes
-from .components import connected_components
+from .common import U64, WordHashes, chunks_by_bytes, discard, materialize, mix, table
+from .linking import class_sets, components_of_documents, linked_components, shared_buckets
+from .shingles import set_digests, shingle_sets
 
 PLACES, ROWS = 96, 4
 #: Chance to miss a pair at similarity s with b bands of r places: (1 - s ** r) ** b, 2e-8 at 0.85 (24 bands of 4).
-BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
-BUCKET_PARTS = 64
-
-
-def shingle_sets(texts: list[bytes], k: int, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each lower-cased text (sorted, text after text) and their numbers."""
-    hashes, n_words = word_hashes([t.lower() for t in texts], cache)
-    ends = np.cumsum(n_words)
-    doc = np.repeat(np.arange(len(texts)), n_words)
-    long = grams(hashes, k)
-    inside = np.arange(len(long)) + k <= ends[doc[: len(long)]] if len(long) else np.zeros(0, bool)
-    values, owner = [long[inside]], [doc[: len(long)][inside]]
-    for i in np.flatnonzero((n_words > 0) & (n_words < k)):
-        own = hashes[ends[i] - n_words[i] : ends[i]]
-        values.append(grams(own, len(own)) ^ U64(len(own)))
-        owner.append(np.array([i]))
-    values, owner = np.concatenate(values), np.concatenate(owner)
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
-    first = np.ones(len(values), bool)
-    first[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
-    return values[first], np.bincount(owner[first], minlength=len(texts))
 
 
 def superminhash(values: np.ndarray, counts: np.ndarray, places: int = PLACES) -> np.ndarray:
@@ -102,132 +75,39 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-def set_digests(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits per set: wrapped sums of two mixes of its members; equal sets, equal digests."""
-    sums = []
-    with np.errstate(over="ignore"):
-        for salt in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB):
-            run = np.concatenate([[U64(0)], np.cumsum(mix(values ^ U64(salt)), dtype=np.uint64)])
-            end = np.cumsum(counts)
-            sums.append(mix(run[end] - run[end - counts] + counts.astype(np.uint64)))
-    return sums[0].view(np.int64), sums[1].view(np.int64)
-
-
 def signed_documents(docs: DataFrame, id_col="doc_id", text_col="text", k: int = 5) -> DataFrame:
-    """doc_id, n_shingles, digest (d1, d2) and band keys."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    names = ["doc_id", "n_shingles", "d1", "d2", "bands"]
+    """doc_id, the text's hash k, n_shingles, digest (d1, d2) and band keys."""
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("k"), text.alias("text"))
+    names = ["doc_id", "k", "n_shingles", "d1", "d2", "bands"]
 
     def run(batches):
         cache = WordHashes()
         for b in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column(1)]
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column(2)]
             for lo, hi in chunks_by_bytes(texts, 2_000_000):
                 values, counts = shingle_sets(texts[lo:hi], k, cache)
                 keys = band_keys(superminhash(values, counts)).view(np.int64)
                 d1, d2 = set_digests(values, counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(counts.astype(np.int64)), pa.array(d1), pa.array(d2), lists], names)
-
-    return src.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
-
-
-def full_sets(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id and the sorted shingle hashes as bytes; ``docs`` has doc_id, text, cluster, blocks."""
-    names = ["doc_id", "cluster", "blocks", "shingles"]
+                yield pa.RecordBatch.from_arrays([*[b.column(i).slice(lo, hi - lo) for i in (0, 1)], pa.array(counts.astype(np.int64)), pa.array(d1), pa.array(d2), lists], names)
 
-    def run(batches):
-        cache = WordHashes()
-        for b in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in b.column(1)]
-            for lo, hi in chunks_by_bytes(texts, 2_000_000):
-                values, counts = shingle_sets(texts[lo:hi], k, cache)
-                end = np.cumsum(counts)
-                sets = [values[e - c : e].tobytes() for e, c in zip(end, counts)]
-                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(lo, hi - lo) for c in (0, 2, 3)], pa.array(sets, pa.binary())], names)
-
-    return docs.select("doc_id", "text", "cluster", "blocks").mapInArrow(run, "doc_id long, cluster long, blocks int, shingles binary")
-
-
-def linked_forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links 100 * |A & B| >= percent * |A | B| among the sets."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    token = np.concatenate(sets)
-    doc = np.repeat(np.arange(n), sizes)
-    _, token, uses = np.unique(token, return_inverse=True, return_counts=True)
-    shared = uses[token] > 1
-    # a set of which too much is in no other set can't reach the similarity with any
-    able = np.bincount(doc[shared], minlength=n) * 100 >= percent * sizes
-    shared &= able[doc]
-    if not shared.any():
-        return []
-    _, token = np.unique(token[shared], return_inverse=True)
-    doc = doc[shared]
-    order = np.argsort(token, kind="stable")
-    token, doc = token[order], doc[order]
-    common = np.zeros((n, n), np.float32)
-    step = max(256, 4_000_000 // n)
-    for lo in range(0, int(token[-1]) + 1, step):
-        a, b = np.searchsorted(token, [lo, lo + step])
-        has = np.zeros((n, min(step, int(token[-1]) + 1 - lo)), np.float32)
-        has[doc[a:b], token[a:b] - lo] = 1
-        common += has @ has.T
-    union = sizes[:, None] + sizes[None, :] - common.astype(np.int64)
-    linked = 100 * common.astype(np.int64) >= percent * union
-    forest, new = [], able.copy()
-    for root in np.flatnonzero(able):
-        if not new[root]:
-            continue
-        new[root] = False
-        queue = [int(root)]
-        for at in queue:
-            found = np.flatnonzero(linked[at] & new)
-            new[found] = False
-            queue += found.tolist()
-            forest += [(at, int(x)) for x in found]
-    return forest
-
-
-def verified_links(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links inside clusters; a cluster of several blocks is compared block pair by block pair."""
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    dealt = sets.withColumn("block", block).select("doc_id", "cluster", "shingles", F.explode(meets).alias("m")).select("doc_id", "cluster", "m.i", "m.j", "shingles")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = pdf["doc_id"].to_numpy()
-        forest = linked_forest([np.frombuffer(s, np.uint64) for s in pdf["shingles"]], percent)
-        return pd.DataFrame({"a": [ids[x] for x, _ in forest], "b": [ids[y] for _, y in forest]}, dtype="int64")
-
-    return dealt.groupBy("cluster", "i", "j").applyInPandas(compare, "a long, b long")
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, k long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k: int = 5, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row per row of ``docs``."""
+    """doc_id, n_shingles, component_id and kept, one row per row of ``docs``; ids may be of any type with an order."""
     signed = materialize(signed_documents(docs, id_col, text_col, k))
     usable = signed.filter("n_shingles > 0 and doc_id is not null")
     # classes of equal sets; the smallest id stands for its class
-    classes = materialize(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    # a bucket's members link to the smallest of their part of it, and the parts' smallest ones to the bucket's, so a hot bucket is spread
-    keys = classes.select("rep", F.explode("bands").alias("key")).withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(BUCKET_PARTS)))
-    parts = keys.select("rep", "key", F.min("rep").over(W.partitionBy("key", "part")).alias("hub"))
-    heads = parts.filter("rep = hub").select("rep", F.min("rep").over(W.partitionBy("key")).alias("hub"))
-    candidates = parts.select("rep", "hub").unionByName(heads).filter("rep <> hub").distinct()
-    clusters = connected_components(candidates, "rep", "hub")
-    sized = clusters.join(classes.select(F.col("rep").alias("node"), "n"), "node")
-    totals = sized.groupBy("root").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    members = sized.join(totals.select("root", blocks.alias("blocks")), "root").select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"), "blocks")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    links = verified_links(full_sets(texts.join(members, "doc_id"), k), percent)
-    groups = connected_components(links).select(F.col("node").alias("rep"), F.col("root").alias("group"))
-    named = classes.select("d1", "d2", "rep").join(groups, "rep", "left").select("d1", "d2", F.coalesce("group", "rep").alias("group"))
-    # texts without shingles are in no class, so they don't meet in the join
-    placed = signed.filter("n_shingles > 0").select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left").select("doc_id", "n_shingles", "group")
-    placed = placed.unionByName(signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("group")))
-    component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("group", "doc_id"))
-    return placed.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    folded = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.min("k").alias("k"), F.first("bands").alias("bands"))
+    classes = materialize(folded.withColumn("c", F.monotonically_increasing_id()))
+    members = shared_buckets(classes.select(F.explode("bands").alias("key"), "c", "n"))
+    wanted = classes.join(members.select("c").distinct(), "c", "left_semi")
+    sets = materialize(class_sets(docs, text_col, wanted, k))
+    roots = linked_components(members, sets, percent)
+    discard(members, sets)
+    return components_of_documents(signed, classes, roots)
 
 
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
