@@ -1,6 +1,6 @@
 """Quality classifier by co-training a text view and a metadata view.
 
-The text view counts the hashed character trigrams of the whole text and places its word
+The text view counts the byte trigrams of the whole text in 2^16 buckets and places its word
 count and the ratios of ``quality_rules`` in bins; the metadata view sees language, source, both
 together, and the stated length only. Both views are naive Bayes tables of log-count ratios, with
 a small logistic model over the ratios' sums (one for the trigrams, one for each other
@@ -17,7 +17,7 @@ those whose hash lies in a share of all hashes, dealt into tenths: 0 is held out
 results there), 1 sets the cutoff, 2 and 3 calibrate and combine, the others teach.
 
 Defined results: null texts count as empty, null metadata as a value of its own; null labels
-are not used; without both classes in the labels every score is 1 and all rows are kept; a part
+are not used; of several labels of one id the largest counts; without both classes in the labels every score is 1 and all rows are kept; a part
 of the labels that lacks a class is replaced by all of them; equal rows score alike, so ties fall
 on the same side; repeated rows are counted and scored as rows of their own; an empty table gives an empty result; other
 columns, whatever their names, are carried along and not read.
@@ -29,6 +29,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,25 +37,70 @@ from .common import discard, materialize, sampled, table
 from .linear import apply_dense, fit_dense, sigmoid
 from .quality_rules import RULES, measure
 
-GRAM_BITS = 9
+GRAM_BITS = 16
 META_SLOTS, LENGTH_BINS = 1024, 16
 #: Bins of the text's other features: a bin each for 0 and for each doubling of a ratio's 64ths, and for each doubling of the word count.
 RATIO_BINS, COUNT_BINS = 8, 24
 #: A text's mean ratio over its trigrams counts as much as so many of them.
 GRAM_WEIGHT = 20.0
+#: Labels are broadcast to the views up to this many (about 24 MB).
+BROADCAST_LABELS = 1_000_000
 TEXT_FEATURES, META_FEATURES = 2 + len(RULES), 4
 TEXT_SLOTS = (1 << GRAM_BITS) + COUNT_BINS + len(RULES) * RATIO_BINS
 
 
-def gram_counts(data: bytes) -> np.ndarray:
-    """How often each bucket of byte trigrams occurs, as shares of 255 of the most frequent one, at least 1 where it occurs."""
+def gram_counts(data: bytes) -> bytes:
+    """The buckets of byte trigrams that occur and how often, as shares of 255 of the most frequent one, at least 1; packed by ``Grams.pack``."""
     x = np.frombuffer(data, np.uint8).astype(np.uint32)
     if len(x) < 3:
-        return np.zeros(1 << GRAM_BITS, np.uint8)
+        return b""
     with np.errstate(over="ignore"):
         h = ((x[:-2] * np.uint32(0x01000193) + x[1:-1]) * np.uint32(0x01000193) + x[2:]) * np.uint32(0x9E3779B1) >> np.uint32(32 - GRAM_BITS)
     counts = np.bincount(h, minlength=1 << GRAM_BITS)
-    return (-(-counts * 255 // counts.max())).astype(np.uint8)
+    at = np.flatnonzero(counts)
+    return Grams.pack(at, -(-counts[at] * 255 // counts.max()))
+
+
+class Grams:
+    """Rows of (bucket, share) with the occupied buckets only; a row's shares add up to 1."""
+
+    def __init__(self, at: np.ndarray, share: np.ndarray, size: np.ndarray):
+        self.at, self.share, self.size = at, share, size
+        self.row = np.repeat(np.arange(len(size)), size)
+
+    @staticmethod
+    def pack(at: np.ndarray, counts: np.ndarray) -> bytes:
+        """Gaps between buckets, low bytes and high bytes apart, then the counts, compressed."""
+        gaps = np.diff(at, prepend=0).astype("<u2").view(np.uint8).reshape(-1, 2).T
+        return zstandard.compress(gaps.tobytes() + counts.astype(np.uint8).tobytes(), 1)
+
+    @classmethod
+    def unpack(cls, packed: list[bytes]) -> Grams:
+        opened = zstandard.ZstdDecompressor()
+        at, share, size = [np.zeros(0, np.int64)], [np.zeros(0)], np.zeros(len(packed), np.int64)
+        for i, p in enumerate(packed):
+            if not p:
+                continue
+            raw = np.frombuffer(opened.decompress(p), np.uint8)
+            n = size[i] = len(raw) // 3
+            at.append(np.cumsum(raw[:n] + raw[n : 2 * n].astype(np.int64) * 256))
+            share.append(raw[2 * n :] / raw[2 * n :].sum(dtype=np.int64))
+        return cls(np.concatenate(at), np.concatenate(share), size)
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def __getitem__(self, mask: np.ndarray) -> Grams:
+        mine = mask[self.row]
+        return Grams(self.at[mine], self.share[mine], self.size[mask])
+
+    def __matmul__(self, ratio: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.share * ratio[self.at], len(self.size))
+
+    def sums(self, mask: np.ndarray) -> np.ndarray:
+        """By bucket, over the rows of ``mask``."""
+        mine = mask[self.row]
+        return np.bincount(self.at[mine], self.share[mine], 1 << GRAM_BITS)
 
 
 def text_view(text: str | None) -> tuple[bytes, list[int]]:
@@ -65,7 +111,7 @@ def text_view(text: str | None) -> tuple[bytes, list[int]]:
     at += COUNT_BINS
     for i, ratio in enumerate(ratios):
         slots.append(at + i * RATIO_BINS + min(RATIO_BINS - 1, int(ratio * 64).bit_length()))
-    return gram_counts((text or "").encode("utf-8", "surrogatepass")).tobytes(), slots
+    return gram_counts((text or "").encode("utf-8", "surrogatepass")), slots
 
 
 def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> list[int]:
@@ -85,12 +131,10 @@ def views_of(batch: pa.RecordBatch, at: int) -> list[pa.Array]:
     return [pa.array([g for g, _ in texts], pa.binary()), pa.array([s for _, s in texts], slots), pa.array(metas, slots)]
 
 
-def unpacked(grams: pa.Array, slots: pa.Array, meta: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram counts scaled to sum 1 for each text, text slots and metadata slots, a row each."""
+def unpacked(grams: pa.Array, slots: pa.Array, meta: pa.Array) -> tuple[Grams, np.ndarray, np.ndarray]:
+    """Trigrams, text slots and metadata slots, a row for each text."""
     n = len(grams)
-    counts = np.frombuffer(b"".join(grams.to_pylist()), np.uint8).reshape(n, 1 << GRAM_BITS).astype(np.float32)
-    counts /= np.maximum(counts.sum(axis=1, keepdims=True), 1)
-    return counts, slots.flatten().to_numpy().reshape(n, -1), meta.flatten().to_numpy().reshape(n, -1)
+    return Grams.unpack(grams.to_pylist()), slots.flatten().to_numpy().reshape(n, -1), meta.flatten().to_numpy().reshape(n, -1)
 
 
 class View:
@@ -176,7 +220,7 @@ def counted(rows: DataFrame, choices: Choices) -> tuple[np.ndarray, np.ndarray,
             text, meta = (np.where(label >= 0, np.where(label < 2, label, -1), np.where(label == -1, given, -1)) for given in (text, meta))
             for k in (0, 1):
                 mine = text == k
-                sums[0][k, : 1 << GRAM_BITS] += x[0][mine].sum(axis=0)
+                sums[0][k, : 1 << GRAM_BITS] += x[0].sums(mine)
                 sums[0][k] += np.bincount(x[1][mine].ravel(), minlength=TEXT_SLOTS)
                 sums[1][k] += np.bincount(x[2][meta == k].ravel(), minlength=META_SLOTS + LENGTH_BINS)
         flat = np.concatenate([s.ravel() for s in sums])
@@ -185,8 +229,8 @@ def counted(rows: DataFrame, choices: Choices) -> tuple[np.ndarray, np.ndarray,
 
     # whole numbers, so that the order of adding doesn't matter; one row per slot reaches the driver
     flat = np.zeros(2 * (TEXT_SLOTS + META_SLOTS + LENGTH_BINS))
-    for r in rows.select("label", "grams", "slots", "meta").mapInArrow(run, "at int, v long").groupBy("at").agg(F.sum("v").alias("v")).collect():
-        flat[r["at"]] = r["v"] / 2**20
+    found = rows.select("label", "grams", "slots", "meta").mapInArrow(run, "at int, v long").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    flat[found["at"].to_numpy()] = found["v"].to_numpy() / 2**20
     a, b = flat[: 2 * TEXT_SLOTS].reshape(2, -1), flat[2 * TEXT_SLOTS :].reshape(2, -1)
     return a[1], a[0], b[1], b[0]
 
@@ -225,7 +269,9 @@ def tenth_of(doc_id):
 
 def labelled_views(docs: DataFrame, labels: DataFrame, id_col="doc_id", label_col="quality", **cols) -> DataFrame:
     """Both views of every row, written, with its label: 0 and 1 teach, 2 and 3 are the same in the tenths kept aside, -1 is none."""
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    if known.count() <= BROADCAST_LABELS:
+        known = F.broadcast(known)  # else the views are shuffled to the labels
     label = F.coalesce(F.when(tenth_of(F.col("doc_id")) < 4, F.col("label") + 2).otherwise(F.col("label")), F.lit(-1))
     return materialize(with_views(docs, id_col, **cols).join(known, "doc_id", "left").select("doc_id", "grams", "slots", "meta", label.alias("label")))
 
@@ -313,4 +359,4 @@ def keep_good(docs: DataFrame, model: CoTrained | None, text_col="text", lang_co
 
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = labelled_views(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored(rows, fit_views(rows))
+    return scored(rows, fit_views(rows))  # reads the written views, so they stay

@@ -126,11 +126,13 @@ def proven_step(good: list[int], bad: list[int], alpha: float, level: float, pri
 
 def calibrate(measures: DataFrame, labels: DataFrame, id_col="doc_id", label_col="quality", alpha: float = 0.02, delta: float = 0.05, grid: int = GRID, price: float = 5.0) -> DataFrame:
     """stratum, and for each rule its proven cutoff or null. Only counts by stratum, rule, cell or step are grouped."""
-    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("good")).filter("good in (0, 1) and doc_id is not null").dropDuplicates(["doc_id"])
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("good")).filter("good in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("good").alias("good"))
     cell = lambda r: F.least(F.floor(F.col(r) * grid), F.lit(grid - 1)).cast("int")
     places = F.array(*[F.struct(F.lit(r).alias("rule"), cell(r).alias("cell")) for r in RULES])
     held = F.pmod(F.xxhash64(F.lit("holdout"), "doc_id"), F.lit(2)) == 1
-    labelled = materialize(measures.join(known, "doc_id").select("doc_id", "stratum", "good", held.alias("held"), places.alias("places")))
+    # a document counts once, however often its id is repeated
+    one = measures.join(known, "doc_id").groupBy("doc_id").agg(F.min(F.struct("stratum", "good", places.alias("places"))).alias("one"))
+    labelled = materialize(one.select("doc_id", "one.*", held.alias("held")))
     strata = max(1, labelled.agg(F.count_distinct("stratum")).first()[0])
     counted = labelled.filter("not held").select("stratum", "good", F.explode("places").alias("x")).groupBy("stratum", "x.rule", "x.cell", "good").count()
 
