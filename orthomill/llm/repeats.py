@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import U64, WordHashes, chunks_by_bytes, materialize, mix, word_hashes
+from .common import U64, WordHashes, chunks_by_bytes, discard, materialize, mix, word_hashes
 
 BASE = 0x9E3779B97F4A7C15 | 1
 PLACE_BITS = U64(28)
@@ -96,6 +96,8 @@ def find_anchors(units: np.ndarray, counts: np.ndarray, length: int, k: int):
     """For each anchor: text number, hash, context hash, place in the text, and how far before it its first and last windows start."""
     if len(units) < length:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
+    if len(units) > int(PLACE_MASK):
+        raise ValueError(f"a text of {len(units)} units is too long: places have 28 bits")
     ends = np.cumsum(counts)
     runs = Runs(units)
     gram = runs.each(k)
@@ -156,14 +158,19 @@ def occurrences(keyed_docs: DataFrame, unit: str, length: int, k: int) -> DataFr
 def contexts(keyed_docs: DataFrame, wanted: DataFrame, unit: str, length: int) -> DataFrame:
     """The units around each wanted anchor: from its first window's start to its last window's end."""
     per_doc = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "ctx", "reach", "n", "place")).alias("wanted"))
-    joined = keyed_docs.select("k1", "k2", "text").join(per_doc.hint("shuffle_hash"), ["k1", "k2"]).select("text", "wanted")
+    joined = keyed_docs.select("k1", "k2", "text").join(per_doc.hint("shuffle_hash"), ["k1", "k2"]).select("text", "wanted", "k1", "k2")
     names = ["anchor", "ctx", "reach", "n", "body"]
 
     def run(batches):
-        cache = WordHashes()
+        cache, seen = WordHashes(), set()
         for b in batches:
             texts = encoded(b.column(0))
-            for i, text in enumerate(texts):
+            for i, (text, row) in enumerate(zip(texts, zip(b.column(2).to_pylist(), b.column(3).to_pylist()))):
+                if row in seen:  # equal rows have the same contexts
+                    continue
+                seen.add(row)
+                if len(seen) > 400_000:
+                    seen.clear()
                 want = b.column(1)[i].values
                 anchor, ctx, reach, n, place = (want.field(j) for j in range(5))
                 body = np.frombuffer(text, np.uint8) if unit == "byte" else word_hashes([text], cache)[0]
@@ -349,13 +356,14 @@ def halved(rows: DataFrame, unit: str, length: int, width: int) -> DataFrame:
     return rows.select("g", "span", "n", "body", "anchor", "ctx", "reach").mapInArrow(run, "g long, span int, h1 long, h2 long, n long, body binary, anchor long, ctx long, reach int")
 
 
-def narrowed(members: DataFrame, unit: str, length: int, report: int, orders=sorted_order) -> DataFrame:
+def narrowed(members: DataFrame, unit: str, length: int, report: int, written: list[DataFrame], orders=sorted_order) -> DataFrame:
     """The result of ``extended`` for groups with very many contexts, in rounds that halve the contexts.
 
     A round cuts every context into two ranges of windows and groups each by what its windows have
     in common; parts that became equal fold into one with a count, so what a passage's many
     surroundings share is soon one row. Groups that are small then go to ``extended``. In the last
-    round a part is one window and a group one content, so the rounds end.
+    round a part is one window and a group one content, so the rounds end. ``written`` gets the
+    tables that the result still reads.
     """
     rows, found, width = members.dropDuplicates(["anchor", "ctx", "reach"]), None, 1 << (length - 1).bit_length()
     part = ["g", "span", "h1", "h2"]
@@ -364,6 +372,7 @@ def narrowed(members: DataFrame, unit: str, length: int, report: int, orders=sor
         parts = materialize(halved(rows, unit, length, width))
         folded = materialize(parts.groupBy(*part).agg(F.sum("n").alias("total"), F.min(F.struct("anchor", "ctx", "reach", "body")).alias("one")))
         sizes = materialize(folded.groupBy("g").count().filter("count > 1"))
+        written += [parts, folded, sizes]
         # written tables on both sides: adaptive execution can split a part or group that very many rows have
         twice = parts.filter("n = 1").join(folded.filter("total > 1").select(*part), part, "left_semi")
         edge = lambda c: F.shiftright("reach", 16) - c
@@ -401,16 +410,19 @@ def covered_documents(docs: DataFrame, unit: str, length: int, k: int, id_col="d
         return contexts(source, wanted, unit, length).withColumns({"g": F.col("anchor"), "span": F.col("reach")})
 
     partly = extended(around(several.filter(F.col("count") <= HOT_CONTEXTS)), unit, length, report, orders)
-    hot = several.filter(F.col("count") > HOT_CONTEXTS)
+    hot, rounds = several.filter(F.col("count") > HOT_CONTEXTS), []
     if not hot.isEmpty():
-        partly = partly.unionByName(narrowed(around(hot), unit, length, report, orders))
+        partly = partly.unionByName(narrowed(around(hot), unit, length, report, rounds, orders))
     windows = F.shiftright("reach", 16) - F.col("reach").bitwiseAND(0xFFFF)
     whole = folded.filter("n > 1").select("anchor", "ctx", "reach", F.array(F.lit(0), windows).alias("runs"), (windows + length).alias("longest"))
     found = common.join(whole.unionByName(partly), ["anchor", "ctx", "reach"])
     span = F.struct((F.col("place") - F.shiftright("reach", 16)).alias("start"), "runs")
     spans = found.select("k1", "k2", F.when(F.size("runs") > 0, span).alias("span"), "longest")
-    per_doc = spans.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"), F.max("longest").alias("longest"))
-    return source.join(per_doc.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "spans", "longest")
+    # a set, as equal rows have equal spans: all of a row's occurrences are listed once, however often the row is repeated
+    per_doc = spans.groupBy("k1", "k2").agg(F.collect_set("span").alias("spans"), F.max("longest").alias("longest"))
+    listed = materialize(per_doc)
+    discard(common, folded, several, *rounds)
+    return source.join(listed.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", "spans", "longest")
 
 
 def covered_mask(n: int, spans, length: int) -> np.ndarray:

@@ -76,32 +76,13 @@ def test_superminhash_estimates_similarity():
     assert (small[0] == small[1]).all() and (small[0] < np.uint64(96) << np.uint64(40)).all()
 
 
-def test_linked_forest_is_exact():
-    rng = random.Random(5)
-    sets = [np.array(sorted(rng.sample(range(60), 40)), np.uint64) for _ in range(50)] + [np.array(sorted(rng.sample(range(44), 40)), np.uint64) for _ in range(50)]
-
-    def roots(pairs):
-        p = list(range(len(sets)))
-        find = lambda x: x if p[x] == x else find(p[x])
-        for a, b in pairs:
-            p[find(a)] = find(b)
-        groups = collections.defaultdict(set)
-        for i in range(len(sets)):
-            groups[find(i)].add(i)
-        return sorted(map(sorted, groups.values()))
-
-    full = [(i, j) for i in range(100) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= 85 * len(set(sets[i]) | set(sets[j]))]
-    assert roots(near_dup.linked_forest(sets, 85)) == roots(full) and full
-
-
 def test_components(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 300 + i) for i in range(50)] + [(900, 900), (None, 3), (700, 701), (700, 701)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(201)) and all(got[300 + i] == 300 for i in range(50)) and got[500] == 300 and got[701] == 700 and 900 not in got
 
 
-def test_large_clusters_are_compared_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK_DOCS", 8)
+def test_large_clusters_are_exact(spark):
     rng = random.Random(9)
     base = [f"t{i}" for i in range(120)]
     rows = []
