@@ -3,21 +3,23 @@
 Members (key, c, n and, with positions, pos) say which class of equal sets ``c`` of size ``n`` stands
 in which bucket. All pairs of a bucket are candidates, but they are not written out:
 
-1. Hub rounds. Every bucket's smallest class is compared with the others; members that link form a
+1. Hub rounds. Every bucket's most central class is compared with the others; members that link form a
    component at once. In the next round a hub of those outside the bucket's largest component
    meets all members of other components. A bucket of near copies thus costs a pair per member.
 2. What is left: members outside the largest component of their bucket meet all members of other
    components, so each pair of a bucket is either compared, ruled out by a bound, or in one component.
 
-Before sets are fetched pairs pass bounds on their overlap: by size, by the positions of a shared
-first element in a common order (with ``pos``), and by suffix: shingles dealt to ``RANGES``
-ranges of their hash, where the smaller count of each range bounds what can be shared in it.
+Pairs are made only if they pass bounds on their overlap: by size, by the positions of a shared
+first element in a common order (with ``pos``), and by suffix: shingles dealt to ranges of their
+hash, where the smaller count of each range bounds what can be shared in it (``COARSE`` ranges in the join, then ``RANGES``).
 All steps are joins with equality and aggregates, a hot bucket is never gathered in a task, and
 adaptive execution can split it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ from .common import U64, WordHashes, chunks_by_bytes, discard, materialize
 from .components import connected_components
 from .shingles import shingle_sets
 
-RANGES, HUB_ROUNDS, HUB_PART = 64, 2, 256
+RANGES, COARSE, HUB_ROUNDS, HUB_PART = 64, 16, 2, 256
 #: Class numbers are broadcast to the texts up to this many (about 24 MB), else texts are shuffled to them.
 BROADCAST_CLASSES = 1_000_000
 
@@ -69,10 +71,7 @@ def least_overlap(a, b, percent: int):
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b, linked: pairs (a, b) decided on full sets. A task reads the set of b, then those of its partners one by one."""
-    of = lambda name: sets.select(F.col("c").alias(name), F.col("ranges").alias(f"{name}_ranges"))
-    shared = F.aggregate(F.zip_with("a_ranges", "b_ranges", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    total = lambda name: F.aggregate(f"{name}_ranges", F.lit(0), lambda s, x: s + x)
-    open_ = materialize(pairs.join(of("a"), "a").join(of("b"), "b").filter(shared >= least_overlap(total("a"), total("b"), percent)).select("a", "b"))
+    open_ = materialize(pairs)
     parts = open_.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HUB_PART).cast("int").alias("parts"))
     own = sets.select("c", "shingles")
     hubs = parts.join(own.withColumnRenamed("c", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "shingles")
@@ -103,39 +102,50 @@ def candidates(left: DataFrame, right: DataFrame, percent: int, positions: bool)
     x, y = left.alias("x"), right.alias("y")
     nx, ny = F.col("x.n"), F.col("y.n")
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") != F.col("y.c")) & (F.col("x.comp") != F.col("y.comp")) & (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
+    in_ranges = reduce(lambda s, i: s + F.least(f"x.r{i}", f"y.r{i}"), range(1, COARSE), F.least("x.r0", "y.r0"))
+    near = near & (in_ranges >= least_overlap(nx, ny, percent))
+    shared = F.aggregate(F.zip_with("x.ranges", "y.ranges", lambda a, b: F.least(a, b)), F.lit(0), lambda s, a: s + a)
+    near = near & (shared >= least_overlap(nx, ny, percent))
     if positions:
         near = near & (1 + F.least(nx - F.col("x.pos"), ny - F.col("y.pos")) - 1 >= least_overlap(nx, ny, percent))
     return x.join(y, near).select(F.greatest("x.c", "y.c").alias("a"), F.least("x.c", "y.c").alias("b")).distinct()
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """Members of buckets that have two or more, written."""
+    """Members of buckets that have two or more, written, with ``central``: how many others a class meets in all its buckets."""
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return materialize(members.join(sizes.select("key"), "key"))
+    met = materialize(members.join(sizes, "key"))
+    central = met.groupBy("c").agg(F.sum("size").alias("central"))
+    placed = materialize(met.drop("size").join(central, "c"))
+    discard(met)
+    return placed
 
 
 def linked_components(members: DataFrame, sets: DataFrame, percent: int, positions: bool = False) -> DataFrame:
     """(node, root) of all classes that have a link; ``members`` and ``sets`` are written tables."""
+    width = RANGES // COARSE
+    coarse = [reduce(lambda s, j: s + F.get("ranges", F.lit(j)), range(i * width + 1, (i + 1) * width), F.get("ranges", F.lit(i * width))).alias(f"r{i}") for i in range(COARSE)]
+    members = materialize(members.join(sets.select("c", "ranges", *coarse), "c"))
+    hub_of = lambda rows: rows.groupBy("key").agg(F.max_by(F.struct(*rows.columns), F.struct("central", "c")).alias("h")).select("h.*")
     with_comp = lambda roots: members.withColumn("comp", F.col("c")) if roots is None else members.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
     known, roots = None, None
     for round_ in range(HUB_ROUNDS + 1):
         placed = materialize(with_comp(roots))
         if roots is None:
-            hubs = placed.groupBy("key").agg(F.min_by(F.struct(*placed.columns), "c").alias("h")).select("h.*")
+            hubs = hub_of(placed)
         else:
             largest = placed.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp")).alias("most"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
             hubs = placed.join(largest.select("key", F.col("most.comp").alias("main")), "key").filter("comp <> main").drop("main")
             if round_ < HUB_ROUNDS:
-                hubs = hubs.groupBy("key").agg(F.min_by(F.struct(*placed.columns), "c").alias("h")).select("h.*")
+                hubs = hub_of(hubs)
         pairs = candidates(placed, hubs, percent, positions)
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         found = materialize(verified(pairs, sets, percent))
         discard(placed)
         known = found if known is None else known.unionByName(found)
-        if round_ and found.isEmpty():
-            break
         roots = materialize(connected_components(known.filter("linked")))
+    discard(members)
     return roots
 
 
