@@ -1,9 +1,13 @@
-"""Transforms of images too large for one row: images as rows of (id, lin, re, im).
+"""Images too large for one row, as rows of (id, lin, re, im): transform, selection, recovery, loss and gradient.
 
 A circuit acts on rows and columns apart, so an image is dealt by column, transformed column by
 column, dealt by row and transformed row by row: two shuffles of its pixels. A task holds one
 column or row at a time, gate by gate, never a kernel matrix. Entangling gates are a phase of each
-pixel by its place, before, between or after the two.
+pixel by its place, before, between or after the two. The inverse takes the same ways backwards
+with the gates' adjoints; lines without a pixel are never made.
+
+The largest coefficients are found by counting: a histogram of sizes per image narrows the range in
+which the last kept one lies, round by round, so no image is sorted in a task.
 
 Absent pixels are zeros; pixels of one place add up; a null id is an image of its own; a place
 outside the image is an error.
@@ -15,29 +19,67 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window as W
 
-from .basis import Basis, lists_of
+from ..sources.tables import forget, written
+from .basis import Basis, keep_count, lists_of
 from .circuits import Gate, mask_place, run_gates
+from .training import Optimizer, backwards, blocks_of, descend
+
+#: Bins of a histogram of an image's sizes, and coefficients that may be ranked together at the end.
+BINS, RANKED = 4096, 4096
+#: Sizes are compared in these units.
+UNIT = 1e-9
 
 
 def phased(rows: DataFrame, gates: list[Gate]) -> DataFrame:
-    """Each pixel turned by the angles that the gates have for the bits of its place."""
+    """Each pixel turned by the angles that the gates have for the bits of its place; pairs of columns (re, im) and, if there, (bre, bim)."""
     if not gates:
         return rows
-    angle = F.lit(0.0)
-    for g in gates:
-        (a, b), bit = g.qubits, lambda q: F.shiftright("lin", q - 1).bitwiseAND(1)
-        table = F.array(*[F.lit(float(x)) for x in np.angle(g.matrix).ravel()])  # by first bit, then second
-        angle = angle + F.get(table, (bit(a) * 2 + bit(b)).cast("int"))
-    turned = rows.withColumn("_turn", angle)
-    re, im = F.col("re") * F.cos("_turn") - F.col("im") * F.sin("_turn"), F.col("re") * F.sin("_turn") + F.col("im") * F.cos("_turn")
-    return turned.select("id", "lin", re.alias("re"), im.alias("im"))
+    turned = rows.withColumn("_turn", sum((angle_of(g) for g in gates), F.lit(0.0)))
+    pairs = [("re", "im"), ("bre", "bim")] if "bre" in rows.columns else [("re", "im")]
+    values = [v for a, b in pairs for v in ((F.col(a) * F.cos("_turn") - F.col(b) * F.sin("_turn")).alias(a), (F.col(a) * F.sin("_turn") + F.col(b) * F.cos("_turn")).alias(b))]
+    return turned.select("id", "lin", *values)
+
+
+def bits_of(g: Gate):
+    """Which of a gate's four entries a place has: the first qubit's bit twice, and the second's."""
+    a, b = (F.shiftright("lin", q - 1).bitwiseAND(1) for q in g.qubits)
+    return (a * 2 + b).cast("int")
+
+
+def angle_of(g: Gate):
+    return F.get(F.array(*[F.lit(float(x)) for x in np.angle(g.matrix).ravel()]), bits_of(g))
+
+
+def adjoint(g: Gate) -> Gate:
+    return Gate(g.role, g.qubits, g.matrix.conj().T if g.role == "h" else g.matrix.conj(), g.entangling)
+
+
+def lines_of(rows: DataFrame, line, place, values: list[str]) -> DataFrame:
+    """id, line and z, the line's pixels with their places."""
+    return rows.select("id", line.alias("line"), F.struct(place.alias("at"), *values).alias("z")).groupBy("id", "line").agg(F.collect_list("z").alias("z"))
+
+
+def dense(lists: pa.ListArray, side: int, values: int) -> list[np.ndarray]:
+    """A line per row as columns of (side, lines) arrays: one complex array for every two values."""
+    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    at, *parts = (lists.flatten().field(i).to_numpy() for i in range(values + 1))
+    if len(at) and not 0 <= at.min() <= at.max() < side:
+        raise ValueError("a pixel lies outside the image")
+    out = []
+    for re, im in zip(parts[::2], parts[1::2]):
+        x = np.zeros((side, len(lists)), complex)
+        np.add.at(x, (at, owner), re + 1j * im)
+        out.append(x)
+    return out
 
 
 def along(rows: DataFrame, gates: list[Gate], bits: int, line, place) -> DataFrame:
     """Every line of every image run through the gates; ``line`` and ``place`` say which line a pixel is in, and where."""
     side = 1 << bits
-    lines = rows.select("id", line.alias("line"), F.struct(place.alias("at"), "re", "im").alias("z")).groupBy("id", "line").agg(F.collect_list("z").alias("z"))
+    lines = lines_of(rows, line, place, ["re", "im"])
     kind = lines.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -45,13 +87,7 @@ def along(rows: DataFrame, gates: list[Gate], bits: int, line, place) -> DataFra
             step = max(1, 500_000 // side)
             for lo in range(0, b.num_rows, step):
                 part = b.slice(lo, step)
-                lists = part.column(2)
-                owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-                at, re, im = (lists.flatten().field(i).to_numpy() for i in range(3))
-                if len(at) and not 0 <= at.min() <= at.max() < side:
-                    raise ValueError("a pixel lies outside the image")
-                x = np.zeros((side, len(lists)), complex)
-                np.add.at(x, (at, owner), re + 1j * im)
+                (x,) = dense(part.column(2), side, 2)
                 y = np.ascontiguousarray(run_gates(gates, x, bits).T)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists_of(y.real), lists_of(y.imag)], ["id", "line", "re", "im"])
 
@@ -59,16 +95,195 @@ def along(rows: DataFrame, gates: list[Gate], bits: int, line, place) -> DataFra
     return done.select("id", "line", F.posexplode(F.arrays_zip("re", "im")).alias("at", "z")).select("id", "line", F.col("at").cast("long").alias("at"), "z.re", "z.im")
 
 
+class Ways:
+    """A basis's gates by the way they go: within columns, within rows, and entangling ones at their spot."""
+
+    def __init__(self, basis: Basis):
+        self.m, self.n, h = basis.m, basis.n, 2**basis.m
+        gates = list(enumerate(basis.gates))
+        self.joins = [(i, g) for i, g in gates if g.entangling]
+        self.first = [(i, g) for i, g in gates if not g.entangling and max(g.qubits) <= self.m]
+        self.second = [(i, Gate(g.role, tuple(q - self.m for q in g.qubits), g.matrix)) for i, g in gates if not g.entangling and min(g.qubits) > self.m]
+        # how many of the two products come before the entangling gates
+        self.spot = {"front": 0, "middle": 1, "back": 2}[mask_place(list(basis.gates))]
+        within, across = F.expr(f"cast(lin % {h} as int)"), F.expr(f"lin div {h}")
+        # by way: gates, bits, line and place of a pixel, and the pixel of a line and place
+        self.by_way = [(self.first, self.m, across, within, F.col("at") + F.col("line") * h), (self.second, self.n, F.expr(f"lin % {h}"), F.expr(f"cast(lin div {h} as int)"), F.col("line") + F.col("at") * h)]
+
+
 def transform(rows: DataFrame, basis: Basis) -> DataFrame:
     """id, lin, re, im of the coefficients; ``rows`` has the same columns, lin from 0 in column-major order."""
-    m, h = basis.m, 2**basis.m
-    joins = [g for g in basis.gates if g.entangling]
-    first = [g for g in basis.gates if not g.entangling and max(g.qubits) <= m]
-    second = [Gate(g.role, tuple(q - m for q in g.qubits), g.matrix) for g in basis.gates if not g.entangling and min(g.qubits) > m]
-    # how many of the two products come before the entangling gates
-    spot = {"front": 0, "middle": 1, "back": 2}[mask_place(list(basis.gates))]
-    rows = phased(rows, joins if spot == 0 else [])
-    rows = along(rows, first, m, F.expr(f"lin div {h}"), F.expr(f"cast(lin % {h} as int)")).select("id", (F.col("at") + F.col("line") * h).alias("lin"), "re", "im")
-    rows = phased(rows, joins if spot == 1 else [])
-    rows = along(rows, second, basis.n, F.expr(f"lin % {h}"), F.expr(f"cast(lin div {h} as int)")).select("id", (F.col("line") + F.col("at") * h).alias("lin"), "re", "im")
-    return phased(rows, joins if spot == 2 else [])
+    ways = Ways(basis)
+    joins = [g for _, g in ways.joins]
+    for spot, (gates, bits, line, place, lin) in enumerate(ways.by_way):
+        rows = phased(rows, joins if ways.spot == spot else [])
+        rows = along(rows, [g for _, g in gates], bits, line, place).select("id", lin.alias("lin"), "re", "im")
+    return phased(rows, joins if ways.spot == 2 else [])
+
+
+def inverse(rows: DataFrame, basis: Basis) -> DataFrame:
+    """id, lin, re, im of the images of coefficients, of which any may be absent."""
+    ways = Ways(basis)
+    joins = [adjoint(g) for _, g in ways.joins]
+    for spot in (1, 0):
+        gates, bits, line, place, lin = ways.by_way[spot]
+        rows = phased(rows, joins if ways.spot == spot + 1 else [])
+        rows = along(rows, [adjoint(g) for _, g in reversed(gates)], bits, line, place).select("id", lin.alias("lin"), "re", "im")
+    return phased(rows, joins if ways.spot == 0 else [])
+
+
+def narrowed(values: DataFrame, need: DataFrame) -> DataFrame:
+    """id, low, high, rest: the range [low, high) of an image's values ``v`` (whole numbers) that holds the ``need``-th smallest, and how many of it are wanted.
+
+    Round by round the range becomes the bin of its histogram in which that value lies, until the bin
+    has at most ``RANKED`` values or is one value wide. Images with fewer values get a range with all.
+    """
+    state = values.groupBy("id").agg(F.min("v").alias("low"), (F.max("v") + 1).alias("high"), F.count(F.lit(1)).alias("held")).join(need, F.col("id").eqNullSafe(F.col("of"))).drop("of").withColumnRenamed("need", "rest")
+    state, done = written(state), None
+    while True:
+        settled = (F.col("held") <= RANKED) | (F.col("high") - F.col("low") <= 1)
+        part = state.filter(settled).drop("held")
+        done = part if done is None else done.unionByName(part)
+        open_ = state.filter(~settled)
+        if open_.isEmpty():
+            return done
+        width = F.greatest(F.lit(1), F.expr(f"(high - low + {BINS - 1}) div {BINS}"))
+        ranges = open_.select(F.col("id").alias("of"), "low", "high", "rest", width.alias("width"))
+        inside = values.join(ranges, F.col("id").eqNullSafe(F.col("of")) & (F.col("v") >= F.col("low")) & (F.col("v") < F.col("high")))
+        bins = inside.groupBy("id", "low", "width", "rest", F.expr("(v - low) div width").alias("bin")).agg(F.count(F.lit(1)).alias("held"))
+        before = F.coalesce(F.sum("held").over(W.partitionBy("id").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # at most a row per bin
+        cut = bins.withColumn("before", before).filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("held") >= F.col("rest")))
+        low = F.col("low") + F.col("bin") * F.col("width")
+        state = written(cut.select("id", low.alias("low"), (low + F.col("width")).alias("high"), "held", (F.col("rest") - F.col("before")).alias("rest")))
+
+
+def largest(rows: DataFrame, k: int) -> DataFrame:
+    """The k largest coefficients of every image, the lowest place first among equal ones; sizes within a billionth are equal.
+
+    ``rows`` is read several times, so it should be a written table.
+    """
+    if k < 1:
+        raise ValueError("at least one coefficient must be kept")
+    size = -F.round(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / UNIT).cast("long")
+    sized = rows.withColumn("v", size)
+    counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).select(F.col("id").alias("of"), F.least("n", F.lit(k)).alias("need"))
+    cuts = written(narrowed(sized.select("id", "v"), counts))
+    own = cuts.select(F.col("id").alias("of"), "low", "high", "rest")
+    placed = sized.join(own, F.col("id").eqNullSafe(F.col("of")))
+    above = placed.filter(F.col("v") < F.col("low"))
+    # the last range: ranked together if it is short, else its values are equal and the places are narrowed
+    tied = placed.filter((F.col("v") >= F.col("low")) & (F.col("v") < F.col("high")))
+    many = tied.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("rest").alias("need")).filter(F.col("n") > RANKED)
+    by_place = narrowed(tied.select("id", F.col("lin").alias("v")), many.select(F.col("id").alias("of"), "need")).select(F.col("id").alias("of"), F.col("low").alias("from"), F.col("high").alias("to"), F.col("rest").alias("last"))
+    tied = tied.drop("of").join(by_place, F.col("id").eqNullSafe(F.col("of")), "left")
+    below = tied.filter(F.col("from").isNotNull() & (F.col("lin") < F.col("from")))
+    short = tied.filter(F.col("from").isNull() | (F.col("lin") >= F.col("from")) & (F.col("lin") < F.col("to")))
+    place = F.row_number().over(W.partitionBy("id").orderBy("v", "lin"))  # at most RANKED rows an image
+    short = short.withColumn("place", place).filter(F.col("place") <= F.coalesce("last", "rest"))
+    columns = rows.columns
+    return above.select(*columns).unionByName(below.select(*columns)).unionByName(short.select(*columns))
+
+
+def compress(rows: DataFrame, basis: Basis, ratio: float | None = 0.9, k: int | None = None) -> DataFrame:
+    """id, lin, re, im, basis_hash of the kept coefficients."""
+    count = keep_count(basis.size, ratio) if k is None else min(k, basis.size)
+    return largest(written(transform(rows, basis)), count).withColumn("basis_hash", F.lit(basis.basis_hash()))
+
+
+def recover(kept: DataFrame, basis: Basis, verify_hash: bool = True) -> DataFrame:
+    """id, lin, re, im of the images, from kept coefficients; those of another basis are an error."""
+    if verify_hash:
+        wrong = F.raise_error(F.lit("the image was compressed with another basis")).cast("double")
+        kept = kept.withColumn("re", F.when(F.col("basis_hash") == basis.basis_hash(), F.col("re")).otherwise(wrong))
+    return inverse(kept.select("id", "lin", "re", "im"), basis)
+
+
+def loss_and_kept(rows: DataFrame, basis: Basis, k: int) -> tuple[float, DataFrame, DataFrame]:
+    """Mean squared error after keeping k coefficients an image, all coefficients and the kept ones, both written."""
+    y = written(transform(rows, basis))
+    kept = written(largest(y, k))
+    energy = lambda df: df.agg(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).first()[0] or 0.0
+    images = y.select("id").distinct().count()
+    return (energy(y) - energy(kept)) / max(1, images), y, kept
+
+
+def back_along(rows: DataFrame, gates: list[Gate], bits: int, line, place) -> DataFrame:
+    """``along`` backwards for states and gradients: rows id, line, at, re, im, bre, bim, and rows of a number (``at``) and value (``re``) of the gates' gradients, whose line is null."""
+    side = 1 << bits
+    lines = lines_of(rows, line, place, ["re", "im", "bre", "bim"])
+    names = ["id", "line", "at", "values"]
+    kind = lines.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        total = np.zeros((len(gates), 2, 2), complex)
+        for b in batches:
+            step = max(1, 250_000 // side)
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                x, bar, grads = backwards(gates, blocks_of(gates, bits), *dense(part.column(2), side, 4))
+                total += grads
+                z = np.ascontiguousarray(np.stack([x.real, x.imag, bar.real, bar.imag]).transpose(2, 1, 0)).reshape(part.num_rows, side * 4)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.nulls(part.num_rows, pa.int32()), lists_of(z)], names)
+        flat = np.concatenate([total.real.ravel(), total.imag.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, lines_type), pa.nulls(1, pa.int64()), pa.array([0], pa.int32()), lists_of(flat[None])], names)
+
+    lines_type = to_arrow_type(lines.schema["id"].dataType)
+    return lines.mapInArrow(run, f"id {kind}, line long, at int, values array<double>")
+
+
+def gradient(y: DataFrame, kept: DataFrame, basis: Basis) -> list[np.ndarray]:
+    """Gradients of the mean squared error by gate, as the selection counts as fixed; sums by gate entry are all that reaches the driver."""
+    ways = Ways(basis)
+    images = y.select("id").distinct().count()
+    grads = [np.zeros((2, 2), complex) for _ in basis.gates]
+    mark = kept.select(F.col("id").alias("of"), F.col("lin").alias("at"), F.lit(-2.0).alias("factor"))
+    bar = lambda c: F.coalesce(F.col("factor") * F.col(c), F.lit(0.0))
+    rows = y.join(mark, F.col("id").eqNullSafe(F.col("of")) & (F.col("lin") == F.col("at")), "left").select("id", "lin", "re", "im", bar("re").alias("bre"), bar("im").alias("bim"))
+
+    def past_joins(rows):
+        re, im = F.col("re") * F.col("bre") + F.col("im") * F.col("bim"), F.col("re") * F.col("bim") - F.col("im") * F.col("bre")
+        sums = [F.sum(F.when(bits_of(g) == e, v).otherwise(0.0)) for _, g in ways.joins for e in range(4) for v in (re, im)]
+        if not sums:
+            return rows
+        found = np.array(rows.agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first(), float).reshape(-1, 2, 2, 2)
+        for (i, g), s in zip(ways.joins, found):
+            grads[i] = (s[..., 0] + 1j * s[..., 1]) * g.matrix
+        return phased(rows, [adjoint(g) for _, g in ways.joins])
+
+    for spot in (1, 0):
+        gates, bits, line, place, lin = ways.by_way[spot]
+        if ways.spot == spot + 1:
+            rows = past_joins(written(rows))
+        done = written(back_along(rows, [g for _, g in gates], bits, line, place))
+        totals = done.filter("line is null").select(F.posexplode("values").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+        flat = np.zeros(8 * len(gates))
+        for r in totals:
+            flat[r["i"]] = r["v"]
+        re, im = flat.reshape(2, -1, 2, 2)
+        for (i, _), g in zip(gates, re + 1j * im):
+            grads[i] = g
+        each = F.expr("transform(sequence(0, size(values) div 4 - 1), i -> named_struct('re', values[4 * i], 'im', values[4 * i + 1], 'bre', values[4 * i + 2], 'bim', values[4 * i + 3]))")
+        rows = done.filter("line is not null").select("id", "line", F.posexplode(each).alias("at", "z")).select("id", lin.cast("long").alias("lin"), "z.*")
+    if ways.spot == 0:
+        past_joins(written(rows))
+    return [g / max(1, images) for g in grads]
+
+
+def optimize(rows: DataFrame, basis: Basis, optimizer: Optimizer, k: int | None = None, max_iter: int = 10, tol: float = 1e-6) -> tuple[Basis, list[float]]:
+    """Full-batch optimisation on coordinate rows (the squared error); the losses before each step, and the last."""
+    k = max(1, round(0.1 * basis.size)) if k is None else k
+    rows = written(rows.select("id", "lin", "re", "im"))
+    as_basis = lambda gates: Basis(basis.family, basis.m, basis.n, tuple(gates), basis.position)
+
+    def measure(candidates, with_gradient):
+        values, grads = [], []
+        for i, gates in enumerate(candidates):
+            value, y, kept = loss_and_kept(rows, as_basis(gates), k)
+            values.append(value)
+            if with_gradient and not i:
+                grads = gradient(y, kept, as_basis(gates))
+            forget(y, kept)
+        return np.array(values), grads
+
+    gates, trace = descend(list(basis.gates), optimizer, measure, max_iter, tol)
+    return as_basis(gates), trace

@@ -1,6 +1,6 @@
 """Fitting circuit gates to a table of images.
 
-The driver holds the gates (a few hundred numbers). A step is one Spark job: every task adds
+Pictures are real (``re``) or complex (``re`` and ``im``). The driver holds the gates (a few hundred numbers). A step is one Spark job: every task adds
 up loss and gradient of its images, and an aggregate by gate entry adds the tasks' sums, so
 what reaches the driver has the size of the gates. A line search takes three jobs at most: the
 full step, then shorter ones, several together. Images of at most ``ONE_TASK_VALUES`` values in all
@@ -9,7 +9,8 @@ are fitted in one task by the same code.
 Behaviour: moments of Adam last over steps; without validation rows the last gates are
 returned, else the best; patience counts from the second epoch on and equal loss is no
 improvement; a last, shorter batch weighs as much as a full one. By default rows go to the
-validation part and to batches by a hash of their id, so no global numbering is needed. With
+validation part and to batches by a hash of their id, so no global numbering is needed. An epoch's
+rows are shuffled and written once, in order of their batches, and every batch reads its own part. With
 ``batch_size`` the parts are exact: rows are numbered in the order of a seeded hash, the
 first ``validation_count`` are held out, and every epoch cuts the others, in an order of its
 own, into batches of that size, the last one shorter.
@@ -29,6 +30,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.series import learning_rate_at, validation_count
 from ..sources.files import save_checkpoint
+from ..sources.tables import forget, written
 from .basis import Basis, matrix_of
 from .losses import LOSSES
 from .circuits import Gate
@@ -103,7 +105,12 @@ def loss_and_gradient(gates: list[Gate], x: np.ndarray, qubits: int, loss: str,
         bar = -2 * kept
     if not gradient:
         return total, []
-    grads = [np.zeros((2, 2), complex)] * len(gates)
+    return total, list(backwards(gates, blocks, state, bar)[2])
+
+
+def backwards(gates: list[Gate], blocks, state: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State and gradient before the gates from those after them, and each gate's own gradient."""
+    grads = np.zeros((len(gates), 2, 2), complex)
     for qubit, numbers, block in reversed(blocks):  # gates stay on their manifolds, so their adjoints undo them
         if qubit is None:
             each = np.einsum("ij,ij->i", state.conj(), bar)  # by place; unit phases of the run's other gates cancel out
@@ -117,7 +124,18 @@ def loss_and_gradient(gates: list[Gate], x: np.ndarray, qubits: int, loss: str,
             a, b = state.conj().reshape(-1, 2, state.shape[1] << qubit), bar.reshape(-1, 2, bar.shape[1] << qubit)
             grads[numbers[0]] = np.array([[np.einsum("ij,ij->", b[:, i], a[:, j]) for j in (0, 1)] for i in (0, 1)])
             bar = mixed(block.conj().T, bar, qubit)
-    return total, grads
+    return state, bar, grads
+
+
+def values_of(images: DataFrame) -> list[str]:
+    """The columns that hold pictures: ``im`` too where they are complex."""
+    return ["re", "im"] if "im" in images.columns else ["re"]
+
+
+def states_of(batch: pa.RecordBatch, qubits: int) -> np.ndarray:
+    """Pictures of a batch (re, or re and im) as columns."""
+    re, *im = (matrix_of(c, 2**qubits) for c in batch.columns)
+    return (re + 1j * im[0] if im else re).T
 
 
 def evaluate(images: DataFrame, candidates: list[list[Gate]], qubits: int, loss: str, k: int, gradient: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -129,7 +147,7 @@ def evaluate(images: DataFrame, candidates: list[list[Gate]], qubits: int, loss:
         n, sums = 0, [0.0] * len(candidates)
         grad = np.zeros((len(candidates[0]), 2, 2), complex)
         for b in batches:
-            x = matrix_of(b.column(0), 2**qubits).T
+            x = states_of(b, qubits)
             n += b.num_rows
             for i, gates in enumerate(candidates):
                 total, g = loss_and_gradient(gates, x, qubits, loss, k, gradient and not i)
@@ -139,7 +157,7 @@ def evaluate(images: DataFrame, candidates: list[list[Gate]], qubits: int, loss:
         flat = np.concatenate([[n], sums, grad.real.ravel(), grad.imag.ravel()] if gradient else [[n], sums])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(float))], ["at", "v"])
 
-    parts = images.select("re").mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v"))
+    parts = images.select(*values_of(images)).mapInArrow(run, "at int, v double").groupBy("at").agg(F.sum("v").alias("v"))
     got = {r["at"]: r["v"] for r in parts.collect()}  # as many rows as there are parameters
     flat = np.array([got[i] for i in sorted(got)])
     n = flat[0] if len(flat) else 0
@@ -262,7 +280,7 @@ def descend_in_task(rows: DataFrame, gates: list[Gate], optimizer: Optimizer, qu
     """``descend`` on a few images, in one task."""
 
     def run(batches):
-        x = np.concatenate([np.zeros((0, 2**qubits)), *[matrix_of(b.column(0), 2**qubits) for b in batches]]).T
+        x = np.concatenate([np.zeros((2**qubits, 0)), *[states_of(b, qubits) for b in batches]], axis=1)
 
         def measure(candidates, gradient):
             each = [loss_and_gradient(c, x, qubits, loss, k, gradient and not i) for i, c in enumerate(candidates)]
@@ -280,7 +298,8 @@ def optimize(images: DataFrame, basis: Basis, optimizer: Optimizer, loss: str =
         raise ValueError(f"unknown loss {loss!r}; there are {', '.join(LOSSES)}")
     qubits, gates = basis.m + basis.n, list(basis.gates)
     k = max(1, round(0.1 * basis.size)) if k is None else k
-    rows = images.select("re").filter("re is not null").persist()
+    values = values_of(images)
+    rows = images.select(*values).filter(" and ".join(f"{c} is not null" for c in values)).persist()
     try:
         n = rows.count()
         if 0 < n * basis.size <= ONE_TASK_VALUES:
@@ -303,6 +322,11 @@ def numbered(rows: DataFrame, id_col: str, seed: int, name: str) -> DataFrame:
     return dealt.join(starts, "_range").withColumn(name, F.col("_start") + F.row_number().over(order) - 1).drop("_key", "_range", "_start")
 
 
+def by_batch(rows: DataFrame) -> DataFrame:
+    """An epoch's rows written in order of their ``batch``, so that a batch is read from the files, or parts of them, that hold it."""
+    return written(rows.repartitionByRange("batch").sortWithinPartitions("batch"))
+
+
 def train(images: DataFrame, family: str, m: int, n: int, epochs: int = 3, split: float = 0.2, batches: int = 2, patience: int = 2, loss: str = "mse", k: int | None = None,
           phases=None, position: str = "back", optimizer: Optimizer | None = None, peak: float = 0.01, final: float = 0.001, warmup: float = 0.05, id_col: str = "img_id", seed: int = 42,
           checkpoint_dir: str | None = None, checkpoint_every: int = 0, batch_size: int | None = None) -> Trained:
@@ -314,10 +338,10 @@ def train(images: DataFrame, family: str, m: int, n: int, epochs: int = 3, split
     if phases is None and family in ("tebd", "mera"):
         start = Basis.make(family, m, n, tuple(0.1 * np.random.default_rng(seed).standard_normal(len(start.phases))), position)
     k = max(1, round(0.1 * start.size)) if k is None else k
-    optimizer = optimizer or Optimizer()
+    optimizer, values = optimizer or Optimizer(), values_of(images)
     if batch_size is None:
         share = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(10_000))
-        rows = images.select(id_col, "re", (share < int(split * 10_000)).alias("held")).persist()
+        rows = images.select(id_col, *values, (share < int(split * 10_000)).alias("held")).persist()
         part_of = lambda training, epoch: training.withColumn("batch", F.pmod(F.xxhash64(F.lit(seed + epoch), F.col(id_col)), F.lit(batches)))
     else:
         total = images.count()
@@ -325,13 +349,13 @@ def train(images: DataFrame, family: str, m: int, n: int, epochs: int = 3, split
         n_training = max(1, total - n_held)
         batch_size = min(max(1, batch_size), n_training)
         batches = -(-n_training // batch_size)
-        rows = numbered(images.select(id_col, "re"), id_col, seed, "at").select(id_col, "re", (F.col("at") < n_held).alias("held")).persist()
+        rows = numbered(images.select(id_col, *values), id_col, seed, "at").select(id_col, *values, (F.col("at") < n_held).alias("held")).persist()
         part_of = lambda training, epoch: numbered(training, id_col, seed + epoch, "at").withColumn("batch", F.expr(f"at div {batch_size}"))
     try:
         training, held = rows.filter("not held"), rows.filter("held")
         gates, best, best_loss, waited, log, steps, done = list(start.gates), list(start.gates), math.inf, 0, [], [], 0
         for epoch in range(1, epochs + 1):
-            means, shuffled = [], part_of(training, epoch)
+            means, shuffled = [], by_batch(part_of(training, epoch))
             for batch in range(batches):
                 part = shuffled.filter(F.col("batch") == batch)
                 (value,), grads = evaluate(part, [gates], m + n, loss, k, gradient=True)
@@ -344,6 +368,7 @@ def train(images: DataFrame, family: str, m: int, n: int, epochs: int = 3, split
                 steps.append((done, epoch, batch + 1, float(value)))
                 if checkpoint_dir and checkpoint_every and done % checkpoint_every == 0:
                     save_checkpoint(Trained(Basis(family, m, n, tuple(gates), position), log, steps), checkpoint_dir, done, family)
+            forget(shuffled)
             value = float(evaluate(held, [gates], m + n, loss, k)[0][0])
             log.append((epoch, float(np.mean(means)) if means else math.inf, value))
             if value < best_loss:

@@ -14,6 +14,7 @@ from ..functions import series
 from ..operators import basis as B
 from ..operators import circuits, coordinates, losses, manifolds, training
 from ..sources import files
+from ..sources.tables import shared_folder, written
 from ..streaming.compress import compress_stream
 from . import oracle as O
 from .images import coefficients, cropped, kept_rows, mosaics, padded, pixels, rounded, table, unit_vectors, vectors
@@ -518,10 +519,92 @@ def entanglement_gate(spark, sf_dir):
 @query(O.with_pixels(O.transform(3, 3, "qft") + ", " + O.ranked(8)) + " SELECT vec_id, rn::INT AS place, u + 1 + w * 8 AS idx, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM rk WHERE rn <= 6")
 def stream_compress(spark, sf_dir):
     """The vectors read as a stream, compressed at ratio 0.9 and written as they arrive; the written rows."""
-    shared = files.shared_folder(spark)
+    shared = shared_folder(spark)
     given = spark.readStream.schema(table(spark, sf_dir, "embeddings").schema).parquet(f"{sf_dir}/embeddings.parquet*")  # a pattern, as a stream does not read a single file
     low = compress_stream(given.select("vec_id", F.col("embedding").cast("array<double>").alias("re")), QFT)
     out, log = (f"{shared}/stream-{uuid.uuid4().hex}" for _ in range(2))
     low.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema(low.schema).parquet(out).select("vec_id", F.posexplode(F.arrays_zip("indices", "values_real", "values_imag")).alias("place", "z"))
     return rows.select("vec_id", (F.col("place") + 1).alias("place"), F.col("z.indices").alias("idx"), rounded(F.col("z.values_real")).alias("re"), rounded(F.col("z.values_imag")).alias("im"))
+
+
+P12 = tuple(round(0.1 * i, 1) for i in range(1, 13))
+RING6 = ((1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (6, 1))
+RING_64 = B.Basis.make("tebd", 6, 6, P12)
+_CELLS_64 = ("p AS (SELECT l_returnflag AS flag, (l_partkey % 64 + 64 * (l_suppkey % 64))::BIGINT AS lin, sum(l_quantity) / 1000 AS v FROM lineitem GROUP BY ALL), g AS (SELECT flag, dense_rank() OVER (ORDER BY flag) AS vec_id, lin, v FROM p),"
+             " names AS (SELECT DISTINCT vec_id, flag FROM g), px AS (SELECT vec_id, lin, v::DOUBLE AS re, 0.0::DOUBLE AS im FROM g)")
+
+
+def _cells(spark, sf_dir, id_expr, lin, scale=1):
+    """Quantities by place, a picture for each return flag, as coordinate rows."""
+    cells = table(spark, sf_dir, "lineitem").groupBy(id_expr.alias("id"), F.expr(lin).cast("long").alias("lin")).agg((F.sum("l_quantity").cast("double") / scale).alias("re"))
+    return cells.select("id", "lin", "re", F.lit(0.0).alias("im"))
+
+
+def _ring(sign: int, u: str, w: str) -> str:
+    return O.pairs([sign * p for p in P12[:6]], RING6, u) + " + " + O.pairs([sign * p for p in P12[6:]], RING6, w)
+
+
+@query("SELECT flag, r + 512 * c + 1 AS idx, round(v, 6) AS v FROM (SELECT *, row_number() OVER (PARTITION BY flag ORDER BY v DESC, r + 512 * c) AS rn FROM (SELECT l_returnflag AS flag, l_orderkey % 512 AS r, l_partkey % 512 AS c, sum(l_quantity)::DOUBLE AS v FROM lineitem GROUP BY ALL)) WHERE rn <= 2621")
+def lineitem_map_512_largest(spark, sf_dir):
+    """The hundredth of the places of each 512 x 512 picture that hold the most, found by histograms; many are equal, the lowest places stay."""
+    cells = written(_cells(spark, sf_dir, F.col("l_returnflag"), "l_orderkey % 512 + 512 * (l_partkey % 512)"))
+    kept = coordinates.largest(cells, 2621)
+    return kept.select(F.col("id").alias("flag"), (F.col("lin") + 1).alias("idx"), F.round("re", 6).alias("v"))
+
+
+@query("WITH " + _CELLS_64 + ", " + O.transform(6, 6, "wht", back=_ring(1, "u", "w")) + ", " + O.ranked(64) + ", low AS (SELECT vec_id, (u + 64 * w)::BIGINT AS lin, re, im FROM rk WHERE rn <= 409), "
+       + O.transform(6, 6, "wht", "b", "low", front=_ring(-1, "r0", "c0")) + " SELECT flag, u + 1 + w * 64 AS idx, round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im FROM b JOIN names USING (vec_id)")
+def ring_map_recovered(spark, sf_dir):
+    """64 x 64 pictures as coordinate rows, compressed to a tenth in the ring basis and recovered from those rows."""
+    cells = _cells(spark, sf_dir, F.col("l_returnflag"), "l_partkey % 64 + 64 * (l_suppkey % 64)", 1000)
+    back = coordinates.recover(coordinates.compress(cells, RING_64, k=409), RING_64)
+    return back.select(F.col("id").alias("flag"), (F.col("lin") + 1).alias("idx"), rounded(F.col("re")).alias("re"), rounded(F.col("im")).alias("im"))
+
+
+RING_8 = FORWARD["tebd_ring"][0]
+_PAIRS_8 = ", ".join(f"({6 + g}, {a - 1 + 3 * (g > 2)}, {b - 1 + 3 * (g > 2)}, {p}::DOUBLE)" for g, ((a, b), p) in enumerate(zip((*RING3, *RING3), P6)))
+RING_GRADIENT_SQL = (
+    O.with_pixels(O.transform(3, 3, "wht") + ", " + O.ranked(8))
+    + ", x AS (SELECT vec_id, (u + 8 * w)::BIGINT AS lin, re AS f, rn <= 6 AS kept FROM rk), n AS (SELECT count(DISTINCT vec_id) AS n FROM x),"
+    # a unitary gate's states before it are sums and differences of those after it
+    " h AS (SELECT q AS gate, (x.lin >> q) & 1 AS i, j, -2 * x.f * (CASE WHEN (x.lin >> q) & 1 = 0 THEN x.f ELSE y.f END + (1 - 2 * j) * CASE WHEN (x.lin >> q) & 1 = 0 THEN y.f ELSE x.f END) / sqrt(2.0::DOUBLE) AS re, 0.0::DOUBLE AS im"
+    " FROM x CROSS JOIN range(0, 6) t(q) CROSS JOIN range(0, 2) s(j) JOIN x y ON y.vec_id = x.vec_id AND y.lin = xor(x.lin, (1 << q)::BIGINT) WHERE x.kept),"
+    f" g AS (SELECT gate, (lin >> a) & 1 AS i, (lin >> b) & 1 AS j, -2 * f * f * CASE WHEN (lin >> a) & (lin >> b) & 1 = 1 THEN cos(p) ELSE 1 END AS re, -2 * f * f * CASE WHEN (lin >> a) & (lin >> b) & 1 = 1 THEN sin(p) ELSE 0 END AS im FROM x, (VALUES {_PAIRS_8}) t(gate, a, b, p) WHERE kept)"
+    " SELECT gate::INT AS gate, i::INT AS i, j::INT AS j, round(sum(re) / any_value(n), 6) + 0.0 AS re, round(sum(im) / any_value(n), 6) + 0.0 AS im FROM (SELECT * FROM h UNION ALL SELECT * FROM g), n GROUP BY ALL"
+)
+
+
+def _gradient_rows(spark, grads):
+    rows = [(g, i, j, round(float(m[i, j].real), 6) + 0.0, round(float(m[i, j].imag), 6) + 0.0) for g, m in enumerate(grads) for i in (0, 1) for j in (0, 1)]
+    return spark.createDataFrame(rows, "gate int, i int, j int, re double, im double")
+
+
+@query(RING_GRADIENT_SQL)
+def ring_gradient(spark, sf_dir):
+    """The mean squared error's gradient by entry of every gate of a ring, unitary and phase gates, over all vectors."""
+    _, grads = training.evaluate(vectors(spark, sf_dir), [list(RING_8.gates)], 6, "mse", 6, gradient=True)
+    return _gradient_rows(spark, grads)
+
+
+@query(RING_GRADIENT_SQL)
+def ring_gradient_coordinates(spark, sf_dir):
+    """The same from coordinate rows, by two shuffles forwards and two backwards."""
+    _, y, kept = coordinates.loss_and_kept(pixels(vectors(spark, sf_dir), "vec_id"), RING_8, 6)
+    return _gradient_rows(spark, coordinates.gradient(y, kept, RING_8))
+
+
+@query("WITH " + _CELLS_64 + ", " + O.transform(6, 6, "wht", back=_ring(1, "u", "w")) + ", " + O.ranked(64) + " SELECT 0 AS step, round(sum(CASE WHEN rn > 409 THEN re * re + im * im ELSE 0 END) / count(DISTINCT vec_id), 6) AS loss FROM rk")
+def coordinates_before_training(spark, sf_dir):
+    """What training on coordinate rows measures before its first step, on 64 x 64 pictures."""
+    cells = _cells(spark, sf_dir, F.col("l_returnflag"), "l_partkey % 64 + 64 * (l_suppkey % 64)", 1000)
+    _, trace = coordinates.optimize(cells, RING_64, training.Optimizer(), k=409, max_iter=0)
+    return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(trace)], "step int, loss double")
+
+
+@query()
+def train_512(spark, sf_dir):
+    """Losses of two gradient steps on 512 x 512 pictures as coordinate rows, a tenth of the coefficients kept; a picture is spread over many tasks."""
+    cells = _cells(spark, sf_dir, F.col("l_returnflag"), "l_orderkey % 512 + 512 * (l_partkey % 512)", 1000)
+    _, trace = coordinates.optimize(cells, B.Basis.make("tebd", 9, 9, tuple(0.1 * i for i in range(18))), training.Optimizer("gd", 0.01), max_iter=2, tol=0.0)
+    return spark.createDataFrame(list(enumerate(trace)), "step int, loss double")

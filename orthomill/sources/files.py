@@ -5,9 +5,7 @@ from __future__ import annotations
 import json
 import math
 import os
-import re
 import struct
-import tempfile
 import uuid
 import warnings
 import zlib
@@ -18,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.basis import TYPES, Basis
+from .tables import shared_folder
 
 VERSIONS = {"qft": "1.0", "eqft": "1.1", "tebd": "2.0", "mera": "1.0"}
 COMPRESSED_VERSION = "1.0"
@@ -109,16 +108,6 @@ def read_compressed(spark: SparkSession, path: str, keys: str = "vec_id long, la
     return df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder; without one a local session gets a temporary folder, a cluster an error."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = "file://" + tempfile.mkdtemp(prefix="spark-orthomill-")
-    return shared.rstrip("/")
-
-
 def roundtrip(df: DataFrame) -> DataFrame:
     """Write to the shared folder as JSON and read back with the declared schema."""
     return read_compressed(df.sparkSession, write_compressed(df, f"{shared_folder(df.sparkSession)}/compressed-{uuid.uuid4().hex}"))
