@@ -14,6 +14,7 @@ from ..functions import series
 from ..operators import basis as B
 from ..operators import circuits, coordinates, losses, manifolds, training
 from ..sources import files
+from ..sources.arrays import ArrayFiles
 from ..sources.tables import shared_folder, written
 from ..streaming.compress import compress_stream
 from . import oracle as O
@@ -608,3 +609,14 @@ def train_512(spark, sf_dir):
     cells = _cells(spark, sf_dir, F.col("l_returnflag"), "l_orderkey % 512 + 512 * (l_partkey % 512)", 1000)
     _, trace = coordinates.optimize(cells, B.Basis.make("tebd", 9, 9, tuple(0.1 * i for i in range(18))), training.Optimizer("gd", 0.01), max_iter=2, tol=0.0)
     return spark.createDataFrame(list(enumerate(trace)), "step int, loss double")
+
+
+@query("SELECT vec_id, (p - 1)::INT AS lin, embedding[p]::DOUBLE AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS p FROM embeddings)")
+def array_files(spark, sf_dir):
+    """The vectors, each with its id before its numbers, written as array files and read back by ranges of records."""
+    spark.dataSource.register(ArrayFiles)
+    folder = f"{shared_folder(spark)}/arrays-{uuid.uuid4().hex}"
+    numbers = vectors(spark, sf_dir).select(F.concat(F.array(F.col("vec_id").cast("double")), "re").alias("re"))
+    numbers.repartition(3).write.format("arrays").mode("append").save(folder)
+    back = spark.read.format("arrays").schema("re array<double>").option("bytesPerPartition", 50_000).load(folder)
+    return back.select(F.col("re")[0].cast("long").alias("vec_id"), F.posexplode(F.slice("re", 2, 64)).alias("lin", "v"))

@@ -1,17 +1,14 @@
-"""Files: bases and histories as JSON documents, compressed images as JSON or parquet tables."""
+"""Files: bases and histories as JSON documents, compressed images as JSON or parquet tables; pictures are in ``png`` and ``arrays``."""
 
 from __future__ import annotations
 
 import json
 import math
 import os
-import struct
 import uuid
 import warnings
-import zlib
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,78 +119,3 @@ def save_checkpoint(trained, folder: str, step: int, name: str) -> tuple[str, st
 
 def checkpoint_names(step: int) -> tuple[str, str]:
     return f"step{step:04d}_loss.json", f"step{step:04d}_basis.json"
-
-
-def decode_png(data: bytes) -> np.ndarray | None:
-    """Grey values in [0, 1] of a PNG of 8 bits a sample that isn't interlaced, (height, width); None for anything else."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n" or len(data) < 33:
-        return None
-    width, height, depth, kind, _, _, interlace = struct.unpack(">IIBBBBB", data[16:29])
-    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(kind)
-    if depth != 8 or interlace or channels is None:
-        return None
-    at, body, palette = 8, [], None
-    while at + 8 <= len(data):
-        size, name = struct.unpack(">I4s", data[at : at + 8])
-        if name == b"IDAT":
-            body.append(data[at + 8 : at + 8 + size])
-        elif name == b"PLTE":
-            palette = np.frombuffer(data[at + 8 : at + 8 + size], np.uint8).reshape(-1, 3)
-        at += 12 + size
-    try:
-        raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
-    except zlib.error:
-        return None
-    line = width * channels
-    if len(raw) != height * (line + 1):
-        return None
-    raw = raw.reshape(height, line + 1)
-    out, above = np.zeros((height, line), np.uint8), np.zeros(line, np.uint8)
-    for y in range(height):
-        out[y] = above = unfiltered(int(raw[y, 0]), raw[y, 1:], above, channels)
-    pixels = out.reshape(height, width, channels)
-    if kind == 3:
-        pixels = palette[pixels[..., 0]]
-    if pixels.shape[2] < 3:
-        return pixels[..., 0] / 255.0
-    return pixels[..., :3] @ np.array([0.299, 0.587, 0.114]) / 255.0
-
-
-def unfiltered(kind: int, line: np.ndarray, above: np.ndarray, step: int) -> np.ndarray:
-    """A PNG line without its filter: none, left, above, their mean, or whichever of left, above and corner is nearest to left + above - corner."""
-    if kind == 0:
-        return line
-    if kind == 2:
-        return line + above
-    if kind == 1:
-        return np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
-    values, upper, out = line.tolist(), above.tolist(), []
-    for i, v in enumerate(values):
-        a, b, c = (out[i - step], upper[i], upper[i - step]) if i >= step else (0, upper[i], 0)
-        if kind == 3:
-            guess = (a + b) // 2
-        else:
-            p = a + b - c
-            guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-        out.append((v + guess) & 255)
-    return np.array(out, np.uint8)
-
-
-def read_pictures(spark: SparkSession, path: str, m: int, n: int, pattern: str = "*.png") -> DataFrame:
-    """path and re: the centre of each image file as a grey column-major picture of 2^m x 2^n; smaller or unreadable files give null."""
-    h, w = 2**m, 2**n
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for content in b.column(1):
-                x = decode_png(content.as_py())
-                if x is None or x.shape[0] < h or x.shape[1] < w:
-                    out.append(None)
-                else:
-                    top, left = (x.shape[0] - h) // 2, (x.shape[1] - w) // 2
-                    out.append(x[top : top + h, left : left + w].ravel(order="F"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], ["path", "re"])
-
-    return files.mapInArrow(run, "path string, re array<double>")

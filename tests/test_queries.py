@@ -14,6 +14,7 @@ from orthomill.operators.basis import Basis, apply_steps, baseline_recovered, co
 from orthomill.plans import catalogue
 from orthomill.plans.images import chosen, gaussian, grey, mosaics, pixels, synthetic, vectors
 from orthomill.sources import files
+from orthomill.sources.png import read_pictures
 from orthomill.streaming.compress import compress_stream
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -161,7 +162,7 @@ def test_pictures_from_files(spark, tmp_path):
     (tmp_path / "c.png").write_bytes(b"no picture")
     (tmp_path / "d.png").write_bytes(png(rng.integers(0, 256, (4, 4, 1)), 0, [0]))
     (tmp_path / "e.txt").write_bytes(b"x")
-    got = {r.path.rsplit("/", 1)[1]: r.re for r in files.read_pictures(spark, str(tmp_path), 3, 3).collect()}
+    got = {r.path.rsplit("/", 1)[1]: r.re for r in read_pictures(spark, str(tmp_path), 3, 3).collect()}
     want = (rgb @ np.array([0.299, 0.587, 0.114]) / 255)[1:9, 0:8]
     assert got.keys() == {"a.png", "b.png", "c.png", "d.png"} and got["c.png"] is None and got["d.png"] is None
     assert np.allclose(got["a.png"], want.ravel(order="F")) and np.allclose(got["b.png"], grey_scale[..., 0].ravel(order="F") / 255)
