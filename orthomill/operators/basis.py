@@ -122,8 +122,15 @@ def keep_count(total: int, ratio: float) -> int:
 
 
 def ranking(sizes: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest of each row, largest first, the lowest place first among equal ones."""
-    return np.argsort(-sizes, axis=1, kind="stable")[:, :k]
+    """Places of the k largest of each row, largest first, the lowest place first among equal ones; only what may stay is sorted."""
+    total = sizes.shape[1]
+    if 4 * k >= total:
+        return np.argsort(-sizes, axis=1, kind="stable")[:, :k]
+    least = np.partition(sizes, total - k, axis=1)[:, total - k : total - k + 1]
+    equal = sizes == least
+    stays = (sizes > least) | equal & (np.cumsum(equal, axis=1) <= k - (sizes > least).sum(axis=1, keepdims=True))
+    places = np.nonzero(stays)[1].reshape(len(sizes), k)
+    return np.take_along_axis(places, np.argsort(-np.take_along_axis(sizes, places, axis=1), axis=1, kind="stable"), axis=1)
 
 
 def sizes_of(y: np.ndarray) -> np.ndarray:
@@ -182,12 +189,17 @@ def truncated(df: DataFrame, k: int, size: int) -> DataFrame:
     return map_images(df, ["re", "im"], "re array<double>, im array<double>", size, work)
 
 
-def weighted_largest(df: DataFrame, m: int, n: int, k: int) -> DataFrame:
-    """The alternative rule: sizes weighted towards the centre; all that reach the k-th score stay, ties included."""
+def place_weights(m: int, n: int) -> np.ndarray:
+    """Weights of the alternative rule by place: 2 in the centre, 1.5 in the corners."""
     h, w, size = 2**m, 2**n, 2 ** (m + n)
     place = np.arange(size)
     far = np.sqrt((place % h + 1 - (h + 1) / 2) ** 2 + (place // h + 1 - (w + 1) / 2) ** 2)
-    weight = 2.0 - 0.5 * far / math.sqrt(((h - 1) / 2) ** 2 + ((w - 1) / 2) ** 2) if size > 1 else np.full(1, 2.0)
+    return 2.0 - 0.5 * far / math.sqrt(((h - 1) / 2) ** 2 + ((w - 1) / 2) ** 2) if size > 1 else np.full(1, 2.0)
+
+
+def weighted_largest(df: DataFrame, m: int, n: int, k: int) -> DataFrame:
+    """The alternative rule: sizes weighted towards the centre; all that reach the k-th score stay, ties included."""
+    size, weight = 2 ** (m + n), place_weights(m, n)
 
     def work(re, im):
         y = matrix_of(re, size) + 1j * matrix_of(im, size)
@@ -201,6 +213,25 @@ def weighted_largest(df: DataFrame, m: int, n: int, k: int) -> DataFrame:
     return map_images(df, ["re", "im"], "re array<double>, im array<double>, kept array<struct<lin: int, score: double, re: double, im: double>>", size, work)
 
 
+#: How far from 1 the size of a phase gate's entries may have drifted.
+DRIFT = 0.15
+
+
+def role_of(tensor: np.ndarray) -> str:
+    """"phase" if all four entries have about size 1, else "h"; mixing gates have entries of about 0.7."""
+    if np.shape(tensor) != (2, 2):
+        raise ValueError(f"a gate has 2 x 2 entries, not {np.shape(tensor)}")
+    return "phase" if (np.abs(np.abs(tensor) - 1) <= DRIFT).all() else "h"
+
+
+def phase_numbers(tensors, family: str, count: int) -> list[int]:
+    """Which tensors are the last ``count`` phase gates; of too few none in the entangled family, all in the others."""
+    found = [i for i, t in enumerate(tensors) if role_of(t) == "phase"]
+    if len(found) < count:
+        return [] if family == "eqft" else found
+    return found[len(found) - count :]
+
+
 @dataclass(frozen=True, eq=False)
 class Basis:
     family: str
@@ -261,6 +292,16 @@ class Basis:
             gates[i] = circuits.Gate(g.role, g.qubits, np.asarray(t, complex), g.entangling)
         return Basis(self.family, self.m, self.n, tuple(gates), self.position)
 
+    @classmethod
+    def from_tensors(cls, family: str, m: int, n: int, tensors, position: str = "back") -> Basis:
+        """A basis of bare tensors, whose roles are told by their entries; each role's gates are in circuit order."""
+        template = cls.make(family, m, n, position=position)
+        roles = [role_of(t) for t in tensors]
+        asked = [g.role for g in template.gates]
+        if sorted(roles) != sorted(asked):
+            raise ValueError(f"{TYPES[family]} of {m} and {n} qubits has {asked.count('h')} mixing and {asked.count('phase')} phase gates, not {roles.count('h')} and {roles.count('phase')}")
+        return template.with_tensors([t for role in ("h", "phase") for r, t in zip(roles, tensors) if r == role])
+
     def basis_hash(self) -> str:
         head = f"{TYPES[self.family]}:m={self.m}:n={self.n}:"
         if self.family == "eqft":

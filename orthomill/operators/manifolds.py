@@ -16,8 +16,11 @@ def inverse2(x: np.ndarray) -> np.ndarray:
     return out / det[..., None, None]
 
 
-def is_unitary(x: np.ndarray, tolerance: float = 1e-6) -> bool:
-    return x.shape[-1] == x.shape[-2] and bool(np.allclose(x @ adjoint(x), np.eye(x.shape[-1]), atol=tolerance))
+def is_unitary(x: np.ndarray, tolerance: float = 1e-6):
+    """Of a matrix, or of each one of a stack."""
+    if x.shape[-1] != x.shape[-2]:
+        return np.zeros(x.shape[:-2], bool)[()]
+    return np.isclose(x @ adjoint(x), np.eye(x.shape[-1]), atol=tolerance).all(axis=(-1, -2))
 
 
 class Unitary:

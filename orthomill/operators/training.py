@@ -31,12 +31,15 @@ from pyspark.sql.window import Window as W
 from ..functions.series import learning_rate_at, validation_count
 from ..sources.files import save_checkpoint
 from ..sources.tables import forget, written
-from .basis import Basis, matrix_of
+from .basis import Basis, matrix_of, place_weights
 from .losses import LOSSES
 from .circuits import Gate
 from .manifolds import MANIFOLDS, transport
 
 
+TRAINED = (*LOSSES, "weighted")
+
+
 def project_phase_columns(zr: Column, zi: Column, gr: Column, gi: Column) -> tuple[Column, Column]:
     turn = zr * gi - zi * gr
     return -turn * zi, turn * zr
@@ -58,6 +61,12 @@ def keep_mask(y: np.ndarray, k: int) -> np.ndarray:
     return above | equal & (np.cumsum(equal, axis=0) <= k - above.sum(axis=0))
 
 
+def keep_weighted(y: np.ndarray, k: int, m: int) -> np.ndarray:
+    """True where a column's size times its place's weight reaches the k-th largest such score, ties included."""
+    scores = np.round(np.abs(y) * place_weights(m, len(y).bit_length() - 1 - m)[:, None], 12)
+    return scores >= -np.partition(-scores, min(k, len(y)) - 1, axis=0)[min(k, len(y)) - 1]
+
+
 def by_bits(values: np.ndarray, qubits: tuple[int, int]) -> np.ndarray:
     """A view of values by place with an axis each for the higher and the lower of two qubits (axes 1 and 3)."""
     low, high = sorted(q - 1 for q in qubits)
@@ -91,8 +100,12 @@ def mixed(matrix: np.ndarray, state: np.ndarray, qubit: int) -> np.ndarray:
     return out.reshape(state.shape)
 
 
-def loss_and_gradient(gates: list[Gate], x: np.ndarray, qubits: int, loss: str, k: int, gradient: bool = True):
-    """Summed loss over the columns of ``x`` and its gradient by gate (dL/dRe + i dL/dIm)."""
+def loss_and_gradient(gates: list[Gate], x: np.ndarray, qubits: int, loss: str, k: int, gradient: bool = True, m: int = 0):
+    """Summed loss over the columns of ``x`` and its gradient by gate (dL/dRe + i dL/dIm).
+
+    "weighted" is the squared error of the alternative selection, for pictures of 2^m rows; what a
+    selection keeps counts as fixed in the gradient.
+    """
     state, blocks = np.ascontiguousarray(x, complex), blocks_of(gates, qubits)
     for qubit, _, block in blocks:
         state = block * state if qubit is None else mixed(block, state, qubit)
@@ -100,7 +113,7 @@ def loss_and_gradient(gates: list[Gate], x: np.ndarray, qubits: int, loss: str,
         size = np.abs(state)
         total, bar = float(size.sum()), np.where(size > 0, state / np.where(size > 0, size, 1), 0)
     else:
-        kept = np.where(keep_mask(state, k), state, 0)
+        kept = np.where(keep_weighted(state, k, m) if loss == "weighted" else keep_mask(state, k), state, 0)
         total = float((np.abs(x) ** 2).sum() - (np.abs(kept) ** 2).sum())
         bar = -2 * kept
     if not gradient:
@@ -138,10 +151,10 @@ def states_of(batch: pa.RecordBatch, qubits: int) -> np.ndarray:
     return (re + 1j * im[0] if im else re).T
 
 
-def evaluate(images: DataFrame, candidates: list[list[Gate]], qubits: int, loss: str, k: int, gradient: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
+def evaluate(images: DataFrame, candidates: list[list[Gate]], qubits: int, loss: str, k: int, gradient: bool = False, m: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
     """Mean loss of each candidate, and the mean gradient of the first, in one job."""
-    if loss not in LOSSES:
-        raise ValueError(f"unknown loss {loss!r}; there are {', '.join(LOSSES)}")
+    if loss not in TRAINED:
+        raise ValueError(f"unknown loss {loss!r}; there are {', '.join(TRAINED)}")
 
     def run(batches):
         n, sums = 0, [0.0] * len(candidates)
@@ -150,7 +163,7 @@ def evaluate(images: DataFrame, candidates: list[list[Gate]], qubits: int, loss:
             x = states_of(b, qubits)
             n += b.num_rows
             for i, gates in enumerate(candidates):
-                total, g = loss_and_gradient(gates, x, qubits, loss, k, gradient and not i)
+                total, g = loss_and_gradient(gates, x, qubits, loss, k, gradient and not i, m)
                 sums[i] += total
                 if g:
                     grad += np.array(g)
@@ -276,14 +289,14 @@ def descend(gates: list[Gate], optimizer: Optimizer, measure, max_iter: int, tol
 ONE_TASK_VALUES = 100_000
 
 
-def descend_in_task(rows: DataFrame, gates: list[Gate], optimizer: Optimizer, qubits: int, loss: str, k: int, max_iter: int, tol: float):
+def descend_in_task(rows: DataFrame, gates: list[Gate], optimizer: Optimizer, qubits: int, loss: str, k: int, max_iter: int, tol: float, m: int = 0):
     """``descend`` on a few images, in one task."""
 
     def run(batches):
         x = np.concatenate([np.zeros((2**qubits, 0)), *[states_of(b, qubits) for b in batches]], axis=1)
 
         def measure(candidates, gradient):
-            each = [loss_and_gradient(c, x, qubits, loss, k, gradient and not i) for i, c in enumerate(candidates)]
+            each = [loss_and_gradient(c, x, qubits, loss, k, gradient and not i, m) for i, c in enumerate(candidates)]
             return np.array([t for t, _ in each]) / x.shape[1], [g / x.shape[1] for g in each[0][1]]
 
         result = pickle.dumps((*descend(gates, optimizer, measure, max_iter, tol), optimizer))
@@ -294,8 +307,8 @@ def descend_in_task(rows: DataFrame, gates: list[Gate], optimizer: Optimizer, qu
 
 def optimize(images: DataFrame, basis: Basis, optimizer: Optimizer, loss: str = "mse", k: int | None = None, max_iter: int = 100, tol: float = 1e-6) -> tuple[Basis, list[float]]:
     """Full-batch optimisation; the losses before each step, and the last."""
-    if loss not in LOSSES:
-        raise ValueError(f"unknown loss {loss!r}; there are {', '.join(LOSSES)}")
+    if loss not in TRAINED:
+        raise ValueError(f"unknown loss {loss!r}; there are {', '.join(TRAINED)}")
     qubits, gates = basis.m + basis.n, list(basis.gates)
     k = max(1, round(0.1 * basis.size)) if k is None else k
     values = values_of(images)
@@ -303,10 +316,10 @@ def optimize(images: DataFrame, basis: Basis, optimizer: Optimizer, loss: str =
     try:
         n = rows.count()
         if 0 < n * basis.size <= ONE_TASK_VALUES:
-            gates, trace, done = descend_in_task(rows, gates, optimizer, qubits, loss, k, max_iter, tol)
+            gates, trace, done = descend_in_task(rows, gates, optimizer, qubits, loss, k, max_iter, tol, basis.m)
             optimizer.__dict__.update(done.__dict__)
         else:
-            gates, trace = descend(gates, optimizer, lambda c, gradient: evaluate(rows, c, qubits, loss, k, gradient), max_iter, tol)
+            gates, trace = descend(gates, optimizer, lambda c, gradient: evaluate(rows, c, qubits, loss, k, gradient, basis.m), max_iter, tol)
     finally:
         rows.unpersist()
     return Basis(basis.family, basis.m, basis.n, tuple(gates), basis.position), trace
@@ -358,18 +371,18 @@ def train(images: DataFrame, family: str, m: int, n: int, epochs: int = 3, split
             means, shuffled = [], by_batch(part_of(training, epoch))
             for batch in range(batches):
                 part = shuffled.filter(F.col("batch") == batch)
-                (value,), grads = evaluate(part, [gates], m + n, loss, k, gradient=True)
+                (value,), grads = evaluate(part, [gates], m + n, loss, k, gradient=True, m=m)
                 if not grads:
                     continue
                 done += 1
                 rate = learning_rate_at(done, epochs * batches, warmup, peak, final)
-                gates, _ = optimizer.step(gates, grads, rate, value, lambda c, part=part: evaluate(part, c, m + n, loss, k)[0])
+                gates, _ = optimizer.step(gates, grads, rate, value, lambda c, part=part: evaluate(part, c, m + n, loss, k, m=m)[0])
                 means.append(float(value))
                 steps.append((done, epoch, batch + 1, float(value)))
                 if checkpoint_dir and checkpoint_every and done % checkpoint_every == 0:
                     save_checkpoint(Trained(Basis(family, m, n, tuple(gates), position), log, steps), checkpoint_dir, done, family)
             forget(shuffled)
-            value = float(evaluate(held, [gates], m + n, loss, k)[0][0])
+            value = float(evaluate(held, [gates], m + n, loss, k, m=m)[0][0])
             log.append((epoch, float(np.mean(means)) if means else math.inf, value))
             if value < best_loss:
                 best, best_loss, waited = list(gates), value, 0

@@ -415,24 +415,31 @@ def retract_unitary(spark, sf_dir):
     return _matrices(spark, sf_dir, lambda g: manifolds.Unitary.retract(UNITARY, manifolds.Unitary.project(UNITARY, g), 0.1))
 
 
+@query("WITH " + O.GRADIENTS + ", " + O.inverted("a", "g", "q", _G) + " SELECT vec_id, " + ", ".join(f"round({x}, 4) + 0.0 AS m{i}{j}{p}" for i, j in O.ENTRIES for p, x in zip("ri", O.matrix("q")[i][j])) + " FROM a")
+def inverse_matrix(spark, sf_dir):
+    """Each matrix's closed-form inverse."""
+    return _matrices(spark, sf_dir, lambda g: np.round(manifolds.inverse2(g), 4))
+
+
 @query("WITH " + O.GRADIENTS + ", " + O.inverted("a", "g", "q", _G) + " SELECT vec_id, " + ", ".join(f"round({x}, 3) + 0.0 AS m{i}{j}{p}" for i, j in O.ENTRIES for p, x in zip("ri", O.times(_G, O.matrix("q"))[i][j])) + " FROM a")
 def inverse_times_matrix(spark, sf_dir):
     """Each matrix times its closed-form inverse."""
     return _matrices(spark, sf_dir, lambda g: np.round(g @ manifolds.inverse2(g), 3))
 
 
-@query("WITH " + O.GRADIENTS + " SELECT vec_id, sqrt(g00r * g00r + g00i * g00i + g01r * g01r + g01i * g01i) > 0 AS rotated, "
-       "abs(g00r * g00r + g00i * g00i + g01r * g01r + g01i * g01i - 1) <= 1e-6 AND abs(g10r * g10r + g10i * g10i + g11r * g11r + g11i * g11i - 1) <= 1e-6 AS plain FROM g")
+@query("SELECT vec_id, label % 2 = 0 AS rotated, label % 3 = 0 AS turned FROM embeddings")
 def unitary_check(spark, sf_dir):
-    """Whether a matrix built as a rotation from the first row is unitary, and whether the numbers as they are happen to be."""
+    """Whether rotations built from each vector's first numbers are unitary: some are stretched (odd labels) or sheared (labels that 3 doesn't divide) a little."""
 
-    def run(re):
+    def run(re, label):
         m = np.ascontiguousarray(B.matrix_of(re, 64)[:, :8]).view(complex).reshape(-1, 2, 2)
         a, b = (m[:, 0] / np.linalg.norm(m[:, 0], axis=1, keepdims=True)).T
         turned = np.stack([np.stack([a, b], -1), np.stack([-b.conj(), a.conj()], -1)], -2)
-        return [pa.array([manifolds.is_unitary(x) for x in y]) for y in (turned, m)]
+        label = label.to_numpy()[:, None, None]
+        stretched, sheared = turned * np.where(label % 2, 1 + 1e-5, 1), turned + np.where(label % 3, 1e-3, 0) * np.array([[0, 1], [0, 0]])
+        return [pa.array(manifolds.is_unitary(x)) for x in (stretched, sheared)]
 
-    return B.map_images(vectors(spark, sf_dir), ["re"], "rotated boolean, plain boolean", 64, run, ("re", "label"))
+    return B.map_images(vectors(spark, sf_dir), ["re", "label"], "rotated boolean, turned boolean", 64, run, ("re", "label"))
 
 
 def _phase_step(kind, rate):
@@ -620,3 +627,19 @@ def array_files(spark, sf_dir):
     numbers.repartition(3).write.format("arrays").mode("append").save(folder)
     back = spark.read.format("arrays").schema("re array<double>").option("bytesPerPartition", 50_000).load(folder)
     return back.select(F.col("re")[0].cast("long").alias("vec_id"), F.posexplode(F.slice("re", 2, 64)).alias("lin", "v"))
+
+
+@query(O.with_pixels(O.transform(3, 3, "qft") + ", sc AS (SELECT *, round(sqrt(re * re + im * im) * (2.0::DOUBLE - 0.5::DOUBLE * sqrt(pow(u + 1 - 4.5, 2) + pow(w + 1 - 4.5, 2)) / sqrt(24.5::DOUBLE)), 9) AS score FROM f), rk AS (SELECT *, rank() OVER (PARTITION BY vec_id ORDER BY score DESC) AS rn FROM sc)")
+       + " " + FIRST_LOSS.format(what="sum(CASE WHEN rn > 6 THEN re * re + im * im ELSE 0 END)", source="rk"))
+def loss_before_training_weighted(spark, sf_dir):
+    """The mean squared error with the selection that weighs places and keeps ties."""
+    return _before_training(spark, vectors(spark, sf_dir), QFT, "weighted", 6)
+
+
+@query("WITH p AS (SELECT l_returnflag AS flag, (l_orderkey % 512)::BIGINT AS r, sum(l_quantity)::DOUBLE / 1000 AS v FROM lineitem GROUP BY ALL), k AS (" + O.kernel("qft", 9) + ")"
+       " SELECT flag, y + 1 AS idx, round(sum(v * kr) / sqrt(512.0::DOUBLE), 6) + 0.0 AS re, round(sum(v * ki) / sqrt(512.0::DOUBLE), 6) + 0.0 AS im FROM p JOIN k ON r = x GROUP BY flag, y")
+def lineitem_map_512_edge(spark, sf_dir):
+    """The 512 Fourier coefficients of each 512 x 512 picture that are constant along its rows: transforms of the rows' sums."""
+    cells = _cells(spark, sf_dir, F.col("l_returnflag"), "l_orderkey % 512 + 512 * (l_partkey % 512)", 1000)
+    out = coordinates.transform(cells, B.Basis.make("qft", 9, 9)).filter("lin < 512")
+    return out.select(F.col("id").alias("flag"), (F.col("lin") + 1).alias("idx"), rounded(F.col("re")).alias("re"), rounded(F.col("im")).alias("im"))

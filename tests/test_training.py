@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from orthomill.functions.series import learning_rate_at, validation_count
-from orthomill.operators import manifolds, training
+from orthomill.operators import circuits, manifolds, training
 from orthomill.operators.basis import Basis
 from orthomill.operators.circuits import Gate
 from orthomill.sources import files
@@ -128,3 +128,30 @@ def test_one_task_or_a_job_a_step_give_the_same(spark, monkeypatch, kind):
 def test_kept_entries_are_the_lowest_of_equal_ones():
     y = np.array([[1, 2j, 0], [-1, 2, 0], [1j, 1, 0], [3, 2, 0]])
     assert training.keep_mask(y, 2).astype(int).T.tolist() == [[1, 0, 0, 1], [1, 1, 0, 0], [1, 1, 0, 0]]
+
+
+def test_weighted_selection_in_training(spark):
+    """Ties stay; the gradient is that of finite differences, as the selection counts as fixed."""
+    y = np.array([[3.0, 3.0, 1.0, 1.0], [0.0, 5.0, 5.0, 5.0]]).T.astype(complex)
+    assert training.keep_weighted(y, 1, 1).sum(axis=0).tolist() == [2, 3]
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((16, 5)) + 1j * rng.standard_normal((16, 5))
+    basis = Basis.make("eqft", 2, 2, (0.4, 0.9), "middle")
+    gates = list(basis.gates)
+    total, grads = training.loss_and_gradient(gates, x, 4, "weighted", 5, m=2)
+    run = lambda gs: circuits.run_gates(gs, x, 4)
+    stays = training.keep_weighted(run(gates), 5, 2)
+    assert total == pytest.approx((np.abs(x) ** 2).sum() - (np.abs(run(gates)[stays]) ** 2).sum())
+    for i, g in enumerate(gates):
+        for at in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            for step in (1e-6, 1e-6j):
+                near = []
+                for sign in (1, -1):
+                    moved = g.matrix.astype(complex).copy()
+                    moved[at] += sign * step
+                    near.append(-(np.abs(run([*gates[:i], circuits.Gate(g.role, g.qubits, moved, g.entangling), *gates[i + 1 :]])[stays]) ** 2).sum())
+                slope = (near[0] - near[1]) / 2e-6
+                assert slope == pytest.approx(grads[i][at].real if step == 1e-6 else grads[i][at].imag, abs=1e-4)
+    images = spark.createDataFrame([(i, v.real.tolist(), v.imag.tolist()) for i, v in enumerate(x.T)], "img_id long, re array<double>, im array<double>")
+    _, trace = training.optimize(images, basis, training.Optimizer("gd", 0.05), loss="weighted", k=5, max_iter=3, tol=0.0)
+    assert trace[0] == pytest.approx(total / 5) and trace[-1] < trace[0]
