@@ -2,53 +2,22 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import forget as discard
+from ..sources.tables import written as materialize
+
+__all__ = ["discard", "materialize"]
+
 U64 = np.uint64
-_UNSET_DIR: dict[str, str] = {}
 
 #: Words are runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors and the driver share; where the session names none, a temporary one if all run in one process."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _UNSET_DIR:
-        _UNSET_DIR[app] = "file://" + tempfile.mkdtemp(prefix="spark-orthomill-")
-    return _UNSET_DIR[app]
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so later steps restart from files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/orthomill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.written_to = path
-    return back
-
-
-def discard(*written: DataFrame) -> None:
-    """Delete tables of ``materialize`` that no later step reads."""
-    for df in written:
-        jvm, hadoop = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(hadoop).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
