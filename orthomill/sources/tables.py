@@ -24,19 +24,21 @@ def shared_folder(spark: SparkSession) -> str:
     return _UNSET[app]
 
 
-def written(df: DataFrame, *partition_by: str) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so later steps restart from files."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/orthomill-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    back = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    df.write.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
     back.written_to = path
     return back
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete tables of ``written`` that no later step reads."""
+    """Delete tables of ``written`` that no later step reads; others stay."""
     for df in tables:
+        if "written_to" not in df.__dict__:
+            continue
         context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path = context._jvm.org.apache.hadoop.fs.Path(df.__dict__["written_to"])
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
