@@ -7,10 +7,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.tables import forget as discard
-from ..sources.tables import written as materialize
-
-__all__ = ["discard", "materialize"]
+from ..sources.tables import forget as discard  # noqa: F401
+from ..sources.tables import written as materialize  # noqa: F401
 
 U64 = np.uint64
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orthomill.llm import common, mixing, near_dup, packing, pii, quality_model, toxicity
+from orthomill.sources import tables
 from test_methods import plain_spans
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -293,7 +294,7 @@ def test_a_cluster_needs_a_shared_folder():
             master, applicationId = "spark://host:7077", "none"
 
     with pytest.raises(RuntimeError, match="checkpoint"):
-        common.shared_dir(Session)
+        tables.shared_folder(Session)
 
 
 def test_written_tables_go_when_discarded(spark):
