@@ -643,3 +643,27 @@ def lineitem_map_512_edge(spark, sf_dir):
     cells = _cells(spark, sf_dir, F.col("l_returnflag"), "l_orderkey % 512 + 512 * (l_partkey % 512)", 1000)
     out = coordinates.transform(cells, B.Basis.make("qft", 9, 9)).filter("lin < 512")
     return out.select(F.col("id").alias("flag"), (F.col("lin") + 1).alias("idx"), rounded(F.col("re")).alias("re"), rounded(F.col("im")).alias("im"))
+
+
+def _first_adam_step_sql(rate: float) -> str:
+    """New unitary gates of the ring after one Adam step, from the gradients' rows: project, divide by size, project, and go back by the Cayley transform."""
+    h = O.fixed(circuits.HADAMARD.tolist())
+    tangent = lambda a, b, source, given, skewed, out: ", ".join([O.step(a, source, given[0], O.times(O.adjoint(h), given[1])), O.step(b, a, skewed, O.skew(O.matrix(given[0]))), O.step(out[0], b, out[1], O.times(h, O.matrix(skewed)))])
+    size = lambda x: f"(sqrt({x[0]} * {x[0]} + {x[1]} * {x[1]}) + 1e-8::DOUBLE)"
+    away = [[tuple(f"-({part}) / {size(x)}" for part in x) for x in row] for row in O.matrix("p")]
+    half = lambda sign, v: [[tuple(f"{int(i == j and k == 0)} {sign} {rate / 2!r}::DOUBLE * {v[i][j][k]}" for k in (0, 1)) for j in (0, 1)] for i in (0, 1)]
+    pivot = ", ".join(f"sum(CASE WHEN i = {i} AND j = {j} THEN {c} ELSE 0 END) / any_value(n) AS g{i}{j}{c[0]}" for i, j in O.ENTRIES for c in ("re", "im"))
+    rows = RING_GRADIENT_SQL.split(" SELECT gate::INT")[0]
+    return (rows + f", pv AS (SELECT gate, {pivot} FROM h, n GROUP BY gate), "
+            + tangent("a1", "a2", "pv", ("h", O.matrix("g")), "s", ("a3", "p")) + ", " + O.step("a4", "a3", "y", away) + ", " + tangent("b1", "b2", "a4", ("k", O.matrix("y")), "t", ("b3", "d"))
+            + ", " + O.step("c1", "b3", "w", O.times(O.matrix("d"), O.adjoint(h))) + ", " + O.step("c2", "c1", "v", O.skew(O.matrix("w"))) + ", " + O.step("c3", "c2", "l", half("-", O.matrix("v"))) + ", " + O.step("c4", "c3", "r", half("+", O.matrix("v")))
+            + ", " + O.inverted("c5", "c4", "q", O.matrix("l")) + ", " + O.step("c6", "c5", "m", O.times(O.matrix("r"), h)) + ", " + O.step("c7", "c6", "x", O.times(O.matrix("q"), O.matrix("m")))
+            + O.rounded_matrix("x", "c7").replace("SELECT vec_id", "SELECT gate::INT AS gate"))
+
+
+@query(_first_adam_step_sql(0.01))
+def ring_adam_step(spark, sf_dir):
+    """The ring's unitary gates after the first Adam step of the whole circuit on all vectors."""
+    moved, _ = training.optimize(vectors(spark, sf_dir), RING_8, training.Optimizer("adam", 0.01), k=6, max_iter=1, tol=0.0)
+    rows = [(g, *[round(float(v), 6) + 0.0 for i, j in O.ENTRIES for v in (m[i, j].real, m[i, j].imag)]) for g, m in enumerate(moved.tensors[:6])]
+    return spark.createDataFrame(rows, "gate int, " + _ENTRY)
