@@ -1,4 +1,4 @@
-"""Images too large for one row, as rows of (id, lin, re, im): transform, selection, recovery, loss and gradient.
+"""Images too large for one row, as rows of (id, lin, re, im): transform, selection, recovery, similarity, loss and gradient.
 
 A circuit acts on rows and columns apart, so an image is dealt by column, transformed column by
 column, dealt by row and transformed row by row: two shuffles of its pixels. A task holds one
@@ -287,3 +287,53 @@ def optimize(rows: DataFrame, basis: Basis, optimizer: Optimizer, k: int | None
 
     gates, trace = descend(list(basis.gates), optimizer, measure, max_iter, tol)
     return as_basis(gates), trace
+
+
+#: Windows of a tile start in so many rows and columns.
+TILE = 64
+
+
+def paired(a: DataFrame, b: DataFrame) -> DataFrame:
+    """id, lin, x, y: the real parts of two tables' pixels, zero where one has none."""
+    none = F.lit(0.0)
+    both = a.select("id", "lin", F.col("re").alias("x"), none.alias("y")).unionByName(b.select("id", "lin", none.alias("x"), F.col("re").alias("y")))
+    return both.groupBy("id", "lin").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+
+
+def similarity(pairs: DataFrame, m: int, n: int, window: int = 7) -> DataFrame:
+    """id, ssim: the mean structural similarity over all places of a square window, for pictures (id, lin, x, y) of 2^m x 2^n after clamping to [0, 1].
+
+    Windows are dealt to tiles by their first row and column, and a pixel goes to every tile whose windows
+    reach it, so a task holds a tile and its margin at a time. Tiles without a pixel hold equal windows.
+    """
+    h, w = 2**m, 2**n
+    side = min(window, h, w)
+    c1, c2 = 0.01**2, 0.03**2
+    rows, columns = F.expr(f"lin % {h}"), F.expr(f"lin div {h}")
+    tiles = lambda at, last: F.sequence(F.floor(F.greatest(F.lit(0), at - (side - 1)) / TILE), F.floor(F.least(F.lit(last), at) / TILE))
+    dealt = pairs.select("id", rows.alias("r"), columns.alias("c"), "x", "y").withColumn("i", F.explode(tiles(F.col("r"), h - side))).withColumn("j", F.explode(tiles(F.col("c"), w - side)))
+    pixel = F.struct((F.col("r") - F.col("i") * TILE).cast("int").alias("r"), (F.col("c") - F.col("j") * TILE).cast("int").alias("c"), "x", "y")
+    held = dealt.groupBy("id", "i", "j").agg(F.collect_list(pixel).alias("z"))  # a tile and its margin at most
+    kind = held.schema["id"].dataType.simpleString()
+
+    def means(x):
+        return np.lib.stride_tricks.sliding_window_view(x, (side, side)).mean(axis=(2, 3))
+
+    def run(batches):
+        for b in batches:
+            total, count = [], []
+            for i, j, z in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                tall, wide = (min(TILE, size - side + 1 - at * TILE) + side - 1 for size, at in ((h, i), (w, j)))
+                r, c, *values = (z.values.field(f).to_numpy() for f in range(4))
+                x, y = np.zeros((2, tall, wide))
+                x[r, c], y[r, c] = np.clip(values, 0, 1)
+                mx, my = means(x), means(y)
+                vx, vy, vxy = means(x * x) - mx * mx, means(y * y) - my * my, means(x * y) - mx * my
+                each = (2 * mx * my + c1) * (2 * vxy + c2) / ((mx * mx + my * my + c1) * (vx + vy + c2))
+                total.append(float(each.sum()))
+                count.append(each.size)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.float64()), pa.array(count, pa.int64())], ["id", "total", "count"])
+
+    parts = held.mapInArrow(run, f"id {kind}, total double, count long")
+    windows = (h - side + 1) * (w - side + 1)
+    return parts.groupBy("id").agg(((F.sum("total") + windows - F.sum("count")) / windows).alias("ssim"))

@@ -570,6 +570,19 @@ def ring_map_recovered(spark, sf_dir):
     return back.select(F.col("id").alias("flag"), (F.col("lin") + 1).alias("idx"), rounded(F.col("re")).alias("re"), rounded(F.col("im")).alias("im"))
 
 
+_RECOVERED_64 = ("WITH " + _CELLS_64 + ", " + O.transform(6, 6, "wht", back=_ring(1, "u", "w")) + ", " + O.ranked(64) + ", low AS (SELECT vec_id, (u + 64 * w)::BIGINT AS lin, re, im FROM rk WHERE rn <= 409), " + O.transform(6, 6, "wht", "b", "low", front=_ring(-1, "r0", "c0")))
+
+
+@query(_RECOVERED_64 + ", z AS (SELECT b.vec_id, b.u, b.w, greatest(0, least(1, coalesce(px.re, 0))) AS x, greatest(0, least(1, b.re)) AS y FROM b LEFT JOIN px ON px.vec_id = b.vec_id AND px.lin = b.u + 64 * b.w),"
+       " s AS (SELECT vec_id, i, j, avg(x) AS mx, avg(y) AS my, avg(x * x) - avg(x) * avg(x) AS vx, avg(y * y) - avg(y) * avg(y) AS vy, avg(x * y) - avg(x) * avg(y) AS vxy FROM (SELECT vec_id, x, y, u - k AS i, w - l AS j FROM z, range(0, 7) a(k), range(0, 7) c(l)) WHERE i BETWEEN 0 AND 57 AND j BETWEEN 0 AND 57 GROUP BY vec_id, i, j),"
+       " t AS (SELECT vec_id, (2 * mx * my + 0.0001::DOUBLE) * (2 * vxy + 0.0009::DOUBLE) / ((mx * mx + my * my + 0.0001::DOUBLE) * (vx + vy + 0.0009::DOUBLE)) AS one FROM s) SELECT flag, round(avg(one), 6) AS ssim FROM t JOIN names USING (vec_id) GROUP BY flag")
+def ring_map_ssim(spark, sf_dir):
+    """Structural similarity of 64 x 64 pictures and their recovered forms, from coordinate rows by tiles."""
+    cells = written(_cells(spark, sf_dir, F.col("l_returnflag"), "l_partkey % 64 + 64 * (l_suppkey % 64)", 1000))
+    back = coordinates.recover(coordinates.compress(cells, RING_64, k=409), RING_64)
+    return coordinates.similarity(coordinates.paired(cells, back), 6, 6).select(F.col("id").alias("flag"), F.round("ssim", 6).alias("ssim"))
+
+
 RING_8 = FORWARD["tebd_ring"][0]
 _PAIRS_8 = ", ".join(f"({6 + g}, {a - 1 + 3 * (g > 2)}, {b - 1 + 3 * (g > 2)}, {p}::DOUBLE)" for g, ((a, b), p) in enumerate(zip((*RING3, *RING3), P6)))
 RING_GRADIENT_SQL = (

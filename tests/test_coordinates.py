@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orthomill.operators import circuits, coordinates, training
+from orthomill.operators import circuits, coordinates, losses, training
 from orthomill.operators.basis import Basis, keep_count, ranking, sizes_of
 from orthomill.plans.images import gaussian
 from orthomill.sources.tables import written
@@ -142,3 +142,18 @@ def test_batches_are_read_from_one_write(spark, tmp_path):
     for size in (1, 4):
         done = training.train(few, "qft", 1, 1, epochs=1, batch_size=size, split=0.0)
         assert len(done.steps) == 12 // size and sorted({b for _, _, b, _ in done.steps}) == list(range(1, 12 // size + 1))
+
+
+@pytest.mark.parametrize("m,n,tile", [(5, 4, 8), (4, 5, 3), (6, 6, 64), (2, 5, 4)])
+def test_similarity_by_tiles(spark, monkeypatch, m, n, tile):
+    monkeypatch.setattr(coordinates, "TILE", tile)
+    rng = np.random.default_rng(m)
+    x = rng.random((3, 2 ** (m + n))) * 1.2
+    x[2] = 0
+    x[:, rng.integers(0, x.shape[1], 40)] = 0
+    y = np.where(x > 0, x + 0.1 * rng.standard_normal(x.shape), 0)
+    y[2, 5] = 0.5
+    images = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(x, y))], "id long, x array<double>, re array<double>")
+    want = {r.id: r.ssim for r in losses.similarity(images, "x", "re", 2**m, 2**n).collect()}
+    got = {r.id: r.ssim for r in coordinates.similarity(coordinates.paired(as_rows(spark, x.astype(complex)), as_rows(spark, y.astype(complex))), m, n).collect()}
+    assert got == pytest.approx(want)
