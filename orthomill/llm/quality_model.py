@@ -66,7 +66,7 @@ class Grams:
 
     def __init__(self, at: np.ndarray, share: np.ndarray, size: np.ndarray):
         self.at, self.share, self.size = at, share, size
-        self.row = np.repeat(np.arange(len(size)), size)
+        self.row = np.repeat(np.arange(len(size)), size)  # batches are small
 
     @staticmethod
     def pack(at: np.ndarray, counts: np.ndarray) -> bytes:
@@ -90,10 +90,6 @@ class Grams:
     def __len__(self) -> int:
         return len(self.size)
 
-    def __getitem__(self, mask: np.ndarray) -> Grams:
-        mine = mask[self.row]
-        return Grams(self.at[mine], self.share[mine], self.size[mask])
-
     def __matmul__(self, ratio: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.share * ratio[self.at], len(self.size))
 
@@ -284,6 +280,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", label_col="quality"
     return model
 
 
+def by_slices(packed: pa.Table, work) -> np.ndarray:
+    """``work`` on some rows of (grams, slots, meta) at a time, so that few are unpacked together."""
+    parts = [work(unpacked(*[c.combine_chunks() for c in packed.slice(lo, 500).columns])) for lo in range(0, packed.num_rows, 500)]
+    return np.concatenate(parts)
+
+
 def fit_views(rows: DataFrame, sample: int = 10_000, rounds: int = 3, step: float = 0.05, false_reject: float = 0.005) -> CoTrained | None:
     taught = rows.filter("label >= 0")
     taught = taught.filter(sampled(F.col("doc_id"), taught.count(), sample))
@@ -293,14 +295,14 @@ def fit_views(rows: DataFrame, sample: int = 10_000, rounds: int = 3, step: floa
     if picked.num_rows == 0:
         return None
     fold, y = (np.array(picked.column(i).to_pylist()) for i in (0, 1))
-    x = unpacked(*[picked.column(i).combine_chunks() for i in (2, 3, 4)])
+    x = picked.select([2, 3, 4])  # stays packed
     if len(set(y.tolist())) < 2:
         return None
 
     def part(*tenths):
         mask = np.isin(fold, tenths)
         mask = mask if len(set(y[mask].tolist())) == 2 else np.ones(len(y), bool)
-        return [a[mask] for a in x], y[mask].astype(float)
+        return x.filter(pa.array(mask)), y[mask].astype(float)
 
     teach, aside, limit, test = part(*range(4, 10)), part(2, 3), part(1), part(0)
     good_share, choices = float(teach[1].mean()), Choices()
@@ -308,16 +310,16 @@ def fit_views(rows: DataFrame, sample: int = 10_000, rounds: int = 3, step: floa
         tables = counted(rows, choices)
         views = (View(True, *tables[:2]), View(False, *tables[2:]))
         for v in views:
-            v.beta = fit_dense(v.features(teach[0]), teach[1], ridge=1.0)
+            v.beta = fit_dense(by_slices(teach[0], v.features), teach[1], ridge=1.0)
         if r < rounds:
             choices.rounds.append((views, surest(rows, views, choices, (step * (1 - good_share), step * good_share))))
     for v in views:
-        v.scale, v.shift = fit_dense(v.odds(aside[0])[:, None], aside[1], ridge=1e-2)
+        v.scale, v.shift = fit_dense(by_slices(aside[0], v.odds)[:, None], aside[1], ridge=1e-2)
     model = CoTrained(views)
-    model.join = fit_dense(model.odds(aside[0]), aside[1], ridge=1.0)
-    good = np.sort(model.score(limit[0])[limit[1] == 1])
+    model.join = fit_dense(by_slices(aside[0], model.odds), aside[1], ridge=1.0)
+    good = np.sort(by_slices(limit[0], model.score)[limit[1] == 1])
     model.cutoff = float(min(0.5, good[int(len(good) * false_reject)]))
-    model.held_out = held_out_results(model.score(test[0]), test[1], model.cutoff)
+    model.held_out = held_out_results(by_slices(test[0], model.score), test[1], model.cutoff)
     return model
 
 
