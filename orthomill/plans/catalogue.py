@@ -625,9 +625,9 @@ def coordinates_before_training(spark, sf_dir):
 
 @query()
 def train_512(spark, sf_dir):
-    """Losses of two gradient steps on 512 x 512 pictures as coordinate rows, a tenth of the coefficients kept; a picture is spread over many tasks."""
+    """Losses before and after a gradient step on 512 x 512 pictures as coordinate rows, a tenth of the coefficients kept; a picture is spread over many tasks."""
     cells = _cells(spark, sf_dir, F.col("l_returnflag"), "l_orderkey % 512 + 512 * (l_partkey % 512)", 1000)
-    _, trace = coordinates.optimize(cells, B.Basis.make("tebd", 9, 9, tuple(0.1 * i for i in range(18))), training.Optimizer("gd", 0.01), max_iter=2, tol=0.0)
+    _, trace = coordinates.optimize(cells, B.Basis.make("tebd", 9, 9, tuple(0.1 * i for i in range(18))), training.Optimizer("gd", 0.01), max_iter=1, tol=0.0)
     return spark.createDataFrame(list(enumerate(trace)), "step int, loss double")
 
 
