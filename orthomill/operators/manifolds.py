@@ -1,4 +1,9 @@
-"""Unitary 2x2 matrices and 2x2 arrays of unit phases: tangent projection, retraction, transport."""
+"""Unitary 2x2 matrices and 2x2 arrays of unit phases: tangent projection, retraction, transport.
+
+``StiefelPolar`` and ``StiefelQR`` are orthonormal frames in two dimensions with the two usual
+retractions. They take any 2x2 array as a starting point: the first retraction brings it to the nearest
+frame (polar), or to the frame of its columns in order (QR).
+"""
 
 from __future__ import annotations
 
@@ -49,7 +54,28 @@ class Phase:
         return moved / np.abs(moved)
 
 
-MANIFOLDS = {"unitary": Unitary, "phase": Phase}
+class StiefelPolar:
+    @staticmethod
+    def project(u, g):
+        inner = adjoint(u) @ g
+        return g - u @ ((inner + adjoint(inner)) / 2)
+
+    @staticmethod
+    def retract(u, xi, alpha: float):
+        left, _, right = np.linalg.svd(u + alpha * xi)
+        return left @ right
+
+
+class StiefelQR(StiefelPolar):
+    @staticmethod
+    def retract(u, xi, alpha: float):
+        q, r = np.linalg.qr(u + alpha * xi)
+        turn = np.diagonal(r, axis1=-2, axis2=-1)
+        size = np.abs(turn)
+        return q * np.where(size > 0, turn / np.where(size > 0, size, 1), 1)[..., None, :]  # so that R's diagonal is positive
+
+
+MANIFOLDS = {"unitary": Unitary, "phase": Phase, "stiefel_polar": StiefelPolar, "stiefel_qr": StiefelQR}
 
 
 def transport(kind: str, at_new, tangent):

@@ -37,7 +37,7 @@ from .circuits import Gate
 from .manifolds import MANIFOLDS, transport
 
 
-TRAINED = (*LOSSES, "weighted")
+TRAINED = (*LOSSES, "weighted", "roundtrip")
 
 
 def project_phase_columns(zr: Column, zi: Column, gr: Column, gi: Column) -> tuple[Column, Column]:
@@ -104,8 +104,11 @@ def loss_and_gradient(gates: list[Gate], x: np.ndarray, qubits: int, loss: str,
     """Summed loss over the columns of ``x`` and its gradient by gate (dL/dRe + i dL/dIm).
 
     "weighted" is the squared error of the alternative selection, for pictures of 2^m rows; what a
-    selection keeps counts as fixed in the gradient.
+    selection keeps counts as fixed in the gradient. "roundtrip" is the squared error too, by the way back
+    through the conjugate circuit, so it also holds for gates that left their manifold.
     """
+    if loss == "roundtrip":
+        return round_trip(gates, np.ascontiguousarray(x, complex), qubits, k, gradient)
     state, blocks = np.ascontiguousarray(x, complex), blocks_of(gates, qubits)
     for qubit, _, block in blocks:
         state = block * state if qubit is None else mixed(block, state, qubit)
@@ -140,6 +143,58 @@ def backwards(gates: list[Gate], blocks, state: np.ndarray, bar: np.ndarray) ->
     return state, bar, grads
 
 
+def applied(block, qubit: int | None, state: np.ndarray, back: bool = False) -> np.ndarray:
+    """A block of ``blocks_of``, or its conjugate transpose, applied to states."""
+    if qubit is None:
+        return (block.conj() if back else block) * state
+    return mixed(block.conj().T if back else block, state, qubit)
+
+
+def entry_gradients(gates: list[Gate], qubit: int | None, numbers: list[int], after: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Gradient by entry of a block's gates: ``after`` times the conjugate of ``before``, and of the other gates of a run of diagonals."""
+    if qubit is not None:
+        a, b = (v.reshape(-1, 2, v.shape[1] << qubit) for v in (before.conj(), after))
+        return np.array([[[np.einsum("ij,ij->", b[:, i], a[:, j]) for j in (0, 1)] for i in (0, 1)]])
+    each = np.einsum("ij,ij->i", after, before.conj())
+    factors = np.ones((len(numbers), len(each)), complex)
+    for factor, i in zip(factors, numbers):
+        view = by_bits(factor, gates[i].qubits)
+        view *= (gates[i].matrix if gates[i].qubits[0] > gates[i].qubits[1] else gates[i].matrix.T)[None, :, None, :, None]
+    # products of the gates before and after each one, as entries may be zero
+    lower, upper = np.ones_like(factors), np.ones_like(factors)
+    lower[1:], upper[:-1] = np.cumprod(factors[:-1], axis=0), np.cumprod(factors[:0:-1], axis=0)[::-1]
+    sums = [by_bits(each * (a * b).conj(), gates[i].qubits).sum(axis=(0, 2, 4)) for a, b, i in zip(lower, upper, numbers)]
+    return np.array([s if gates[i].qubits[0] > gates[i].qubits[1] else s.T for s, i in zip(sums, numbers)])
+
+
+def round_trip(gates: list[Gate], x: np.ndarray, qubits: int, k: int, gradient: bool):
+    """Squared error of what the conjugate circuit makes of the k largest coefficients, and its gradient by gate.
+
+    Nothing is undone by adjoints: states are kept on both ways, two arrays of the size of ``x`` a block.
+    """
+    blocks, ahead = blocks_of(gates, qubits), [x]
+    for qubit, _, block in blocks:
+        ahead.append(applied(block, qubit, ahead[-1]))
+    mask = keep_mask(ahead[-1], k)
+    home = [np.where(mask, ahead[-1], 0)]
+    for qubit, _, block in reversed(blocks):
+        home.append(applied(block, qubit, home[-1], back=True))
+    home.reverse()
+    error = home[0] - x
+    total = float((np.abs(error) ** 2).sum())
+    if not gradient:
+        return total, []
+    grads, bar = np.zeros((len(gates), 2, 2), complex), 2 * error
+    for (qubit, numbers, block), state in zip(blocks, home[1:]):
+        grads[numbers] += entry_gradients(gates, qubit, numbers, state, bar)
+        bar = applied(block, qubit, bar)
+    bar = np.where(mask, bar, 0)
+    for (qubit, numbers, block), state in zip(reversed(blocks), reversed(ahead[:-1])):
+        grads[numbers] += entry_gradients(gates, qubit, numbers, bar, state)
+        bar = applied(block, qubit, bar, back=True)
+    return total, list(grads)
+
+
 def values_of(images: DataFrame) -> list[str]:
     """The columns that hold pictures: ``im`` too where they are complex."""
     return ["re", "im"] if "im" in images.columns else ["re"]
@@ -151,6 +206,14 @@ def states_of(batch: pa.RecordBatch, qubits: int) -> np.ndarray:
     return (re + 1j * im[0] if im else re).T
 
 
+def checked(loss: str, optimizer: Optimizer) -> None:
+    """Errors for losses that are not there, or that need gates on their own manifolds where the optimizer takes them off."""
+    if loss not in TRAINED:
+        raise ValueError(f"unknown loss {loss!r}; there are {', '.join(TRAINED)}")
+    if optimizer.manifold and loss != "roundtrip":
+        raise ValueError(f"gates on {optimizer.manifold!r} need the loss 'roundtrip', as {loss!r} takes the circuit for unitary")
+
+
 def evaluate(images: DataFrame, candidates: list[list[Gate]], qubits: int, loss: str, k: int, gradient: bool = False, m: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
     """Mean loss of each candidate, and the mean gradient of the first, in one job."""
     if loss not in TRAINED:
@@ -185,7 +248,12 @@ def evaluate(images: DataFrame, candidates: list[list[Gate]], qubits: int, loss:
 
 @dataclass
 class Optimizer:
-    """Riemannian gradient descent with Armijo search, or Riemannian Adam."""
+    """Riemannian gradient descent with Armijo search, or Riemannian Adam.
+
+    ``manifold`` puts all gates on one manifold instead of each on its own: "stiefel_polar" or
+    "stiefel_qr" is what general manifold optimizers do with circuits. Phase gates then turn into
+    unitary matrices, the circuit is no longer unitary, and the loss has to be "roundtrip".
+    """
 
     kind: str = "adam"
     rate: float = 0.001
@@ -195,20 +263,22 @@ class Optimizer:
     armijo: float = 1e-4
     shrink: float = 0.5
     tries: int = 10
+    manifold: str | None = None
     steps: int = 0
     first: list = field(default_factory=list)
     second: list = field(default_factory=list)
 
     def step(self, gates: list[Gate], grads: list[np.ndarray], rate: float, loss: float, losses_of) -> tuple[list[Gate], float]:
         """New gates and the gradient's norm; ``losses_of`` evaluates candidate gate lists together."""
-        tangent = [MANIFOLDS[g.manifold].project(g.matrix, d) for g, d in zip(gates, grads)]
+        kind_of = lambda g: self.manifold or g.manifold
+        tangent = [MANIFOLDS[kind_of(g)].project(g.matrix, d) for g, d in zip(gates, grads)]
         norm = math.sqrt(sum(float((np.abs(t) ** 2).sum()) for t in tangent))
         if not math.isfinite(norm):
             return gates, norm
         if self.clip and norm > self.clip:
             tangent = [t * (self.clip / norm) for t in tangent]
             norm = self.clip
-        moved = lambda way, a: [Gate(g.role, g.qubits, MANIFOLDS[g.manifold].retract(g.matrix, w, a), g.entangling) for g, w in zip(gates, way)]
+        moved = lambda way, a: [Gate(g.role, g.qubits, MANIFOLDS[kind_of(g)].retract(g.matrix, w, a), g.entangling) for g, w in zip(gates, way)]
         if self.kind == "gd":
             sizes = [rate * self.shrink**j for j in range(self.tries)]
             tried = [moved([-t for t in tangent], a) for a in sizes]
@@ -225,8 +295,8 @@ class Optimizer:
         self.first = [b1 * m + (1 - b1) * t for m, t in zip(self.first, tangent)]
         self.second = [b2 * v + (1 - b2) * np.abs(t) ** 2 for v, t in zip(self.second, tangent)]
         way = [-(m / (1 - b1**self.steps)) / (np.sqrt(v / (1 - b2**self.steps)) + self.eps) for m, v in zip(self.first, self.second)]
-        new = moved([MANIFOLDS[g.manifold].project(g.matrix, w) for g, w in zip(gates, way)], rate)
-        self.first = [transport(g.manifold, g.matrix, m) for g, m in zip(new, self.first)]
+        new = moved([MANIFOLDS[kind_of(g)].project(g.matrix, w) for g, w in zip(gates, way)], rate)
+        self.first = [transport(kind_of(g), g.matrix, m) for g, m in zip(new, self.first)]
         return new, norm
 
 
@@ -307,8 +377,7 @@ def descend_in_task(rows: DataFrame, gates: list[Gate], optimizer: Optimizer, qu
 
 def optimize(images: DataFrame, basis: Basis, optimizer: Optimizer, loss: str = "mse", k: int | None = None, max_iter: int = 100, tol: float = 1e-6) -> tuple[Basis, list[float]]:
     """Full-batch optimisation; the losses before each step, and the last."""
-    if loss not in TRAINED:
-        raise ValueError(f"unknown loss {loss!r}; there are {', '.join(TRAINED)}")
+    checked(loss, optimizer)
     qubits, gates = basis.m + basis.n, list(basis.gates)
     k = max(1, round(0.1 * basis.size)) if k is None else k
     values = values_of(images)
@@ -352,6 +421,7 @@ def train(images: DataFrame, family: str, m: int, n: int, epochs: int = 3, split
         start = Basis.make(family, m, n, tuple(0.1 * np.random.default_rng(seed).standard_normal(len(start.phases))), position)
     k = max(1, round(0.1 * start.size)) if k is None else k
     optimizer, values = optimizer or Optimizer(), values_of(images)
+    checked(loss, optimizer)
     if batch_size is None:
         share = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(10_000))
         rows = images.select(id_col, *values, (share < int(split * 10_000)).alias("held")).persist()

@@ -415,6 +415,26 @@ def retract_unitary(spark, sf_dir):
     return _matrices(spark, sf_dir, lambda g: manifolds.Unitary.retract(UNITARY, manifolds.Unitary.project(UNITARY, g), 0.1))
 
 
+_MOVED = [[tuple(f"{_U[i][j][k]} + 0.1::DOUBLE * {O.matrix('p')[i][j][k]}" for k in (0, 1)) for j in (0, 1)] for i in (0, 1)]
+
+
+@query(_TANGENT + ", " + O.step("d", "c", "w", _MOVED) + ", " + O.polar("e", "d", "x", O.matrix("w")) + O.rounded_matrix("x", "e"))
+def retract_polar(spark, sf_dir):
+    """The same step, taken back to the nearest frame."""
+    return _matrices(spark, sf_dir, lambda g: manifolds.StiefelPolar.retract(UNITARY, manifolds.StiefelPolar.project(UNITARY, g), 0.1))
+
+
+@query(_TANGENT + ", " + O.step("d", "c", "w", _MOVED)
+       + ", e AS (SELECT *, sqrt(" + " + ".join(f"w{i}0{k} * w{i}0{k}" for i in (0, 1) for k in "ri") + ") AS s FROM d)"
+       + ", f AS (SELECT *, " + ", ".join(f"w{i}0{k} / s AS x{i}0{k}" for i in (0, 1) for k in "ri") + " FROM e)"
+       + ", h2 AS (SELECT *, " + " + ".join(f"x{i}0r * w{i}1r + x{i}0i * w{i}1i" for i in (0, 1)) + " AS ar, " + " + ".join(f"x{i}0r * w{i}1i - x{i}0i * w{i}1r" for i in (0, 1)) + " AS ai FROM f)"
+       + ", k AS (SELECT *, " + ", ".join(f"w{i}1r - (x{i}0r * ar - x{i}0i * ai) AS y{i}r, w{i}1i - (x{i}0r * ai + x{i}0i * ar) AS y{i}i" for i in (0, 1)) + " FROM h2)"
+       + ", l AS (SELECT *, " + ", ".join(f"y{i}{k} / sqrt(y0r * y0r + y0i * y0i + y1r * y1r + y1i * y1i) AS x{i}1{k}" for i in (0, 1) for k in "ri") + " FROM k)" + O.rounded_matrix("x", "l"))
+def retract_qr(spark, sf_dir):
+    """The same step, taken back to the frame of the columns in order."""
+    return _matrices(spark, sf_dir, lambda g: manifolds.StiefelQR.retract(UNITARY, manifolds.StiefelQR.project(UNITARY, g), 0.1))
+
+
 @query("WITH " + O.GRADIENTS + ", " + O.inverted("a", "g", "q", _G) + " SELECT vec_id, " + ", ".join(f"round({x}, 4) + 0.0 AS m{i}{j}{p}" for i, j in O.ENTRIES for p, x in zip("ri", O.matrix("q")[i][j])) + " FROM a")
 def inverse_matrix(spark, sf_dir):
     """Each matrix's closed-form inverse."""
@@ -680,3 +700,27 @@ def ring_adam_step(spark, sf_dir):
     moved, _ = training.optimize(vectors(spark, sf_dir), RING_8, training.Optimizer("adam", 0.01), k=6, max_iter=1, tol=0.0)
     rows = [(g, *[round(float(v), 6) + 0.0 for i, j in O.ENTRIES for v in (m[i, j].real, m[i, j].imag)]) for g, m in enumerate(moved.tensors[:6])]
     return spark.createDataFrame(rows, "gate int, " + _ENTRY)
+
+
+def _first_stiefel_step_sql(rate: float) -> str:
+    """All gates of the ring after one gradient step on frames: unitary gates move against what kept and left-out coefficients have in common, phase gates only go to their nearest frame."""
+    h, bit = O.fixed(circuits.HADAMARD.tolist()), "(x.lin >> q) & 1"
+    rows = RING_GRADIENT_SQL.split(" h AS (")[0].rstrip(",") + ","
+    rest = "CASE WHEN y.kept THEN 0 ELSE y.f END"
+    rows += (f" h AS (SELECT q AS gate, {bit} AS i, j, -2 * x.f * CASE WHEN {bit} = 1 THEN 1 ELSE 1 - 2 * j END * {rest} / sqrt(2.0::DOUBLE) AS re, 0.0::DOUBLE AS im"
+             " FROM x CROSS JOIN range(0, 6) t(q) CROSS JOIN range(0, 2) s(j) JOIN x y ON y.vec_id = x.vec_id AND y.lin = xor(x.lin, (1 << q)::BIGINT) WHERE x.kept)")
+    pivot = ", ".join(f"sum(CASE WHEN i = {i} AND j = {j} THEN {c} ELSE 0 END) / any_value(n) AS g{i}{j}{c[0]}" for i, j in O.ENTRIES for c in ("re", "im"))
+    moved = [[tuple(f"{h[i][j][k]} - {rate!r}::DOUBLE * {O.matrix('p')[i][j][k]}" for k in (0, 1)) for j in (0, 1)] for i in (0, 1)]
+    names = ", ".join(f"w{i}{j}{p}" for i, j in O.ENTRIES for p in "ri")
+    return (rows + f", pv AS (SELECT gate, {pivot} FROM h, n GROUP BY gate), " + O.step("a1", "pv", "h", O.times(O.adjoint(h), O.matrix("g"))) + ", " + O.step("a2", "a1", "s", O.skew(O.matrix("h"))) + ", " + O.step("a3", "a2", "p", O.times(h, O.matrix("s")))
+            + ", " + O.step("a4", "a3", "w", moved) + f", st AS (SELECT gate, {names} FROM a4 UNION ALL SELECT gate, 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, cos(p), sin(p) FROM (VALUES {_PAIRS_8}) t(gate, a, b, p)), "
+            + O.polar("z", "st", "x", O.matrix("w")) + O.rounded_matrix("x", "z").replace("SELECT vec_id", "SELECT gate::INT AS gate"))
+
+
+@query(_first_stiefel_step_sql(0.01))
+def ring_stiefel_step(spark, sf_dir):
+    """The ring's gates after the first gradient step of the comparator that has all gates on frames."""
+    optimizer = training.Optimizer("gd", 0.01, tries=1, manifold="stiefel_polar")
+    moved, _ = training.optimize(vectors(spark, sf_dir), RING_8, optimizer, loss="roundtrip", k=6, max_iter=1, tol=0.0)
+    rows = [(g, *[round(float(v), 6) + 0.0 for i, j in O.ENTRIES for v in (m[i, j].real, m[i, j].imag)]) for g, m in enumerate(moved.tensors)]
+    return spark.createDataFrame(rows, "gate int, " + _ENTRY)

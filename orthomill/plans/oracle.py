@@ -119,6 +119,17 @@ def inverted(name: str, source: str, prefix: str, a) -> str:
     return det + ", " + step(name, f"{name}d", prefix, values)
 
 
+def polar(name: str, source: str, prefix: str, a) -> str:
+    """CTEs that add the polar factor of ``a`` (columns): with S = A*A and d = |det A|, A times the inverse of (S + d) / sqrt(tr S + 2 d)."""
+    det = (f"{a[0][0][0]} * {a[1][1][0]} - {a[0][0][1]} * {a[1][1][1]} - {a[0][1][0]} * {a[1][0][0]} + {a[0][1][1]} * {a[1][0][1]}",
+           f"{a[0][0][0]} * {a[1][1][1]} + {a[0][0][1]} * {a[1][1][0]} - {a[0][1][0]} * {a[1][0][1]} - {a[0][1][1]} * {a[1][0][0]}")
+    size = " + ".join(f"{x} * {x}" for row in a for entry in row for x in entry)
+    first = f"{name}1 AS (SELECT *, sqrt(pow({det[0]}, 2) + pow({det[1]}, 2)) AS {prefix}d, {size} AS {prefix}t FROM {source})"
+    square = times(adjoint(a), a)
+    root = [[tuple(f"(({square[i][j][k]}){f' + {prefix}d' if i == j and k == 0 else ''}) / sqrt({prefix}t + 2 * {prefix}d)" for k in (0, 1)) for j in (0, 1)] for i in (0, 1)]
+    return ", ".join([first, step(f"{name}2", f"{name}1", f"{prefix}s", root), inverted(f"{name}3", f"{name}2", f"{prefix}q", matrix(f"{prefix}s")), step(name, f"{name}3", prefix, times(a, matrix(f"{prefix}q")))])
+
+
 def rounded_matrix(prefix: str, source: str) -> str:
     return " SELECT vec_id, " + ", ".join(f"round({prefix}{i}{j}{p}, 6) + 0.0 AS m{i}{j}{p}" for i, j in ENTRIES for p in "ri") + f" FROM {source}"
 
