@@ -12,6 +12,7 @@ in which bucket. All pairs of a bucket are candidates, but they are not written
 Pairs are made only if they pass bounds on their overlap: by size, by the positions of a shared
 first element in a common order (with ``pos``), and by suffix: shingles dealt to ranges of their
 hash, where the smaller count of each range bounds what can be shared in it (``COARSE`` ranges in the join, then ``RANGES``).
+Where each class's keys are given, a pair that shares several buckets of one hub is made in the first of them only.
 All steps are joins with equality and aggregates, a hot bucket is never gathered in a task, and
 adaptive execution can split it.
 """
@@ -106,6 +107,8 @@ def candidates(left: DataFrame, right: DataFrame, percent: int, positions: bool)
     near = near & (in_ranges >= least_overlap(nx, ny, percent))
     shared = F.aggregate(F.zip_with("x.ranges", "y.ranges", lambda a, b: F.least(a, b)), F.lit(0), lambda s, a: s + a)
     near = near & (shared >= least_overlap(nx, ny, percent))
+    if "hub_keys" in right.columns:  # the other buckets that the two share would make the same pair again
+        near = near & (F.array_min(F.array_intersect("y.hub_keys", "x.keys")) == F.col("x.key"))
     if positions:
         near = near & (1 + F.least(nx - F.col("x.pos"), ny - F.col("y.pos")) - 1 >= least_overlap(nx, ny, percent))
     return x.join(y, near).select(F.greatest("x.c", "y.c").alias("a"), F.least("x.c", "y.c").alias("b")).distinct()
@@ -121,11 +124,15 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return placed
 
 
-def linked_components(members: DataFrame, sets: DataFrame, percent: int, positions: bool = False) -> DataFrame:
-    """(node, root) of all classes that have a link; ``members`` and ``sets`` are written tables."""
+def linked_components(members: DataFrame, sets: DataFrame, percent: int, positions: bool = False, keys: DataFrame | None = None) -> DataFrame:
+    """(node, root) of all classes that have a link; ``members`` and ``sets`` are written tables.
+
+    ``keys`` (c, keys) lists each class's buckets, for lists short enough to travel with every member; not with ``positions``.
+    """
     width = RANGES // COARSE
     coarse = [reduce(lambda s, j: s + F.get("ranges", F.lit(j)), range(i * width + 1, (i + 1) * width), F.get("ranges", F.lit(i * width))).alias(f"r{i}") for i in range(COARSE)]
-    members = materialize(members.join(sets.select("c", "ranges", *coarse), "c"))
+    members = members.join(sets.select("c", "ranges", *coarse), "c")
+    members = materialize(members if keys is None else members.join(keys, "c"))
     hub_of = lambda rows: rows.groupBy("key").agg(F.max_by(F.struct(*rows.columns), F.struct("central", "c")).alias("h")).select("h.*")
     with_comp = lambda roots: members.withColumn("comp", F.col("c")) if roots is None else members.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("comp", F.coalesce("root", "c")).drop("root")
     known, roots = None, None
@@ -138,6 +145,8 @@ def linked_components(members: DataFrame, sets: DataFrame, percent: int, positio
             hubs = placed.join(largest.select("key", F.col("most.comp").alias("main")), "key").filter("comp <> main").drop("main")
             if round_ < HUB_ROUNDS:
                 hubs = hub_of(hubs)
+        if keys is not None:
+            hubs = hubs.drop("keys").join(hubs.groupBy("c").agg(F.collect_set("key").alias("hub_keys")), "c")
         pairs = candidates(placed, hubs, percent, positions)
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")

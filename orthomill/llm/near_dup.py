@@ -105,7 +105,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", k: int =
     members = shared_buckets(classes.select(F.explode("bands").alias("key"), "c", "n"))
     wanted = classes.join(members.select("c").distinct(), "c", "left_semi")
     sets = materialize(class_sets(docs, text_col, wanted, k))
-    roots = linked_components(members, sets, percent)
+    roots = linked_components(members, sets, percent, keys=wanted.select("c", F.col("bands").alias("keys")))
     discard(members, sets)
     return components_of_documents(signed, classes, roots)
 

@@ -253,3 +253,18 @@ def test_contract_queries(spark, sf):
     assert as_bag(queries.QUERIES["op13_vector_codes"](spark, sf).collect()) == as_bag(plain_codes(vectors, 16, 64, 2))
     docs = [tuple(r) for r in spark.read.parquet(sf + "/documents.parquet").select("doc_id", "text").collect()]
     assert as_bag(queries.QUERIES["op12_ngram_join"](spark, sf).collect()) == as_bag(plain_components(docs, 80))
+
+
+def test_a_pair_is_made_in_one_bucket_of_a_hub(spark):
+    """Two sets that share many buckets give one pair, for a hub that has all of these buckets or only some."""
+    sets = {1: [10, 11, 12, 13], 2: [10, 11, 12, 14], 3: [11, 12, 15], 4: [16]}
+    counts = [1] * linking.COARSE
+    rows = [(k, c, c, 16, counts, list(keys)) for c, keys in sets.items() for k in keys]
+    ranges = [F.get("ranges", F.lit(i)).alias(f"r{i}") for i in range(linking.COARSE)]
+    members = spark.createDataFrame(rows, "key long, c long, comp long, n int, ranges array<int>, keys array<long>").select("*", *ranges)
+    for chosen in ({1: [10, 11, 12, 13]}, {1: [12, 13]}, {1: [10], 3: [11, 12]}):
+        hubs = members.filter(" or ".join(f"c = {c} and key in ({', '.join(map(str, k))})" for c, k in chosen.items()))
+        once = hubs.drop("keys").join(hubs.groupBy("c").agg(F.collect_set("key").alias("hub_keys")), "c")
+        pairs = lambda right: linking.candidates(members, right, 80, False)
+        expected = {(max(c, d), min(c, d)) for c, keys in chosen.items() for d, other in sets.items() if c != d and set(keys) & set(other)}
+        assert {tuple(r) for r in pairs(once).collect()} == {tuple(r) for r in pairs(hubs).collect()} == expected
