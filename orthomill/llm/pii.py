@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -126,6 +128,13 @@ def spelled_number(m: re.Match) -> str:
     return "+" + digits if 10 <= len(digits) <= 13 else digits
 
 
+def within(spans: list[tuple[int, int]]):
+    """A test whether a match lies inside one of many spans, by the largest end of those that start before it."""
+    spans = sorted(spans)
+    starts, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+    return lambda a, b: (at := bisect_right(starts, a)) > 0 and reach[at - 1] >= b
+
+
 def normalise(text: str) -> Tape:
     tape = Tape(text)
     tape.rewrite(ODD, lambda m: LOOKALIKES[m[0]])
@@ -133,8 +142,8 @@ def normalise(text: str) -> Tape:
     tape.rewrite(BRACKET_DOT, lambda m: ".")
     spots = [m.span() for m in SPACED.finditer(tape.text)]
     if spots:
-        inside = lambda m: any(a <= m.start() and m.end() <= b for a, b in spots)
-        tape.rewrite(SPACED_WORD, lambda m: m[0] if not inside(m) else "." if (m[1] or "").lower() == "dot" else "@")
+        inside = within(spots)
+        tape.rewrite(SPACED_WORD, lambda m: m[0] if not inside(*m.span()) else "." if (m[1] or "").lower() == "dot" else "@")
     tape.rewrite(SPELLED_RUN, spelled_number)
     return tape
 
@@ -145,10 +154,10 @@ def find_spans(text: str | None) -> tuple[list, list]:
     base = detect(text)
     if not disguised(text):
         return base, base
-    tape, added = normalise(text), []
+    tape, added, known = normalise(text), [], within([(s, e) for s, _, e in base])
     for start, kind, end in detect(tape.text):
         a, b = tape.starts[start], tape.ends[end - 1]
-        if text[a:b] != tape.text[start:end] and not any(s <= a and b <= e for s, _, e in base):
+        if text[a:b] != tape.text[start:end] and not known(a, b):
             added.append((a, kind, b))
     return base, sorted(base + added)
 
