@@ -5,8 +5,8 @@ rows are shuffled, evenly by hash, and every partition packs its pieces online w
 bounded space: a fixed number of open bins, found through a bitset keyed by free space.
 A piece goes to the open bin with the least sufficient room; if none has room a new bin
 opens, and when too many are open the fullest closes. Rows are sorted by a hash before
-packing, so a task that runs again gives the same sequences; of each stretch of ``STRETCH`` rows
-the longest come first.
+packing, so a task that runs again gives the same sequences. Of ``look_ahead`` rows that arrive
+together the longest come first; 1 takes them strictly as they come.
 
 Defined results: a null or empty text is its end id alone; a document of at most
 ``capacity`` ids is never cut; a longer one is cut from the end into full pieces, so only
@@ -31,7 +31,7 @@ from .common import materialize, table
 
 END_ID = 0
 #: Pieces that arrive together, the longest first: short ones then find bins that long ones left room in.
-STRETCH = 2048
+LOOK_AHEAD = 64
 
 
 @lru_cache(maxsize=2)
@@ -124,7 +124,7 @@ class BestFit:
         return bin_id
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, id_col="doc_id", text_col="text", capacity: int = 2048, max_open: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, id_col="doc_id", text_col="text", capacity: int = 2048, max_open: int = 1024, look_ahead: int = LOOK_AHEAD) -> DataFrame:
     cut = materialize(tokenized_pieces(docs, tokenizer, id_col, text_col, capacity))
     spread = F.xxhash64("row", "piece")
     # no partition count: AQE joins small partitions, and each holds enough pieces to fill its bins
@@ -134,7 +134,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, id_col="doc_id", text_co
     def run(batches):
         task, bins = TaskContext.get().partitionId(), BestFit(capacity, max_open)
         for b in batches:
-            lengths, stretch = b.column("length").to_numpy(), np.arange(b.num_rows) // STRETCH
+            lengths, stretch = b.column("length").to_numpy(), np.arange(b.num_rows) // look_ahead
             order = np.lexsort((-lengths, stretch))
             placed = np.array([bins.put(n) for n in lengths[order].tolist()], np.int64).reshape(-1, 2)
             cols = [b.column(c).take(pa.array(order)) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]

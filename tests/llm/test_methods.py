@@ -117,6 +117,25 @@ def test_best_fit_keeps_few_bins_open_and_wastes_little():
     assert sum(fill.values()) / (100 * len(fill)) > 0.93
 
 
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 9)).map(lambda s: (s[0], s[0] + s[1])), max_size=8), st.integers(0, 30), st.integers(0, 9))
+def test_spans_within_spans(spans, a, size):
+    assert pii.within(spans)(a, a + size) == any(s <= a and a + size <= e for s, e in spans)
+
+
+def test_look_ahead_only_changes_the_order(spark):
+    docs = spark.createDataFrame([(i, "word " * (1 + i * 37 % 900)) for i in range(120)], "doc_id long, text string")
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    for look_ahead in (1, 64, 2048):
+        rows = packing.pack(docs, look_ahead=look_ahead).collect()
+        by = collections.defaultdict(list)
+        for r in rows:
+            by[r.sequence_id].append((r.offset, r.length))
+        assert all(sum(n for _, n in places[:i]) == at for places in map(sorted, by.values()) for i, (at, _) in enumerate(places))
+        bag = sorted(tuple(r[c] for c in columns) for r in rows)
+        first = bag if look_ahead == 1 else first
+        assert bag == first and len(by) <= 1.15 * -(-sum(r.length for r in rows) // 2048) + 1
+
+
 def test_few_sequences_are_used(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = packing.pack(docs).select("length", "sequence_id").collect()
