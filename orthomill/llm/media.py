@@ -37,6 +37,20 @@ def code_widths(bits: int, n: int = 4200) -> np.ndarray:
     return np.minimum(12, np.maximum(bits + 1, np.floor(np.log2(entries)).astype(np.int64) + 1))
 
 
+@lru_cache(maxsize=16)
+def code_places(bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First bit, bit after the last, and mask of each code after a clear code."""
+    width = code_widths(bits)
+    ends = np.cumsum(width)
+    return ends - width, ends, (1 << width).astype(np.uint32) - 1
+
+
+@lru_cache(maxsize=16)
+def written_bits(bits: int) -> np.ndarray:
+    """Which of 16 bits are written of each code after a clear code."""
+    return np.arange(16) < code_widths(bits)[:, None]
+
+
 def lzw_encode(data: bytes, bits: int = 8) -> bytes:
     clear, first = 1 << bits, (1 << bits) + 2
     codes, starts = [clear], [0, 1]
@@ -60,10 +74,10 @@ def lzw_encode(data: bytes, bits: int = 8) -> bytes:
         append(cur)
     append(clear + 1)
     ends = [*starts[1:], len(codes)]
-    every = code_widths(bits)
-    width = np.concatenate([every[: b - a] for a, b in zip(starts, ends)])
-    shifted = np.array(codes, np.uint16)[:, None] >> np.arange(12, dtype=np.uint16)
-    return np.packbits((shifted & 1).astype(np.uint8)[np.arange(12) < width[:, None]], bitorder="little").tobytes()
+    every = written_bits(bits)
+    parts = [every[: b - a] for a, b in zip(starts, ends)]
+    held = np.unpackbits(np.array(codes, "<u2").view(np.uint8), bitorder="little").reshape(-1, 16)
+    return np.packbits(held[np.concatenate(parts)], bitorder="little").tobytes()
 
 
 def expand(codes: np.ndarray, bits: int) -> np.ndarray:
@@ -75,55 +89,62 @@ def expand(codes: np.ndarray, bits: int) -> np.ndarray:
     earlier one is damage, and the samples before it count.
     """
     clear, first = 1 << bits, (1 << bits) + 2
-    number = np.arange(len(codes))
-    back = np.where(codes < clear, number, codes.astype(np.int64) - first)
-    bad = np.flatnonzero((back >= number) & (codes >= clear))
+    codes = codes.astype(np.int32)
+    number = np.arange(len(codes), dtype=np.int32)
+    literal = codes < clear
+    back = np.where(literal, number, codes - first)
+    bad = np.flatnonzero((back >= number) & ~literal)
     if len(bad):
-        codes, number, back = codes[: bad[0]], number[: bad[0]], back[: bad[0]]
-    length, jump = (back != number).astype(np.int64), back
+        codes, number, literal, back = (x[: bad[0]] for x in (codes, number, literal, back))
+    length, jump = (~literal).astype(np.int32), back
     while True:
         further = jump[jump]
-        if np.array_equal(further, jump):
+        if (further == jump).all():
             break
         length, jump = length + length[jump], further
     length += 1
-    start = np.cumsum(length) - length
-    source = np.arange(int(length.sum())) - np.repeat(start - start[back], length)
+    ends = np.cumsum(length)
+    start = ends - length
+    total = int(ends[-1]) if len(ends) else 0
+    source = np.arange(total, dtype=np.int32) - np.repeat((start - start[back]).astype(np.int32), length)
     while True:
         further = source[source]
-        if np.array_equal(further, source):
+        if (further == source).all():
             break
         source = further
-    literal = np.zeros(len(source), np.uint8)
-    literal[start] = np.where(codes < clear, codes, 0)
-    return literal[source]
+    samples = np.zeros(total, np.uint8)
+    samples[start] = np.where(literal, codes, 0)
+    return samples[source]
 
 
 def lzw_decode(data: bytes, bits: int, limit: int) -> bytes:
     """At most ``limit`` samples; a damaged stream gives those before the damage."""
     clear = 1 << bits
-    width = code_widths(bits)
-    offset = np.cumsum(width) - width
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
+    firsts, ends, masks = code_places(bits)
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
+    raw = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16
     total, bit, out, size = len(data) * 8, 0, [], 0
     held: list[np.ndarray] = []  # codes since the last clear code, when a stream goes on with a full table
     while size < limit:
-        w, at = (np.full(len(width), 12), bit + 12 * np.arange(len(width))) if held else (width, bit + offset)
-        n = int(np.searchsorted(at + w, total, "right"))
-        at, w = at[:n], w[:n]
-        byte = at >> 3
-        read = (raw[byte].astype(np.uint32) | raw[byte + 1].astype(np.uint32) << 8 | raw[byte + 2].astype(np.uint32) << 16) >> (at & 7).astype(np.uint32) & ((1 << w) - 1).astype(np.uint32)
+        if held:
+            n = min(len(ends), (total - bit) // 12)
+            at, mask, after = bit + 12 * np.arange(n), np.uint32(4095), bit + 12 * n
+        else:
+            n = int(np.searchsorted(ends, total - bit, "right"))
+            at, mask, after = bit + firsts[:n], masks[:n], bit + (int(ends[n - 1]) if n else 0)
+        read = raw[at >> 3] >> (at & 7).astype(np.uint32) & mask
         stop = np.flatnonzero((read == clear) | (read == clear + 1))
         held.append(read[: int(stop[0]) if len(stop) else n])
         if n and not len(stop):
-            bit = int(at[-1] + w[-1])
+            bit = after
             continue
         samples = expand(np.concatenate(held), bits)
         out.append(samples.tobytes())
         size += len(samples)
         if not n or read[stop[0]] == clear + 1:
             break
-        bit, held = int(at[stop[0]] + w[stop[0]]), []
+        last = int(stop[0])
+        bit, held = (int(at[last + 1]) if last + 1 < n else after), []
     return b"".join(out)[:limit]
 
 
@@ -200,17 +221,35 @@ def read_gif(data: bytes) -> tuple[int, int, list[dict]]:
     return width, height, frames
 
 
-def compose(width: int, height: int, frames: list[dict]):
-    """Yields each frame's RGBA canvas as it is shown, after palettes, transparency and disposal."""
-    canvas = np.zeros((height, width, 4), np.uint8)
+@lru_cache(maxsize=64)
+def colours_of(palette: bytes) -> np.ndarray:
+    """RGBA of each of 256 samples; those that the palette lacks are black."""
+    colours = np.zeros((256, 4), np.uint8)
+    rgb = np.frombuffer(palette, np.uint8).reshape(-1, 3)
+    colours[: len(rgb), :3], colours[:, 3] = rgb, 255
+    return colours
+
+
+def cells_of(rgb: np.ndarray) -> np.ndarray:
+    """Colour cells: 4 levels for each of red, green and blue."""
+    return (rgb[..., 0] >> 6) * 16 + (rgb[..., 1] >> 6) * 4 + (rgb[..., 2] >> 6)
+
+
+@lru_cache(maxsize=64)
+def shown_cells(palette: bytes) -> np.ndarray:
+    """Colour cell of each of 256 samples, from 1; 0 is see-through."""
+    return cells_of(colours_of(palette)) + np.uint8(1)
+
+
+def compose(width: int, height: int, frames: list[dict], values=colours_of):
+    """Yields each frame's canvas as it is shown, after palettes, transparency and disposal; ``values`` gives what a palette's samples stand for, RGBA by default."""
+    canvas = np.zeros((height, width, *values(b"").shape[1:]), np.uint8)
     for f in frames:
         before = canvas.copy() if f["disposal"] == 3 else None
         x, y = f["left"], f["top"]
         part = canvas[y : y + f["height"], x : x + f["width"]]
         indices = np.frombuffer(f["indices"], np.uint8).reshape(f["height"], f["width"])[: part.shape[0], : part.shape[1]]
-        colours = np.zeros((256, 4), np.uint8)
-        rgb = np.frombuffer(f["palette"], np.uint8).reshape(-1, 3)
-        colours[: len(rgb), :3], colours[:, 3] = rgb, 255
+        colours = values(f["palette"])
         if f["transparent"] is None:
             part[...] = colours[indices]
         else:
@@ -225,26 +264,42 @@ def compose(width: int, height: int, frames: list[dict]):
 
 def histogram(rgba: np.ndarray) -> list[int]:
     """Pixels shown by colour: 4 levels for each of red, green and blue; see-through ones are left out."""
-    shown = rgba[rgba[..., 3] > 0]
-    cell = (shown[:, 0] >> 6).astype(np.int64) * 16 + (shown[:, 1] >> 6) * 4 + (shown[:, 2] >> 6)
-    return np.bincount(cell, minlength=64).tolist()
+    return np.bincount(cells_of(rgba[rgba[..., 3] > 0]), minlength=64).tolist()
 
 
-def media_frames(media: DataFrame, id_col="doc_id", media_col="media") -> DataFrame:
-    """One row per frame: its number, start and duration in ms, place, composed RGBA and colour histogram."""
+#: Frames of several files share a batch of about so many bytes.
+BATCH_BYTES = 1_000_000
+
+
+def media_frames(media: DataFrame, id_col="doc_id", media_col="media", pictures: bool = True) -> DataFrame:
+    """One row per frame: its number, start and duration in ms, place, composed RGBA and colour histogram; without ``pictures`` no RGBA is made."""
     src = media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"))
     kind = src.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "frame", "start_ms", "duration_ms", "width", "height", "rgba", "histogram"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+    named = {"frame": pa.int32(), "start_ms": pa.int64(), "duration_ms": pa.int64(), "width": pa.int32(), "height": pa.int32(), "rgba": pa.binary(), "histogram": pa.list_(pa.int64())}
+    ddl = f"doc_id {kind}, frame int, start_ms long, duration_ms long, width int, height int, rgba binary, histogram array<long>"
+    if not pictures:
+        del named["rgba"]
+        ddl = ddl.replace("rgba binary, ", "")
 
     def run(batches):
         for b in batches:
-            for i, m in enumerate(b.column(1)):  # a batch per file: frames may be large
-                rows = [(*row[:5], row[5].tobytes(), row[6]) for row in timed_frames(*read_gif(m.as_py() or b""))]
-                cols = list(zip(*rows)) or [()] * 7
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(rows), pa.int32())), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names)
+            owner, rows, size = [], [], 0
+
+            def made():
+                cols = list(zip(*rows)) or [()] * len(named)
+                return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int32())), *[pa.array(c, k) for c, k in zip(cols, named.values())]], ["doc_id", *named])
+
+            for i, m in enumerate(b.column(1)):
+                for *row, rgba, cells in timed_frames(*read_gif(m.as_py() or b""), pictures):
+                    rows.append((*row, rgba.tobytes(), cells) if pictures else (*row, cells))
+                    owner.append(i)
+                    size += (rgba.nbytes if pictures else 0) + 600
+                    if size >= BATCH_BYTES:
+                        yield made()
+                        owner, rows, size = [], [], 0
+            yield made()
 
-    return src.mapInArrow(run, f"doc_id {kind}, frame int, start_ms long, duration_ms long, width int, height int, rgba binary, histogram array<long>")
+    return src.mapInArrow(run, ddl)
 
 
 def as_gif(payload: bytes) -> bytes:
@@ -260,11 +315,12 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
     return data + b"\0" * (-len(data) % WIDTH or (0 if data else WIDTH)), len(data)
 
 
-def timed_frames(width: int, height: int, frames: list[dict]):
-    """(number, start in ms, duration in ms, width, height, composed RGBA, colour histogram) of each frame."""
+def timed_frames(width: int, height: int, frames: list[dict], pictures: bool = True):
+    """(number, start in ms, duration in ms, width, height, composed RGBA or None, colour histogram) of each frame."""
     at = 0
-    for n, (f, rgba) in enumerate(zip(frames, compose(width, height, frames))):
-        yield n, at, f["delay"] * 10, width, height, rgba, histogram(rgba)
+    for n, (f, shown) in enumerate(zip(frames, compose(width, height, frames, colours_of if pictures else shown_cells))):
+        cells = histogram(shown) if pictures else np.bincount(shown.ravel(), minlength=65)[1:].tolist()
+        yield n, at, f["delay"] * 10, width, height, shown if pictures else None, cells
         at += f["delay"] * 10
 
 
@@ -274,7 +330,7 @@ def digest(text: str | None) -> tuple:
     media = as_gif(payload)
     width, height, frames = read_gif(media)
     back = b"".join(f["indices"] for f in frames)
-    shown = [f"{at}+{ms}:" + ",".join(f"{cell}={pixels}" for cell, pixels in enumerate(cells) if pixels) for _, at, ms, _, _, _, cells in timed_frames(width, height, frames)]
+    shown = [f"{at}+{ms}:" + ",".join(f"{cell}={pixels}" for cell, pixels in enumerate(cells) if pixels) for _, at, ms, _, _, _, cells in timed_frames(width, height, frames, False)]
     return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{width}x{height};" + ";".join(shown)
 
 
@@ -304,7 +360,7 @@ def text_media(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
 def gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frame of every stored text with its time, and the pixels it shows by colour cell (a row per cell that has any)."""
-    frames = media_frames(text_media(table(spark, sf_dir, "documents"))).select("doc_id", "frame", "start_ms", "duration_ms", "width", "height", F.posexplode("histogram").alias("cell", "pixels"))
+    frames = media_frames(text_media(table(spark, sf_dir, "documents")), pictures=False).select("doc_id", "frame", "start_ms", "duration_ms", "width", "height", F.posexplode("histogram").alias("cell", "pixels"))
     return frames.filter("pixels > 0")
 
 

@@ -63,6 +63,25 @@ def test_media_frames(spark):
     assert [r.doc_id for r in rows] == [1] * 3 and [r.start_ms for r in rows] == [0, 40, 80] and all(sum(r.histogram) == 64 * 1024 for r in rows)
 
 
+def test_frames_without_pictures(spark, sf):
+    """Histograms are the same without RGBA, also where pixels are see-through, cleared or undone; files share batches, and the query makes no RGBA."""
+    rng = random.Random(4)
+    files = []
+    for _ in range(30):
+        sizes = [(rng.randrange(1, 7), rng.randrange(1, 7)) for _ in range(4)]
+        frames = [{"indices": bytes(rng.choices(range(8), k=w * h)), "width": w, "height": h, "left": rng.randrange(4), "top": rng.randrange(4), "disposal": rng.randrange(4), "transparent": rng.choice([None, 0, 3]),
+                   "palette": rng.choice([None, rng.randbytes(24)]), "delay": rng.randrange(9)} for w, h in sizes]
+        files.append(media.write_gif(frames, 6, 5))
+    df = spark.createDataFrame([*[(i, bytearray(f)) for i, f in enumerate(files)], (30, None)], "doc_id long, media binary").coalesce(1)
+    full, bare = media.media_frames(df), media.media_frames(df, pictures=False)
+    assert "rgba" in full.columns and bare.columns == [c for c in full.columns if c != "rgba"]
+    rows = sorted(bare.collect())
+    assert len(rows) == 120 and rows == sorted(full.drop("rgba").collect())
+    assert bare.mapInArrow(lambda batches: (b.slice(0, 1) for b in batches), bare.schema).count() == 1
+    plan = media.gif_frames(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") >= 2 and "rgba" not in plan
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(3)
     errors = []
