@@ -11,6 +11,9 @@ which the last kept one lies, round by round, so no image is sorted in a task.
 
 Absent pixels are zeros; pixels of one place add up; a null id is an image of its own; a place
 outside the image is an error.
+
+Several circuits of one size (those that a line search tries) are evaluated together, by the same
+jobs: an image's id becomes (n, id), n the circuit's number.
 """
 
 from __future__ import annotations
@@ -33,11 +36,11 @@ BINS, RANKED = 4096, 4096
 UNIT = 1e-9
 
 
-def phased(rows: DataFrame, gates: list[Gate]) -> DataFrame:
-    """Each pixel turned by the angles that the gates have for the bits of its place; pairs of columns (re, im) and, if there, (bre, bim)."""
-    if not gates:
+def phased(rows: DataFrame, *circuits: list[Gate]) -> DataFrame:
+    """Each pixel turned by the angles that the gates of its circuit have for the bits of its place; pairs of columns (re, im) and, if there, (bre, bim)."""
+    if not circuits[0]:
         return rows
-    turned = rows.withColumn("_turn", sum((angle_of(g) for g in gates), F.lit(0.0)))
+    turned = rows.withColumn("_turn", sum((angle_of(*gates) for gates in zip(*circuits)), F.lit(0.0)))
     pairs = [("re", "im"), ("bre", "bim")] if "bre" in rows.columns else [("re", "im")]
     values = [v for a, b in pairs for v in ((F.col(a) * F.cos("_turn") - F.col(b) * F.sin("_turn")).alias(a), (F.col(a) * F.sin("_turn") + F.col(b) * F.cos("_turn")).alias(b))]
     return turned.select("id", "lin", *values)
@@ -49,8 +52,10 @@ def bits_of(g: Gate):
     return (a * 2 + b).cast("int")
 
 
-def angle_of(g: Gate):
-    return F.get(F.array(*[F.lit(float(x)) for x in np.angle(g.matrix).ravel()]), bits_of(g))
+def angle_of(*gates: Gate):
+    """The angle of a gate for a place; of several, which stand at one position of as many circuits, that of the row's circuit."""
+    angles = F.array(*[F.lit(float(x)) for g in gates for x in np.angle(g.matrix).ravel()])
+    return F.get(angles, bits_of(gates[0]) + (F.col("id.n") * 4 if len(gates) > 1 else 0))
 
 
 def adjoint(g: Gate) -> Gate:
@@ -76,11 +81,14 @@ def dense(lists: pa.ListArray, side: int, values: int) -> list[np.ndarray]:
     return out
 
 
-def along(rows: DataFrame, gates: list[Gate], bits: int, line, place) -> DataFrame:
-    """Every line of every image run through the gates; ``line`` and ``place`` say which line a pixel is in, and where."""
+def along(rows: DataFrame, circuits: list[list[Gate]], bits: int, line, place, deal: bool = False) -> DataFrame:
+    """Every line of every image run through the gates of its circuit; ``line`` and ``place`` say which line a pixel is in, and where.
+
+    With ``deal`` every line is run through every circuit, and ids become (n, id).
+    """
     side = 1 << bits
     lines = lines_of(rows, line, place, ["re", "im"])
-    kind = lines.schema["id"].dataType.simpleString()
+    kind, id_type = lines.schema["id"].dataType.simpleString(), to_arrow_type(lines.schema["id"].dataType)
 
     def run(batches):
         for b in batches:
@@ -88,10 +96,16 @@ def along(rows: DataFrame, gates: list[Gate], bits: int, line, place) -> DataFra
             for lo in range(0, b.num_rows, step):
                 part = b.slice(lo, step)
                 (x,) = dense(part.column(2), side, 2)
-                y = np.ascontiguousarray(run_gates(gates, x, bits).T)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists_of(y.real), lists_of(y.imag)], ["id", "line", "re", "im"])
-
-    done = lines.mapInArrow(run, f"id {kind}, line long, re array<double>, im array<double>")
+                which = part.column(0).field("n").to_numpy() if len(circuits) > 1 and not deal else None
+                for n, gates in enumerate(circuits):
+                    mine = np.arange(part.num_rows) if which is None else np.flatnonzero(which == n)
+                    y = np.ascontiguousarray(run_gates(gates, x[:, mine], bits).T)
+                    ids, at = (part.column(i).take(pa.array(mine)) for i in (0, 1))
+                    if deal:
+                        ids = pa.StructArray.from_arrays([pa.array(np.full(len(mine), n), pa.int32()), ids], fields=[pa.field("n", pa.int32()), pa.field("id", id_type)])
+                    yield pa.RecordBatch.from_arrays([ids, at, lists_of(y.real), lists_of(y.imag)], ["id", "line", "re", "im"])
+
+    done = lines.mapInArrow(run, f"id {f'struct<n:int,id:{kind}>' if deal else kind}, line long, re array<double>, im array<double>")
     return done.select("id", "line", F.posexplode(F.arrays_zip("re", "im")).alias("at", "z")).select("id", "line", F.col("at").cast("long").alias("at"), "z.re", "z.im")
 
 
@@ -113,12 +127,25 @@ class Ways:
 
 def transform(rows: DataFrame, basis: Basis) -> DataFrame:
     """id, lin, re, im of the coefficients; ``rows`` has the same columns, lin from 0 in column-major order."""
-    ways = Ways(basis)
-    joins = [g for _, g in ways.joins]
-    for spot, (gates, bits, line, place, lin) in enumerate(ways.by_way):
-        rows = phased(rows, joins if ways.spot == spot else [])
-        rows = along(rows, [g for _, g in gates], bits, line, place).select("id", lin.alias("lin"), "re", "im")
-    return phased(rows, joins if ways.spot == 2 else [])
+    return transformed(rows, [basis], False)
+
+
+def transform_each(rows: DataFrame, bases: list[Basis]) -> DataFrame:
+    """The same by each of several bases that differ in their gates' matrices only; ids are (n, id), n the basis's number."""
+    return transformed(rows, bases, True)
+
+
+def transformed(rows: DataFrame, bases: list[Basis], deal: bool) -> DataFrame:
+    ways = [Ways(b) for b in bases]
+    joins = [[g for _, g in w.joins] for w in ways]
+    if deal and ways[0].spot == 0:  # the bases differ from the first step on, else lines are shuffled once for all
+        each = rows.select(F.explode(F.sequence(F.lit(0), F.lit(len(bases) - 1))).alias("n"), "id", "lin", "re", "im")
+        rows, deal = each.select(F.struct("n", "id").alias("id"), "lin", "re", "im"), False
+    for spot, (_, bits, line, place, lin) in enumerate(ways[0].by_way):
+        if ways[0].spot == spot:
+            rows = phased(rows, *joins)
+        rows = along(rows, [[g for _, g in w.by_way[spot][0]] for w in ways], bits, line, place, deal and spot == 0).select("id", lin.alias("lin"), "re", "im")
+    return phased(rows, *joins) if ways[0].spot == 2 else rows
 
 
 def inverse(rows: DataFrame, basis: Basis) -> DataFrame:
@@ -128,21 +155,26 @@ def inverse(rows: DataFrame, basis: Basis) -> DataFrame:
     for spot in (1, 0):
         gates, bits, line, place, lin = ways.by_way[spot]
         rows = phased(rows, joins if ways.spot == spot + 1 else [])
-        rows = along(rows, [adjoint(g) for _, g in reversed(gates)], bits, line, place).select("id", lin.alias("lin"), "re", "im")
+        rows = along(rows, [[adjoint(g) for _, g in reversed(gates)]], bits, line, place).select("id", lin.alias("lin"), "re", "im")
     return phased(rows, joins if ways.spot == 0 else [])
 
 
-def narrowed(values: DataFrame, need: DataFrame) -> DataFrame:
-    """id, low, high, rest: the range [low, high) of an image's values ``v`` (whole numbers) that holds the ``need``-th smallest, and how many of it are wanted.
+def narrowed(values: DataFrame, need: DataFrame | int) -> DataFrame:
+    """id, low, high, held, rest: the range [low, high) of an image's values ``v`` (whole numbers) that holds the ``need``-th smallest, how many it holds, and how many of it are wanted.
 
     Round by round the range becomes the bin of its histogram in which that value lies, until the bin
     has at most ``RANKED`` values or is one value wide. Images with fewer values get a range with all.
+    ``need`` is a number for all images, or a table of it by image (``of``).
     """
-    state = values.groupBy("id").agg(F.min("v").alias("low"), (F.max("v") + 1).alias("high"), F.count(F.lit(1)).alias("held")).join(need, F.col("id").eqNullSafe(F.col("of"))).drop("of").withColumnRenamed("need", "rest")
+    state = values.groupBy("id").agg(F.min("v").alias("low"), (F.max("v") + 1).alias("high"), F.count(F.lit(1)).alias("held"))
+    if isinstance(need, int):
+        state = state.withColumn("rest", F.least("held", F.lit(need)))
+    else:
+        state = state.join(need, F.col("id").eqNullSafe(F.col("of"))).drop("of").withColumnRenamed("need", "rest")
     state, done = written(state), None
     while True:
         settled = (F.col("held") <= RANKED) | (F.col("high") - F.col("low") <= 1)
-        part = state.filter(settled).drop("held")
+        part = state.filter(settled)
         done = part if done is None else done.unionByName(part)
         open_ = state.filter(~settled)
         if open_.isEmpty():
@@ -166,22 +198,22 @@ def largest(rows: DataFrame, k: int) -> DataFrame:
         raise ValueError("at least one coefficient must be kept")
     size = -F.round(F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / UNIT).cast("long")
     sized = rows.withColumn("v", size)
-    counts = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).select(F.col("id").alias("of"), F.least("n", F.lit(k)).alias("need"))
-    cuts = written(narrowed(sized.select("id", "v"), counts))
+    cuts = written(narrowed(sized.select("id", "v"), k))
     own = cuts.select(F.col("id").alias("of"), "low", "high", "rest")
-    placed = sized.join(own, F.col("id").eqNullSafe(F.col("of")))
+    placed = sized.join(own, F.col("id").eqNullSafe(F.col("of"))).drop("of")
     above = placed.filter(F.col("v") < F.col("low"))
     # the last range: ranked together if it is short, else its values are equal and the places are narrowed
-    tied = placed.filter((F.col("v") >= F.col("low")) & (F.col("v") < F.col("high")))
-    many = tied.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("rest").alias("need")).filter(F.col("n") > RANKED)
-    by_place = narrowed(tied.select("id", F.col("lin").alias("v")), many.select(F.col("id").alias("of"), "need")).select(F.col("id").alias("of"), F.col("low").alias("from"), F.col("high").alias("to"), F.col("rest").alias("last"))
-    tied = tied.drop("of").join(by_place, F.col("id").eqNullSafe(F.col("of")), "left")
-    below = tied.filter(F.col("from").isNotNull() & (F.col("lin") < F.col("from")))
-    short = tied.filter(F.col("from").isNull() | (F.col("lin") >= F.col("from")) & (F.col("lin") < F.col("to")))
+    short = placed.filter((F.col("v") >= F.col("low")) & (F.col("v") < F.col("high"))).withColumn("last", F.col("rest"))
+    many = cuts.filter(F.col("held") > RANKED).select(F.col("id").alias("of"), F.col("rest").alias("need"))
+    if not many.isEmpty():
+        tied = short.drop("last")
+        by_place = narrowed(tied.select("id", F.col("lin").alias("v")), many).select(F.col("id").alias("of"), F.col("low").alias("from"), F.col("high").alias("to"), F.col("rest").alias("left"))
+        tied = tied.join(by_place, F.col("id").eqNullSafe(F.col("of")), "left")
+        above = above.unionByName(tied.filter(F.col("lin") < F.col("from")).select(*above.columns))
+        short = tied.filter(F.col("from").isNull() | (F.col("lin") >= F.col("from")) & (F.col("lin") < F.col("to"))).withColumn("last", F.coalesce("left", "rest"))
     place = F.row_number().over(W.partitionBy("id").orderBy("v", "lin"))  # at most RANKED rows an image
-    short = short.withColumn("place", place).filter(F.col("place") <= F.coalesce("last", "rest"))
-    columns = rows.columns
-    return above.select(*columns).unionByName(below.select(*columns)).unionByName(short.select(*columns))
+    short = short.withColumn("place", place).filter(F.col("place") <= F.col("last"))
+    return above.select(*rows.columns).unionByName(short.select(*rows.columns))
 
 
 def compress(rows: DataFrame, basis: Basis, ratio: float | None = 0.9, k: int | None = None) -> DataFrame:
@@ -198,13 +230,26 @@ def recover(kept: DataFrame, basis: Basis, verify_hash: bool = True) -> DataFram
     return inverse(kept.select("id", "lin", "re", "im"), basis)
 
 
+def energies(rows: DataFrame) -> DataFrame:
+    """id, energy of every image."""
+    return rows.groupBy("id").agg(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("energy"))
+
+
 def loss_and_kept(rows: DataFrame, basis: Basis, k: int) -> tuple[float, DataFrame, DataFrame]:
     """Mean squared error after keeping k coefficients an image, all coefficients and the kept ones, both written."""
     y = written(transform(rows, basis))
     kept = written(largest(y, k))
-    energy = lambda df: df.agg(F.sum(F.col("re") * F.col("re") + F.col("im") * F.col("im"))).first()[0] or 0.0
-    images = y.select("id").distinct().count()
-    return (energy(y) - energy(kept)) / max(1, images), y, kept
+    whole, images = energies(y).agg(F.sum("energy"), F.count(F.lit(1))).first()
+    return ((whole or 0.0) - (energies(kept).agg(F.sum("energy")).first()[0] or 0.0)) / max(1, images), y, kept
+
+
+def losses_of_each(rows: DataFrame, bases: list[Basis], k: int) -> list[float]:
+    """Mean squared errors by several bases, as ``loss_and_kept`` has them, evaluated by the same jobs; a number per basis reaches the driver."""
+    y = written(transform_each(rows, bases))
+    by_basis = lambda df: {r["n"]: r for r in energies(df).groupBy("id.n").agg(F.sum("energy").alias("energy"), F.count(F.lit(1)).alias("images")).collect()}
+    whole, kept = by_basis(y), by_basis(largest(y, k))
+    forget(y)
+    return [(whole[n]["energy"] - kept[n]["energy"]) / whole[n]["images"] if n in whole else 0.0 for n in range(len(bases))]
 
 
 def back_along(rows: DataFrame, gates: list[Gate], bits: int, line, place) -> DataFrame:
@@ -276,14 +321,12 @@ def optimize(rows: DataFrame, basis: Basis, optimizer: Optimizer, k: int | None
     as_basis = lambda gates: Basis(basis.family, basis.m, basis.n, tuple(gates), basis.position)
 
     def measure(candidates, with_gradient):
-        values, grads = [], []
-        for i, gates in enumerate(candidates):
-            value, y, kept = loss_and_kept(rows, as_basis(gates), k)
-            values.append(value)
-            if with_gradient and not i:
-                grads = gradient(y, kept, as_basis(gates))
-            forget(y, kept)
-        return np.array(values), grads
+        if not with_gradient:
+            return np.array(losses_of_each(rows, [as_basis(gates) for gates in candidates], k)), []
+        value, y, kept = loss_and_kept(rows, as_basis(candidates[0]), k)
+        grads = gradient(y, kept, as_basis(candidates[0]))
+        forget(y, kept)
+        return np.array([value, *(measure(candidates[1:], False)[0] if candidates[1:] else [])]), grads
 
     gates, trace = descend(list(basis.gates), optimizer, measure, max_iter, tol)
     return as_basis(gates), trace

@@ -342,17 +342,24 @@ def compare_steps(spark: SparkSession, runs: dict[str, Trained], alpha: float =
 
 def descend(gates: list[Gate], optimizer: Optimizer, measure, max_iter: int, tol: float) -> tuple[list[Gate], list[float]]:
     """The last gates, and the losses before each step and after the last. ``measure(candidates, gradient)`` gives mean losses and the first's gradient."""
-    trace = []
+    trace, last = [], None
+
+    def losses_of(candidates):
+        values = measure(candidates, False)[0]
+        tried.extend(zip(candidates, values))
+        return values
+
     for _ in range(max_iter):
-        (value,), grads = measure([gates], True)
-        trace.append(float(value))
+        (last,), grads = measure([gates], True)
+        trace.append(float(last))
         if not grads:
             break
-        new, norm = optimizer.step(gates, grads, optimizer.rate, value, lambda c: measure(c, False)[0])
+        tried: list = []
+        new, norm = optimizer.step(gates, grads, optimizer.rate, last, losses_of)
         if norm < tol or not math.isfinite(norm):
             break
-        gates = new
-    return gates, [*trace, float(measure([gates], False)[0][0])]
+        gates, last = new, next((value for each, value in tried if each is new), None)  # a line search has measured it
+    return gates, [*trace, float(measure([gates], False)[0][0] if last is None else last)]
 
 
 #: Up to so many values, all steps run in one task: a job a step would take longer than the steps.

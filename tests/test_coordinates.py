@@ -120,6 +120,34 @@ def test_training_takes_the_same_steps(spark, kind):
     assert all(np.allclose(a, b) for a, b in zip(one.tensors, two.tensors))
 
 
+def moved(basis, seed):
+    """A basis of the same shape whose gates are elsewhere on their manifolds."""
+    rng = np.random.default_rng(seed)
+    turn = lambda g: g.matrix @ np.linalg.qr(rng.standard_normal((2, 2)) + 1j * rng.standard_normal((2, 2)))[0] if g.role == "h" else g.matrix * np.exp(1j * rng.random((2, 2)))
+    return Basis(basis.family, basis.m, basis.n, tuple(circuits.Gate(g.role, g.qubits, turn(g), g.entangling) for g in basis.gates), basis.position)
+
+
+@pytest.mark.parametrize("basis", [BASES[i] for i in (1, 2, 5)], ids=[NAMES[i] for i in (1, 2, 5)])
+def test_circuits_are_evaluated_together(spark, basis):
+    """Losses of several circuits by the same jobs, entangled before, between or behind the products, and of a picture without an id."""
+    x, k, bases = pictures(4, basis.size, 5), basis.size // 4, [basis, moved(basis, 1), moved(basis, 2)]
+    rows = as_rows(spark, x).withColumn("id", F.when(F.col("id") != 3, F.col("id")))
+    want = [training.loss_and_gradient(list(b.gates), x.T, basis.m + basis.n, "mse", k, False)[0] / 4 for b in bases]
+    assert np.allclose(coordinates.losses_of_each(rows, bases, k), want) and len({round(v, 6) for v in want}) == 3
+    assert coordinates.losses_of_each(rows.limit(0), bases[:2], k) == [0.0, 0.0]
+
+
+def test_a_line_search_shares_jobs(spark, monkeypatch):
+    """Ten tries that all fail are evaluated in three parts after the step's own loss, and the last loss is not measured again."""
+    basis, x, calls = Basis.make("eqft", 2, 3, (0.4, 0.2), "middle"), pictures(3, 32, 3), []
+    arrays = spark.createDataFrame([(i, p.real.tolist(), p.imag.tolist()) for i, p in enumerate(x)], "img_id long, re array<double>, im array<double>")
+    _, trace = training.optimize(arrays, basis, training.Optimizer("gd", 0.05, armijo=1e9), k=6, max_iter=1, tol=0.0)
+    transformed = coordinates.transformed
+    monkeypatch.setattr(coordinates, "transformed", lambda rows, bases, deal: calls.append(len(bases)) or transformed(rows, bases, deal))
+    _, other = coordinates.optimize(as_rows(spark, x), basis, training.Optimizer("gd", 0.05, armijo=1e9), k=6, max_iter=1, tol=0.0)
+    assert np.allclose(trace, other) and calls == [1, 1, 3, 6]
+
+
 def test_complex_pictures_train(spark, monkeypatch):
     """In one task and by jobs alike, and not like their real parts alone."""
     images = gaussian(spark, 6, 2, 2)
