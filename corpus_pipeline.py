@@ -3,10 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but
 the last return the columns of ``documents``; each result is written to the shared folder and
 read again as the next stage's input, so a lost executor costs one stage at most.
+
+Rows reach Python in batches of at most ``BATCHES``, which the stages set in the session unless
+it has values of its own: by default one batch holds up to 10,000 rows, tens of MB of text, in the
+JVM's direct memory and again, with what is made of it, in each Python worker.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +21,30 @@ from orthomill.llm import mixing, near_dup, packing, pii, quality_model
 from orthomill.llm.common import materialize, table
 
 
+#: Rows and bytes; the rows are a multiple of packing's look-ahead.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, whose result may be computed later in the same session, with ``BATCHES``."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for name, value in BATCHES.items():
+            if spark.conf.get(name, None) is None:
+                spark.conf.set(name, value)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_small_batches
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
     return quality_model.keep_good(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
+@in_small_batches
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group stays: the one with the smallest id, null ids last. Links start at similarity 0.8.
 
@@ -34,6 +60,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return numbered.join(kept, "row", "left_semi").select("given.*")
 
 
+@in_small_batches
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span of personal data becomes the name of its kind."""
     return pii.mask_documents(docs)
@@ -44,6 +71,7 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_rows(docs)
 
 
+@in_small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 2048 tokens."""
     return packing.pack(docs)

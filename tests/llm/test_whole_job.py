@@ -304,3 +304,25 @@ def test_written_tables_go_when_discarded(spark):
     assert not os.path.exists(path) and kept.count() == 5
     common.discard(spark.read.parquet("/root/testdata/sf0.001/region.parquet"))  # not one of materialize()
     assert os.path.exists("/root/testdata/sf0.001/region.parquet")
+
+
+def test_pipeline_hands_texts_to_python_in_small_batches(spark):
+    """A task's texts once reached Python in one batch, and executors ran out of their memory."""
+
+    def measured(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    def seen(session, words):
+        text = F.concat(F.col("id").cast("string"), F.repeat(F.lit(" lorem ipsum"), words))
+        docs = session.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.length(text).cast("long").alias("n_chars"))
+        corpus_pipeline.without_personal_data(session, docs, "")
+        rows = docs.mapInArrow(measured, "n long, size long").collect()
+        assert sum(r.n for r in rows) == 3000
+        return max(r.n for r in rows), max(r["size"] for r in rows)
+
+    assert seen(spark.newSession(), 1)[0] <= 1024
+    assert seen(spark.newSession(), 700)[1] < 5_000_000  # 25 MB in all
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    assert seen(own, 1)[0] == 50
